@@ -8,6 +8,8 @@ from .registry import HEADLINE, ORACLE, QUERIES
 
 _MODULES = (
     "catalog_daily",
+    "catalog_metrics",
+    "catalog_state",
 )
 
 for _m in _MODULES:

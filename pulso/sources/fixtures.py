@@ -237,3 +237,45 @@ def sql_values(rows, names) -> str:
         return repr(v)
     body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(VALUES {body}) t({', '.join(names)})"
+
+
+# ---------------------------------------------------------------- predictions
+def predictions(spark: SparkSession, sf_dir: str, posts_df: DataFrame | None = None) -> DataFrame:
+    """Stand-in prediction table: one row per post day, the expanded poll
+    values played as predictions, and a stale metric column that a metrics
+    re-run must replace."""
+    from ..operators.polls import poll_calendar
+
+    p = posts_df if posts_df is not None else posts(spark, sf_dir)
+    days = p.where(F.col("date").isNotNull()).select("date").distinct()
+    cal = poll_calendar(polls(spark, sf_dir, p))
+    return days.join(cal, "date", "left").select(
+        "date", F.col("aprobacion").alias("prediccion_aprobacion"),
+        F.col("desaprobacion").alias("prediccion_desaprobacion"),
+        F.lit(-1.0).alias("indice_negatividad"))
+
+
+SQL_PREDICTIONS = """
+SELECT d.date AS date, c.aprobacion AS prediccion_aprobacion,
+       c.desaprobacion AS prediccion_desaprobacion, -1.0 AS indice_negatividad
+FROM (SELECT DISTINCT date FROM posts WHERE date IS NOT NULL) d
+LEFT JOIN calp c USING (date)
+"""
+
+
+# ---------------------------------------------------------------- orders as posts
+def order_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders played as posts of five authors (the order priority), for the
+    per-author month harvest."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").cast("string").alias("id"),
+                    F.col("o_orderpriority").alias("author"),
+                    F.col("o_orderdate").cast("timestamp_ntz").alias("createdAt"),
+                    F.col("o_totalprice").alias("likeCount"))
+
+
+SQL_ORDER_POSTS = """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority AS author,
+       CAST(o_orderdate AS TIMESTAMP) AS createdAt, o_totalprice AS likeCount
+FROM orders
+"""
