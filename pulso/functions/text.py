@@ -5,7 +5,7 @@ higher-order array functions, so cleaning runs inside whole-stage codegen.
 
 Regex portability: Python's ``\\w`` is exactly ``[\\p{L}\\p{N}_]``; Java's
 ``\\w`` is ASCII-only, so the class is written out. Python's ``\\s`` also
-covers U+001C-001F, U+0085, U+00A0, U+1680, U+2000-200A, U+2028/2029,
+covers U+000B, U+001C-001F, U+0085, U+00A0, U+1680, U+2000-200A, U+2028/2029,
 U+202F, U+205F and U+3000, which are listed explicitly for the same reason.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..sources.stopwords import post_stopwords, topic_stopwords
 
 WORD = r"\p{L}\p{N}_"
-SPACE = (r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+SPACE = (r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
 URL = r"http\S+|www\S+|https\S+"
 MENTION = rf"@[{WORD}]+"
@@ -43,15 +43,24 @@ def normalise_space(c: ColumnOrName) -> Column:
 
 
 def words_of(c: ColumnOrName) -> Column:
-    """Split normalised text on single spaces; '' gives an empty array."""
-    t = _c(c)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    """Split normalised text on single spaces; '' gives an empty array.
+
+    The input is referenced once (a filter instead of a ``when`` on the text),
+    so a long cleaning chain is not duplicated in the expression tree.
+    """
+    return F.filter(F.split(_c(c), " "), lambda x: x != "")
 
 
 def drop_words(arr: Column, words) -> Column:
-    """Remove array elements that are in ``words`` (a literal list)."""
-    stop = _str_array(words)
-    return F.filter(arr, lambda x: ~F.array_contains(stop, x))
+    """Remove array elements that are in ``words`` (a literal list).
+
+    ``isin`` with many literals is rewritten by the optimizer to a hash-set
+    lookup (``InSet``), so the cost per token does not grow with the list.
+    """
+    words = list(words)
+    if not words:
+        return arr
+    return F.filter(arr, lambda x: ~x.isin(*words))
 
 
 def apply_lemmas(arr: Column, lemmas: dict | None) -> Column:
@@ -62,10 +71,15 @@ def apply_lemmas(arr: Column, lemmas: dict | None) -> Column:
     return F.transform(arr, lambda x: F.coalesce(F.try_element_at(m, x), x))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda binding via a
+    one-element array), instead of repeating the expression tree."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bounded_join(arr: Column, lo: int, hi: int) -> Column:
     """Join words with spaces when lo <= count <= hi, else null."""
-    n = F.size(arr)
-    return F.when((n >= lo) & (n <= hi), F.array_join(arr, " "))
+    return let(arr, lambda a: F.when(F.size(a).between(lo, hi), F.array_join(a, " ")))
 
 
 def clean_post_text(c: ColumnOrName, stop=None, lemmas: dict | None = None,

@@ -10,6 +10,7 @@ _MODULES = (
     "catalog_daily",
     "catalog_metrics",
     "catalog_state",
+    "catalog_text",
 )
 
 for _m in _MODULES:

@@ -106,6 +106,9 @@ def text_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "lang", "source",
         F.posexplode(F.split("text", "\n")).alias("pos", "line"),
     ).withColumn("line_no", (F.col("pos") + 1).cast("long"))
+    # One document can hold thousands of lines and the table may arrive in a
+    # few large splits; spread the lines before the per-line text work.
+    lines = lines.repartition(spark.sparkContext.defaultParallelism * 2, "doc_id", "line_no")
     marked = (F.col("line_no") % 5) == 0
     joined = lines.join(
         pages,
