@@ -11,6 +11,7 @@ _MODULES = (
     "catalog_metrics",
     "catalog_state",
     "catalog_text",
+    "catalog_topics",
 )
 
 for _m in _MODULES:

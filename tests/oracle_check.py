@@ -24,6 +24,7 @@ SPARK_TO_DUCK = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
     "date": "DATE", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN",
     "float": "FLOAT", "timestamp": "TIMESTAMP WITH TIME ZONE",
+    "array<double>": "DOUBLE[]", "array<string>": "VARCHAR[]", "array<bigint>": "BIGINT[]",
 }
 
 
