@@ -12,6 +12,7 @@ _MODULES = (
     "catalog_state",
     "catalog_text",
     "catalog_topics",
+    "catalog_forecast",
 )
 
 for _m in _MODULES:
