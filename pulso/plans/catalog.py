@@ -13,6 +13,7 @@ _MODULES = (
     "catalog_text",
     "catalog_topics",
     "catalog_forecast",
+    "catalog_stream",
 )
 
 for _m in _MODULES:

@@ -19,11 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- posts
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored posts (id, createdAt, date, author, 3 scores, 4 counts, processed)."""
-    e = table(spark, sf_dir, "events")
+    return posts_of_events(table(spark, sf_dir, "events"))
+
+
+def posts_of_events(e: DataFrame, ts_type: str = "timestamp_ntz") -> DataFrame:
+    """The posts view over an events frame (batch or streaming)."""
     eid = F.col("event_id")
     return e.select(
         eid.cast("string").alias("id"),
-        F.col("ts").cast("timestamp_ntz").alias("createdAt"),
+        F.col("ts").cast(ts_type).alias("createdAt"),
         F.to_date("ts").alias("date"),
         F.col("event_type").alias("author"),
         ((eid % 10).cast("double") / 10.0).alias("score_positive"),
@@ -99,16 +103,20 @@ SELECT date, aprobacion, desaprobacion FROM (
 # ---------------------------------------------------------------- text posts
 def text_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents split into lines; every 5th line gets a mention, hashtag and URL."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = table(spark, sf_dir, "documents")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    n_pages = pages.count()  # parquet footer count, one number
+    lines = text_posts_of(docs, pages, pages.count())  # parquet footer count, one number
+    # One document can hold thousands of lines and the table may arrive in a
+    # few large splits; spread the lines before the per-line text work.
+    return lines.repartition(spark.sparkContext.defaultParallelism * 2, "doc_id", "line_no")
+
+
+def text_posts_of(docs: DataFrame, pages: DataFrame, n_pages: int) -> DataFrame:
+    """The text-posts view over a documents frame (batch or streaming)."""
     lines = docs.select(
         "doc_id", "lang", "source",
         F.posexplode(F.split("text", "\n")).alias("pos", "line"),
     ).withColumn("line_no", (F.col("pos") + 1).cast("long"))
-    # One document can hold thousands of lines and the table may arrive in a
-    # few large splits; spread the lines before the per-line text work.
-    lines = lines.repartition(spark.sparkContext.defaultParallelism * 2, "doc_id", "line_no")
     marked = (F.col("line_no") % 5) == 0
     joined = lines.join(
         pages,
