@@ -29,31 +29,43 @@ def classify_sentiment(pos="score_positive", neg="score_negative", neu="score_ne
             .when(p == m, "positive").when(n == m, "negative").otherwise("neutral"))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (see ``text.let``)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(logits: Column) -> Column:
-    """Numerically stable softmax of an array column."""
-    mx = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - mx))
-    s = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / s)
+    """Numerically stable softmax of an array column (input evaluated once)."""
+    def body(x):
+        mx = F.array_max(x)
+        return _let(F.transform(x, lambda v: F.exp(v - mx)),
+                    lambda e: F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0),
+                                                                       lambda a, y: a + y)))
+    return _let(logits, body)
 
 
 def softmax_label(logits: Column, text: Column | None = None, labels=LABELS) -> Column:
     """X10 + X11: struct(sentiment_label, score_label, score_negative,
     score_neutral, score_positive) from three logits; the first maximum wins.
-    Blank or null text (or null logits) gives ("Neutral", 0, 0, 0, 0)."""
-    p = softmax(logits.cast("array<double>"))
-    top = F.array_max(p)
-    lab = F.element_at(F.array(*[F.lit(x) for x in labels]), F.array_position(p, top).cast("int"))
-    scored = F.struct(lab.alias("sentiment_label"), top.alias("score_label"),
-                      p[0].alias("score_negative"), p[1].alias("score_neutral"),
-                      p[2].alias("score_positive"))
+    Blank or null text (or null logits) gives ("Neutral", 0, 0, 0, 0).
+    The logits and probabilities are each evaluated once."""
+    names = F.array(*[F.lit(x) for x in labels])
+
+    def scored(p):
+        top = F.array_max(p)
+        return F.struct(F.element_at(names, F.array_position(p, top).cast("int"))
+                        .alias("sentiment_label"), top.alias("score_label"),
+                        p[0].alias("score_negative"), p[1].alias("score_neutral"),
+                        p[2].alias("score_positive"))
+
     empty = F.struct(F.lit("Neutral").alias("sentiment_label"), F.lit(0.0).alias("score_label"),
                      F.lit(0.0).alias("score_negative"), F.lit(0.0).alias("score_neutral"),
                      F.lit(0.0).alias("score_positive"))
-    blank = logits.isNull()
+    out = _let(logits.cast("array<double>"),
+               lambda lg: F.when(lg.isNull(), empty).otherwise(_let(softmax(lg), scored)))
     if text is not None:
-        blank = blank | text.isNull() | (F.trim(text) == "")
-    return F.when(blank, empty).otherwise(scored)
+        out = F.when(text.isNull() | (F.trim(text) == ""), empty).otherwise(out)
+    return out
 
 
 # Lexicons up to this many words travel as a literal map (no shuffle);

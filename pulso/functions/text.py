@@ -130,17 +130,19 @@ def tokens(c: ColumnOrName, min_len: int = 1) -> Column:
 
 def ngrams(arr: ColumnOrName, n: int) -> Column:
     """Space-joined n-grams of a token array ([] when shorter than n)."""
-    a = _c(arr)
     if n == 1:
-        return a
-    return F.when(F.size(a) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(a) - n + 1),
-        lambda i: F.array_join(F.slice(a, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return _c(arr)
+
+    def body(a):
+        return F.when(F.size(a) >= n, F.transform(
+            F.sequence(F.lit(1), F.size(a) - n + 1),
+            lambda i: F.array_join(F.slice(a, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return let(_c(arr), body)
 
 
 def ngrams_upto(arr: ColumnOrName, n: int) -> Column:
-    """All 1..n-grams of a token array."""
-    return F.flatten(F.array(*[ngrams(arr, k) for k in range(1, n + 1)]))
+    """All 1..n-grams of a token array (the array is evaluated once)."""
+    return let(_c(arr), lambda a: F.flatten(F.array(*[ngrams(a, k) for k in range(1, n + 1)])))
 
 
 def exclude_terms(c: ColumnOrName, phrases=(), words=()) -> Column:

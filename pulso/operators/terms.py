@@ -29,13 +29,24 @@ EXCLUDED_PHRASES = ("gabriel boric", "presidente boric")
 EXCLUDED_WORDS = ("boric", "gabriel", "presidente", "chile", "gobierno")
 
 
+def with_non_null(df: DataFrame, value, out: str) -> DataFrame:
+    """Set ``out`` to ``value`` and keep only rows where it is not null.
+
+    A plain ``withColumn(...).where(out IS NOT NULL)`` lets the optimizer
+    push the filter below the projection, which evaluates a long cleaning
+    expression twice; exploding a one-element array filtered to non-null
+    values evaluates it once and yields no row for a null.
+    """
+    keep = [F.col(c) for c in df.columns if c != out]
+    return df.select(*keep, F.explode(F.filter(F.array(value), lambda x: x.isNotNull())).alias(out))
+
+
 def clean_posts(df: DataFrame, col: str = "text", out: str | None = None, stop=None,
                 lemmas: dict | None = None, lo: int = 3, hi: int = 50) -> DataFrame:
     """X6 + X18 as a table step: clean ``col`` and drop rows whose cleaned
     text is null (too short, too long, or null input)."""
     out = out or col
-    cleaned = df.withColumn(out, T.clean_post_text(col, stop=stop, lemmas=lemmas, lo=lo, hi=hi))
-    return cleaned.where(F.col(out).isNotNull())
+    return with_non_null(df, T.clean_post_text(col, stop=stop, lemmas=lemmas, lo=lo, hi=hi), out)
 
 
 def clean_topic_posts(df: DataFrame, col: str = "text", out: str = "clean_text", stop=None,
@@ -45,7 +56,7 @@ def clean_topic_posts(df: DataFrame, col: str = "text", out: str = "clean_text",
     c = T.clean_topic_text(col, stop=stop, lemmas=lemmas, lo=lo, hi=hi)
     if strip:
         c = T.strip_articles(c)
-    return df.withColumn(out, c).where(F.col(out).isNotNull())
+    return with_non_null(df, c, out)
 
 
 def term_tokens(text_col, phrases=EXCLUDED_PHRASES, words=EXCLUDED_WORDS, stop=(),

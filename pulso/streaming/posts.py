@@ -48,8 +48,8 @@ def stream_dedup(sdf: DataFrame, delay: str = "2 days", key: str = "id",
 
 def stream_clean(sdf: DataFrame, text: str = "text", **kw) -> DataFrame:
     """R2: clean the text of arriving posts; rows that clean to nothing drop."""
-    out = sdf.withColumn(text, clean_post_text(text, **kw))
-    return out.where(F.col(text).isNotNull())
+    from ..operators.terms import with_non_null
+    return with_non_null(sdf, clean_post_text(text, **kw), text)
 
 
 def stream_daily_means(sdf: DataFrame, delay: str = "2 days", ts: str = "createdAt",
