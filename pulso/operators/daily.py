@@ -177,3 +177,11 @@ def negativity_index(features: DataFrame, keys=()) -> DataFrame:
     """A4: mean ``score_negative`` per (keys, day) of a features table."""
     return (_dated(features).groupBy(*keys, "date")
             .agg(F.avg("score_negative").alias("indice_negatividad")))
+
+
+def weighted_mean(v, w) -> Column:
+    """Aggregate ``sum(v*w) / sum(w)``, or the plain mean of ``v`` when the
+    weights sum to 0 (or are all null). Weights are used as given."""
+    vd, wd = F.col(v).cast("double"), F.col(w).cast("double")
+    den = F.coalesce(F.sum(wd), F.lit(0.0))
+    return F.when(den != 0, F.coalesce(F.sum(vd * wd), F.lit(0.0)) / den).otherwise(F.avg(vd))

@@ -4,8 +4,8 @@
 Embeddings are one ``array<float|double>`` column, never hundreds of wide
 columns. Group means over unbounded groups (a day, a topic) use Spark ML's
 ``Summarizer`` (a real aggregate with map-side partial state of one vector
-per group); the per-post pooling collects at most ``max_tokens`` vectors per
-post, a bound set by the operator itself.
+per group), also for the per-post pooling of at most ``max_tokens`` token
+vectors.
 """
 
 from __future__ import annotations
@@ -37,40 +37,72 @@ def token_hash_bucket(token, n_buckets: int) -> Column:
     return h % F.lit(n_buckets)
 
 
+def _pool(occ: DataFrame, df: DataFrame, key: str, dim: int, out: str) -> DataFrame:
+    """Mean of the matched vectors per post, zero vector without any match.
+
+    ``occ`` holds every input row (once per token, or once with a null
+    token) with its matched vector ``_v``; the row's other columns travel
+    through the same aggregate, so the input lineage is evaluated once and
+    no join back to it is needed. The sum is Spark ML's compiled
+    ``Summarizer`` (rows without a vector add a zero vector), divided by the
+    number of matched tokens.
+    """
+    others = [c for c in df.columns if c != key]
+    zero = F.array_repeat(F.lit(0.0), dim)
+    has = F.col("_v").isNotNull()
+    vec = array_to_vector(F.coalesce(F.col("_v"), zero))
+    agg = occ.groupBy(key).agg(
+        F.first(F.struct(*others)).alias("_row"),
+        Summarizer.sum(vec).alias("_s"),
+        F.count_if(has).alias("_n"))
+    pooled = F.when(F.col("_n") > 0,
+                    F.transform(vector_to_array("_s"), lambda x: x / F.col("_n"))).otherwise(zero)
+    return agg.select(key, *[F.col("_row")[c].alias(c) for c in others], pooled.alias(out))
+
+
+def _occurrences(df: DataFrame, text: str, max_tokens: int) -> DataFrame:
+    toks = F.slice(text_tokens(text), 1, max_tokens)
+    return df.select("*", F.explode_outer(toks).alias("_token"))
+
+
+def embed_posts(df: DataFrame, token_vectors: DataFrame, dim: int, text: str = "text",
+                key: str = "id", max_tokens: int = 50, out: str = "embedding") -> DataFrame:
+    """Mean of the vectors of the first ``max_tokens`` tokens of
+    each post (tokens without a vector are skipped); a post with no known
+    token, or null text, gets the zero vector. ``token_vectors`` is a
+    ``(token, vector)`` table; token occurrences join it on the token (AQE
+    broadcasts a small table and splits skewed partitions of a hot token).
+    """
+    occ = _occurrences(df, text, max_tokens)
+    tv = token_vectors.select(F.col("token").alias("_token"),
+                              F.col("vector").cast("array<double>").alias("_v"))
+    return _pool(occ.join(tv, "_token", "left").drop("_token"), df, key, dim, out)
+
+
+def embed_posts_hashed(df: DataFrame, table: DataFrame, dim: int, text: str = "text",
+                       key: str = "id", max_tokens: int = 50, out: str = "embedding",
+                       id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """X12 with a hashed vector table: each token takes the row of ``table``
+    whose id is its hash bucket (``token_hash_bucket`` over ``count(table)``
+    ids). The join is on an integer bucket, so no vocabulary pass is needed.
+    """
+    n = table.count()
+    occ = _occurrences(df, text, max_tokens).withColumn(
+        "_b", F.when(F.col("_token").isNotNull(), token_hash_bucket("_token", n)))
+    vecs = table.select(F.col(id_col).alias("_b"), F.col(vec_col).cast("array<double>").alias("_v"))
+    return _pool(occ.join(vecs, "_b", "left").drop("_b", "_token"), df, key, dim, out)
+
+
 def hashed_token_vectors(vocab: DataFrame, table: DataFrame, id_col: str = "vec_id",
                          vec_col: str = "embedding", token: str = "token") -> DataFrame:
-    """A token -> vector table: each token takes the row of ``table`` whose id
-    is the token's hash bucket (ids 0..n-1). Stands in for a trained
-    embedding table; any (token, vector) table can be used instead."""
+    """The ``(token, vector)`` table equal to ``embed_posts_hashed``'s lookup
+    for the tokens of ``vocab``."""
     n = table.count()
     keyed = vocab.select(token).distinct().withColumn("_b", token_hash_bucket(token, n))
     vecs = table.select(F.col(id_col).alias("_b"), F.col(vec_col).alias("vector"))
     return keyed.join(vecs, "_b").select(token, "vector")
 
 
-def embed_posts(df: DataFrame, token_vectors: DataFrame, dim: int, text: str = "text",
-                key: str = "id", max_tokens: int = 50, out: str = "embedding") -> DataFrame:
-    """Mean of the vectors of the first ``max_tokens`` tokens of each
-    post (tokens without a vector are skipped); a post with no known token,
-    or null text, gets the zero vector.
-
-    Token occurrences join the token table on the token (AQE broadcasts a
-    small table and splits skewed partitions of a hot token otherwise); the
-    per-post collect is bounded by ``max_tokens``.
-    """
-    occ = df.select(F.col(key), F.explode(F.slice(text_tokens(text), 1, max_tokens)).alias("token"))
-    hits = occ.join(token_vectors.select("token", F.col("vector").cast("array<double>").alias("v")),
-                    "token")
-    pooled = hits.groupBy(key).agg(F.collect_list("v").alias("_vs"))
-    mean = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.aggregate(F.col("_vs"), F.lit(0.0), lambda s, v: s + v[i]) / F.size("_vs"))
-    pooled = pooled.select(key, mean.alias("_mean"))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return (df.join(pooled, key, "left")
-            .withColumn(out, F.coalesce(F.col("_mean"), zero)).drop("_mean"))
-
-
 def mean_vector(df: DataFrame, keys, col: str = "embedding", out: str | None = None) -> DataFrame:
     """A2 (array form): per-group, per-dimension mean of a vector column."""
     vec = array_to_vector(F.col(col).cast("array<double>"))

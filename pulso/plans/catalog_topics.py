@@ -43,9 +43,7 @@ SQL_EMBED = with_ctes(
 @register("embed_posts", SQL_EMBED, headline=True)
 def q_embed_posts(spark, d):
     cp = TM.clean_posts(fx.text_posts(spark, d)).select("id", "text")
-    vocab = cp.select(F.explode(F.slice(V.text_tokens("text"), 1, 50)).alias("token"))
-    tv = V.hashed_token_vectors(vocab, fx.table(spark, d, "embeddings"))
-    out = V.embed_posts(cp, tv, EMB_DIM)
+    out = V.embed_posts_hashed(cp, fx.table(spark, d, "embeddings"), EMB_DIM)
     return out.select("id", _round_array("embedding").alias("embedding"))
 
 
