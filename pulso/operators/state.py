@@ -40,15 +40,28 @@ def dedup_first(df: DataFrame, key="id", order=()) -> DataFrame:
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
-def append_dedup(existing: DataFrame | None, new: DataFrame, key="id", order=()) -> DataFrame:
+def append_dedup(existing: DataFrame | None, new: DataFrame, key="id", order=(),
+                 existing_unique: bool = True) -> DataFrame:
     """S3: union by name (missing columns null), keep the first row per key with
-    existing rows winning; no existing table -> ``new`` as it is."""
+    existing rows winning; no existing table -> ``new`` as it is.
+
+    The stored table is kept unique by key (this operator's own invariant),
+    so only the new batch is deduplicated and anti-joined against the stored
+    keys: the stored rows are read once and never shuffled, only their key
+    column is (or the small batch is broadcast by AQE). With
+    ``existing_unique=False`` both sides go through one ``min_by`` aggregate.
+    """
     if existing is None:
         return new
+    keys = [key] if isinstance(key, str) else list(key)
+    if existing_unique:
+        fresh = dedup_first(new, keys, order=order)
+        fresh = fresh.join(existing.select(*keys), keys, "left_anti")
+        return existing.unionByName(fresh, allowMissingColumns=True)
     both = (existing.withColumn("_prio", F.lit(0))
             .unionByName(new.withColumn("_prio", F.lit(1)), allowMissingColumns=True))
     cols = [c for c in both.columns if c != "_prio"]
-    return dedup_first(both, key, order=("_prio", *order)).select(*cols)
+    return dedup_first(both, keys, order=("_prio", *order)).select(*cols)
 
 
 def replace_days(existing: DataFrame | None, fresh: DataFrame, col: str = "date", keys=()) -> DataFrame:

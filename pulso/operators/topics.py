@@ -63,6 +63,12 @@ def seed_topics(docs: DataFrame, seeds: DataFrame, text: str = "clean_text", key
     none = docs.select(key, *keep, F.lit(NO_TOPIC).alias("seed_id"), F.lit(0).cast("bigint").alias("score"))
     best = hits.unionByName(none).groupBy(key, *keep).agg(
         F.min_by("seed_id", F.struct((-F.col("score")).alias("s"), F.col("seed_id"))).alias("topic"))
+    if min_size <= 1:
+        return best
+    # the assignment feeds both the size count and the result: write it once
+    # (narrow rows) to the shared checkpoint folder instead of recomputing the
+    # text pipeline, which also cuts the lineage for executor-loss recovery
+    best = best.checkpoint(eager=True)
     # topic sizes: a partial aggregate with at most one row per seed (+1),
     # broadcast back, so a topic holding most posts is never one partition
     sizes = best.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))
