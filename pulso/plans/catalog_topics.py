@@ -216,3 +216,39 @@ def q_lexicon_sentiment(spark, d):
     return rounded(out.select("id", "sentiment_label", "score_label", "score_negative",
                               "score_neutral", "score_positive"))
 
+
+
+# ------------------------------------------------------------------ P1 preprocessing
+
+SQL_PREPROCESS = with_ctes(
+    "SELECT s.id, s.text, s.sentiment_label, s.score_label, s.score_negative, s.score_neutral, "
+    "s.score_positive, e.embedding FROM sent s JOIN emb e USING (id)",
+    tp=fx.SQL_TEXT_POSTS,
+    un="SELECT * FROM tp WHERE NOT (doc_id % 3 = 0)",
+    cp="SELECT id, clean AS text FROM (SELECT id, " + S.clean_post_text("text")
+       + " AS clean FROM un) x WHERE clean IS NOT NULL",
+    lex="SELECT * FROM " + fx.sql_values(fx.FIXTURE_LEXICON, ["word", "neg", "neu", "pos"]),
+    occw=f"SELECT id, unnest(regexp_extract_all(lower(text), {S.q(TOKEN)})) AS word FROM cp",
+    sums="SELECT id, round(sum(neg), 9) AS ng, round(sum(neu), 9) AS nu, round(sum(pos), 9) AS ps "
+         "FROM occw JOIN lex USING (word) GROUP BY id",
+    sent=f"SELECT id, text, {_sql_softmax()} FROM (SELECT c.id, c.text, coalesce(s.ng, 0.0) AS ng, "
+         "coalesce(s.nu, 0.0) AS nu, coalesce(s.ps, 0.0) AS ps FROM cp c LEFT JOIN sums s USING (id)) x",
+    occ=_sql_token_occ(),
+    tv="SELECT token, ('0x' || substr(md5(token), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings) "
+       "AS vec_id FROM (SELECT DISTINCT token FROM occ) t",
+    emb="SELECT id, list(" + r("v", 5) + " ORDER BY pos) AS embedding FROM ("
+        "SELECT o.id, p.pos, avg(CAST(p.val AS DOUBLE)) AS v FROM occ o JOIN tv USING (token) "
+        "JOIN (SELECT vec_id, unnest(embedding) AS val, unnest(range(0, len(embedding))) AS pos "
+        "FROM embeddings) p ON p.vec_id = tv.vec_id GROUP BY o.id, p.pos) x GROUP BY id")
+
+
+@register("preprocess_pipeline", SQL_PREPROCESS)
+def q_preprocess_pipeline(spark, d):
+    from .preprocess import preprocess
+
+    raw = fx.text_posts(spark, d).withColumn("processed", F.col("doc_id") % 3 == 0)
+    res = preprocess(raw.select("id", "text", "processed"), fx.lexicon(spark),
+                     fx.table(spark, d, "embeddings"), EMB_DIM)
+    out = res.new_rows.select("id", "text", "sentiment_label", "score_label", "score_negative",
+                              "score_neutral", "score_positive", "embedding")
+    return rounded(out).withColumn("embedding", _round_array("embedding"))

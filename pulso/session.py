@@ -13,24 +13,36 @@ def build_session(master: str | None = None, cpus: int | None = None,
                   app: str = "pulso") -> SparkSession:
     """A session configured the way the operators expect.
 
-    * AQE on, so shuffle partitions coalesce and skewed joins split at run time.
+    * AQE on: shuffle partitions coalesce to ~128 MB, skewed join partitions
+      split, small join sides measured at run time are broadcast.
     * Session time zone UTC, so ``to_date`` on instants is a UTC day.
     * UI off (no server is started).
+
+    Locally the initial shuffle width is 2x the cores. On a cluster
+    (non-local master) it is left to the deployment, or ``PULSO_SHUFFLE``;
+    a wide start (e.g. 4000 for ~100 TB inputs) is safe because AQE
+    coalesces small partitions.
     """
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    master = master or f"local[{cpus}]"
+    master = master or os.environ.get("PULSO_MASTER") or f"local[{cpus}]"
     builder = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(max(8, cpus * 2)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("PULSO_DRIVER_MEMORY", "16g"))
     )
+    shuffle = os.environ.get("PULSO_SHUFFLE")
+    if master.startswith("local"):
+        builder = (builder.config("spark.sql.shuffle.partitions", shuffle or str(max(8, cpus * 2)))
+                   .config("spark.driver.memory", os.environ.get("PULSO_DRIVER_MEMORY", "16g")))
+    elif shuffle:
+        builder = builder.config("spark.sql.shuffle.partitions", shuffle)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -200,3 +200,17 @@ def test_csv_roundtrip_and_missing_table(spark):
     with pytest.raises(FileNotFoundError):
         TB.read_table(spark, path + "-absent", df.schema)
     assert TB.read_table(spark, path + "-absent", df.schema, missing_ok=True).count() == 0
+
+
+def test_preprocess_flags_only_survivors(spark):
+    from pulso.plans.preprocess import preprocess
+    raw = spark.createDataFrame(
+        [("1", "buen dia para todos los vecinos", False), ("2", "corto", False),
+         ("3", "ya procesado antes hoy mismo", True)], "id string, text string, processed boolean")
+    lex = spark.createDataFrame([("buen", 0.0, 0.0, 1.0)], "word string, neg double, neu double, pos double")
+    vecs = spark.createDataFrame([(i, [float(i)] * 4) for i in range(3)], "vec_id long, embedding array<double>")
+    res = preprocess(raw, lex, vecs, 4)
+    new = {r.id: r for r in res.new_rows.collect()}
+    assert set(new) == {"1"} and new["1"].sentiment_label == "Positive" and len(new["1"].embedding) == 4
+    flags = {r.id: r.processed for r in res.raw.collect()}
+    assert flags == {"1": True, "2": False, "3": True}     # "2" was dropped by cleaning: retried later
