@@ -108,14 +108,17 @@ def upsert_days_sink(raw_path: str, out_path: str, key: str = "id", aggregate=da
         if path_exists(spark, raw_path):
             existing = spark.read.parquet(raw_path)
             fresh = fresh.join(existing.select(key), key, "left_anti")
-        new = dedup_first(fresh, key, order=("createdAt",)).persist()
-        try:
-            new.write.mode("append").partitionBy("date").parquet(raw_path)
-            touched = new.select("date").distinct()
-            raw = spark.read.parquet(raw_path)
-            days = aggregate(raw.join(touched, "date", "left_semi"))
-            (days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("date").parquet(out_path))
-        finally:
-            new.unpersist()
+        # ``new`` is defined against the raw table it is appended to: it must be
+        # fixed before the append (re-evaluated afterwards it would be empty).
+        # A reliable checkpoint in the shared folder also survives executor loss.
+        new = dedup_first(fresh, key, order=("createdAt",)).checkpoint(eager=True)
+        new.write.mode("append").partitionBy("date").parquet(raw_path)
+        touched = new.select("date").distinct()
+        # the append added files under existing day folders: drop any cached
+        # listing of the path before reading it back
+        spark.catalog.refreshByPath(raw_path)
+        raw = spark.read.parquet(raw_path)
+        days = aggregate(raw.join(touched, "date", "left_semi"))
+        (days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("date").parquet(out_path))
     return sink
