@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import require_columns
 from .scaling import RobustStats, fit_robust
 
 SCORES = ("score_positive", "score_negative", "score_neutral")
@@ -20,8 +21,9 @@ SCORE_SHORT = {"score_positive": "positive", "score_negative": "negative",
                "score_neutral": "neutral"}
 
 
-def _dated(df: DataFrame) -> DataFrame:
+def _dated(df: DataFrame, cols=()) -> DataFrame:
     # pandas drops null group keys; Spark keeps them -> filter first
+    require_columns(df, ["date", *cols])
     return df.where(F.col("date").isNotNull())
 
 
@@ -70,7 +72,7 @@ def daily_means(df: DataFrame, keys=(), stats: RobustStats | None = None,
     the per-day aggregate and the partial aggregate stays narrow.
     """
     stats = stats or fit_robust(df, counts)
-    agg = _dated(df).groupBy(*keys, "date").agg(*mean_aggs(scores, counts))
+    agg = _dated(df, [*keys, *scores, *counts]).groupBy(*keys, "date").agg(*mean_aggs(scores, counts))
     return agg.withColumns({
         c: (F.col(c) - F.lit(stats.center(c))) / F.lit(stats.scale(c)) for c in counts})
 
@@ -79,14 +81,15 @@ def weighted_sentiment(df: DataFrame, keys=(), stats: RobustStats | None = None,
                        scores=SCORES, weights=ENGAGEMENT) -> DataFrame:
     """A3 + J4: the 12 engagement-weighted scores per (keys, day), one aggregate."""
     stats = stats or fit_robust(df, weights)
-    return _dated(df).groupBy(*keys, "date").agg(*weighted_aggs(stats, scores, weights))
+    return _dated(df, [*keys, *scores, *weights]).groupBy(*keys, "date").agg(
+        *weighted_aggs(stats, scores, weights))
 
 
 def daily_aggregate(df: DataFrame, keys=(), stats: RobustStats | None = None,
                     scores=SCORES, counts=ENGAGEMENT) -> DataFrame:
     """A1 and A3 together in one hash aggregate (one shuffle for both)."""
     stats = stats or fit_robust(df, counts)
-    agg = _dated(df).groupBy(*keys, "date").agg(
+    agg = _dated(df, [*keys, *scores, *counts]).groupBy(*keys, "date").agg(
         *mean_aggs(scores, counts), *weighted_aggs(stats, scores, counts))
     return agg.withColumns({
         c: (F.col(c) - F.lit(stats.center(c))) / F.lit(stats.scale(c)) for c in counts})

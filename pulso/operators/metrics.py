@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import classify_sentiment
+from ..sources.tables import require_columns
 from .daily import SCORES, negativity_index
 
 # Output names of the class counts and metric columns.
@@ -31,6 +32,7 @@ def daily_class_counts(scored: DataFrame, ties: str = "drop", keys=(),
     maximum in no class, so a day with ties only keeps zeros;
     ``ties="neutral"`` counts it as neutral (the tested classifier).
     """
+    require_columns(scored, [date_col, *SCORES, *keys])
     base = scored.where(F.col(date_col).isNotNull() & F.col(SCORES[0]).isNotNull()
                         & F.col(SCORES[1]).isNotNull() & F.col(SCORES[2]).isNotNull())
     cls = classify_sentiment(ties="neutral" if ties == "neutral" else "drop")

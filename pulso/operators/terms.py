@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.tables import require_columns
 
 # Phrases and words the reference removes before its daily term
 # counts (already lower case).
@@ -83,6 +84,7 @@ def daily_top_terms(df: DataFrame, text: str = "text", ts: str = "createdAt", n:
                     keys=()) -> DataFrame:
     """Per day, the ``n`` most frequent terms with their count and
     weight (count / the day's top count); ties by term."""
+    require_columns(df, [text, ts, *keys])
     base = df.where(F.col(ts).isNotNull() & F.col(text).isNotNull()).select(
         *keys, F.to_date(F.col(ts)).alias("date"),
         F.explode(term_tokens(text, phrases, words, stop)).alias("term"))
@@ -95,6 +97,7 @@ def daily_top_bigrams(df: DataFrame, text: str = "text", ts: str = "createdAt",
                       stop=(), keys=()) -> DataFrame:
     """Per day, the ``n`` most frequent adjacent token pairs (within one
     post, after exclusions) seen at least ``min_count`` times."""
+    require_columns(df, [text, ts, *keys])
     toks = term_tokens(text, phrases, words, stop)
     base = df.where(F.col(ts).isNotNull() & F.col(text).isNotNull()).select(
         *keys, F.to_date(F.col(ts)).alias("date"),

@@ -214,3 +214,14 @@ def test_preprocess_flags_only_survivors(spark):
     assert set(new) == {"1"} and new["1"].sentiment_label == "Positive" and len(new["1"].embedding) == 4
     flags = {r.id: r.processed for r in res.raw.collect()}
     assert flags == {"1": True, "2": False, "3": True}     # "2" was dropped by cleaning: retried later
+
+
+def test_range_check_and_required_columns(spark):
+    from pulso.operators import daily as D
+    from pulso.operators.kpi import date_range
+    df = spark.createDataFrame([(dt.date(2024, 1, 2),)], "date date")
+    with pytest.raises(ValueError):
+        date_range(df, "2024-02-01", "2024-01-01")
+    assert date_range(df, "2024-01-01", "2024-01-31", floor="2024-01-02").count() == 1
+    with pytest.raises(ValueError, match="missing columns"):
+        D.daily_means(df, stats=None)
