@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import require_columns
+
 
 @dataclass(frozen=True)
 class RobustStats:
@@ -35,6 +37,7 @@ def fit_robust(df: DataFrame, cols, approx: bool = False,
     columns with very many distinct values.
     """
     cols = list(cols)
+    require_columns(df, cols)
     probs = [0.25, 0.5, 0.75]
     if approx:
         aggs = [F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c) for c in cols]
