@@ -22,8 +22,6 @@ SPACE = (r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
 URL = r"http\S+|www\S+|https\S+"
 MENTION = rf"@[{WORD}]+"
 HASHTAG = rf"#[{WORD}]+"
-# emoji and pictographs, variation selector, zero-width joiner
-EMOJI = r"[\p{So}\p{Cs}\x{fe0f}\x{200d}]"
 TOKEN = rf"[{WORD}]+"
 
 ColumnOrName = Column | str
@@ -77,9 +75,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def bounded_join(arr: Column, lo: int, hi: int) -> Column:
-    """Join words with spaces when lo <= count <= hi, else null."""
-    return let(arr, lambda a: F.when(F.size(a).between(lo, hi), F.array_join(a, " ")))
+def bounded_join(arr: Column, lo: int, hi: int, drop=()) -> Column:
+    """Join words with spaces when lo <= count <= hi, else null; ``drop``
+    words are removed after the count (as article removal follows cleaning)."""
+    drop = list(drop)
+
+    def body(a):
+        kept = F.filter(a, lambda x: ~x.isin(*drop)) if drop else a
+        return F.when(F.size(a).between(lo, hi), F.array_join(kept, " "))
+    return let(arr, body)
 
 
 def clean_post_text(c: ColumnOrName, stop=None, lemmas: dict | None = None,
@@ -97,23 +101,29 @@ def clean_post_text(c: ColumnOrName, stop=None, lemmas: dict | None = None,
 
 
 def clean_topic_text(c: ColumnOrName, stop=None, lemmas: dict | None = None,
-                     lo: int = 3, hi: int = 50) -> Column:
-    """As X6 but whole hashtags and emoji go, the topic stop list (with
-    verbs) applies after lemmas, and all-digit tokens are dropped."""
+                     lo: int = 3, hi: int = 50, articles=()) -> Column:
+    """As X6 but whole hashtags go, the topic stop list (with verbs)
+    applies after lemmas, and all-digit tokens are dropped. Emoji, variation
+    selectors and joiners are not word characters, so the non-word pass
+    removes them. ``articles`` are then removed as whole lower-case words
+    after the bounds (X8 on cleaned text, see ``strip_articles``)."""
     stop = topic_stopwords() if stop is None else stop
     t = F.lower(_c(c))
     t = F.regexp_replace(t, URL, "")
     t = F.regexp_replace(t, MENTION, "")
     t = F.regexp_replace(t, HASHTAG, "")
-    t = F.regexp_replace(t, EMOJI, "")
     t = F.regexp_replace(t, f"[^{WORD}{SPACE}áéíóúñü]", "")
     words = apply_lemmas(words_of(normalise_space(t)), lemmas)
     words = drop_words(words, stop)
     words = F.filter(words, lambda x: ~x.rlike(r"^\p{Nd}+$"))
-    return bounded_join(words, lo, hi)
+    return bounded_join(words, lo, hi, drop=articles)
+
+
+# The articles removed before topic modelling.
+ARTICLES = ("él", "el")
 
 
-def strip_articles(c: ColumnOrName, articles=("él", "el")) -> Column:
+def strip_articles(c: ColumnOrName, articles=ARTICLES) -> Column:
     """Remove the whole words él / el in any case, collapse spaces, trim."""
     alt = "|".join(articles)
     pat = f"(?iu)(?<![{WORD}])({alt})(?![{WORD}])"

@@ -53,10 +53,13 @@ def clean_posts(df: DataFrame, col: str = "text", out: str | None = None, stop=N
 def clean_topic_posts(df: DataFrame, col: str = "text", out: str = "clean_text", stop=None,
                       lemmas: dict | None = None, lo: int = 3, hi: int = 50,
                       strip: bool = True) -> DataFrame:
-    """X7 then X8: topic cleaning, article removal, rows without text dropped."""
-    c = T.clean_topic_text(col, stop=stop, lemmas=lemmas, lo=lo, hi=hi)
-    if strip:
-        c = T.strip_articles(c)
+    """X7 then X8: topic cleaning, article removal, rows without text dropped.
+
+    Cleaned text is lower-case words separated by single spaces, so X8's
+    whole-word removal is a token filter inside the cleaning (no second
+    regex pass over the text)."""
+    c = T.clean_topic_text(col, stop=stop, lemmas=lemmas, lo=lo, hi=hi,
+                           articles=T.ARTICLES if strip else ())
     return with_non_null(df, c, out)
 
 

@@ -44,25 +44,66 @@ def _small(df: DataFrame, limit: int, what: str) -> DataFrame:
     return F.broadcast(df)
 
 
+# Seed keyword lists up to this many (keyword, seed) pairs are applied in-row
+# from a literal map; larger ones are broadcast-joined to the exploded n-grams.
+MAX_LITERAL_SEEDS = 10_000
+# best seed per post as one long: score * SCORE_BASE - (seed_id + 1)
+SCORE_BASE = 1 << 31
+
+
+def _best_seed_in_row(grams, kw_map) -> "Column":
+    """Best seed of one post from its n-grams: most hits, lowest id on ties,
+    -1 without hits. ``kw_map`` maps a keyword to its seed ids."""
+    ids = F.flatten(F.transform(grams, lambda g: F.coalesce(
+        F.try_element_at(kw_map, g), F.array().cast("array<int>"))))
+
+    def best(hits):
+        codes = F.transform(F.array_distinct(hits), lambda sid: (
+            F.size(F.filter(hits, lambda x: x == sid)).cast("long") * F.lit(SCORE_BASE)
+            - (sid.cast("long") + 1)))
+        top = F.array_max(codes)
+        n = F.ceil(top / F.lit(SCORE_BASE))
+        return F.when(F.size(hits) == 0, F.lit(NO_TOPIC)).otherwise(
+            (n * F.lit(SCORE_BASE) - top - 1).cast("int"))
+    from ..functions.text import let
+    return let(ids, best)
+
+
 def seed_topics(docs: DataFrame, seeds: DataFrame, text: str = "clean_text", key: str = "id",
                 min_size: int = 10, keep=()) -> DataFrame:
     """M7 (a): ``topic`` = the seed with the most keyword hits among the
     post's 1..n-grams (n = longest seed), lowest seed id on ties, ``-1``
     without hits; topics with fewer than ``min_size`` posts become ``-1``.
 
-    Every post is kept: posts and their hit counts meet in one aggregate
-    (a post without hits carries only the ``-1`` candidate with score 0),
-    so no join back to the posts is needed.
+    A seed list of bounded size (checked) is applied in-row: a literal map
+    from keyword to seed ids, hit counts and the best seed computed with
+    array functions, so assigning topics needs no shuffle at all. Larger
+    seed lists explode the n-grams and broadcast-join the seeds; posts and
+    their hit counts then meet in one aggregate (a post without hits carries
+    only the ``-1`` candidate with score 0), so no join back to the posts is
+    needed.
     """
-    max_n = seeds.select(F.max(F.size(F.split("keyword", " ")))).first()[0] or 1
-    sd = _small(seeds.select("seed_id", "keyword"), MAX_BROADCAST_SEEDS, "seeds")
-    grams = docs.select(key, *keep, F.explode(ngrams_upto(F.split(F.col(text), " "), max_n))
-                        .alias("keyword"))
-    hits = (grams.join(sd, "keyword")
-            .groupBy(key, *keep, "seed_id").agg(F.count(F.lit(1)).alias("score")))
-    none = docs.select(key, *keep, F.lit(NO_TOPIC).alias("seed_id"), F.lit(0).cast("bigint").alias("score"))
-    best = hits.unionByName(none).groupBy(key, *keep).agg(
-        F.min_by("seed_id", F.struct((-F.col("score")).alias("s"), F.col("seed_id"))).alias("topic"))
+    sd = seeds.select(F.col("seed_id").cast("int").alias("seed_id"), "keyword")
+    pairs = sd.count()
+    max_n = sd.select(F.max(F.size(F.split("keyword", " ")))).first()[0] or 1
+    grams = ngrams_upto(F.split(F.col(text), " "), max_n)
+    if pairs <= MAX_LITERAL_SEEDS:
+        rows = sd.groupBy("keyword").agg(F.sort_array(F.collect_set("seed_id")).alias("ids")).collect()
+        kw_map = F.create_map(*[x for r in rows for x in (
+            F.lit(r["keyword"]), F.array(*[F.lit(int(i)) for i in r["ids"]]).cast("array<int>"))])
+        best = docs.select(key, *keep, _best_seed_in_row(grams, kw_map).alias("topic"))
+    else:
+        if pairs > MAX_BROADCAST_SEEDS:
+            raise ValueError(f"seeds: {pairs} rows exceed the broadcast bound {MAX_BROADCAST_SEEDS}")
+        hits = (docs.select(key, *keep, F.explode(grams).alias("keyword"))
+                .join(F.broadcast(sd), "keyword")
+                .groupBy(key, *keep, "seed_id").agg(F.count(F.lit(1)).alias("score")))
+        none = docs.select(key, *keep, F.lit(NO_TOPIC).alias("seed_id"),
+                           F.lit(0).cast("bigint").alias("score"))
+        code = F.col("score") * F.lit(SCORE_BASE) - (F.col("seed_id").cast("long") + 1)
+        top = hits.unionByName(none).groupBy(key, *keep).agg(F.max(code).alias("_c"))
+        n = F.ceil(F.col("_c") / F.lit(SCORE_BASE))
+        best = top.select(key, *keep, (n * F.lit(SCORE_BASE) - F.col("_c") - 1).cast("int").alias("topic"))
     if min_size <= 1:
         return best
     # the assignment feeds both the size count and the result: write it once
@@ -72,7 +113,6 @@ def seed_topics(docs: DataFrame, seeds: DataFrame, text: str = "clean_text", key
     # topic sizes: a partial aggregate with at most one row per seed (+1),
     # broadcast back, so a topic holding most posts is never one partition
     sizes = best.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))
-    # (bounded by the seed table counted above, so no second count)
     small = F.broadcast(sizes.where(F.col("_n") < min_size)
                         .select("topic", F.lit(True).alias("_small")))
     return (best.join(small, "topic", "left")

@@ -53,8 +53,7 @@ def clean_post_text(expr: str, stop=None, lo: int = 3, hi: int = 50) -> str:
 def clean_topic_text(expr: str, stop=None, lo: int = 3, hi: int = 50) -> str:
     stop = topic_stopwords() if stop is None else stop
     t = f"lower({expr})"
-    for pat in (T.URL, T.MENTION, T.HASHTAG, r"[\p{So}\x{fe0f}\x{200d}]",
-                f"[^{T.WORD}{T.SPACE}áéíóúñü]"):
+    for pat in (T.URL, T.MENTION, T.HASHTAG, f"[^{T.WORD}{T.SPACE}áéíóúñü]"):
         t = rx(t, pat)
     arr = words_of(normalise_space(t))
     if stop:

@@ -120,7 +120,10 @@ def test_embedding_length_and_zero_vector(spark):
     assert out2["1"] == pytest.approx(out["1"])
 
 
-def test_seed_topics_ties_and_min_size(spark):
+@pytest.mark.parametrize("literal", [True, False])
+def test_seed_topics_ties_and_min_size(spark, monkeypatch, literal):
+    if not literal:                      # force the broadcast-join path
+        monkeypatch.setattr(TP, "MAX_LITERAL_SEEDS", 0)
     seeds = TP.clean_seeds(spark.createDataFrame(
         [(0, "AFP"), (1, "reforma de pensiones"), (1, "afp"), (2, "salud")], "seed_id int, keyword string"),
         stop=("de",))
