@@ -32,7 +32,8 @@ def indicator_columns(name: str, value: Column, prev: Column, scale: float = 100
         delta.alias(f"{name}_delta_pp"),
         F.when(delta.isNull(), F.lit(None).cast("string"))
          .when(delta > 0, F.lit("up")).otherwise(F.lit("down")).alias(f"{name}_direction"),
-        F.least(value * F.lit(scale), F.lit(100.0)).alias(f"{name}_bar_pct"),
+        # least() skips nulls: guard so that a missing value has no bar
+        F.when(value.isNotNull(), F.least(value * F.lit(scale), F.lit(100.0))).alias(f"{name}_bar_pct"),
     ]
 
 

@@ -108,3 +108,15 @@ def daily_top_bigrams(df: DataFrame, text: str = "text", ts: str = "createdAt",
     counts = (base.groupBy(*keys, "date", "bigram").agg(F.count(F.lit(1)).alias("count"))
               .where(F.col("count") >= min_count))
     return _top_per_day(counts, "bigram", n, keys)
+
+
+def pending_top_terms(df: DataFrame, done_days: DataFrame, start=None, text: str = "text",
+                      ts: str = "createdAt", **kw) -> DataFrame:
+    """P5: daily terms only for days not yet produced (S7 then A13). The
+    produced days are one row per day, so the anti-join is against a small
+    table (AQE broadcasts it); posts before ``start`` are left out."""
+    day = F.to_date(F.col(ts))
+    base = df.where(day >= F.lit(start).cast("date")) if start is not None else df
+    done = done_days.select(F.col("date").alias("_done"))
+    base = base.join(done, day == F.col("_done"), "left_anti")
+    return daily_top_terms(base, text=text, ts=ts, **kw)

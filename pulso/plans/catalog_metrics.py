@@ -205,3 +205,40 @@ def q_distinct_days(spark, d):
 def q_date_range(spark, d):
     out = K.date_range(fx.posts(spark, d), "2024-01-05", "2024-01-25", floor="2024-01-10")
     return out.select("id", "date", "author")
+
+
+# ------------------------------------------------------------------ P6 report
+
+REPORT_COLS = ("prediccion_aprobacion", "prediccion_desaprobacion", "indice_negatividad",
+               "porcentaje_tweets_negativos")
+
+
+def sql_kpi(src: str, cols, keys=()) -> dict:
+    k = "".join(f"{c}, " for c in keys)
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    grp = f" GROUP BY {', '.join(keys)}" if keys else ""
+    two = (f"SELECT {k}date, {', '.join(cols)}, row_number() OVER ({part}ORDER BY date DESC) AS rn "
+           f"FROM {src} WHERE date IS NOT NULL")
+    agg = (f"SELECT {k}max(date) AS date, max(CASE WHEN rn = 2 THEN date END) AS previous_date, "
+           + ", ".join(f"max(CASE WHEN rn = 1 THEN {c} END) AS l_{c}, "
+                       f"max(CASE WHEN rn = 2 THEN {c} END) AS p_{c}" for c in cols)
+           + f" FROM two WHERE rn <= 2{grp}")
+    out = [*keys, "date", "previous_date"]
+    for c in cols:
+        out += sql_indicator(c, f"l_{c}", f"p_{c}")
+    return dict(two=two, agg=agg, body=f"SELECT {', '.join(out)} FROM agg")
+
+
+def _sql_report() -> str:
+    parts = sql_kpi("pm", REPORT_COLS)
+    pm = ("SELECT p.date, p.prediccion_aprobacion, p.prediccion_desaprobacion, m.indice_negatividad, "
+          "m.porcentaje_tweets_negativos FROM pred p LEFT JOIN metrics m USING (date)")
+    return with_ctes(parts["body"], **metric_ctes(), polls=fx.SQL_POLLS, calp=SQL_CALENDAR,
+                     pred=fx.SQL_PREDICTIONS, pm=pm, two=parts["two"], agg=parts["agg"])
+
+
+@register("kpi_report", _sql_report())
+def q_kpi_report(spark, d):
+    p = fx.posts(spark, d)
+    pm = M.predictions_with_metrics(fx.predictions(spark, d, p), M.daily_metrics(D.daily_means(p), p))
+    return rounded(K.kpi_latest(pm, REPORT_COLS))

@@ -39,7 +39,7 @@ FIXTURE_PHRASES = ("of the", "in the")
 FIXTURE_WORDS = ("the", "der", "die")
 
 
-def _sql_terms(kind: str) -> str:
+def _sql_terms(kind: str, pending: bool = False) -> str:
     toks = S.term_tokens("text", FIXTURE_PHRASES, FIXTURE_WORDS)
     if kind == "term":
         unit = f"unnest({toks}) AS term"
@@ -56,8 +56,10 @@ def _sql_terms(kind: str) -> str:
         f" AS weight FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY count DESC, {kind})"
         f" AS rn FROM c) z WHERE rn <= 200",
         tp=fx.SQL_TEXT_POSTS,
+        **({"done": SQL_DONE_DAYS} if pending else {}),
         cp="SELECT createdAt, clean AS text FROM (SELECT createdAt, " + S.clean_post_text("text")
-           + " AS clean FROM tp) x WHERE clean IS NOT NULL",
+           + " AS clean FROM tp) x WHERE clean IS NOT NULL"
+           + (" AND CAST(createdAt AS DATE) NOT IN (SELECT date FROM done)" if pending else ""),
         t=src,
         c=f"SELECT date, {kind}, count(*) AS count FROM t GROUP BY date, {kind}{having}")
 
@@ -74,3 +76,21 @@ def q_daily_top_bigrams(spark, d):
     cp = TM.clean_posts(fx.text_posts(spark, d))
     out = TM.daily_top_bigrams(cp, phrases=FIXTURE_PHRASES, words=FIXTURE_WORDS, min_count=2)
     return out.withColumn("weight", F.round(F.col("weight") * F.lit(1.000000000001), 6))
+
+
+SQL_DONE_DAYS = ("SELECT DISTINCT CAST(createdAt AS DATE) AS date FROM tp "
+                 "WHERE day(CAST(createdAt AS DATE)) % 3 = 0")
+
+
+def _sql_pending_terms() -> str:
+    return _sql_terms("term", pending=True)
+
+
+@register("pending_top_terms", _sql_pending_terms())
+def q_pending_top_terms(spark, d):
+    tp = fx.text_posts(spark, d)
+    done = (tp.select(F.to_date("createdAt").alias("date")).distinct()
+            .where(F.dayofmonth("date") % 3 == 0))
+    cp = TM.clean_posts(tp)
+    out = TM.pending_top_terms(cp, done, phrases=FIXTURE_PHRASES, words=FIXTURE_WORDS)
+    return out.withColumn("weight", F.round(F.col("weight") * F.lit(1.000000000001), 6))
