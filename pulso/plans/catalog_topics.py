@@ -202,7 +202,7 @@ def _sql_softmax() -> str:
             f"CASE WHEN {blank} THEN 0.0 ELSE {r(p[2])} END AS score_positive")
 
 
-@register("lexicon_sentiment", with_ctes(
+ORACLE_LEXICON = with_ctes(
     f"SELECT id, {_sql_softmax()} FROM (SELECT t.id, t.text, coalesce(s.ng, 0.0) AS ng, "
     "coalesce(s.nu, 0.0) AS nu, coalesce(s.ps, 0.0) AS ps FROM tp t LEFT JOIN sums s USING (id)) x",
     tp=fx.SQL_TEXT_POSTS,
@@ -210,7 +210,10 @@ def _sql_softmax() -> str:
     occ=f"SELECT id, unnest(regexp_extract_all(lower(text), {S.q(TOKEN)})) AS word FROM tp",
     sums="SELECT id, round(sum(neg), 9) AS ng, round(sum(neu), 9) AS nu, round(sum(pos), 9) AS ps "
          "FROM occ JOIN lex USING (word) "
-         "GROUP BY id"), headline=True)
+         "GROUP BY id")
+
+
+@register("lexicon_sentiment", ORACLE_LEXICON, headline=True)
 def q_lexicon_sentiment(spark, d):
     out = lexicon_sentiment(fx.text_posts(spark, d), fx.lexicon(spark))
     return rounded(out.select("id", "sentiment_label", "score_label", "score_negative",
@@ -252,3 +255,13 @@ def q_preprocess_pipeline(spark, d):
     out = res.new_rows.select("id", "text", "sentiment_label", "score_label", "score_negative",
                               "score_neutral", "score_positive", "embedding")
     return rounded(out).withColumn("embedding", _round_array("embedding"))
+
+
+@register("score_sentiment_plugin", ORACLE_LEXICON)
+def q_score_sentiment_plugin(spark, d):
+    from ..operators.plugin import external_sentiment, lexicon_model
+
+    # an external model in Python workers; equal to the native lexicon scorer
+    out = external_sentiment(fx.text_posts(spark, d), lexicon_model(fx.FIXTURE_LEXICON))
+    return rounded(out.select("id", "sentiment_label", "score_label", "score_negative",
+                              "score_neutral", "score_positive"))

@@ -147,3 +147,14 @@ def test_cleaning_stays_in_jvm(spark):
     df = spark.createDataFrame([("hola mundo otra vez",)], "text string")
     plan = TM.clean_posts(df)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_external_model_plugin_matches_native(spark):
+    from pulso.operators.plugin import external_sentiment, lexicon_model
+    rows = [("bueno", 0.0, 0.0, 2.0), ("malo", 2.0, 0.0, 0.0)]
+    lex = spark.createDataFrame(rows, "word string, neg double, neu double, pos double")
+    df = spark.createDataFrame([("1", "Muy bueno bueno"), ("2", "malo"), ("3", " "), ("4", None)],
+                               "id string, text string")
+    native = {r.id: tuple(r)[2:] for r in lexicon_sentiment(df, lex).collect()}
+    plug = {r.id: tuple(r)[2:] for r in external_sentiment(df, lexicon_model(rows)).collect()}
+    assert plug == native
