@@ -228,3 +228,47 @@ def test_range_check_and_required_columns(spark):
     assert date_range(df, "2024-01-01", "2024-01-31", floor="2024-01-02").count() == 1
     with pytest.raises(ValueError, match="missing columns"):
         D.daily_means(df, stats=None)
+
+
+def test_kpi_calendar_day_and_report_numbers(spark):
+    from pulso.operators import kpi as K
+    d = dt.date(2024, 1, 1)
+    df = spark.createDataFrame([(d, 0.30), (d + dt.timedelta(1), 0.35), (d + dt.timedelta(3), 0.20)],
+                               "date date, v double")
+    got = {r.date: r.v_delta for r in K.kpi_prev_calendar_day(df, ["v"]).collect()}
+    assert got[d] is None and got[d + dt.timedelta(1)] == pytest.approx(0.05)
+    assert got[d + dt.timedelta(3)] is None                # previous calendar day missing
+    r = K.kpi_latest(df, ["v", "absent"]).first()
+    assert r.date == d + dt.timedelta(3) and r.previous_date == d + dt.timedelta(1)
+    assert r.v_value_pct == pytest.approx(20.0) and r.v_delta_pp == pytest.approx(-15.0)
+    assert r.v_direction == "down" and r.v_bar_pct == pytest.approx(20.0)
+    assert r.absent_value_pct == 0.0                        # missing column counts as 0
+    one = K.kpi_latest(df.limit(1), ["v"]).first()
+    assert one.v_delta_pp is None and one.v_direction is None
+
+
+def test_comparison_series_long_form(spark):
+    from pulso.operators import kpi as K
+    d = dt.date(2024, 1, 10)
+    pred = spark.createDataFrame([(d, 0.3, 0.6)], "date date, prediccion_aprobacion double, "
+                                                  "prediccion_desaprobacion double")
+    polls = spark.createDataFrame([(d, 0.31, 0.59), (d - dt.timedelta(30), 0.2, 0.7)],
+                                  "date date, aprobacion double, desaprobacion double")
+    out = K.comparison_series(pred, polls, d - dt.timedelta(5), d, series=("prediccion_aprobacion", "aprobacion"))
+    assert sorted((r.serie, r.valor) for r in out.collect()) == [("aprobacion", 0.31), ("prediccion_aprobacion", 0.3)]
+
+
+def test_harvest_mentions_top_k_per_day(spark):
+    t0 = dt.datetime(2024, 1, 1, 10)
+    rows = [("1", "Viva Boric hoy", "es", t0, 5), ("2", "boricua no cuenta", "es", t0, 9),
+            ("3", "presidente BORIC habla", "es", t0, 7), ("4", "Boric in english", "en", t0, 99),
+            ("5", "otra vez boric", "es", t0 + dt.timedelta(days=1), 1)]
+    df = spark.createDataFrame(rows, "id string, text string, lang string, createdAt timestamp, likeCount long")
+    out = RP.harvest_mentions(df, ["boric", "presidente boric"], lang="es", k=1)
+    assert sorted(r.id for r in out.collect()) == ["3", "5"]
+
+
+def test_stage_quality(spark):
+    df = spark.createDataFrame([(dt.date(2024, 1, 1),), (None,), (dt.date(2024, 1, 1),)], "date date")
+    r = ST.stage_quality(df, "raw").first()
+    assert (r.stage, r.n_rows, r.n_days, r.n_null_days) == ("raw", 3, 1, 1)
