@@ -28,21 +28,31 @@ class RobustStats:
         return self.iqr[c]
 
 
-def fit_robust(df: DataFrame, cols, approx: bool = False,
+# Exact quartiles keep a value -> count map per column, merged in one task;
+# above this many distinct values a column uses the approximate aggregate.
+MAX_EXACT_DISTINCT = 1_000_000
+
+
+def fit_robust(df: DataFrame, cols, approx: bool | None = None,
                accuracy: int = 100000) -> RobustStats:
-    """X13 fit: exact linear-interpolated quartiles per column (nulls skipped).
+    """X13 fit: linear-interpolated quartiles per column (nulls skipped).
 
-    ``percentile`` keeps a value -> count map per column, which is small for
-    engagement counts; ``approx=True`` switches to ``percentile_approx`` for
-    columns with very many distinct values.
+    ``approx=None`` (default) decides per column: a first pass measures
+    ``approx_count_distinct``; columns up to MAX_EXACT_DISTINCT distinct
+    values (engagement counts) get the exact ``percentile``, whose merged
+    value -> count map then stays bounded; wider columns get
+    ``percentile_approx``. ``approx=False`` / ``True`` force one kind.
     """
     cols = list(cols)
     require_columns(df, cols)
     probs = [0.25, 0.5, 0.75]
-    if approx:
-        aggs = [F.percentile_approx(F.col(c).cast("double"), probs, accuracy).alias(c) for c in cols]
+    if approx is None:
+        nd = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+        use_approx = {c: (nd[c] or 0) > MAX_EXACT_DISTINCT for c in cols}
     else:
-        aggs = [F.percentile(F.col(c).cast("double"), F.lit(probs)).alias(c) for c in cols]
+        use_approx = {c: bool(approx) for c in cols}
+    aggs = [(F.percentile_approx(F.col(c).cast("double"), probs, accuracy) if use_approx[c]
+             else F.percentile(F.col(c).cast("double"), F.lit(probs))).alias(c) for c in cols]
     row = df.agg(*aggs).first()
     med, iqr = {}, {}
     for c in cols:

@@ -151,3 +151,14 @@ def test_with_polls_left_join_keeps_days(spark):
     cal = spark.createDataFrame([(D0, 0.3, 0.6)], "date date, aprobacion double, desaprobacion double")
     out = with_polls(daily, cal).orderBy("date").collect()
     assert [r.aprobacion for r in out] == [0.3, None, None]
+
+
+def test_robust_fit_switches_to_approx_for_wide_columns(spark, monkeypatch):
+    from pulso.operators import scaling as SC
+    df = spark.range(1, 1001).select(F.col("id").cast("double").alias("x"))
+    exact = SC.fit_robust(df, ["x"])
+    monkeypatch.setattr(SC, "MAX_EXACT_DISTINCT", 10)
+    approx = SC.fit_robust(df, ["x"])
+    assert exact.center("x") == pytest.approx(500.5)
+    assert approx.center("x") == pytest.approx(500.5, abs=1.0)
+    assert approx.scale("x") == pytest.approx(exact.scale("x"), abs=2.0)
