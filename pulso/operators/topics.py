@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams_upto, normalise_space
+from ..session import reliable_checkpoint
 from .vectors import cosine, mean_vector
 
 OTHER = "Otros"
@@ -109,7 +110,7 @@ def seed_topics(docs: DataFrame, seeds: DataFrame, text: str = "clean_text", key
     # the assignment feeds both the size count and the result: write it once
     # (narrow rows) to the shared checkpoint folder instead of recomputing the
     # text pipeline, which also cuts the lineage for executor-loss recovery
-    best = best.checkpoint(eager=True)
+    best = reliable_checkpoint(best)
     # topic sizes: a partial aggregate with at most one row per seed (+1),
     # broadcast back, so a topic holding most posts is never one partition
     sizes = best.groupBy("topic").agg(F.count(F.lit(1)).alias("_n"))

@@ -22,6 +22,7 @@ from ..functions.sentiment import lexicon_sentiment
 from ..operators.state import append_dedup, mark_processed, unprocessed
 from ..operators.terms import clean_posts
 from ..operators.vectors import embed_posts_hashed
+from ..session import reliable_checkpoint
 
 
 @dataclass
@@ -38,7 +39,7 @@ def preprocess(raw: DataFrame, lexicon: DataFrame, vectors: DataFrame, dim: int,
     cleaned = clean_posts(todo, col=text)
     scored = lexicon_sentiment(cleaned, lexicon, text=text, key=key)
     if materialize:
-        scored = scored.checkpoint(eager=True)
+        scored = reliable_checkpoint(scored)
     embedded = embed_posts_hashed(scored, vectors, dim, text=text, key=key)
     return Preprocessed(embedded, append_dedup(stored, embedded, key=key),
                         mark_processed(raw, scored.select(key), key=key))

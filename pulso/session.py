@@ -74,3 +74,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for job outputs."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/pulso/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` into the shared checkpoint folder (never a
+    local checkpoint): the data survive executor loss and the lineage is cut.
+    The folder comes from the session (``spark.checkpoint.dir``)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -27,6 +27,7 @@ from pyspark.sql.types import StructType
 from ..functions.text import clean_post_text
 from ..operators.daily import SCORES
 from ..operators.state import dedup_first
+from ..session import reliable_checkpoint
 from ..sources.tables import path_exists
 
 
@@ -111,7 +112,7 @@ def upsert_days_sink(raw_path: str, out_path: str, key: str = "id", aggregate=da
         # ``new`` is defined against the raw table it is appended to: it must be
         # fixed before the append (re-evaluated afterwards it would be empty).
         # A reliable checkpoint in the shared folder also survives executor loss.
-        new = dedup_first(fresh, key, order=("createdAt",)).checkpoint(eager=True)
+        new = reliable_checkpoint(dedup_first(fresh, key, order=("createdAt",)))
         new.write.mode("append").partitionBy("date").parquet(raw_path)
         touched = new.select("date").distinct()
         # the append added files under existing day folders: drop any cached
