@@ -162,3 +162,13 @@ def test_robust_fit_switches_to_approx_for_wide_columns(spark, monkeypatch):
     assert exact.center("x") == pytest.approx(500.5)
     assert approx.center("x") == pytest.approx(500.5, abs=1.0)
     assert approx.scale("x") == pytest.approx(exact.scale("x"), abs=2.0)
+
+
+def test_poll_calendar_join_is_broadcast(spark, sf001):
+    from pulso.plans.features import daily_features
+    from pulso.sources import fixtures as fx
+    p = fx.posts(spark, sf001)
+    out = daily_features(p, fx.polls(spark, sf001, p))
+    out.write.format("noop").mode("overwrite").save()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
