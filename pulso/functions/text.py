@@ -49,6 +49,12 @@ def words_of(c: ColumnOrName) -> Column:
     return F.filter(F.split(_c(c), " "), lambda x: x != "")
 
 
+def split_words(c: ColumnOrName) -> Column:
+    """Words of raw text: split on whitespace runs, empty pieces dropped.
+    Equal to ``words_of(normalise_space(c))`` with one regex pass less."""
+    return F.filter(F.split(_c(c), f"[{SPACE}]+"), lambda x: x != "")
+
+
 def drop_words(arr: Column, words) -> Column:
     """Remove array elements that are in ``words`` (a literal list).
 
@@ -96,7 +102,7 @@ def clean_post_text(c: ColumnOrName, stop=None, lemmas: dict | None = None,
     t = F.regexp_replace(t, URL, "")
     t = F.regexp_replace(t, MENTION, "")
     t = F.regexp_replace(t, f"[^{WORD}{SPACE}áéíóúñü]", "")
-    words = apply_lemmas(drop_words(words_of(normalise_space(t)), stop), lemmas)
+    words = apply_lemmas(drop_words(split_words(t), stop), lemmas)
     return bounded_join(words, lo, hi)
 
 
@@ -113,7 +119,7 @@ def clean_topic_text(c: ColumnOrName, stop=None, lemmas: dict | None = None,
     t = F.regexp_replace(t, MENTION, "")
     t = F.regexp_replace(t, HASHTAG, "")
     t = F.regexp_replace(t, f"[^{WORD}{SPACE}áéíóúñü]", "")
-    words = apply_lemmas(words_of(normalise_space(t)), lemmas)
+    words = apply_lemmas(split_words(t), lemmas)
     words = drop_words(words, stop)
     words = F.filter(words, lambda x: ~x.rlike(r"^\p{Nd}+$"))
     return bounded_join(words, lo, hi, drop=articles)
