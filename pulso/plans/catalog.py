@@ -25,7 +25,7 @@ def queries():
 
 
 def oracle_sql():
-    return dict(ORACLE)
+    return {k: v() if callable(v) else v for k, v in ORACLE.items()}
 
 
 def headline():

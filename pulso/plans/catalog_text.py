@@ -11,14 +11,14 @@ from . import sql_text as S
 from .registry import r, register, with_ctes
 
 
-@register("clean_posts", with_ctes(
+@register("clean_posts", lambda: with_ctes(
     "SELECT id, clean AS text FROM (SELECT id, " + S.clean_post_text("text")
     + " AS clean FROM tp) x WHERE clean IS NOT NULL", tp=fx.SQL_TEXT_POSTS), headline=True)
 def q_clean_posts(spark, d):
     return TM.clean_posts(fx.text_posts(spark, d)).select("id", "text")
 
 
-@register("clean_topic_text", with_ctes(
+@register("clean_topic_text", lambda: with_ctes(
     "SELECT id, clean AS clean_text FROM (SELECT id, " + S.clean_topic_text("text")
     + " AS clean FROM tp) x WHERE clean IS NOT NULL", tp=fx.SQL_TEXT_POSTS))
 def q_clean_topic_text(spark, d):
@@ -26,11 +26,11 @@ def q_clean_topic_text(spark, d):
     return out.select("id", "clean_text")
 
 
-@register("strip_articles", with_ctes(
-    "SELECT id, " + S.strip_articles("text") + " AS text FROM tp WHERE lang = 'es'",
+@register("strip_articles", lambda: with_ctes(
+    "SELECT id, " + S.strip_articles("text") + " AS text FROM tp",
     tp=fx.SQL_TEXT_POSTS))
 def q_strip_articles(spark, d):
-    tp = fx.text_posts(spark, d).where(F.col("lang") == "es")
+    tp = fx.text_posts(spark, d)
     return tp.select("id", T.strip_articles("text").alias("text"))
 
 
@@ -64,14 +64,14 @@ def _sql_terms(kind: str, pending: bool = False) -> str:
         c=f"SELECT date, {kind}, count(*) AS count FROM t GROUP BY date, {kind}{having}")
 
 
-@register("daily_top_terms", _sql_terms("term"), headline=True)
+@register("daily_top_terms", lambda: _sql_terms("term"), headline=True)
 def q_daily_top_terms(spark, d):
     cp = TM.clean_posts(fx.text_posts(spark, d))
     out = TM.daily_top_terms(cp, phrases=FIXTURE_PHRASES, words=FIXTURE_WORDS)
     return out.withColumn("weight", F.round(F.col("weight") * F.lit(1.000000000001), 6))
 
 
-@register("daily_top_bigrams", _sql_terms("bigram"))
+@register("daily_top_bigrams", lambda: _sql_terms("bigram"))
 def q_daily_top_bigrams(spark, d):
     cp = TM.clean_posts(fx.text_posts(spark, d))
     out = TM.daily_top_bigrams(cp, phrases=FIXTURE_PHRASES, words=FIXTURE_WORDS, min_count=2)
@@ -86,7 +86,7 @@ def _sql_pending_terms() -> str:
     return _sql_terms("term", pending=True)
 
 
-@register("pending_top_terms", _sql_pending_terms())
+@register("pending_top_terms", _sql_pending_terms)
 def q_pending_top_terms(spark, d):
     tp = fx.text_posts(spark, d)
     done = (tp.select(F.to_date("createdAt").alias("date")).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType
 
 QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str | Callable[[], str]] = {}
 HEADLINE: list[str] = []
 
 DIGITS = 6
@@ -25,7 +25,9 @@ DIGITS = 6
 NUDGE = 1.000000000001
 
 
-def register(name: str, sql: str | None = None, headline: bool = False):
+def register(name: str, sql: str | Callable[[], str] | None = None, headline: bool = False):
+    """Register a query; ``sql`` may be a callable, built only when the oracle
+    strings are asked for."""
     def deco(fn):
         if name in QUERIES:
             raise KeyError(f"duplicate query {name}")

@@ -1,19 +1,15 @@
 """Stop-word lists.
 
-The general lists come from Spark ML's own resources (the files behind
-``StopWordsRemover.loadDefaultStopWords``), read straight from the MLlib jar
-so that the same list is available without a JVM (the DuckDB oracle strings
-are built from it too).
+The general Spanish list is Spark ML's own (the one behind
+``StopWordsRemover.loadDefaultStopWords``), kept as a plain resource of this
+package so that it is available without a JVM or any look-up inside the
+PySpark installation (the DuckDB oracle strings are built from it too).
 """
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
-
-import pyspark
+from importlib import resources
 
 # Extra Spanish stop words the reference adds for post cleaning.
 POST_EXTRA_STOPWORDS = (
@@ -34,23 +30,18 @@ TOPIC_EXTRA_VERBS = (
 
 
 @functools.lru_cache(maxsize=None)
-def spark_default(language: str) -> tuple[str, ...]:
-    """Spark ML's default stop words for ``language`` (e.g. ``"spanish"``)."""
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars",
-                                  "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found next to pyspark")
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt")
-    return tuple(w for w in raw.decode("utf-8").split() if w)
+def default_list(language: str) -> tuple[str, ...]:
+    """Default stop words for ``language`` (only ``"spanish"`` is shipped)."""
+    raw = resources.files("pulso.resources").joinpath(f"stopwords_{language}.txt")
+    return tuple(w for w in raw.read_text(encoding="utf-8").split() if w)
 
 
 def post_stopwords() -> tuple[str, ...]:
     """Spanish list plus the post-cleaning extras, sorted, no duplicates."""
-    return tuple(sorted(set(spark_default("spanish")) | set(POST_EXTRA_STOPWORDS)))
+    return tuple(sorted(set(default_list("spanish")) | set(POST_EXTRA_STOPWORDS)))
 
 
 def topic_stopwords() -> tuple[str, ...]:
     """Spanish list plus topic extras and verbs, sorted, no duplicates."""
-    return tuple(sorted(set(spark_default("spanish")) | set(TOPIC_EXTRA_STOPWORDS)
+    return tuple(sorted(set(default_list("spanish")) | set(TOPIC_EXTRA_STOPWORDS)
                         | set(TOPIC_EXTRA_VERBS)))

@@ -13,7 +13,29 @@ def test_entry_smoke(spark):
 def test_every_query_has_an_oracle_or_is_model_fitting():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == ROWS_ONLY
+    from pulso.plans import catalog
+
+    assert set(catalog.queries()) - set(o) == ROWS_ONLY
+
+
+def test_catalogue_needs_no_file_of_the_pyspark_install(monkeypatch):
+    """The stop words are a resource of the package: every query and oracle is
+    there even where the jars cannot be looked up."""
+    import glob
+    import zipfile
+
+    from pulso.plans import catalog
+    from pulso.sources import stopwords
+
+    def refuse(*a, **k):
+        raise FileNotFoundError("no look-up inside the PySpark installation")
+
+    monkeypatch.setattr(glob, "glob", refuse)
+    monkeypatch.setattr(zipfile, "ZipFile", refuse)
+    stopwords.default_list.cache_clear()
+    assert len(stopwords.default_list("spanish")) > 300
+    assert "de" in stopwords.post_stopwords()
+    assert len(catalog.oracle_sql()) >= 72
 
 
 def test_stream_equals_batch(spark, sf001):
