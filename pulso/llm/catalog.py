@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, phrases
+from . import licenses, packing, phrases
 
 
 def queries():
     return {
+        "op5_license_rules": licenses.query,
         "op6_best_fit_packing": packing.query,
         "op10_benchmark_phrases": phrases.query,
     }
