@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, phrases
+from . import licenses, packing, phrases, urls
 
 
 def queries():
     return {
         "op5_license_rules": licenses.query,
         "op6_best_fit_packing": packing.query,
+        "op9_url_rules": urls.query,
         "op10_benchmark_phrases": phrases.query,
     }
 
 
 def oracle_sql():
     return {
+        "op9_url_rules": urls.query,
         "op10_benchmark_phrases": phrases.ORACLE,
     }
