@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, phrases, urls
+from . import licenses, packing, phrases, topk, urls
 
 
 def queries():
     return {
+        "op2_threshold_topk": topk.query,
         "op5_license_rules": licenses.query,
         "op6_best_fit_packing": packing.query,
         "op9_url_rules": urls.query,
@@ -17,5 +18,6 @@ def queries():
 def oracle_sql():
     return {
         "op9_url_rules": urls.query,
+        "op2_threshold_topk": topk.ORACLE,
         "op10_benchmark_phrases": phrases.ORACLE,
     }
