@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, phrases, topk, urls
+from . import licenses, packing, phrases, topk, urls, warc
 
 
 def queries():
     return {
+        "op1_arc_to_warc": warc.query,
         "op2_threshold_topk": topk.query,
         "op5_license_rules": licenses.query,
         "op6_best_fit_packing": packing.query,
@@ -18,6 +19,7 @@ def queries():
 def oracle_sql():
     return {
         "op9_url_rules": urls.query,
+        "op1_arc_to_warc": warc.ORACLE,
         "op2_threshold_topk": topk.ORACLE,
         "op10_benchmark_phrases": phrases.ORACLE,
     }
