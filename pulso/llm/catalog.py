@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import licenses, packing, phrases, topk, urls, warc
+from . import licenses, minhash, packing, phrases, topk, urls, warc
 
 
 def queries():
     return {
         "op1_arc_to_warc": warc.query,
         "op2_threshold_topk": topk.query,
+        "op3_minhash_odd_sketch": minhash.query,
         "op5_license_rules": licenses.query,
         "op6_best_fit_packing": packing.query,
         "op9_url_rules": urls.query,
@@ -21,5 +22,6 @@ def oracle_sql():
         "op9_url_rules": urls.query,
         "op1_arc_to_warc": warc.ORACLE,
         "op2_threshold_topk": topk.ORACLE,
+        "op3_minhash_odd_sketch": minhash.ORACLE,
         "op10_benchmark_phrases": phrases.ORACLE,
     }
