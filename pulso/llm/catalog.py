@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, minhash, packing, phrases, topk, urls, warc
+from . import licenses, minhash, packing, phrases, secrets_cnn, topk, urls, warc
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_arc_to_warc": warc.query,
         "op2_threshold_topk": topk.query,
         "op3_minhash_odd_sketch": minhash.query,
+        "op4_secret_cnn": secrets_cnn.query,
         "op5_license_rules": licenses.query,
         "op6_best_fit_packing": packing.query,
         "op9_url_rules": urls.query,
