@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, minhash, packing, phrases, secrets_cnn, topk, urls, warc
+from . import licenses, minhash, packing, phrases, secrets_cnn, topk, toxicity, urls, warc
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_secret_cnn": secrets_cnn.query,
         "op5_license_rules": licenses.query,
         "op6_best_fit_packing": packing.query,
+        "op7_toxicity_knn": toxicity.query,
         "op9_url_rules": urls.query,
         "op10_benchmark_phrases": phrases.query,
     }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
@@ -31,3 +32,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve from scores to probabilities (Newton
+    steps on Platt's smoothed targets)."""
+    pos, neg = y.sum(), (1 - y).sum()
+    goal = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(a * z + b).clip(-30, 30)))
+        d, h = p - goal, p * (1 - p) + 1e-9
+        hess = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]])
+        step = np.linalg.solve(hess, np.array([(d * z).sum(), d.sum()]))
+        a, b = float(a - step[0].clip(-2, 2)), float(b - step[1].clip(-2, 2))
+    return (a, b) if a > 0 else (1.0, 0.0)
