@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, minhash, packing, phrases, secrets_cnn, topk, toxicity, urls, warc
+from . import bwt, licenses, minhash, packing, phrases, secrets_cnn, topk, toxicity, urls, warc
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_license_rules": licenses.query,
         "op6_best_fit_packing": packing.query,
         "op7_toxicity_knn": toxicity.query,
+        "op8_run_length_bwt": bwt.query,
         "op9_url_rules": urls.query,
         "op10_benchmark_phrases": phrases.query,
     }
@@ -25,5 +26,6 @@ def oracle_sql():
         "op1_arc_to_warc": warc.ORACLE,
         "op2_threshold_topk": topk.ORACLE,
         "op3_minhash_odd_sketch": minhash.ORACLE,
+        "op8_run_length_bwt": bwt.ORACLE,
         "op10_benchmark_phrases": phrases.ORACLE,
     }
