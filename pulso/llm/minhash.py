@@ -37,7 +37,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -259,6 +259,21 @@ def link(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates of a smaller id, with all their columns.
+    Of rows that share an id one stays (by hash of the text); rows without an id all do."""
+    gone = link(docs, threshold, size).where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(written(gone, "duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = written(again, "repeated-ids")
+    if again.isEmpty():
+        return kept
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    one = (kept.join(again, "doc_id", "left_semi").withColumn("row number", F.row_number().over(order))
+           .where(F.col("row number") == 1))
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
+
+
 def query(spark, sf_dir):
     return link(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -263,6 +263,15 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int =
                       hit.alias("n_hit"))
 
 
+def without_matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` whose text has no match, with all their columns. Whether a text
+    matches depends on the text alone, so rows are told by its hash: ids may repeat or lack."""
+    name = F.xxhash64(F.col("text").cast("string"))
+    hit = find(docs.select(name.alias("doc_id"), "text"), benchmark, width).where("n_hit > 0")
+    hit = written(hit.select(F.col("doc_id").alias("text hash")).distinct(), "matched-texts")
+    return docs.join(hit, name == F.col("text hash"), "left_anti")
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

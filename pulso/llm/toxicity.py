@@ -263,6 +263,21 @@ def score(docs: DataFrame, model: BlockMax, threshold: float = THRESHOLD) -> Dat
         run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:long,similarity:double,toxic:int>>"))
 
 
+def without_toxic(docs: DataFrame, model: BlockMax, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with all their columns."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                found = model.look_up(part.column(part.schema.get_field_index("text")))
+                yield part.filter(pa.array([model.score(c)[0] < threshold for c in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
