@@ -9,8 +9,9 @@ over all shards tell which terms are rare.
 A window (``width`` consecutive item words, or the whole of a shorter item) is
 answered shard by shard: the postings of its rarest term, moved back by the
 term's offset, give the candidate starts; the lists of the other terms, rarest
-first, are intersected at their own offsets. With ``slop`` > 0 each term may stand
-up to ``slop`` words from its place (proximity match); 0 asks for the exact phrase.
+first, are intersected at their own offsets. With ``slop`` > 0 each term may stand up to
+``slop`` words from its place as told from the rarest term (proximity match); 0 asks for
+the exact phrase.
 
 Test items are handled in blocks of bounded size (``BLOCK_BYTES`` of item text):
 only one block's windows are collected and sent to the tasks at a time, besides the
