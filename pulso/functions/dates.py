@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +51,12 @@ def day_sequence(start: ColumnOrName, end: ColumnOrName) -> Column:
     """
     s, e = F.to_date(_c(start)), F.to_date(_c(end))
     return F.when(s <= e, F.sequence(s, e)).otherwise(F.array().cast("array<date>"))
+
+
+def lit_date(d) -> Column:
+    """A date literal from a date or ISO string; a column stays as it is."""
+    if isinstance(d, Column):
+        return d
+    if isinstance(d, str):
+        d = dt.date.fromisoformat(d)
+    return F.lit(d).cast("date")

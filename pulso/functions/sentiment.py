@@ -68,37 +68,25 @@ def softmax_label(logits: Column, text: Column | None = None, labels=LABELS) ->
     return out
 
 
-# Lexicons up to this many words travel as a literal map (no shuffle);
-# larger ones are joined.
-MAX_LITERAL_LEXICON = 1000
-
-
-def lexicon_sentiment(df, lexicon, text: str = "text", key: str = "id"):
+def lexicon_sentiment(df, lexicon, text: str = "text"):
     """M1 (lexicon scorer): sum the (negative, neutral, positive) logits of
     the lower-cased tokens of ``text`` found in ``lexicon`` (word, neg, neu,
-    pos), then X10/X11. Unknown words add 0; blank text is Neutral with zero
-    scores. Returns ``df`` with the five sentiment columns added.
+    pos), then X10/X11. Unknown words add 0; a word listed twice counts for each
+    of its rows; blank text is Neutral with zero scores. Returns ``df`` with the
+    five sentiment columns added, row for row (ids may repeat).
+
+    One plan for lexicons of every size: the tokens of each distinct text join the
+    lexicon (broadcast if AQE finds it small), and the summed logits are joined back.
     """
+    from ..operators.per_text import TEXT_KEY, score_texts
     from .text import tokens
 
-    toks = tokens(F.lower(F.col(text)))
-    n = lexicon.count()
-    if n <= MAX_LITERAL_LEXICON:
-        rows = lexicon.select("word", "neg", "neu", "pos").collect()
-        m = F.create_map(*[x for r in rows for x in (
-            F.lit(r["word"]), F.array(F.lit(float(r["neg"])), F.lit(float(r["neu"])),
-                                      F.lit(float(r["pos"]))))])
-        zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
-        vecs = F.transform(toks, lambda t: F.coalesce(F.try_element_at(m, t), zero))
-        logits = F.aggregate(vecs, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
-        logits = F.transform(logits, lambda x: F.round(x, 9))
-        scored = df.withColumn("_s", softmax_label(logits, F.col(text)))
-    else:
-        occ = df.select(key, F.explode(toks).alias("word"))
-        sums = (occ.join(lexicon, "word").groupBy(key)
-                .agg(F.array(F.sum("neg"), F.sum("neu"), F.sum("pos")).alias("_logits")))
-        j = df.join(sums, key, "left")
-        logits = F.coalesce(F.transform(F.col("_logits"), lambda x: F.round(x, 9)),
-                            F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-        scored = j.withColumn("_s", softmax_label(logits, F.col(text))).drop("_logits")
-    return scored.select("*", "_s.*").drop("_s")
+    def score(words):
+        logits = F.array(*[F.round(F.sum(F.col(c).cast("double")), 9) for c in ("neg", "neu", "pos")])
+        return (words.join(lexicon.select("word", "neg", "neu", "pos"), "word")
+                .groupBy(TEXT_KEY).agg(logits.alias("_logits")))
+
+    j = score_texts(df, text, tokens(F.lower(F.col(text))), "word", score)
+    zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    scored = j.withColumn("_s", softmax_label(F.coalesce("_logits", zero), F.col(text)))
+    return scored.drop("_logits").select("*", "_s.*").drop("_s")

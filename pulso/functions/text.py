@@ -19,7 +19,8 @@ from ..sources.stopwords import post_stopwords, topic_stopwords
 WORD = r"\p{L}\p{N}_"
 SPACE = (r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
          r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
-URL = r"http\S+|www\S+|https\S+"
+# A URL ends at any white space of SPACE (Java's and RE2's \S know ASCII only).
+URL = rf"http[^{SPACE}]+|www[^{SPACE}]+"
 MENTION = rf"@[{WORD}]+"
 HASHTAG = rf"#[{WORD}]+"
 TOKEN = rf"[{WORD}]+"
@@ -31,10 +32,6 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _str_array(words) -> Column:
-    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
-
-
 def normalise_space(c: ColumnOrName) -> Column:
     """Collapse whitespace runs to one space and trim."""
     return F.trim(F.regexp_replace(_c(c), f"[{SPACE}]+", " "))
@@ -160,17 +157,3 @@ def ngrams_upto(arr: ColumnOrName, n: int) -> Column:
     """All 1..n-grams of a token array (the array is evaluated once)."""
     return let(_c(arr), lambda a: F.flatten(F.array(*[ngrams(a, k) for k in range(1, n + 1)])))
 
-
-def exclude_terms(c: ColumnOrName, phrases=(), words=()) -> Column:
-    """Remove phrases by plain substring replace first, then whole words."""
-    t = _c(c)
-    for p in phrases:
-        t = F.replace(t, F.lit(p), F.lit(""))
-    if words:
-        alt = "|".join(_quote(w) for w in words)
-        t = F.regexp_replace(t, f"(?<![{WORD}])({alt})(?![{WORD}])", "")
-    return t
-
-
-def _quote(w: str) -> str:
-    return "".join("\\" + ch if not (ch.isalnum() or ch == "_") else ch for ch in w)

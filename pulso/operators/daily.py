@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import require_columns
+from ..sources.tables import nan_to_null, require_columns
 from .scaling import RobustStats, fit_robust
 
 SCORES = ("score_positive", "score_negative", "score_neutral")
@@ -23,8 +23,9 @@ SCORE_SHORT = {"score_positive": "positive", "score_negative": "negative",
 
 def _dated(df: DataFrame, cols=()) -> DataFrame:
     # pandas drops null group keys; Spark keeps them -> filter first
+    # pandas skips NaN in every mean; Spark does not -> null first
     require_columns(df, ["date", *cols])
-    return df.where(F.col("date").isNotNull())
+    return nan_to_null(df.where(F.col("date").isNotNull()))
 
 
 def _win(keys) -> Window:
@@ -102,20 +103,6 @@ def full_window_mean(c: str, n: int, w: Window) -> Column:
     return F.when(F.count(F.col(c)).over(frame) == n, F.avg(F.col(c)).over(frame))
 
 
-def poll_columns(targets=("aprobacion", "desaprobacion"), names=("approval", "disapproval"),
-                 lags=(7, 14), keys=()) -> dict:
-    """W1 and W3 column expressions for the poll targets."""
-    w = _win(keys)
-    cols = {}
-    for t, nm in zip(targets, names):
-        prev7 = w.rowsBetween(-7, -1)
-        roll = F.when(F.count(F.col(t)).over(prev7) == 7, F.avg(F.col(t)).over(prev7))
-        cols[f"{nm}_rolling_7d"] = roll
-        for k in lags:
-            cols[f"{nm}_lag_{k}d"] = F.lag(t, k).over(w)
-    return cols
-
-
 def poll_lags(df: DataFrame, targets=("aprobacion", "desaprobacion"),
               names=("approval", "disapproval"), lags=(7, 14), keys=()) -> DataFrame:
     """Lag 7 and 14 rows of each poll target."""
@@ -181,10 +168,3 @@ def negativity_index(features: DataFrame, keys=()) -> DataFrame:
     return (_dated(features).groupBy(*keys, "date")
             .agg(F.avg("score_negative").alias("indice_negatividad")))
 
-
-def weighted_mean(v, w) -> Column:
-    """Aggregate ``sum(v*w) / sum(w)``, or the plain mean of ``v`` when the
-    weights sum to 0 (or are all null). Weights are used as given."""
-    vd, wd = F.col(v).cast("double"), F.col(w).cast("double")
-    den = F.coalesce(F.sum(wd), F.lit(0.0))
-    return F.when(den != 0, F.coalesce(F.sum(vd * wd), F.lit(0.0)) / den).otherwise(F.avg(vd))

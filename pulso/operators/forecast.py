@@ -10,7 +10,6 @@ rows (the reference stops on its test part and then reports on it).
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -140,14 +139,3 @@ def merge_predictions(a: DataFrame, b: DataFrame, on: str = "date") -> DataFrame
     """Full outer join of two prediction tables by day."""
     return a.join(b, on, "full")
 
-
-def save_bundle(bundle: Bundle, path: str) -> None:
-    bundle.save(path)
-
-
-def load_bundle(path: str) -> Bundle:
-    return Bundle.load(path)
-
-
-def bundle_dir(base: str, target: str) -> str:
-    return os.path.join(base, f"model_{target}")

@@ -13,13 +13,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _lit_date(d) -> Column:
-    if isinstance(d, Column):
-        return d
-    if isinstance(d, str):
-        d = dt.date.fromisoformat(d)
-    return F.lit(d).cast("date")
+from ..functions.dates import lit_date
 
 
 def indicator_columns(name: str, value: Column, prev: Column, scale: float = 100.0) -> list[Column]:
@@ -76,7 +70,7 @@ def kpi_prev_calendar_day(df: DataFrame, cols, keys=()) -> DataFrame:
 def last_valid(df: DataFrame, col: str, day, n: int = 7, keys=()) -> DataFrame:
     """The newest ``n`` rows up to ``day`` (inclusive) with a non-null ``col``."""
     w = Window.partitionBy(*keys).orderBy(F.col("date").desc())
-    base = df.where((F.col("date") <= _lit_date(day)) & F.col(col).isNotNull())
+    base = df.where((F.col("date") <= lit_date(day)) & F.col(col).isNotNull())
     return (base.select(*keys, "date", col).withColumn("_rn", F.row_number().over(w))
             .where(F.col("_rn") <= n).drop("_rn"))
 

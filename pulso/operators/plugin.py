@@ -1,7 +1,7 @@
 """Plug-in point for external per-post models (M1, M2 with a pretrained model).
 
 The reference calls a pretrained classifier post by post. Here an external
-model runs inside ``mapInPandas``: ``make_model`` is called once per task
+model runs inside ``mapInArrow``: ``make_model`` is called once per task
 (load weights there, e.g. an ONNX session), and the returned function scores
 an Arrow batch of texts at a time. Spark partitions and shuffles the work;
 the label and probabilities are then computed natively from the returned
@@ -12,8 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sentiment import softmax_label
 
@@ -22,31 +25,32 @@ ModelFactory = Callable[[], Callable]
 
 
 def external_logits(df: DataFrame, make_model: ModelFactory, text: str = "text",
-                    key: str = "id", out: str = "logits") -> DataFrame:
-    """``(key, text, out)`` with the model's three logits per post, computed
-    batch by batch in Python workers (Arrow transfer, model loaded once per
-    task). Null text gets null logits."""
+                    out: str = "logits") -> DataFrame:
+    """``df`` with ``out``: the model's three logits per post, computed batch by
+    batch in Python workers (Arrow transfer, model loaded once per task). Null
+    text gets null logits. All columns stay as they are."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    place = df.columns.index(text)
+
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         score = make_model()
-        for pdf in batches:
-            texts = pdf[text]
-            logits = np.asarray(score(texts.fillna("")), dtype="float64").reshape(len(pdf), 3)
-            vals = [None if t is None else [float(x) for x in row]
-                    for t, row in zip(texts.where(texts.notna(), None), logits)]
-            yield pdf.assign(**{out: vals})
-    schema = f"`{key}` string, `{text}` string, `{out}` array<double>"
-    base = df.select(F.col(key).cast("string").alias(key), F.col(text).cast("string").alias(text))
-    return base.mapInPandas(run, schema)
-
-
-def external_sentiment(df: DataFrame, make_model: ModelFactory, text: str = "text",
-                       key: str = "id") -> DataFrame:
-    """The five sentiment columns from an external model's logits, joined to
-    nothing: the Python stage keeps the key and text, the label is native."""
-    scored = external_logits(df, make_model, text=text, key=key)
-    return (scored.withColumn("_s", softmax_label(F.col("logits"), F.col(text)))
-            .select(key, text, "_s.*"))
+        for batch in batches:
+            texts = batch.column(place)
+            if batch.num_rows:
+                logits = np.asarray(score(texts.fill_null("").to_pandas()), dtype="float64").reshape(-1, 3)
+            values = [None if t is None else row.tolist() for t, row in zip(texts.to_pylist(), logits)] \
+                if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))],
+                                             names=[*batch.schema.names, out])
+    return df.mapInArrow(run, schema)
+
+
+def external_sentiment(df: DataFrame, make_model: ModelFactory, text: str = "text") -> DataFrame:
+    """``df`` with the five sentiment columns from an external model's logits; the
+    Python stage only adds the logits, the label is native."""
+    scored = external_logits(df, make_model, text=text, out="_logits")
+    return (scored.withColumn("_s", softmax_label(F.col("_logits"), F.col(text)))
+            .drop("_logits").select("*", "_s.*").drop("_s"))
 
 
 def lexicon_model(rows) -> ModelFactory:
@@ -58,7 +62,6 @@ def lexicon_model(rows) -> ModelFactory:
     def make():
         import re
 
-        import numpy as np
         word = re.compile(r"\w+")
 
         def score(texts):

@@ -113,3 +113,16 @@ def reply_enrichment(replies: DataFrame, parents: DataFrame, conv: str = "conv_i
     return j.select(*[replies[c] for c in replies.columns],
                     F.col("_p.parent_tweet_id"), F.col("_p.parent_text"),
                     F.col("_p.parent_createdAt"))
+
+
+def harvest_with_replies(posts: DataFrame, replies: DataFrame, start, end, n: int = 500,
+                         n_replies: int = 5, author: str = "author", conv: str = "conv_id",
+                         ts: str = "createdAt", key: str = "id", text: str = "text") -> DataFrame:
+    """Author-month windows (S8) -> newest ``n`` posts of each (S9) -> newest
+    ``n_replies`` replies of each harvested conversation (W8) -> parent columns (J8).
+    The harvest is narrow before it meets the replies: ids, key and text only."""
+    parents = harvest_author_windows(posts, start, end, n, author=author, ts=ts, key=key)
+    parents = parents.select(conv, key, text, ts)
+    wanted = replies.join(parents.select(conv).distinct(), conv, "left_semi")
+    newest = latest_replies(wanted, n_replies, conv=conv, ts=ts, key=key)
+    return reply_enrichment(newest, parents, conv=conv, ts=ts, key=key, text=text)

@@ -28,36 +28,84 @@ class RobustStats:
         return self.iqr[c]
 
 
-# Exact quartiles keep a value -> count map per column, merged in one task;
-# above this many distinct values a column uses the approximate aggregate.
-MAX_EXACT_DISTINCT = 1_000_000
+# Buckets that an interval is cut into in each pass of ``order_statistics``.
+BUCKETS = 1024
 
 
-def fit_robust(df: DataFrame, cols, approx: bool | None = None,
-               accuracy: int = 100000) -> RobustStats:
-    """X13 fit: linear-interpolated quartiles per column (nulls skipped).
+def order_statistics(df: DataFrame, cols, probs) -> dict:
+    """Exact linear-interpolated quantiles per column, whatever the number of
+    rows or distinct values (nulls and NaN skipped): ``{column: [value, ...]}``,
+    null without values.
 
-    ``approx=None`` (default) decides per column: a first pass measures
-    ``approx_count_distinct``; columns up to MAX_EXACT_DISTINCT distinct
-    values (engagement counts) get the exact ``percentile``, whose merged
-    value -> count map then stays bounded; wider columns get
-    ``percentile_approx``. ``approx=False`` / ``True`` force one kind.
+    Every wanted rank starts with the interval [min, max]; a pass counts the
+    values of its interval in ``BUCKETS`` buckets, with each bucket's own least
+    and largest value, and the interval shrinks to the bucket that holds the
+    rank, until it is one value. Integer counts take two or three passes. What
+    reaches the driver is at most ``BUCKETS`` rows per open rank.
+    """
+    cols = list(cols)
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
+    row = df.agg(*[x for i, c in enumerate(cols) for x in (
+        F.min(value[c]).alias(f"lo{i}"), F.max(value[c]).alias(f"hi{i}"),
+        F.count(value[c]).alias(f"n{i}"))]).first()
+    wanted, found, goal = {}, {}, {}
+    for i, c in enumerate(cols):
+        lo, hi, n = row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"]
+        goal[c] = [p * (n - 1) for p in probs] if n else None
+        for rank in {r for g in goal[c] or () for r in (int(g), min(int(g) + 1, n - 1))}:
+            wanted[c, rank] = (lo, hi, 0)            # interval, values before it
+    while True:
+        found |= {k: v[0] for k, v in wanted.items() if v[0] == v[1]}
+        wanted = {k: v for k, v in wanted.items() if v[0] != v[1]}
+        if not wanted:
+            break
+        spans = sorted({(c, *v) for (c, _), v in wanted.items()})
+        place = []
+        for i, (c, lo, hi, _) in enumerate(spans):
+            x = value[c]
+            bucket = F.least(F.floor((x - F.lit(lo)) * F.lit(BUCKETS) / F.lit(hi - lo)), F.lit(BUCKETS - 1))
+            place.append(F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(
+                F.lit(i).alias("i"), bucket.alias("b"), x.alias("x"))))
+        each = df.select(F.explode(F.array(*place)).alias("p")).where("p IS NOT NULL")
+        got = each.groupBy("p.i", "p.b").agg(F.count(F.lit(1)).alias("n"), F.min("p.x").alias("lo"),
+                                             F.max("p.x").alias("hi")).collect()
+        for (c, rank), v in list(wanted.items()):
+            before = v[2]
+            for g in sorted((g for g in got if g.i == spans.index((c, *v))), key=lambda g: g.b):
+                if before + g.n > rank:
+                    wanted[c, rank] = (g.lo, g.hi, before)
+                    break
+                before += g.n
+    out = {}
+    for c in cols:
+        out[c] = [None] * len(probs)
+        for k, g in enumerate(goal[c] or ()):
+            a, b = found[c, int(g)], found.get((c, int(g) + 1), found[c, int(g)])
+            out[c][k] = a + (b - a) * (g - int(g))
+    return out
+
+
+def fit_robust(df: DataFrame, cols, approx: bool = False, accuracy: int = 100000) -> RobustStats:
+    """X13 fit: linear-interpolated quartiles per column (nulls and NaN skipped).
+
+    Exact at any size (``order_statistics``); ``approx=True`` asks for
+    ``percentile_approx`` with the given accuracy in one pass instead.
     """
     cols = list(cols)
     require_columns(df, cols)
     probs = [0.25, 0.5, 0.75]
-    if approx is None:
-        nd = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-        use_approx = {c: (nd[c] or 0) > MAX_EXACT_DISTINCT for c in cols}
+    if not cols:
+        return RobustStats({}, {})
+    if approx:
+        row = df.agg(*[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")),
+                                           probs, accuracy).alias(c) for c in cols]).first()
+        quartiles = {c: row[c] or [None] * 3 for c in cols}
     else:
-        use_approx = {c: bool(approx) for c in cols}
-    aggs = [(F.percentile_approx(F.col(c).cast("double"), probs, accuracy) if use_approx[c]
-             else F.percentile(F.col(c).cast("double"), F.lit(probs))).alias(c) for c in cols]
-    row = df.agg(*aggs).first()
+        quartiles = order_statistics(df, cols, probs)
     med, iqr = {}, {}
     for c in cols:
-        q = row[c]
-        if q is None or q[1] is None:
+        q = quartiles[c]
+        if q[1] is None:
             med[c], iqr[c] = 0.0, 1.0
             continue
         med[c] = float(q[1])
@@ -107,8 +155,3 @@ def minmax_inverse(df: DataFrame, stats: MinMaxStats, col: str, out: str | None
     src = F.col(source or col)
     return df.withColumn(out or col, src * F.lit(span) + F.lit(lo if lo is not None else 0.0))
 
-
-def robust_stats_frame(spark, stats: RobustStats) -> DataFrame:
-    """The fitted statistics as a small reusable table (column, median, iqr)."""
-    rows = [(c, stats.median[c], stats.iqr[c]) for c in stats.median]
-    return spark.createDataFrame(rows, "column string, median double, iqr double")

@@ -1,9 +1,11 @@
 """Trainable text scorer (M1, ML form): hashed term counts -> logistic
 regression, trained and applied as Spark ML stages.
 
-Stands in for the reference's pretrained per-post classifier: the same
-five-column output (label, label score, class probabilities) comes from
-``score_text``. The hashing trick keeps the model size fixed however large
+Stands in for the reference's pretrained per-post classifier.
+``score_text`` gives the class and its probabilities for any classes;
+``ml_sentiment`` applies a three-class model (0 negative, 1 neutral, 2 positive)
+and gives the same five columns as the other scorers, so that it can take their
+place in the preprocessing pipeline. The hashing trick keeps the model size fixed however large
 the vocabulary grows.
 """
 
@@ -16,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sentiment import LABELS
 from ..functions.text import TOKEN
 
 
@@ -48,3 +51,20 @@ def score_text(df: DataFrame, model: PipelineModel, classes=None, text: str = "t
             .withColumn("score_label", F.array_max("probabilities"))
             .withColumn("predicted", named)
             .drop("_tok", "_tf", "_features", "_raw", "_prob", "_pred"))
+
+
+def ml_sentiment(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
+    """M1: the five sentiment columns from a model fitted on labels 0, 1, 2 (negative,
+    neutral, positive). Blank or null text is Neutral with zero scores; a class that
+    the training rows lack has probability 0."""
+    out = score_text(df, model, text=text)
+    p = [F.coalesce(F.get("probabilities", F.lit(i)), F.lit(0.0)) for i in range(3)]
+    blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    names = F.array(*[F.lit(x) for x in LABELS])
+    label = F.when(blank, F.lit("Neutral")).otherwise(
+        F.element_at(names, F.array_position(F.array(*p), F.array_max(F.array(*p))).cast("int")))
+    value = lambda x: F.when(blank, F.lit(0.0)).otherwise(x)
+    scored = out.withColumns({
+        "sentiment_label": label, "score_label": value(F.array_max(F.array(*p))),
+        "score_negative": value(p[0]), "score_neutral": value(p[1]), "score_positive": value(p[2])})
+    return scored.drop("probabilities", "predicted")

@@ -11,18 +11,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_sequence
-
-
-def _lit_date(d) -> Column:
-    if isinstance(d, Column):
-        return d
-    if isinstance(d, str):
-        d = dt.date.fromisoformat(d)
-    return F.lit(d).cast("date")
+from ..functions.dates import day_sequence, lit_date
 
 
 def dedup_first(df: DataFrame, key="id", order=()) -> DataFrame:
@@ -43,7 +35,10 @@ def dedup_first(df: DataFrame, key="id", order=()) -> DataFrame:
 def append_dedup(existing: DataFrame | None, new: DataFrame, key="id", order=(),
                  existing_unique: bool = True) -> DataFrame:
     """S3: union by name (missing columns null), keep the first row per key with
-    existing rows winning; no existing table -> ``new`` as it is.
+    existing rows winning. The first batch is deduplicated as well (the
+    reference stores it as it is and mends it on the next append), so the stored
+    table is unique by key from the start. Null keys are equal to each other, as
+    in pandas.
 
     The stored table is kept unique by key (this operator's own invariant),
     so only the new batch is deduplicated and anti-joined against the stored
@@ -51,12 +46,14 @@ def append_dedup(existing: DataFrame | None, new: DataFrame, key="id", order=(),
     column is (or the small batch is broadcast by AQE). With
     ``existing_unique=False`` both sides go through one ``min_by`` aggregate.
     """
-    if existing is None:
-        return new
     keys = [key] if isinstance(key, str) else list(key)
+    if existing is None:
+        return dedup_first(new, keys, order=order)
     if existing_unique:
         fresh = dedup_first(new, keys, order=order)
-        fresh = fresh.join(existing.select(*keys), keys, "left_anti")
+        stored = existing.select(*[F.col(k).alias(f"_stored_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_stored_{k}")) for k in keys]
+        fresh = fresh.join(stored, same, "left_anti")
         return existing.unionByName(fresh, allowMissingColumns=True)
     both = (existing.withColumn("_prio", F.lit(0))
             .unionByName(new.withColumn("_prio", F.lit(1)), allowMissingColumns=True))
@@ -80,7 +77,7 @@ def pending_days(df: DataFrame, today, cold_start: int = 3, col: str = "date") -
     """Days after the last stored day up to ``today``; an empty table gives
     the last ``cold_start`` days ending today. ``today`` may be a date or an
     aggregate Column over ``df`` (e.g. ``F.date_add(F.max("date"), 4)``)."""
-    b = df.agg(F.max(col).alias("_last"), _lit_date(today).alias("_today"))
+    b = df.agg(F.max(col).alias("_last"), lit_date(today).alias("_today"))
     seq = F.when(F.col("_last").isNull(),
                  day_sequence(F.date_sub("_today", cold_start - 1), "_today")
                  ).otherwise(day_sequence(F.date_add("_last", 1), "_today"))
@@ -89,7 +86,7 @@ def pending_days(df: DataFrame, today, cold_start: int = 3, col: str = "date") -
 
 def missing_days(spark: SparkSession, start, today, done: DataFrame, col: str = "date") -> DataFrame:
     """Every day in [start, today] not present in ``done``."""
-    days = spark.range(1).select(F.explode(day_sequence(_lit_date(start), _lit_date(today))).alias(col))
+    days = spark.range(1).select(F.explode(day_sequence(lit_date(start), lit_date(today))).alias(col))
     return days.join(done.select(col).distinct(), col, "left_anti")
 
 
@@ -128,10 +125,15 @@ def unprocessed(df: DataFrame, col: str = "processed") -> DataFrame:
     return df.where(~F.col(col))
 
 
-def mark_processed(raw: DataFrame, done: DataFrame, key: str = "id", col: str = "processed") -> DataFrame:
+def mark_processed(raw: DataFrame, done: DataFrame, key: str = "id", col: str = "processed",
+                   mark_dropped: bool = False) -> DataFrame:
     """Set the flag True for ids present in ``done`` (the rows that
     survived cleaning); other rows keep their flag, so dropped rows are
-    retried next run, as in the reference."""
+    retried next run, as in the reference. ``mark_dropped=True`` flags every
+    pending row, so that rows dropped by cleaning are not tried again."""
+    if mark_dropped:
+        base = raw if col in raw.columns else raw.withColumn(col, F.lit(False))
+        return base.withColumn(col, F.when(F.col(col).isNotNull(), F.lit(True)))
     hits = done.select(key).distinct().withColumn("_hit", F.lit(True))
     base = raw if col in raw.columns else raw.withColumn(col, F.lit(False))
     out = base.join(hits, key, "left")
@@ -152,13 +154,3 @@ def stage_quality(df: DataFrame, stage: str, date_col: str = "date") -> DataFram
                   F.count_distinct(d).alias("n_days"),
                   F.count_if(d.isNull()).alias("n_null_days"))
 
-
-def latest_per_key(df: DataFrame, keys, order_desc, n: int) -> DataFrame:
-    """Top ``n`` rows per key by ``order_desc`` (descending).
-
-    ``row_number() <= n`` is planned with a partial ``WindowGroupLimit``
-    before the shuffle (Spark 3.5+), so each map task forwards at most ``n``
-    rows per key: a hot key is cut down before it reaches one task.
-    """
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order_desc])
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")

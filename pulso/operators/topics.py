@@ -2,29 +2,31 @@
 
 The reference fits an anchored topic model on sentence vectors. Here topics
 come from Spark jobs: (a) seed-keyword matching -- the n-grams of each
-cleaned post join the seed keywords (a parameter list, broadcast after a
-size check) and the seed with most hits wins, lowest id on ties; (b) cosine
-to per-topic centroids (a model of k vectors, k checked, applied as array
-expressions, no join); (c) unsupervised k-means (Spark ML). Topic ids equal
+distinct cleaned text join the seed keywords and the seed with most hits wins,
+lowest id on ties; (b) cosine to per-topic centroids (matrix blocks of bounded
+size, no join); (c) unsupervised k-means (Spark ML). Topic ids equal
 seed positions, so the label table lines up by construction.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import ngrams_upto, normalise_space
 from ..session import reliable_checkpoint
-from .vectors import cosine, mean_vector
+from .per_text import TEXT_KEY, score_texts
+from .vectors import mean_vector
 
 OTHER = "Otros"
 NO_TOPIC = -1
-# Largest seed / centroid table shipped to every task (rows).
-MAX_BROADCAST_SEEDS = 100_000
-MAX_CENTROIDS = 10_000
+# Numbers in one block of the centroid matrix shipped to the tasks (32 MB).
+BLOCK_NUMBERS = 1 << 22
 
 
 def clean_seeds(seeds: DataFrame, keyword: str = "keyword", stop=()) -> DataFrame:
@@ -38,73 +40,35 @@ def clean_seeds(seeds: DataFrame, keyword: str = "keyword", stop=()) -> DataFram
             .where(F.col(keyword) != "").dropDuplicates(["seed_id", keyword]))
 
 
-def _small(df: DataFrame, limit: int, what: str) -> DataFrame:
-    n = df.count()
-    if n > limit:
-        raise ValueError(f"{what}: {n} rows exceed the broadcast bound {limit}")
-    return F.broadcast(df)
-
-
-# Seed keyword lists up to this many (keyword, seed) pairs are applied in-row
-# from a literal map; larger ones are broadcast-joined to the exploded n-grams.
-MAX_LITERAL_SEEDS = 10_000
 # best seed per post as one long: score * SCORE_BASE - (seed_id + 1)
 SCORE_BASE = 1 << 31
 
 
-def _best_seed_in_row(grams, kw_map) -> "Column":
-    """Best seed of one post from its n-grams: most hits, lowest id on ties,
-    -1 without hits. ``kw_map`` maps a keyword to its seed ids."""
-    ids = F.flatten(F.transform(grams, lambda g: F.coalesce(
-        F.try_element_at(kw_map, g), F.array().cast("array<int>"))))
-
-    def best(hits):
-        codes = F.transform(F.array_distinct(hits), lambda sid: (
-            F.size(F.filter(hits, lambda x: x == sid)).cast("long") * F.lit(SCORE_BASE)
-            - (sid.cast("long") + 1)))
-        top = F.array_max(codes)
-        n = F.ceil(top / F.lit(SCORE_BASE))
-        return F.when(F.size(hits) == 0, F.lit(NO_TOPIC)).otherwise(
-            (n * F.lit(SCORE_BASE) - top - 1).cast("int"))
-    from ..functions.text import let
-    return let(ids, best)
-
-
 def seed_topics(docs: DataFrame, seeds: DataFrame, text: str = "clean_text", key: str = "id",
                 min_size: int = 10, keep=()) -> DataFrame:
     """M7 (a): ``topic`` = the seed with the most keyword hits among the
     post's 1..n-grams (n = longest seed), lowest seed id on ties, ``-1``
-    without hits; topics with fewer than ``min_size`` posts become ``-1``.
-
-    A seed list of bounded size (checked) is applied in-row: a literal map
-    from keyword to seed ids, hit counts and the best seed computed with
-    array functions, so assigning topics needs no shuffle at all. Larger
-    seed lists explode the n-grams and broadcast-join the seeds; posts and
-    their hit counts then meet in one aggregate (a post without hits carries
-    only the ``-1`` candidate with score 0), so no join back to the posts is
-    needed.
+    without hits or text; topics with fewer than ``min_size`` posts become ``-1``.
+    One row per input row, whether or not ids repeat.
+
+    One plan for seed lists of every size: the n-grams of each distinct text join
+    the seeds (broadcast if AQE finds them small), hits are counted per text and
+    seed, and the best seed of each text is joined back.
     """
     sd = seeds.select(F.col("seed_id").cast("int").alias("seed_id"), "keyword")
-    pairs = sd.count()
     max_n = sd.select(F.max(F.size(F.split("keyword", " ")))).first()[0] or 1
     grams = ngrams_upto(F.split(F.col(text), " "), max_n)
-    if pairs <= MAX_LITERAL_SEEDS:
-        rows = sd.groupBy("keyword").agg(F.sort_array(F.collect_set("seed_id")).alias("ids")).collect()
-        kw_map = F.create_map(*[x for r in rows for x in (
-            F.lit(r["keyword"]), F.array(*[F.lit(int(i)) for i in r["ids"]]).cast("array<int>"))])
-        best = docs.select(key, *keep, _best_seed_in_row(grams, kw_map).alias("topic"))
-    else:
-        if pairs > MAX_BROADCAST_SEEDS:
-            raise ValueError(f"seeds: {pairs} rows exceed the broadcast bound {MAX_BROADCAST_SEEDS}")
-        hits = (docs.select(key, *keep, F.explode(grams).alias("keyword"))
-                .join(F.broadcast(sd), "keyword")
-                .groupBy(key, *keep, "seed_id").agg(F.count(F.lit(1)).alias("score")))
-        none = docs.select(key, *keep, F.lit(NO_TOPIC).alias("seed_id"),
-                           F.lit(0).cast("bigint").alias("score"))
+
+    def score(units):
+        hits = (units.join(sd, "keyword").groupBy(TEXT_KEY, "seed_id")
+                .agg(F.count(F.lit(1)).alias("score")))
         code = F.col("score") * F.lit(SCORE_BASE) - (F.col("seed_id").cast("long") + 1)
-        top = hits.unionByName(none).groupBy(key, *keep).agg(F.max(code).alias("_c"))
+        top = hits.groupBy(TEXT_KEY).agg(F.max(code).alias("_c"))
         n = F.ceil(F.col("_c") / F.lit(SCORE_BASE))
-        best = top.select(key, *keep, (n * F.lit(SCORE_BASE) - F.col("_c") - 1).cast("int").alias("topic"))
+        return top.select(TEXT_KEY, (n * F.lit(SCORE_BASE) - F.col("_c") - 1).cast("int").alias("topic"))
+
+    best = score_texts(docs, text, grams, "keyword", score).select(
+        key, *keep, F.coalesce("topic", F.lit(NO_TOPIC)).alias("topic"))
     if min_size <= 1:
         return best
     # the assignment feeds both the size count and the result: write it once
@@ -130,24 +94,49 @@ def centroid_topics(df: DataFrame, centroids: DataFrame, threshold: float,
                     col: str = "embedding") -> DataFrame:
     """M7 (b): the most similar centroid by cosine when it reaches
     ``threshold`` (lowest topic id on ties), else ``-1``; adds ``topic`` and
-    ``similarity``. The centroids (k checked against MAX_CENTROIDS) travel as
-    one literal array, so scoring is a projection with no join.
+    ``similarity`` (-2 for a null vector or one of length 0, and without centroids).
+
+    Centroids are normalised once and handed to the tasks as blocks of a matrix, as
+    many blocks as their number asks for; each block is one vectorised product per
+    Arrow batch, and the best so far goes on to the next block.
     """
-    rows = centroids.orderBy("topic_id").select("topic_id", "centroid").collect() \
-        if centroids.count() <= MAX_CENTROIDS else None
-    if rows is None:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
-    ids = F.array(*[F.lit(int(r["topic_id"])) for r in rows])
-    cents = F.array(*[F.array(*[F.lit(float(x)) for x in r["centroid"]]) for r in rows])
-    v = F.col(col).cast("array<double>")
-    sims = F.transform(cents, lambda c: F.coalesce(cosine(v, c), F.lit(-2.0)))
-    scored = df.withColumn("_sims", sims)
-    best = F.array_max("_sims")
-    pos = F.array_position(F.col("_sims"), best).cast("int")
-    return (scored.withColumn("similarity", best)
-            .withColumn("topic", F.when(F.col("similarity") >= threshold, F.element_at(ids, pos))
-                        .otherwise(F.lit(NO_TOPIC)))
-            .drop("_sims"))
+    width = centroids.select(F.max(F.size("centroid"))).first()[0] or 1
+    per_block = max(1, BLOCK_NUMBERS // max(1, width))
+    total = centroids.count()
+    sc = df.sparkSession.sparkContext
+    out = df.withColumns({"similarity": F.lit(-2.0), "topic": F.lit(NO_TOPIC)})
+    ranked = centroids.select("topic_id", "centroid", F.row_number().over(Window.orderBy("topic_id")).alias("_n")) \
+        if total > per_block else centroids.withColumn("_n", F.lit(1))
+    for first in range(1, max(1, total) + 1, per_block):
+        part = ranked.where(F.col("_n").between(first, first + per_block - 1)) if total > per_block else ranked
+        rows = part.orderBy("topic_id").collect()
+        if not rows:
+            break
+        matrix = np.array([r["centroid"] for r in rows], dtype=float)
+        norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            matrix = matrix / norm
+        shared = sc.broadcast((np.array([int(r["topic_id"]) for r in rows]), matrix))
+
+        @pandas_udf("struct<similarity:double,topic:int>")
+        def best(vectors: pd.Series, so_far: pd.Series, topic: pd.Series) -> pd.DataFrame:
+            ids, m = shared.value
+            sim, top = so_far.to_numpy(dtype=float).copy(), topic.to_numpy(dtype=int).copy()
+            at = [i for i, v in enumerate(vectors) if v is not None]
+            if at:
+                x = np.stack([np.asarray(vectors.iloc[i], dtype=float) for i in at])
+                length = np.linalg.norm(x, axis=1)
+                s = np.nan_to_num(x @ m.T / np.where(length, length, np.nan)[:, None], nan=-2.0)
+                k = s.argmax(axis=1)
+                better = s[np.arange(len(at)), k] > sim[at]
+                sim[np.array(at)[better]] = s[np.arange(len(at)), k][better]
+                top[np.array(at)[better]] = ids[k][better]
+            return pd.DataFrame({"similarity": sim, "topic": top})
+
+        out = (out.withColumn("_b", best(F.col(col).cast("array<double>"), "similarity", "topic"))
+               .withColumns({"similarity": F.col("_b.similarity"), "topic": F.col("_b.topic")}).drop("_b"))
+    return out.withColumn("topic", F.when(F.col("similarity") >= threshold, F.col("topic"))
+                          .otherwise(F.lit(NO_TOPIC)))
 
 
 def cluster_topics(df: DataFrame, k: int, col: str = "embedding", seed: int = 42,
@@ -160,8 +149,9 @@ def cluster_topics(df: DataFrame, k: int, col: str = "embedding", seed: int = 42
 
 
 def label_topics(assigned: DataFrame, labels: DataFrame, topic: str = "topic") -> DataFrame:
-    """M9 + J12: topic id -> label; unknown ids (and -1 without a label) -> Otros."""
-    lb = _small(labels.select(F.col("topic_id").alias(topic), "label"), MAX_BROADCAST_SEEDS, "labels")
+    """M9 + J12: topic id -> label; unknown ids (and -1 without a label) -> Otros.
+    AQE broadcasts the label table by its measured size."""
+    lb = labels.select(F.col("topic_id").alias(topic), "label")
     return (assigned.join(lb, topic, "left")
             .withColumn("label", F.coalesce(F.col("label"), F.lit(OTHER))))
 
@@ -174,11 +164,18 @@ def topic_share(labelled: DataFrame, candidate: str = "candidate") -> DataFrame:
     return counts.withColumn("share", F.col("n") * F.lit(100.0) / total)
 
 
-def topic_matrix(share: DataFrame, labels: DataFrame, candidates, candidate: str = "candidate",
+def topic_matrix(share: DataFrame, labels: DataFrame, candidates=None, candidate: str = "candidate",
                  exclude_other: bool = True) -> DataFrame:
     """Label x candidate matrix of shares, missing cells 0, one row per
     label in label-table order (``label_order``), Otros optionally dropped
-    (after the shares were computed)."""
+    (after the shares were computed). The columns are the candidates of the data;
+    a given list fixes their order and may name more, but a candidate of the data
+    that it leaves out is an error, never lost."""
+    present = sorted(r[0] for r in share.select(candidate).where(F.col(candidate).isNotNull())
+                     .distinct().collect())
+    candidates = list(present if candidates is None else candidates)
+    if set(present) - set(candidates):
+        raise ValueError(f"candidates not listed: {sorted(set(present) - set(candidates))}")
     order = labels.select("label", F.col("topic_id").alias("label_order"))
     if not exclude_other:
         order = order.unionByName(
@@ -187,8 +184,8 @@ def topic_matrix(share: DataFrame, labels: DataFrame, candidates, candidate: str
     order = order.groupBy("label").agg(F.min("label_order").alias("label_order"))
     if exclude_other:
         order = order.where(F.col("label") != OTHER)
-    wide = share.groupBy("label").pivot(candidate, list(candidates)).agg(F.first("share"))
-    return (order.join(wide, "label", "left").na.fill(0.0, subset=list(candidates)))
+    wide = share.groupBy("label").pivot(candidate, candidates).agg(F.first("share"))
+    return (order.join(wide, "label", "left").na.fill(0.0, subset=candidates))
 
 
 def topic_profile_norm(share: DataFrame, candidate: str = "candidate",

@@ -4,8 +4,7 @@
 Embeddings are one ``array<float|double>`` column, never hundreds of wide
 columns. Group means over unbounded groups (a day, a topic) use Spark ML's
 ``Summarizer`` (a real aggregate with map-side partial state of one vector
-per group), also for the per-post pooling of at most ``max_tokens`` token
-vectors.
+per group), also for the pooling of a post's token vectors.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens as text_tokens
+from .per_text import TEXT_KEY, score_texts
 
 
 def _c(c):
@@ -37,60 +37,51 @@ def token_hash_bucket(token, n_buckets: int) -> Column:
     return h % F.lit(n_buckets)
 
 
-def _pool(occ: DataFrame, df: DataFrame, key: str, dim: int, out: str) -> DataFrame:
-    """Mean of the matched vectors per post, zero vector without any match.
+def _pool(df: DataFrame, text: str, max_tokens: int | None, lookup, dim: int, out: str) -> DataFrame:
+    """Mean of the matched token vectors of each post's text, zero without any match.
 
-    ``occ`` holds every input row (once per token, or once with a null
-    token) with its matched vector ``_v``; the row's other columns travel
-    through the same aggregate, so the input lineage is evaluated once and
-    no join back to it is needed. The sum is Spark ML's compiled
-    ``Summarizer`` (rows without a vector add a zero vector), divided by the
-    number of matched tokens.
+    Only a text digest and the tokens of distinct texts are exploded; ``lookup``
+    joins their vectors (``_v``), which are summed by Spark ML's ``Summarizer``, and
+    one vector per distinct text is joined back. Rows keep their other columns
+    without sending them through the aggregate, and ids may repeat.
     """
-    others = [c for c in df.columns if c != key]
-    zero = F.array_repeat(F.lit(0.0), dim)
-    has = F.col("_v").isNotNull()
-    vec = array_to_vector(F.coalesce(F.col("_v"), zero))
-    agg = occ.groupBy(key).agg(
-        F.first(F.struct(*others)).alias("_row"),
-        Summarizer.sum(vec).alias("_s"),
-        F.count_if(has).alias("_n"))
-    pooled = F.when(F.col("_n") > 0,
-                    F.transform(vector_to_array("_s"), lambda x: x / F.col("_n"))).otherwise(zero)
-    return agg.select(key, *[F.col("_row")[c].alias(c) for c in others], pooled.alias(out))
+    toks = text_tokens(text)
+    if max_tokens:
+        toks = F.slice(toks, 1, max_tokens)
 
+    def score(occ):
+        return (lookup(occ).groupBy(TEXT_KEY)
+                .agg(Summarizer.mean(array_to_vector(F.col("_v"))).alias("_m"))
+                .select(TEXT_KEY, vector_to_array("_m").alias(out)))
 
-def _occurrences(df: DataFrame, text: str, max_tokens: int) -> DataFrame:
-    toks = F.slice(text_tokens(text), 1, max_tokens)
-    return df.select("*", F.explode_outer(toks).alias("_token"))
+    pooled = score_texts(df, text, toks, "_token", score)
+    return pooled.withColumn(out, F.coalesce(F.col(out), F.array_repeat(F.lit(0.0), dim)))
 
 
 def embed_posts(df: DataFrame, token_vectors: DataFrame, dim: int, text: str = "text",
-                key: str = "id", max_tokens: int = 50, out: str = "embedding") -> DataFrame:
-    """Mean of the vectors of the first ``max_tokens`` tokens of
-    each post (tokens without a vector are skipped); a post with no known
-    token, or null text, gets the zero vector. ``token_vectors`` is a
+                max_tokens: int | None = None, out: str = "embedding") -> DataFrame:
+    """Mean of the vectors of each post's tokens (tokens without a
+    vector are skipped; ``max_tokens`` asks for the first so many only); a post
+    with no known token, or null text, gets the zero vector. ``token_vectors`` is a
     ``(token, vector)`` table; token occurrences join it on the token (AQE
     broadcasts a small table and splits skewed partitions of a hot token).
     """
-    occ = _occurrences(df, text, max_tokens)
     tv = token_vectors.select(F.col("token").alias("_token"),
                               F.col("vector").cast("array<double>").alias("_v"))
-    return _pool(occ.join(tv, "_token", "left").drop("_token"), df, key, dim, out)
+    return _pool(df, text, max_tokens, lambda occ: occ.join(tv, "_token"), dim, out)
 
 
 def embed_posts_hashed(df: DataFrame, table: DataFrame, dim: int, text: str = "text",
-                       key: str = "id", max_tokens: int = 50, out: str = "embedding",
+                       max_tokens: int | None = None, out: str = "embedding",
                        id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """X12 with a hashed vector table: each token takes the row of ``table``
     whose id is its hash bucket (``token_hash_bucket`` over ``count(table)``
     ids). The join is on an integer bucket, so no vocabulary pass is needed.
     """
     n = table.count()
-    occ = _occurrences(df, text, max_tokens).withColumn(
-        "_b", F.when(F.col("_token").isNotNull(), token_hash_bucket("_token", n)))
     vecs = table.select(F.col(id_col).alias("_b"), F.col(vec_col).cast("array<double>").alias("_v"))
-    return _pool(occ.join(vecs, "_b", "left").drop("_b", "_token"), df, key, dim, out)
+    return _pool(df, text, max_tokens, lambda occ: occ.withColumn(
+        "_b", token_hash_bucket("_token", n)).join(vecs, "_b"), dim, out)
 
 
 def hashed_token_vectors(vocab: DataFrame, table: DataFrame, id_col: str = "vec_id",
@@ -106,7 +97,7 @@ def hashed_token_vectors(vocab: DataFrame, table: DataFrame, id_col: str = "vec_
 def mean_vector(df: DataFrame, keys, col: str = "embedding", out: str | None = None) -> DataFrame:
     """A2 (array form): per-group, per-dimension mean of a vector column."""
     vec = array_to_vector(F.col(col).cast("array<double>"))
-    agg = df.groupBy(*keys).agg(Summarizer.mean(vec).alias("_m"))
+    agg = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(Summarizer.mean(vec).alias("_m"))
     return agg.select(*keys, vector_to_array("_m").alias(out or col))
 
 

@@ -8,9 +8,10 @@ from ..functions.dates import parse_created_at, post_date, target_sunday
 from ..operators import daily as D
 from ..operators.polls import poll_calendar, week_start_join, with_polls
 from ..operators.scaling import fit_robust, robust_scale
+from ..operators.vectors import daily_embedding_mean
 from ..sources import fixtures as fx
 from .features import daily_features
-from .registry import r, register, rounded, with_ctes
+from .registry import NUDGE, r, register, rounded, with_ctes
 
 SC = D.SCORES
 EN = D.ENGAGEMENT
@@ -117,11 +118,37 @@ def sql_features() -> str:
 
 # ------------------------------------------------------------------ queries
 
-@register("daily_features", sql_features(), headline=True)
+# posts with a vector: the row of ``embeddings`` numbered by the id modulo their count
+SQL_DAILY_EMBEDDING = (
+    "SELECT date, list(" + r("v", 5) + " ORDER BY pos) AS embedding FROM ("
+    "SELECT p.date, e.pos, avg(CAST(e.val AS DOUBLE)) AS v FROM posts p JOIN ("
+    "SELECT vec_id, unnest(embedding) AS val, unnest(range(0, len(embedding))) AS pos FROM embeddings) e "
+    "ON e.vec_id = CAST(p.id AS BIGINT) % (SELECT count(*) FROM embeddings) "
+    "WHERE p.date IS NOT NULL GROUP BY p.date, e.pos) x GROUP BY date")
+
+
+def _posts_with_vectors(spark, d):
+    e = fx.table(spark, d, "embeddings")
+    vectors = e.select(F.col("vec_id").alias("_vec"), "embedding")
+    p = fx.posts(spark, d).withColumn("_vec", F.col("id").cast("long") % F.lit(e.count()))
+    return p.join(vectors, "_vec", "left").drop("_vec")
+
+
+def _rounded_vector(out):
+    return out.withColumn("embedding", F.transform("embedding", lambda x: F.round(x * F.lit(NUDGE), 5)))
+
+
+@register("daily_features", "SELECT f.*, e.embedding FROM (" + sql_features() + ") f LEFT JOIN ("
+          + with_ctes(SQL_DAILY_EMBEDDING, posts=fx.SQL_POSTS) + ") e USING (date)", headline=True)
 def q_daily_features(spark, d):
-    p = fx.posts(spark, d)
-    out = daily_features(p, fx.polls(spark, d, p))
-    return rounded(out.select(*FEATURE_ORDER))
+    p = _posts_with_vectors(spark, d)
+    out = daily_features(p, fx.polls(spark, d, p), embedding="embedding")
+    return _rounded_vector(rounded(out.select(*FEATURE_ORDER, "embedding")))
+
+
+@register("daily_embedding_mean", with_ctes(SQL_DAILY_EMBEDDING, posts=fx.SQL_POSTS))
+def q_daily_embedding_mean(spark, d):
+    return _rounded_vector(daily_embedding_mean(_posts_with_vectors(spark, d)))
 
 
 @register("daily_means", with_ctes(
@@ -168,7 +195,7 @@ def _sql_rolling_author() -> str:
 
 @register("rolling_sentiment", _sql_rolling_author(), headline=True)
 def q_rolling_sentiment(spark, d):
-    daily = D.daily_means(fx.posts(spark, d), keys=("author",))
+    daily = D.daily_means(fx.posts(spark, d), keys=("author",), counts=())
     out = D.rolling_sentiment(daily, keys=("author",))
     return rounded(out.select("author", "date", *ROLL_COLS))
 
@@ -179,7 +206,7 @@ def q_rolling_sentiment(spark, d):
         "OVER (ORDER BY date)") + " AS sentiment_net_change FROM daily",
     posts=fx.SQL_POSTS, stats=sql_stats(), daily=sql_daily(weighted=False)))
 def q_sentiment_net_change(spark, d):
-    out = D.sentiment_net(D.daily_means(fx.posts(spark, d)))
+    out = D.sentiment_net(D.daily_means(fx.posts(spark, d), counts=()))
     return rounded(out.select("date", "sentiment_net", "sentiment_net_change"))
 
 
@@ -205,7 +232,7 @@ def q_poll_calendar(spark, d):
     daily=sql_daily(weighted=False), calp=SQL_CALENDAR))
 def q_daily_with_polls(spark, d):
     p = fx.posts(spark, d)
-    out = with_polls(D.daily_means(p), poll_calendar(fx.polls(spark, d, p)))
+    out = with_polls(D.daily_means(p, counts=()), poll_calendar(fx.polls(spark, d, p)))
     return rounded(out.select("date", "score_positive", "score_negative", "aprobacion", "desaprobacion"))
 
 
@@ -217,7 +244,7 @@ def q_daily_with_polls(spark, d):
     posts=fx.SQL_POSTS, polls=fx.SQL_POLLS, stats=sql_stats(), daily=sql_daily(weighted=False)))
 def q_week_start_join(spark, d):
     p = fx.posts(spark, d)
-    out = week_start_join(D.daily_means(p), fx.polls(spark, d, p))
+    out = week_start_join(D.daily_means(p, counts=()), fx.polls(spark, d, p))
     return rounded(out.select("date", "week_start", "score_positive", "aprobacion", "desaprobacion"))
 
 
@@ -238,7 +265,7 @@ def _poll_daily_sql(body: str) -> str:
 
 def _poll_daily(spark, d):
     p = fx.posts(spark, d)
-    return with_polls(D.daily_means(p), poll_calendar(fx.polls(spark, d, p)))
+    return with_polls(D.daily_means(p, counts=()), poll_calendar(fx.polls(spark, d, p)))
 
 
 @register("poll_lags", _poll_daily_sql(
@@ -272,7 +299,7 @@ LAG_COLS = [f"{s}_lag_{k}" for k in range(1, 8) for s in SC]
         for k in range(1, 8) for s in SC) + " FROM daily",
     posts=fx.SQL_POSTS, stats=sql_stats(), daily=sql_daily(keys=("author",), weighted=False)))
 def q_score_lags(spark, d):
-    out = D.score_lags(D.daily_means(fx.posts(spark, d), keys=("author",)), keys=("author",))
+    out = D.score_lags(D.daily_means(fx.posts(spark, d), keys=("author",), counts=()), keys=("author",))
     return rounded(out.select("author", "date", *LAG_COLS))
 
 

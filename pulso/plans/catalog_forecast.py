@@ -10,6 +10,7 @@ from ..operators.scaling import fit_minmax, minmax_scale
 from ..operators.scorer import fit_text_classifier, score_text
 from ..sources import fixtures as fx
 from .catalog_daily import FEATURE_ORDER, sql_features
+from . import daily_run as DR
 from .features import daily_features
 from .registry import r, register, rounded, with_ctes
 
@@ -82,11 +83,7 @@ def q_train_eval(spark, d):
 @register("predict_targets")
 def q_predict_targets(spark, d):
     p = fx.posts(spark, d)
-    f = daily_features(p, fx.polls(spark, d, p))
-    ba, _ = FC.train(f, FC.TOP_FEATURES, "aprobacion")
-    bd, _ = FC.train(f, FC.TOP_FEATURES, "desaprobacion")
-    return FC.merge_predictions(FC.predict_target(f, ba, "prediccion_aprobacion"),
-                                FC.predict_target(f, bd, "prediccion_desaprobacion"))
+    return DR.forecast_targets(p, fx.polls(spark, d, p))[0]
 
 
 @register("score_sentiment_ml")

@@ -8,6 +8,7 @@ from ..operators import kpi as K
 from ..operators import metrics as M
 from ..sources import fixtures as fx
 from .catalog_daily import SQL_CALENDAR, sql_daily, sql_stats
+from . import daily_run as DR
 from .registry import r, register, rounded, with_ctes
 
 # ------------------------------------------------------------------ SQL parts
@@ -62,7 +63,7 @@ def sel_metrics(prefix: str = "", keys=()) -> str:
 
 def _metrics(spark, d, keys=()):
     p = fx.posts(spark, d)
-    return M.daily_metrics(D.daily_means(p, keys=keys), p, keys=keys)
+    return M.daily_metrics(D.daily_means(p, keys=keys, counts=()), p, keys=keys)
 
 
 # ------------------------------------------------------------------ P3
@@ -103,7 +104,7 @@ def q_daily_metrics(spark, d):
 def q_predictions_with_metrics(spark, d):
     p = fx.posts(spark, d)
     pred = fx.predictions(spark, d, p)
-    out = M.predictions_with_metrics(pred, M.daily_metrics(D.daily_means(p), p))
+    out = M.predictions_with_metrics(pred, M.daily_metrics(D.daily_means(p, counts=()), p))
     return rounded(out.select("date", "prediccion_aprobacion", "prediccion_desaprobacion",
                               *M.METRIC_COLUMNS))
 
@@ -240,5 +241,4 @@ def _sql_report() -> str:
 @register("kpi_report", _sql_report())
 def q_kpi_report(spark, d):
     p = fx.posts(spark, d)
-    pm = M.predictions_with_metrics(fx.predictions(spark, d, p), M.daily_metrics(D.daily_means(p), p))
-    return rounded(K.kpi_latest(pm, REPORT_COLS))
+    return rounded(DR.kpi_report(p, fx.predictions(spark, d, p), REPORT_COLS))

@@ -60,7 +60,7 @@ UPSERT_SPLIT = ("2024-01-20", "2024-01-18")
     f"WHERE date >= DATE '{UPSERT_SPLIT[1]}') u",
     posts=fx.SQL_POSTS, stats=sql_stats(), daily=sql_daily(weighted=False)))
 def q_upsert_days(spark, d):
-    daily = D.daily_means(fx.posts(spark, d)).select("date", "score_negative")
+    daily = D.daily_means(fx.posts(spark, d), counts=()).select("date", "score_negative")
     existing = daily.where(F.col("date") <= F.lit(UPSERT_SPLIT[0]).cast("date")) \
                     .withColumn("batch", F.lit("existing"))
     fresh = daily.where(F.col("date") >= F.lit(UPSERT_SPLIT[1]).cast("date")) \
@@ -238,3 +238,26 @@ def q_reply_enrichment(spark, d):
     c = fx.conversation_posts(spark, d)
     out = RP.reply_enrichment(c.where(F.col("turn") > 0), c.where(F.col("turn") == 0))
     return out.select("id", "conv_id", "turn", "parent_tweet_id", "parent_text", "parent_createdAt")
+
+THREADS = dict(start="2024-01-01", end="2024-03-20", n=40)
+
+
+@register("author_harvest", with_ctes(
+    "SELECT r.id, r.conv_id, r.turn, p.id AS parent_tweet_id, p.text AS parent_text, "
+    "p.createdAt AS parent_createdAt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id "
+    "ORDER BY createdAt DESC, id DESC) AS rn FROM cp WHERE turn > 0 AND conv_id IN (SELECT conv_id FROM h)) r "
+    "LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id "
+    "ORDER BY createdAt, id) AS prn FROM h) y WHERE prn = 1) p ON p.conv_id = r.conv_id WHERE r.rn <= 3",
+    cp=fx.SQL_CONVERSATION_POSTS,
+    w="SELECT CAST(ws AS DATE) AS window_start, CAST(least(ws + INTERVAL 1 MONTH, "
+      f"DATE '{THREADS['end']}') AS DATE) AS window_end FROM (SELECT unnest(generate_series("
+      f"DATE '{THREADS['start']}', DATE '{THREADS['end']}', INTERVAL 1 MONTH)) AS ws) g "
+      f"WHERE ws < DATE '{THREADS['end']}'",
+    h="SELECT * FROM (SELECT cp.*, row_number() OVER (PARTITION BY cp.role, w.window_start "
+      "ORDER BY cp.createdAt DESC, cp.id DESC) AS rn FROM cp JOIN w ON CAST(cp.createdAt AS DATE) >= w.window_start "
+      f"AND CAST(cp.createdAt AS DATE) < w.window_end WHERE cp.turn = 0) x WHERE rn <= {THREADS['n']}"))
+def q_author_harvest(spark, d):
+    c = fx.conversation_posts(spark, d)
+    out = RP.harvest_with_replies(c.where(F.col("turn") == 0), c.where(F.col("turn") > 0),
+                                  author="role", n_replies=3, **THREADS)
+    return out.select("id", "conv_id", "turn", "parent_tweet_id", "parent_text", "parent_createdAt")

@@ -31,8 +31,8 @@ def _doubled_events_stream(spark, d):
 @register("stream_dedup", with_ctes("SELECT id, createdAt FROM posts", posts=fx.SQL_POSTS))
 def q_stream_dedup(spark, d):
     base = scratch_path(spark, "stream_dedup")
-    q = ST.stream_dedup(_doubled_events_stream(spark, d)).select("id", "createdAt")
-    ST.run_available_now(q, f"{base}/ckpt", sink_path=f"{base}/out")
+    q = _doubled_events_stream(spark, d).select("id", "createdAt")
+    ST.run_available_now(q, f"{base}/ckpt", foreach_batch=ST.dedup_sink(f"{base}/out"))
     out = spark.read.parquet(f"{base}/out")
     return out.select("id", F.col("createdAt").cast("timestamp_ntz").alias("createdAt"))
 

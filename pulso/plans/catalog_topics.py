@@ -10,7 +10,9 @@ from ..functions.text import TOKEN
 from ..operators import terms as TM
 from ..operators import topics as TP
 from ..operators import vectors as V
+from ..session import scratch_path
 from ..sources import fixtures as fx
+from . import daily_run as DR
 from . import sql_text as S
 from .registry import NUDGE, r, register, rounded, with_ctes
 
@@ -43,15 +45,15 @@ SQL_EMBED = with_ctes(
 @register("embed_posts", SQL_EMBED, headline=True)
 def q_embed_posts(spark, d):
     cp = TM.clean_posts(fx.text_posts(spark, d)).select("id", "text")
-    out = V.embed_posts_hashed(cp, fx.table(spark, d, "embeddings"), EMB_DIM)
+    out = V.embed_posts_hashed(cp, fx.table(spark, d, "embeddings"), EMB_DIM, max_tokens=50)
     return out.select("id", _round_array("embedding").alias("embedding"))
 
 
-@register("daily_embedding_mean", with_ctes(
+@register("mean_vector_long", with_ctes(
     "SELECT label, pos, " + r("avg(CAST(val AS DOUBLE))", 5) + " AS value FROM ("
     "SELECT label, unnest(embedding) AS val, unnest(range(0, len(embedding))) AS pos "
     "FROM embeddings) x GROUP BY label, pos"))
-def q_daily_embedding_mean(spark, d):
+def q_mean_vector_long(spark, d):
     e = fx.table(spark, d, "embeddings")
     out = V.mean_vector_long(e, ["label"])
     return out.select("label", F.col("pos").cast("bigint").alias("pos"),
@@ -145,7 +147,8 @@ def _assigned(spark, d):
 
 
 def _share(spark, d):
-    return TP.topic_share(TP.label_topics(_assigned(spark, d), fx.topic_labels(spark)))
+    return DR.topics_by_candidate(_topic_docs(spark, d), fx.seeds(spark), fx.topic_labels(spark),
+                                  min_size=MIN_TOPIC_SIZE)
 
 
 @register("seed_topics", with_ctes("SELECT id, candidate, topic FROM assigned", **_seed_sql_ctes()),
@@ -245,18 +248,45 @@ SQL_PREPROCESS = with_ctes(
         "FROM embeddings) p ON p.vec_id = tv.vec_id GROUP BY o.id, p.pos) x GROUP BY id")
 
 
-@register("preprocess_pipeline", SQL_PREPROCESS)
-def q_preprocess_pipeline(spark, d):
-    from .preprocess import preprocess
+def _preprocessed(spark, d):
+    """Posts of one id twice and a stored table are part of the case: rows of
+    ``doc_id % 3 = 0`` are flagged already, a third of the others is stored already."""
+    from .preprocess import hashed_embedder, lexicon_scorer, preprocess
 
     raw = fx.text_posts(spark, d).withColumn("processed", F.col("doc_id") % 3 == 0)
-    res = preprocess(raw.select("id", "text", "processed"), fx.lexicon(spark),
-                     fx.table(spark, d, "embeddings"), EMB_DIM)
-    out = res.new_rows.select("id", "text", "sentiment_label", "score_label", "score_negative",
-                              "score_neutral", "score_positive", "embedding")
+    stored = (raw.where((F.col("doc_id") % 3 == 1) & (F.col("line_no") % 3 == 0))
+              .select("id", F.lit("stored").alias("text")))
+    return preprocess(raw.select("id", "text", "processed"), lexicon_scorer(fx.lexicon(spark)),
+                      hashed_embedder(fx.table(spark, d, "embeddings"), EMB_DIM), stored=stored,
+                      out=scratch_path(spark, "preprocess"))
+
+
+@register("preprocess_pipeline", SQL_PREPROCESS)
+def q_preprocess_pipeline(spark, d):
+    out = _preprocessed(spark, d).new_rows.select(
+        "id", "text", "sentiment_label", "score_label", "score_negative",
+        "score_neutral", "score_positive", "embedding")
     return rounded(out).withColumn("embedding", _round_array("embedding"))
 
 
+SQL_STORED = "SELECT id FROM tp WHERE doc_id % 3 = 1 AND line_no % 3 = 0"
+
+
+@register("preprocess_processed", lambda: with_ctes(
+    "SELECT id, 'stored' AS text, CAST(NULL AS VARCHAR) AS sentiment_label FROM stored UNION ALL "
+    "SELECT id, text, sentiment_label FROM (" + SQL_PREPROCESS + ") n WHERE id NOT IN (SELECT id FROM stored)",
+    tp=fx.SQL_TEXT_POSTS, stored=SQL_STORED))
+def q_preprocess_processed(spark, d):
+    return _preprocessed(spark, d).processed.select("id", "text", "sentiment_label")
+
+
+@register("preprocess_flags", lambda: with_ctes(
+    "SELECT id, (doc_id % 3 = 0) OR clean IS NOT NULL AS processed FROM (SELECT id, doc_id, "
+    + S.clean_post_text("text") + " AS clean FROM tp) x", tp=fx.SQL_TEXT_POSTS))
+def q_preprocess_flags(spark, d):
+    return _preprocessed(spark, d).raw.select("id", "processed")
+
+
 @register("score_sentiment_plugin", ORACLE_LEXICON)
 def q_score_sentiment_plugin(spark, d):
     from ..operators.plugin import external_sentiment, lexicon_model

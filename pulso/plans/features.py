@@ -17,6 +17,7 @@ from ..operators.daily import (ENGAGEMENT, SCORES, daily_aggregate, forward_fill
 from ..operators.polls import poll_calendar, with_polls
 from ..operators.scaling import RobustStats, fit_robust
 from ..operators.state import replace_days
+from ..operators.vectors import daily_embedding_mean
 
 POLL_NAMES = (("aprobacion", "approval"), ("desaprobacion", "disapproval"))
 
@@ -40,10 +41,14 @@ def feature_columns(keys=(), score_lag_n: int = 7) -> dict:
 
 
 def daily_features(posts: DataFrame, polls: DataFrame, keys=(), existing: DataFrame | None = None,
-                   stats: RobustStats | None = None) -> DataFrame:
-    """The feature table, one row per (keys, day)."""
+                   stats: RobustStats | None = None, embedding: str | None = None) -> DataFrame:
+    """The feature table, one row per (keys, day). ``embedding`` names a vector
+    column of ``posts``: its mean per day is added under that name (an array, null on
+    a day without vectors), joined as one row per day."""
     stats = stats or fit_robust(posts, ENGAGEMENT)
     daily = daily_aggregate(posts, keys, stats)
+    if embedding:
+        daily = daily.join(daily_embedding_mean(posts, keys, embedding), [*keys, "date"], "left")
     feat = with_polls(daily, poll_calendar(polls))
     feat = feat.withColumns(feature_columns(keys))
     feat = forward_fill(feat, [f"{nm}_rolling_7d" for _, nm in POLL_NAMES], keys)

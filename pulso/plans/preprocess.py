@@ -1,19 +1,19 @@
 """Preprocessing of newly collected posts.
 
 unprocessed (S11) -> clean text, drop rows out of bounds (X6) -> sentiment
-(M1, lexicon or any scorer adding the five columns) -> embedding (M2) ->
-append to the processed table with id dedup (S3) -> flag the surviving ids
-in the raw table (S12). Posts dropped by cleaning stay unflagged and are
-retried next run, as in the reference.
-
-Returns the new processed rows and the re-flagged raw table; writing them
-(staged outputs, S14) is the caller's ``write_table``. The scored frame is
-the input of both the embedding and the id flagging, so with
-``materialize=True`` it is checkpointed once to the shared checkpoint folder.
+(M1, any scorer adding the five columns) -> embedding (M2) -> append to the
+processed table with id dedup (S3) -> flag the ids in the raw table (S12). Posts
+dropped by cleaning stay unflagged and are retried next run, as in the reference,
+unless ``mark_dropped`` is set.
+
+With ``out`` given, every stage is written (S14) below that path (``cleaned``,
+``scored``, ``embedded``, ``processed``, ``raw``) and the next one reads what was
+written, so no stage is computed twice and a lost executor costs one stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,7 +22,12 @@ from ..functions.sentiment import lexicon_sentiment
 from ..operators.state import append_dedup, mark_processed, unprocessed
 from ..operators.terms import clean_posts
 from ..operators.vectors import embed_posts_hashed
-from ..session import reliable_checkpoint
+from ..sources.tables import write_table
+
+#: Stages that ``preprocess`` writes, in order.
+STAGES = ("cleaned", "scored", "embedded", "processed", "raw")
+
+Step = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
@@ -32,14 +37,30 @@ class Preprocessed:
     raw: DataFrame           # raw table with the processed flag updated
 
 
-def preprocess(raw: DataFrame, lexicon: DataFrame, vectors: DataFrame, dim: int,
-               stored: DataFrame | None = None, key: str = "id", text: str = "text",
-               materialize: bool = False) -> Preprocessed:
-    todo = unprocessed(raw)
-    cleaned = clean_posts(todo, col=text)
-    scored = lexicon_sentiment(cleaned, lexicon, text=text, key=key)
-    if materialize:
-        scored = reliable_checkpoint(scored)
-    embedded = embed_posts_hashed(scored, vectors, dim, text=text, key=key)
-    return Preprocessed(embedded, append_dedup(stored, embedded, key=key),
-                        mark_processed(raw, scored.select(key), key=key))
+def lexicon_scorer(lexicon: DataFrame, text: str = "text") -> Step:
+    """A scorer for ``preprocess``: summed word logits (M1)."""
+    return lambda df: lexicon_sentiment(df, lexicon, text=text)
+
+
+def hashed_embedder(vectors: DataFrame, dim: int, text: str = "text") -> Step:
+    """An embedder for ``preprocess``: mean of hashed token vectors (M2)."""
+    return lambda df: embed_posts_hashed(df, vectors, dim, text=text)
+
+
+def preprocess(raw: DataFrame, scorer: Step, embedder: Step, stored: DataFrame | None = None,
+               key: str = "id", text: str = "text", out: str | None = None,
+               mark_dropped: bool = False) -> Preprocessed:
+    """``scorer`` adds the five sentiment columns (``lexicon_scorer``, ``ml_sentiment``,
+    ``external_sentiment``, ...), ``embedder`` the vector column."""
+    def stage(name: str, df: DataFrame) -> DataFrame:
+        if out is None:
+            return df
+        write_table(df, f"{out}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{out}/{name}")
+
+    cleaned = stage("cleaned", clean_posts(unprocessed(raw), col=text))
+    scored = stage("scored", scorer(cleaned))
+    embedded = stage("embedded", embedder(scored))
+    return Preprocessed(
+        embedded, stage("processed", append_dedup(stored, embedded, key=key)),
+        stage("raw", mark_processed(raw, cleaned.select(key), key=key, mark_dropped=mark_dropped)))

@@ -41,6 +41,13 @@ def empty(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in float and double columns as null (pandas skips NaN; Spark's
+    aggregates and null tests do not)."""
+    cols = [f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")]
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in cols}) if cols else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,20 +2,22 @@
 
 The reference keeps manual state between daily runs: a ``processed`` flag,
 pending days, whole-day replacement. Here the same work runs as streaming
-queries over a file source, with checkpointed offsets in place of the flag:
+queries over a file source, with checkpointed offsets in place of the flag.
+Posts may arrive any time late; nothing is dropped by a watermark.
 
-* R1 ``stream_dedup``: watermark + ``dropDuplicatesWithinWatermark`` on id;
+* R1 ``dedup_sink``: each micro-batch is deduplicated by id against the stored
+  posts and appended (first arrival wins);
 * R2 ``stream_clean``: stateless cleaning of new posts only;
-* R3 ``stream_daily_means``: tumbling one-day windows, update mode, each
-  micro-batch's updated windows upserted into a table;
-* R4 ``upsert_days_sink``: ``foreachBatch`` that appends new posts to the
-  raw table (anti-join on id) and recomputes the touched days from it, then
-  replaces exactly those day partitions (dynamic partition overwrite).
-  Posts later than the watermark still reach the raw table and their day
-  is recomputed, so late data is never lost.
-
-Every query runs with a checkpoint under the shared checkpoint folder, so a
-restarted driver or lost executor resumes from the last committed batch.
+* R3 ``stream_daily_means``: tumbling one-day windows in update mode; the state
+  is one row per day, so all days stay open; each micro-batch's updated windows
+  are appended and the newest value per day is read;
+* R4 ``upsert_days_sink``: appends new posts to the raw table (anti-join on id),
+  recomputes the days of the incoming batch from it and replaces exactly those
+  day partitions (dynamic partition overwrite).
+
+Every sink may be handed the same batch again after a crash at any point: appended
+posts are found stored, and the days are taken from the whole incoming batch, so
+their recomputation is not lost. Checkpoints stand under the shared folder.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from ..functions.text import clean_post_text
 from ..operators.daily import SCORES
 from ..operators.state import dedup_first
 from ..session import reliable_checkpoint
-from ..sources.tables import path_exists
+from ..sources.tables import nan_to_null, path_exists
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
@@ -40,11 +42,17 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return r.load(path)
 
 
-def stream_dedup(sdf: DataFrame, delay: str = "2 days", key: str = "id",
-                 ts: str = "createdAt") -> DataFrame:
-    """Drop repeated ids seen within the watermark delay. ``ts`` must be
-    a ``timestamp`` (not ``timestamp_ntz``) column."""
-    return sdf.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+def dedup_sink(path: str, key: str = "id", order=("createdAt",)):
+    """``foreachBatch`` function appending the batch's posts whose id is not
+    stored in ``path`` yet; repeated ids within the batch keep the first by ``order``."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = dedup_first(batch, key, order=order)
+        if path_exists(spark, path):
+            spark.catalog.refreshByPath(path)
+            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+        fresh.write.mode("append").parquet(path)
+    return sink
 
 
 def stream_clean(sdf: DataFrame, text: str = "text", **kw) -> DataFrame:
@@ -53,10 +61,11 @@ def stream_clean(sdf: DataFrame, text: str = "text", **kw) -> DataFrame:
     return with_non_null(sdf, clean_post_text(text, **kw), text)
 
 
-def stream_daily_means(sdf: DataFrame, delay: str = "2 days", ts: str = "createdAt",
-                       scores=SCORES) -> DataFrame:
-    """Per one-day tumbling window, the mean of each score and the count."""
-    return (sdf.withWatermark(ts, delay)
+def stream_daily_means(sdf: DataFrame, ts: str = "createdAt", scores=SCORES) -> DataFrame:
+    """Per one-day tumbling window, the mean of each score and the count. For
+    update mode; without a watermark no window closes, and the state grows by one row
+    a day only. ``ts`` must be a ``timestamp`` column."""
+    return (nan_to_null(sdf)
             .groupBy(F.window(ts, "1 day").alias("w"))
             .agg(*[F.avg(c).alias(c) for c in scores], F.count(F.lit(1)).alias("n_posts"))
             .select(F.to_date(F.col("w.start")).alias("date"), *scores, "n_posts"))
@@ -105,7 +114,10 @@ def upsert_days_sink(raw_path: str, out_path: str, key: str = "id", aggregate=da
     rewritten."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("date", F.to_date("createdAt"))
+        fresh = nan_to_null(batch).withColumn("date", F.to_date("createdAt"))
+        # the days of the whole batch, before posts already stored are left out: a batch
+        # that is replayed after the append still recomputes its days. A handful of dates.
+        days = [r[0] for r in fresh.select("date").distinct().collect() if r[0] is not None]
         if path_exists(spark, raw_path):
             existing = spark.read.parquet(raw_path)
             fresh = fresh.join(existing.select(key), key, "left_anti")
@@ -114,12 +126,14 @@ def upsert_days_sink(raw_path: str, out_path: str, key: str = "id", aggregate=da
         # A reliable checkpoint in the shared folder also survives executor loss.
         new = reliable_checkpoint(dedup_first(fresh, key, order=("createdAt",)))
         new.write.mode("append").partitionBy("date").parquet(raw_path)
-        touched = new.select("date").distinct()
         # the append added files under existing day folders: drop any cached
         # listing of the path before reading it back
         spark.catalog.refreshByPath(raw_path)
         raw = spark.read.parquet(raw_path)
-        days = aggregate(raw.join(touched, "date", "left_semi"))
-        (days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        if not days:
+            return
+        # literal dates: only these partitions are listed and read
+        touched = aggregate(raw.where(F.col("date").isin(days)))
+        (touched.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("date").parquet(out_path))
     return sink

@@ -83,3 +83,60 @@ def test_stream_upsert_late_data_and_restart(spark, sf001):
     bad = [(a, b) for a, b in zip(second, want) if a != b]
     assert not bad, bad[:3]
     assert second == third
+
+
+def _post(i, day, pos=0.5):
+    import datetime as dt
+    return (str(i), dt.datetime(2024, 1, day, 10), pos, 0.2, 0.3)
+
+
+POST = "id string, createdAt timestamp, score_positive double, score_negative double, score_neutral double"
+
+
+def test_late_posts_are_kept_by_every_stream(spark):
+    """A second file brings a post ten days late and a repeated id."""
+    from pulso.operators.daily import SCORES
+    from pulso.session import scratch_path
+    from pulso.streaming import posts as ST
+
+    base = scratch_path(spark, "stream_late")
+    first = spark.createDataFrame([_post(1, 20), _post(2, 20, 0.7)], POST)
+    late = spark.createDataFrame([_post(3, 10), _post(1, 20, 0.9), _post(4, 20, 0.3)], POST)
+
+    def run(sink, name, make=lambda s: s, mode="append"):
+        q = make(ST.read_stream(spark, f"{base}/src/*", first.schema))
+        ST.run_available_now(q, f"{base}/ckpt-{name}", foreach_batch=sink, mode=mode)
+
+    for part, df in (("a", first), ("b", late)):
+        df.write.parquet(f"{base}/src/{part}")
+        run(ST.dedup_sink(f"{base}/ids"), "ids")
+        run(ST.window_upsert_sink(f"{base}/windows"), "windows", ST.stream_daily_means, "update")
+        run(ST.upsert_days_sink(f"{base}/raw", f"{base}/days"), "days")
+    assert sorted(r.id for r in spark.read.parquet(f"{base}/ids").collect()) == ["1", "2", "3", "4"]
+    windows = {r.date.day: (r.n_posts, round(r.score_positive, 9)) for r in ST.latest_windows(spark, f"{base}/windows").collect()}
+    assert windows == {10: (1, 0.5), 20: (4, round((0.5 + 0.7 + 0.9 + 0.3) / 4, 9))}
+    days = {r.date.day: (r.n_posts, round(r.score_positive, 9)) for r in spark.read.parquet(f"{base}/days").select(
+        "date", *SCORES, "n_posts").collect()}
+    assert days == {10: (1, 0.5), 20: (3, 0.5)}
+
+
+def test_a_batch_replayed_after_a_crash_still_updates_its_days(spark):
+    """The driver dies between the append and the day table; the batch comes again."""
+    import pytest
+
+    from pulso.session import scratch_path
+    from pulso.streaming import posts as ST
+
+    base = scratch_path(spark, "stream_crash")
+
+    def die(raw):
+        raise RuntimeError("driver lost")
+
+    good = ST.upsert_days_sink(f"{base}/raw", f"{base}/days")
+    good(spark.createDataFrame([_post(1, 5)], POST), 0)
+    batch = spark.createDataFrame([_post(2, 5, 0.9), _post(3, 6)], POST)
+    with pytest.raises(RuntimeError):
+        ST.upsert_days_sink(f"{base}/raw", f"{base}/days", aggregate=die)(batch, 1)
+    good(batch, 1)
+    assert spark.read.parquet(f"{base}/raw").count() == 3
+    assert {r.date.day: r.n_posts for r in spark.read.parquet(f"{base}/days").collect()} == {5: 2, 6: 1}

@@ -17,13 +17,11 @@ def _one(df, col):
 
 
 def test_weighted_mean(spark):
-    df = spark.createDataFrame([(0.2, 1), (0.5, 2), (0.8, 3)], "v double, w int")
-    assert _one(df.agg(D.weighted_mean("v", "w").alias("m")), "m") == pytest.approx(3.6 / 6)
+    assert _weighted_one(spark, [(0.2, 1), (0.5, 2), (0.8, 3)], "v double, w int") == pytest.approx(3.6 / 6)
 
 
 def test_zero_weights_fall_back_to_mean(spark):
-    df = spark.createDataFrame([(0.2, 0), (0.5, 0), (0.8, 0)], "v double, w int")
-    assert _one(df.agg(D.weighted_mean("v", "w").alias("m")), "m") == pytest.approx(0.5)
+    assert _weighted_one(spark, [(0.2, 0), (0.5, 0), (0.8, 0)], "v double, w int") == pytest.approx(0.5)
 
 
 def _weighted_one(spark, rows, schema="v double, w double"):
@@ -153,15 +151,61 @@ def test_with_polls_left_join_keeps_days(spark):
     assert [r.aprobacion for r in out] == [0.3, None, None]
 
 
-def test_robust_fit_switches_to_approx_for_wide_columns(spark, monkeypatch):
+def test_quartiles_are_exact_at_any_size(spark, monkeypatch):
+    """Against numpy on skewed, negative, constant, fractional and nearly empty columns;
+    few buckets force many passes."""
+    import numpy as np
+
+    from pulso.operators import scaling as SC
+    g = np.random.default_rng(5)
+    cols = {"a": g.pareto(1, 3000) * 1e6, "b": g.integers(-3, 4, 3000).astype(float), "c": np.full(3000, 7.0),
+            "d": np.where(np.arange(3000) == 17, 2.5, np.nan), "e": g.normal(size=3000), "f": np.full(3000, np.nan)}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*cols.values())],
+                               ", ".join(f"{c} double" for c in cols))
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    for buckets in (1024, 4):
+        monkeypatch.setattr(SC, "BUCKETS", buckets)
+        got = SC.order_statistics(df, list(cols), probs)
+        for c, v in cols.items():
+            v = v[~np.isnan(v)]
+            assert got[c] == (pytest.approx(list(np.quantile(v, probs)), rel=1e-12) if len(v) else [None] * 6)
+    ids = spark.range(0, 1000).select(F.col("id").cast("double").alias("x"))
+    stats = SC.fit_robust(ids, ["x"])
+    assert (stats.center("x"), stats.scale("x")) == (499.5, 499.5)
+    asked = SC.fit_robust(ids, ["x"], approx=True)
+    assert asked.center("x") == pytest.approx(499.5, abs=1.0)
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    rows = [(D0, 0.2, nan, 1.0), (D0, nan, 0.4, nan), (D0, 0.6, 0.4, 3.0)]
+    df = spark.createDataFrame(rows, "date date, score_positive double, score_negative double, likeCount double")
+    out = D.daily_means(df, scores=("score_positive", "score_negative"), counts=("likeCount",),
+                        stats=RobustStats({"likeCount": 0.0}, {"likeCount": 1.0})).first()
+    assert (out.score_positive, out.score_negative, out.likeCount) == (
+        pytest.approx(0.4), pytest.approx(0.4), pytest.approx(2.0))
+
+
+def test_scores_alone_fit_no_scaler(spark, monkeypatch):
+    def refuse(*a, **k):
+        raise AssertionError("a pass over the posts that the result does not use")
+
     from pulso.operators import scaling as SC
-    df = spark.range(1, 1001).select(F.col("id").cast("double").alias("x"))
-    exact = SC.fit_robust(df, ["x"])
-    monkeypatch.setattr(SC, "MAX_EXACT_DISTINCT", 10)
-    approx = SC.fit_robust(df, ["x"])
-    assert exact.center("x") == pytest.approx(500.5)
-    assert approx.center("x") == pytest.approx(500.5, abs=1.0)
-    assert approx.scale("x") == pytest.approx(exact.scale("x"), abs=2.0)
+    monkeypatch.setattr(SC, "order_statistics", refuse)
+    df = spark.createDataFrame([(D0, 0.1, 0.2, 0.7)], "date date, score_positive double, score_negative double, score_neutral double")
+    assert D.daily_means(df, counts=()).first().score_neutral == pytest.approx(0.7)
+
+
+def test_features_carry_the_mean_embedding(spark):
+    from pulso.plans.features import daily_features
+    day = dt.timedelta(1)
+    rows = [(str(i), D0 + day * (i // 2), 0.1, 0.2, 0.7, 1, 1, 1, i, [float(i), 1.0] if i != 3 else None) for i in range(6)]
+    posts = spark.createDataFrame(rows, "id string, date date, score_positive double, score_negative double, "
+                                  "score_neutral double, retweetCount long, replyCount long, likeCount long, "
+                                  "quoteCount long, embedding array<double>")
+    polls = spark.createDataFrame([(D0, 0.3, 0.6)], "date date, aprobacion double, desaprobacion double")
+    out = {r.date: r.embedding for r in daily_features(posts, polls, embedding="embedding").collect()}
+    assert out == {D0: [0.5, 1.0], D0 + day: [2.0, 1.0], D0 + 2 * day: [4.5, 1.0]}
 
 
 def test_poll_calendar_join_is_broadcast(spark, sf001):

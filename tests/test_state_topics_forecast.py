@@ -46,6 +46,22 @@ def test_append_dedup_existing_wins_and_is_idempotent(spark):
     assert ST.append_dedup(None, new).count() == 2
 
 
+def test_append_dedup_is_unique_from_the_first_write(spark):
+    schema = "id string, v string"
+    first = ST.append_dedup(None, spark.createDataFrame([("1", "a"), ("1", "b"), (None, "x"), (None, "y")], schema))
+    assert sorted(map(str, map(tuple, first.collect()))) == ["('1', 'a')", "(None, 'x')"]
+    then = ST.append_dedup(first, spark.createDataFrame([("1", "c"), ("2", "d"), (None, "z")], schema))
+    assert sorted(((r.id or ""), r.v) for r in then.collect()) == [("", "x"), ("1", "a"), ("2", "d")]
+
+
+def test_mark_dropped(spark):
+    raw = spark.createDataFrame([("1", False), ("2", False), ("3", True), ("4", None)], "id string, processed boolean")
+    done = raw.where("id = '1'")
+    flags = lambda df: {r.id: r.processed for r in df.collect()}
+    assert flags(ST.mark_processed(raw, done)) == {"1": True, "2": False, "3": True, "4": None}
+    assert flags(ST.mark_processed(raw, done, mark_dropped=True)) == {"1": True, "2": True, "3": True, "4": None}
+
+
 def test_append_dedup_int_and_string_ids_after_cast(spark):
     ex = spark.createDataFrame([(1, 10)], "id long, likes long").withColumn("id", F.col("id").cast("string"))
     new = spark.createDataFrame([("1", 99)], "id string, likes long")
@@ -120,10 +136,19 @@ def test_embedding_length_and_zero_vector(spark):
     assert out2["1"] == pytest.approx(out["1"])
 
 
-@pytest.mark.parametrize("literal", [True, False])
-def test_seed_topics_ties_and_min_size(spark, monkeypatch, literal):
-    if not literal:                      # force the broadcast-join path
-        monkeypatch.setattr(TP, "MAX_LITERAL_SEEDS", 0)
+def test_seed_topics_null_text_and_shared_ids(spark):
+    """One plan whatever the number of seeds: a row in, a row out."""
+    docs = spark.createDataFrame(
+        [("1", "afp"), ("1", "salud"), ("2", None), ("3", ""), ("4", "afp"), (None, "salud salud afp")],
+        "id string, clean_text string")
+    seeds = [(0, "afp"), (1, "salud")]
+    for more in (0, 300):
+        sd = spark.createDataFrame(seeds + [(i + 2, f"nada{i}") for i in range(more)], "seed_id int, keyword string")
+        got = sorted(((r.id or ""), r.topic) for r in TP.seed_topics(docs, sd, min_size=1).collect())
+        assert got == [("", 1), ("1", 0), ("1", 1), ("2", -1), ("3", -1), ("4", 0)]
+
+
+def test_seed_topics_ties_and_min_size(spark):
     seeds = TP.clean_seeds(spark.createDataFrame(
         [(0, "AFP"), (1, "reforma de pensiones"), (1, "afp"), (2, "salud")], "seed_id int, keyword string"),
         stop=("de",))
@@ -143,7 +168,9 @@ def test_topic_share_sums_to_100(spark):
     sums = {r.candidate: r.s for r in share.groupBy("candidate").agg(F.sum("share").alias("s")).collect()}
     assert sums["a"] == pytest.approx(100.0) and sums["b"] == pytest.approx(100.0)
     labels = spark.createDataFrame([(0, "x"), (1, "y"), (-1, "Otros")], "topic_id int, label string")
-    m = {r.label: r for r in TP.topic_matrix(share, labels, ["a", "b"]).collect()}
+    with pytest.raises(ValueError, match="not listed"):
+        TP.topic_matrix(share, labels, ["a"])
+    m = {r.label: r for r in TP.topic_matrix(share, labels).collect()}
     assert set(m) == {"x", "y"} and m["y"].a == 0.0 and m["y"].b == pytest.approx(100.0)
     norm = {(r.candidate, r.label): r.share_norm for r in TP.topic_profile_norm(share).collect()}
     assert norm[("a", "x")] == pytest.approx(1.0)
@@ -157,6 +184,19 @@ def test_centroid_topics(spark):
     assert got[2] == 1 and got[3] == -1
 
 
+def test_centroid_blocks_equal_one_matrix(spark, monkeypatch):
+    rows = [(i, [float(i % 5 - 2), float(i % 3 - 1)], i % 4) for i in range(30)] + [(99, None, 0), (98, [0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    cents = spark.createDataFrame([(t, [float(t), 1.0 - t]) for t in range(-3, 4)], "topic_id int, centroid array<double>")
+
+    def run():
+        return sorted((r.vec_id, r.topic, round(r.similarity, 9)) for r in TP.centroid_topics(df, cents, 0.3).collect())
+    whole = run()
+    monkeypatch.setattr(TP, "BLOCK_NUMBERS", 4)             # two centroids a block
+    assert run() == whole
+    assert (98, -1, -2.0) in whole and (99, -1, -2.0) in whole
+
+
 def _feature_frame(spark, n=40, with_nulls=False):
     rows = []
     for i in range(n):
@@ -206,19 +246,43 @@ def test_csv_roundtrip_and_missing_table(spark):
 
 
 def test_preprocess_flags_only_survivors(spark):
-    from pulso.plans.preprocess import preprocess
+    from pulso.plans.preprocess import STAGES, hashed_embedder, lexicon_scorer, preprocess
     raw = spark.createDataFrame(
         [("1", "buen dia para todos los vecinos", False), ("2", "corto", False),
          ("3", "ya procesado antes hoy mismo", True)], "id string, text string, processed boolean")
     lex = spark.createDataFrame([("buen", 0.0, 0.0, 1.0)], "word string, neg double, neu double, pos double")
     vecs = spark.createDataFrame([(i, [float(i)] * 4) for i in range(3)], "vec_id long, embedding array<double>")
-    res = preprocess(raw, lex, vecs, 4)
+    out = scratch_path(spark, "p1")
+    res = preprocess(raw, lexicon_scorer(lex), hashed_embedder(vecs, 4), out=out)
+    assert all(TB.path_exists(spark, f"{out}/{s}") for s in STAGES)
     new = {r.id: r for r in res.new_rows.collect()}
     assert set(new) == {"1"} and new["1"].sentiment_label == "Positive" and len(new["1"].embedding) == 4
     flags = {r.id: r.processed for r in res.raw.collect()}
     assert flags == {"1": True, "2": False, "3": True}     # "2" was dropped by cleaning: retried later
 
 
+def test_any_scorer_fits_the_pipeline(spark):
+    from pulso.operators.plugin import external_sentiment, lexicon_model
+    from pulso.operators.scorer import fit_text_classifier, ml_sentiment
+    from pulso.plans.preprocess import hashed_embedder, preprocess
+    texts = ["muy buen dia vecinos todos", "terrible pesima mala jornada", "jornada normal calle centro"]
+    raw = spark.createDataFrame([(str(i), texts[i % 3], False) for i in range(12)], "id string, text string, processed boolean")
+    vecs = spark.createDataFrame([(i, [float(i)] * 2) for i in range(3)], "vec_id long, embedding array<double>")
+    train = spark.createDataFrame([(t, float(k)) for k, t in ((2, texts[0]), (0, texts[1]), (1, texts[2]))] * 5,
+                                  "text string, label double")
+    model = fit_text_classifier(train)
+    for scorer in (lambda df: ml_sentiment(df, model),
+                   lambda df: external_sentiment(df, lexicon_model([("buen", 0.0, 0.0, 3.0), ("terrible", 3.0, 0.0, 0.0),
+                                                                    ("normal", 0.0, 3.0, 0.0)]))):
+        rows = preprocess(raw, scorer, hashed_embedder(vecs, 2)).new_rows.collect()
+        assert {(int(r.id) % 3, r.sentiment_label) for r in rows} == {(0, "Positive"), (1, "Negative"), (2, "Neutral")}
+        for r in rows:
+            assert r.score_negative + r.score_neutral + r.score_positive == pytest.approx(1.0)
+            assert r.score_label == pytest.approx(max(r.score_negative, r.score_neutral, r.score_positive))
+    blank = ml_sentiment(spark.createDataFrame([(" ",), (None,)], "text string"), model).collect()
+    assert [(r.sentiment_label, r.score_label) for r in blank] == [("Neutral", 0.0)] * 2
+
+
 def test_range_check_and_required_columns(spark):
     from pulso.operators import daily as D
     from pulso.operators.kpi import date_range

@@ -119,6 +119,32 @@ def test_lexicon_sentiment(spark):
     assert out["3"].sentiment_label == "Neutral" and out["3"].score_label == 0.0
 
 
+def test_lexicon_sentiment_shared_ids_and_repeated_words(spark):
+    """Each row is scored by its own text; a word listed twice counts for both rows; the plan
+    is the same for a long lexicon."""
+    rows = [("bueno", 0.0, 0.0, 1.0), ("bueno", 0.0, 0.0, 1.0), ("malo", 1.5, 0.0, 0.0)]
+    df = spark.createDataFrame([("1", "bueno malo"), ("1", "malo"), (None, "malo"), ("2", None), ("3", "malo")],
+                               "id string, text string")
+    for more in (0, 2000):
+        lex = spark.createDataFrame(rows + [(f"w{i}", 9.0, 0.0, 0.0) for i in range(more)],
+                                    "word string, neg double, neu double, pos double")
+        got = sorted((r.id or "", r.text or "", r.sentiment_label) for r in lexicon_sentiment(df, lex).collect())
+        assert got == [("", "malo", "Negative"), ("1", "bueno malo", "Positive"), ("1", "malo", "Negative"),
+                       ("2", "", "Neutral"), ("3", "malo", "Negative")]
+
+
+def test_urls_end_at_every_space(spark):
+    """No-break and other wide spaces end a URL, as in Python: the next word stays."""
+    import re
+    from pulso.functions.text import clean_post_text, clean_topic_text
+    spaces = ["\u00a0", "\u2003", "\u3000", "\u2028", "\x0b", "\x85", " "]
+    rows = [(f"antes hoy www.sitio.cl/a?b=1{s}despues mucho http://x.cl{s}final ayer",) for s in spaces]
+    df = spark.createDataFrame(rows, "text string")
+    for clean in (clean_post_text, clean_topic_text):
+        for (text,), r in zip(rows, df.select("text", clean("text", stop=()).alias("c")).collect()):
+            assert r.c.split() == re.sub(r"http\S+|www\S+", "", text).split()
+
+
 def test_daily_terms_reference_case(spark):
     ts = dt.datetime(2025, 4, 15, 10)
     text = "boric presidente boric economía chile cambio futuro boric chile"
@@ -158,3 +184,7 @@ def test_external_model_plugin_matches_native(spark):
     native = {r.id: tuple(r)[2:] for r in lexicon_sentiment(df, lex).collect()}
     plug = {r.id: tuple(r)[2:] for r in external_sentiment(df, lexicon_model(rows)).collect()}
     assert plug == native
+    wide = df.withColumn("likeCount", F.lit(7)).withColumn("tags", F.array(F.lit("a")))
+    out = external_sentiment(wide, lexicon_model(rows))
+    assert out.columns[:4] == ["id", "text", "likeCount", "tags"]
+    assert {(r.likeCount, tuple(r.tags)) for r in out.collect()} == {(7, ("a",))}
