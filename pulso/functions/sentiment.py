@@ -75,16 +75,18 @@ def lexicon_sentiment(df, lexicon, text: str = "text"):
     of its rows; blank text is Neutral with zero scores. Returns ``df`` with the
     five sentiment columns added, row for row (ids may repeat).
 
-    One plan for lexicons of every size: the tokens of each distinct text join the
+    One plan for lexicons of every size: the tokens of each text join the
     lexicon (broadcast if AQE finds it small), and the summed logits are joined back.
     """
     from ..operators.per_text import TEXT_KEY, score_texts
     from .text import tokens
 
     def score(words):
-        logits = F.array(*[F.round(F.sum(F.col(c).cast("double")), 9) for c in ("neg", "neu", "pos")])
-        return (words.join(lexicon.select("word", "neg", "neu", "pos"), "word")
-                .groupBy(TEXT_KEY).agg(logits.alias("_logits")))
+        rows = F.count_if(F.col("_pos") == 0)                # posts with this very text
+        logits = F.array(*[F.round(F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) / rows, 9)
+                           for c in ("neg", "neu", "pos")])
+        known = lexicon.groupBy("word").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in ("neg", "neu", "pos")])
+        return words.join(known, "word", "left").groupBy(TEXT_KEY).agg(logits.alias("_logits"))
 
     j = score_texts(df, text, tokens(F.lower(F.col(text))), "word", score)
     zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))

@@ -1,4 +1,4 @@
-"""Scores that depend on a post's text alone, computed once per distinct text.
+"""Scores that depend on a post's text alone, one per distinct text.
 
 Posts and scores meet on a digest of the text, so ids may repeat or be missing,
 and a text that a third of all posts share is scored once. The score table is
@@ -18,13 +18,14 @@ from ..session import reliable_checkpoint
 TEXT_KEY = "_text_key"
 
 
-def distinct_units(df: DataFrame, text: str, units: Column, name: str) -> DataFrame:
-    """``(TEXT_KEY, name)``: the exploded ``units`` (an array of the text's tokens,
-    n-grams, ...) of every distinct text; null texts have none."""
+def units_of(df: DataFrame, text: str, units: Column, name: str) -> DataFrame:
+    """``(TEXT_KEY, _pos, name)``: the exploded ``units`` (an array of the text's tokens,
+    n-grams, ...) of every row's text; null texts have none. A text's units lie in one
+    task, so an aggregate by ``TEXT_KEY`` combines them before the shuffle. Equal texts
+    add up: scores divide by their number (rows at position 0) or don't depend on it."""
     key = F.md5(F.col(text))
-    one = (df.where(F.col(text).isNotNull()).select(key.alias(TEXT_KEY), units.alias("_units"))
-           .dropDuplicates([TEXT_KEY]))
-    return one.select(TEXT_KEY, F.explode("_units").alias(name))
+    return (df.where(F.col(text).isNotNull()).select(key.alias(TEXT_KEY), units.alias("_units"))
+            .select(TEXT_KEY, F.posexplode("_units").alias("_pos", name)))
 
 
 def attach(df: DataFrame, text: str, scores: DataFrame) -> DataFrame:
@@ -36,5 +37,6 @@ def attach(df: DataFrame, text: str, scores: DataFrame) -> DataFrame:
 
 def score_texts(df: DataFrame, text: str, units: Column, name: str,
                 score: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``df`` with what ``score`` makes of the exploded units of its distinct texts."""
-    return attach(df, text, score(distinct_units(df, text, units, name)))
+    """``df`` with what ``score`` makes of the exploded units of its texts. ``df`` is read
+    twice: write it first if it is dear to compute."""
+    return attach(df, text, score(units_of(df, text, units, name)))

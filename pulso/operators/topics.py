@@ -51,7 +51,7 @@ def seed_topics(docs: DataFrame, seeds: DataFrame, text: str = "clean_text", key
     without hits or text; topics with fewer than ``min_size`` posts become ``-1``.
     One row per input row, whether or not ids repeat.
 
-    One plan for seed lists of every size: the n-grams of each distinct text join
+    One plan for seed lists of every size: the n-grams of each text join
     the seeds (broadcast if AQE finds them small), hits are counted per text and
     seed, and the best seed of each text is joined back.
     """

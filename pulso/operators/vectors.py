@@ -40,7 +40,7 @@ def token_hash_bucket(token, n_buckets: int) -> Column:
 def _pool(df: DataFrame, text: str, max_tokens: int | None, lookup, dim: int, out: str) -> DataFrame:
     """Mean of the matched token vectors of each post's text, zero without any match.
 
-    Only a text digest and the tokens of distinct texts are exploded; ``lookup``
+    Only a text digest and the tokens are exploded; ``lookup``
     joins their vectors (``_v``), which are summed by Spark ML's ``Summarizer``, and
     one vector per distinct text is joined back. Rows keep their other columns
     without sending them through the aggregate, and ids may repeat.

@@ -10,7 +10,7 @@ from ..functions.text import TOKEN
 from ..operators import terms as TM
 from ..operators import topics as TP
 from ..operators import vectors as V
-from ..session import scratch_path
+from ..session import reliable_checkpoint, scratch_path
 from ..sources import fixtures as fx
 from . import daily_run as DR
 from . import sql_text as S
@@ -44,7 +44,8 @@ SQL_EMBED = with_ctes(
 
 @register("embed_posts", SQL_EMBED, headline=True)
 def q_embed_posts(spark, d):
-    cp = TM.clean_posts(fx.text_posts(spark, d)).select("id", "text")
+    # pooling reads its input twice: clean once, as the preprocessing stages do
+    cp = reliable_checkpoint(TM.clean_posts(fx.text_posts(spark, d)).select("id", "text"))
     out = V.embed_posts_hashed(cp, fx.table(spark, d, "embeddings"), EMB_DIM, max_tokens=50)
     return out.select("id", _round_array("embedding").alias("embedding"))
 
@@ -108,7 +109,7 @@ MIN_TOPIC_SIZE = 100
 
 def _topic_docs(spark, d):
     tp = fx.text_posts(spark, d).withColumnRenamed("lang", "candidate")
-    return TM.clean_topic_posts(tp, stop=()).select("id", "candidate", "clean_text")
+    return reliable_checkpoint(TM.clean_topic_posts(tp, stop=()).select("id", "candidate", "clean_text"))
 
 
 def _seed_sql_ctes() -> dict:
