@@ -105,13 +105,11 @@ def centroid_topics(df: DataFrame, centroids: DataFrame, threshold: float,
     total = centroids.count()
     sc = df.sparkSession.sparkContext
     out = df.withColumns({"similarity": F.lit(-2.0), "topic": F.lit(NO_TOPIC)})
-    ranked = centroids.select("topic_id", "centroid", F.row_number().over(Window.orderBy("topic_id")).alias("_n")) \
-        if total > per_block else centroids.withColumn("_n", F.lit(1))
-    for first in range(1, max(1, total) + 1, per_block):
-        part = ranked.where(F.col("_n").between(first, first + per_block - 1)) if total > per_block else ranked
-        rows = part.orderBy("topic_id").collect()
+    blocks = -(-2 * total // per_block) if total > per_block else 1      # about half full each
+    for n in range(blocks):
+        rows = centroids.where(F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == n).orderBy("topic_id").collect()
         if not rows:
-            break
+            continue
         matrix = np.array([r["centroid"] for r in rows], dtype=float)
         norm = np.linalg.norm(matrix, axis=1, keepdims=True)
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -128,8 +126,9 @@ def centroid_topics(df: DataFrame, centroids: DataFrame, threshold: float,
                 length = np.linalg.norm(x, axis=1)
                 s = np.nan_to_num(x @ m.T / np.where(length, length, np.nan)[:, None], nan=-2.0)
                 k = s.argmax(axis=1)
-                better = s[np.arange(len(at)), k] > sim[at]
-                sim[np.array(at)[better]] = s[np.arange(len(at)), k][better]
+                own = s[np.arange(len(at)), k]
+                better = (own > sim[at]) | ((own == sim[at]) & (own > -2) & (ids[k] < top[at]))
+                sim[np.array(at)[better]] = own[better]
                 top[np.array(at)[better]] = ids[k][better]
             return pd.DataFrame({"similarity": sim, "topic": top})
 
