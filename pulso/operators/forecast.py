@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import complete_rows, require_columns
-from .scaling import MinMaxStats, fit_minmax, minmax_inverse, minmax_scale
+from .scaling import MinMaxStats, fit_minmax, fit_robust, minmax_inverse, minmax_scale
 
 # The reference's selected predictors and model settings.
 TOP_FEATURES = (
@@ -83,6 +83,15 @@ class Bundle:
                       MinMaxStats(meta["y_lo"], meta["y_hi"]))
 
 
+def _robust_as_minmax(df: DataFrame, cols) -> MinMaxStats:
+    """Robust statistics in min-max form: median to 0, median + IQR to 1."""
+    st = fit_robust(df, cols)
+    return MinMaxStats(st.median, {c: st.median[c] + st.iqr[c] for c in st.median})
+
+
+SCALERS = {"minmax": fit_minmax, "robust": _robust_as_minmax}
+
+
 def _gbt(label: str, max_iter: int, step_size: float, max_depth: int, subsample: float,
          col_sample: float, seed: int, validation: str | None) -> GBTRegressor:
     kw = dict(featuresCol="_features", labelCol=label, predictionCol="_pred",
@@ -94,9 +103,10 @@ def _gbt(label: str, max_iter: int, step_size: float, max_depth: int, subsample:
 
 
 def train(df: DataFrame, features=TOP_FEATURES, target: str = "aprobacion", frac: float = 0.8,
-          validation_frac: float = 0.8, keys=(), **settings) -> tuple[Bundle, DataFrame]:
-    """M3 + M4: complete rows -> temporal split -> min-max scaling fitted on
-    the training rows -> boosted trees (early stopping on the last part of
+          validation_frac: float = 0.8, keys=(), scaler: str = "minmax",
+          **settings) -> tuple[Bundle, DataFrame]:
+    """M3 + M4: complete rows -> temporal split -> scaling fitted on the training
+    rows (``scaler``: ``minmax`` or ``robust``) -> boosted trees (early stopping on the last part of
     the training rows) -> MAE / R^2 of the inverse-scaled test predictions.
 
     Returns the bundle and a one-row metrics table (mae, r2, n, n_train).
@@ -106,7 +116,8 @@ def train(df: DataFrame, features=TOP_FEATURES, target: str = "aprobacion", frac
     s = {**GBT_SETTINGS, **settings}
     data = temporal_split(complete_rows(df, [*features, target]), frac, keys)
     tr = data.where(F.col("in_sample"))
-    sx, sy = fit_minmax(tr, features), fit_minmax(tr, [target])
+    fit = SCALERS[scaler]
+    sx, sy = fit(tr, features), fit(tr, [target])
     scaled = minmax_scale(minmax_scale(data, sx), sy, [target])
     # validation = the last (1 - validation_frac) of the training rows
     tr_s = temporal_split(scaled.where(F.col("in_sample")), validation_frac, keys, out="_fit")

@@ -1,10 +1,10 @@
 """Incremental state: append with dedup, day upsert, pending/missing days,
 month windows, processed flags (S3-S13, A16).
 
-Dedup uses ``min_by`` inside a hash aggregate rather than ``row_number``
-over a window: the partial aggregate keeps one row per key per map task
-before the shuffle, so a key holding a third of all rows never lands whole
-in one task.
+Dedup uses ``min_by`` in an aggregate rather than ``row_number`` over a window:
+the partial aggregate (Spark plans it as a sort aggregate, its buffer being a
+struct) keeps one row per key per map task before the shuffle, so a key holding
+a third of all rows never lands whole in one task. Keep the rows narrow.
 """
 
 from __future__ import annotations

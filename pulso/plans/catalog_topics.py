@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.sentiment import lexicon_sentiment
+from ..functions.sentiment import lexicon_sentiment, softmax_label
 from ..functions.text import TOKEN
 from ..operators import terms as TM
 from ..operators import topics as TP
@@ -217,6 +217,16 @@ ORACLE_LEXICON = with_ctes(
          "GROUP BY id")
 
 
+@register("softmax_label", with_ctes(
+    f"SELECT id, {_sql_softmax()} FROM (SELECT id, CASE WHEN CAST(id AS BIGINT) % 17 = 0 THEN ' ' ELSE 'x' END AS text, "
+    "score_negative * 4 AS ng, score_neutral * 4 AS nu, score_positive * 4 AS ps FROM posts) x", posts=fx.SQL_POSTS))
+def q_softmax_label(spark, d):
+    p = fx.posts(spark, d)
+    logits = F.array(*[F.col(f"score_{c}") * 4 for c in ("negative", "neutral", "positive")])
+    text = F.when(F.col("id").cast("long") % 17 == 0, " ").otherwise("x")
+    return rounded(p.select("id", softmax_label(logits, text).alias("s")).select("id", "s.*"))
+
+
 @register("lexicon_sentiment", ORACLE_LEXICON, headline=True)
 def q_lexicon_sentiment(spark, d):
     out = lexicon_sentiment(fx.text_posts(spark, d), fx.lexicon(spark))

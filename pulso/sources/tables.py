@@ -91,7 +91,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None,
         df = df.withColumns(conv)
     if schema is not None:
         df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    return df
+    return nan_to_null(df)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
