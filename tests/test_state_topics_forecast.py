@@ -227,6 +227,13 @@ def test_train_predict_complete_rows_only(spark):
     assert sorted(map(tuple, p2.collect())) == sorted(map(tuple, pred.collect()))
 
 
+def test_robust_scaler_option(spark):
+    df = _feature_frame(spark, 40)
+    bundle, m = FC.train(df, ["feat1", "feat2"], "aprobacion_boric", scaler="robust", max_iter=5)
+    assert bundle.scale_x.lo["feat1"] == 15.5 and m.first().mae is not None    # median of rows 0..31
+    assert FC.predict_target(df, bundle, "p").count() == 40
+
+
 def test_regression_metrics(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.0, 3.0)], "y double, p double")
     m = FC.regression_metrics(df, "y", "p").first()
