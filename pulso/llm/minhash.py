@@ -23,9 +23,10 @@ their sets is at least ``THRESHOLD``; linked documents form classes.
    that hangs together costs a pair per member.
 
 With 24 bands of 5 rows a pair at similarity 0.85 shares no band with probability
-8e-7. At 0.85, 120 samples differ in 18 (deviation 3.9), which toggle 36 of 512 bits
-less collisions; ``MAX_ODD`` = 90 bits are reached by 56 differing samples (similarity
-0.53), over 9 deviations away.
+8e-7. Each of the 120 hash functions gives ``PARTS`` samples, its smallest value in each
+quarter of the hash range (their least is the band's MinHash), 480 in all. At 0.85 these
+differ in 72 (deviation 7.8), which toggle 134 of 2048 bits (deviation 14.3, collisions
+included); ``MAX_ODD`` = 206 bits lie 5 deviations above, where the similarity is about 0.76.
 
 Defined cases: null and empty texts have an empty set, size 0, and are linked with
 nothing. Rows that share a doc_id are one document for linking (any of their texts links
@@ -47,8 +48,9 @@ from .components import components
 SHINGLE = 5
 THRESHOLD = (85, 100)       # links: 100 * common >= 85 * union
 BANDS, ROWS = 24, 5
-SKETCH_BITS = 512
-MAX_ODD = 90
+PARTS = 4                   # samples of each hash function: the smallest in each part of the hashes
+SKETCH_BITS = 2048
+MAX_ODD = 206
 BLOCK = 256                 # members of a bucket in one block of the exhaustive search
 
 _MULTIPLY = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,34 +82,50 @@ def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarr
 
 
 def min_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """``BANDS * ROWS`` samples of each set that isn't empty."""
+    """``(sets that aren't empty, functions, PARTS)`` samples; the largest number for a
+    part without a hash. Values are ascending in each set, so a part is a run of them."""
     full = np.flatnonzero(np.diff(starts))
-    out = np.empty((len(full), len(_MULTIPLY)), np.uint64)
+    out = np.empty((len(full), len(_MULTIPLY), PARTS), np.uint64)
+    edge = np.array([(1 << 64) // PARTS * k for k in range(1, PARTS)], np.uint64)
     i = 0
     while i < len(full):                      # few sets at a time, so that they stay in cache
         j = i + 1
         while j < len(full) and starts[full[j] + 1] - starts[full[i]] <= 16384:
             j += 1
         lo, hi = starts[full[i]], starts[full[j - 1] + 1]
-        at = starts[full[i:j]] - lo
         x = values[lo:hi]
+        at = np.array([[a, *(a + np.searchsorted(values[a:b], edge))] for a, b in zip(
+            starts[full[i:j]], starts[full[i:j] + 1])], np.int64).ravel() - lo
+        size = np.diff(np.append(at, len(x)))
+        has = size > 0
         for k, a in enumerate(_MULTIPLY):
-            y = x * a
-            out[i:j, k] = np.minimum.reduceat(y, at)
+            least = np.full(len(at), np.iinfo(np.uint64).max)
+            least[has] = np.minimum.reduceat(x * a, at[has])
+            out[i:j, k] = least.reshape(-1, PARTS)
         i = j
     return out
 
 
 def odd_sketch(samples: np.ndarray) -> np.ndarray:
     """Parity bitmaps of the samples, ``SKETCH_BITS`` bits in rows of bytes."""
-    n, k = samples.shape
-    place = W.mix(samples + np.arange(k, dtype=np.uint64) * np.uint64(W._MUL)) % np.uint64(SKETCH_BITS)
-    flat = np.bincount((np.arange(n)[:, None] * SKETCH_BITS + place.astype(np.int64)).ravel(),
-                       minlength=n * SKETCH_BITS)
-    return np.packbits((flat & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1)
+    n = len(samples)
+    samples = samples.reshape(n, -1)
+    number = np.arange(samples.shape[1], dtype=np.uint64) * np.uint64(W._MUL)
+    place = (W.mix(samples + number) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    out = np.empty((n, SKETCH_BITS // 8), np.uint8)
+    for i in range(0, n, 256):
+        own = place[i:i + 256]
+        flat = np.bincount((np.arange(len(own))[:, None] * SKETCH_BITS + own).ravel(), minlength=len(own) * SKETCH_BITS)
+        out[i:i + 256] = np.packbits((flat & 1).astype(np.uint8).reshape(len(own), SKETCH_BITS), axis=1)
+    return out
+
+
+def odd_bits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing bits of sketches, given as 64-bit words along the last axis."""
+    return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
 
 
-def estimate(odd: float, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> float:
+def estimate(odd: float, samples: int = BANDS * ROWS * PARTS, bits: int = SKETCH_BITS) -> float:
     """Similarity that ``odd`` differing bits stand for."""
     return float(1 + bits / (4 * samples) * np.log(max(1e-9, 1 - 2 * odd / bits)))
 
@@ -123,7 +141,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 n = np.diff(starts)
                 samples = min_hashes(values, starts)
                 power = np.array([pow(W._MUL, j + 1, 1 << 64) for j in range(ROWS)], np.uint64)
-                bands = (samples.reshape(-1, BANDS, ROWS) * power).sum(axis=2, dtype=np.uint64)
+                bands = (samples.min(axis=2).reshape(-1, BANDS, ROWS) * power).sum(axis=2, dtype=np.uint64)
                 bands = W.mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(W._MUL)).view(np.int64)
                 sketches = odd_sketch(samples)
                 one = np.concatenate([[0], np.cumsum(W.mix(values ^ np.uint64(0x5DEECE66D)), dtype=np.uint64)])
@@ -142,14 +160,18 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             .mapInArrow(run, _SIGNED))
 
 
-def _odd(left: str, right: str):
-    """Differing bits of two sketches, without leaving the JVM."""
-    count = None
-    for i in range(SKETCH_BITS // 64):
-        x = [F.conv(F.hex(F.substring(c, 8 * i + 1, 8)), 16, -10).cast("long") for c in (left, right)]
-        bits = F.bit_count(x[0].bitwiseXOR(x[1]))
-        count = bits if count is None else count + bits
-    return count
+def _near(threshold):
+    """Keep pairs whose sizes and sketches allow the threshold: ``a, b, na, nb, sa, sb``."""
+    part, whole = threshold
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                           for k in (4, 5))
+            ok = (np.minimum(na, nb) * whole >= np.maximum(na, nb) * part) & (odd_bits(left, right) <= MAX_ODD)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+    return run
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame:
@@ -161,41 +183,51 @@ def confirm(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int =
            .select("a", "b", "text_a", "text_b"))
     part, whole = threshold
 
+    def sets(texts):
+        values, starts = shingles(texts, size)
+        return [values[a:b] for a, b in zip(starts, starts[1:])]
+
     def run(batches):
         for batch in batches:
+            own = batch.column(0).to_pylist()
+            place = {}
+            for k, a in enumerate(own):
+                place.setdefault(a, k)
+            left = dict(zip(place, sets(batch.column(2).take(pa.array(list(place.values()), pa.int64())))))
             keep = []
-            cache: dict = {}
-            for k in range(batch.num_rows):
-                a = batch.column(0)[k].as_py()
-                if a not in cache:
-                    cache = {a: shingles(batch.column(2).slice(k, 1), size)[0]}
-                x, y = cache[a], shingles(batch.column(3).slice(k, 1), size)[0]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and whole * both >= part * (len(x) + len(y) - both))
+            for a, y in zip(own, sets(batch.column(3))):
+                both = len(np.intersect1d(left[a], y, assume_unique=True))
+                keep.append(both > 0 and whole * both >= part * (len(left[a]) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return two.mapInArrow(run, "a long, b long")
 
 
-def _cross_blocks(max_odd: int):
-    """Pairs of two blocks of a bucket that are in different components and pass the bound."""
+def _cross_blocks(threshold):
+    """Pairs of two blocks of a bucket that are in different components and whose sizes
+    and sketches allow the threshold. A pair that shares several buckets comes out of the
+    first of its bands only (all its buckets are mixed, so that one is searched too)."""
+    part, whole = threshold
+
     def run(batches):
         for batch in batches:
             out_a, out_b = [], []
             for r in batch.to_pylist():
                 sides = []
                 for side in ("left", "right"):
-                    ids = np.array([m["doc_id"] for m in r[side]], np.int64)
-                    comp = np.array([m["component"] for m in r[side]], np.int64)
-                    bits = np.frombuffer(b"".join(m["sketch"] for m in r[side]), np.uint64).reshape(len(ids), -1)
-                    sides.append((ids, comp, bits))
-                (ia, ca, sa), (ib, cb, sb) = sides
-                odd = np.zeros((len(ia), len(ib)), np.uint16)
-                for w in range(sa.shape[1]):
-                    odd += np.bitwise_count(sa[:, w][:, None] ^ sb[:, w][None, :])
-                x, y = np.nonzero((odd <= max_odd) & (ca[:, None] != cb[None, :]))
-                out_a.append(np.minimum(ia[x], ib[y]))
-                out_b.append(np.maximum(ia[x], ib[y]))
+                    ids, comp, n, bands = (np.array([m[k] for m in r[side]], np.int64)
+                                           for k in ("doc_id", "component", "n_shingles", "bands"))
+                    sides.append((ids, comp, n, bands, np.frombuffer(
+                        b"".join(m["sketch"] for m in r[side]), np.uint64).reshape(len(ids), -1)))
+                (ia, ca, na, ba, sa), (ib, cb, nb, bb, sb) = sides
+                band = int(np.flatnonzero(ba[0] == r["bucket"])[0])
+                one = np.array_equal(ia, ib)                 # a block with itself: each pair once
+                for k in range(len(ia)):
+                    ok = np.flatnonzero((cb != ca[k]) & (np.minimum(nb, na[k]) * whole >= np.maximum(nb, na[k]) * part)
+                                        & ~(bb[:, :band] == ba[k, :band]).any(axis=1) & ((ib > ia[k]) | (not one)))
+                    ok = ok[odd_bits(sb[ok], sa[k]) <= MAX_ODD]
+                    out_a.append(np.minimum(ia[k], ib[ok]))
+                    out_b.append(np.maximum(ia[k], ib[ok]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))],
                                              names=["a", "b"])
     return run
@@ -226,10 +258,8 @@ def link(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame
     for c in ("a", "b"):
         pairs = pairs.join(sketch.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"),
                                          F.col("n_shingles").alias(f"n{c}")), c)
-    part, whole = threshold
-    # sets whose sizes differ too much cannot be similar enough, whatever they hold
-    near = (F.least("na", "nb") * whole >= F.greatest("na", "nb") * part) & (_odd("sa", "sb") <= MAX_ODD)
-    pairs = written(pairs.where(near).select("a", "b"), "pairs")
+    near = pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(threshold), "a long, b long")
+    pairs = written(near, "pairs")
     links = written(confirm(pairs, docs, threshold, size).unionByName(same), "links")
     found = written(components(links), "components")
 
@@ -240,16 +270,16 @@ def link(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame
     mixed = written(placed.groupBy("bucket").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
         .where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    open_rows = (placed.join(mixed, "bucket").join(members.select("doc_id", "sketch"), "doc_id")
+    open_rows = (placed.join(mixed, "bucket").join(members.select("doc_id", "sketch", "n_shingles", "bands"), "doc_id")
                  .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     blocks = written(open_rows.groupBy("bucket", "block", "blocks").agg(
-        F.collect_list(F.struct("doc_id", "component", "sketch")).alias("rows")), "blocks")
+        F.collect_list(F.struct("doc_id", "component", "n_shingles", "bands", "sketch")).alias("rows")), "blocks")
     left = blocks.select("bucket", F.col("block").alias("i"), F.col("rows").alias("left"),
                          F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = blocks.select("bucket", F.col("block").alias("j"), F.col("rows").alias("right"))
     small_batches(spark, 64)
-    more = (left.join(right, ["bucket", "j"]).select("left", "right")
-            .mapInArrow(_cross_blocks(MAX_ODD), "a long, b long").distinct())
+    more = (left.join(right, ["bucket", "j"]).select("bucket", "left", "right")
+            .mapInArrow(_cross_blocks(threshold), "a long, b long").distinct())
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
         extra = written(confirm(more, docs, threshold, size), "more-links")
