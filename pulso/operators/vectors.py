@@ -4,7 +4,7 @@
 Embeddings are one ``array<float|double>`` column, never hundreds of wide
 columns. Group means over unbounded groups (a day, a topic) use Spark ML's
 ``Summarizer`` (a real aggregate with map-side partial state of one vector
-per group), also for the pooling of a post's token vectors.
+per group).
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ def _pool(df: DataFrame, text: str, max_tokens: int | None, lookup, dim: int, ou
     """Mean of the matched token vectors of each post's text, zero without any match.
 
     Only a text digest and the tokens are exploded; ``lookup``
-    joins their vectors (``_v``), which are summed by Spark ML's ``Summarizer``, and
-    one vector per distinct text is joined back. Rows keep their other columns
+    joins their vectors (``_v``), which are summed component by component (plain double
+    sums, so a hash aggregate that combines a text's tokens before the shuffle), and one
+    vector per distinct text is joined back. Rows keep their other columns
     without sending them through the aggregate, and ids may repeat.
     """
     toks = text_tokens(text)
@@ -50,9 +51,9 @@ def _pool(df: DataFrame, text: str, max_tokens: int | None, lookup, dim: int, ou
         toks = F.slice(toks, 1, max_tokens)
 
     def score(occ):
-        return (lookup(occ).groupBy(TEXT_KEY)
-                .agg(Summarizer.mean(array_to_vector(F.col("_v"))).alias("_m"))
-                .select(TEXT_KEY, vector_to_array("_m").alias(out)))
+        sums = lookup(occ).groupBy(TEXT_KEY).agg(
+            F.count("_v").alias("_n"), *[F.sum(F.col("_v")[i]).alias(f"_s{i}") for i in range(dim)])
+        return sums.select(TEXT_KEY, F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(dim)]).alias(out))
 
     pooled = score_texts(df, text, toks, "_token", score)
     return pooled.withColumn(out, F.coalesce(F.col(out), F.array_repeat(F.lit(0.0), dim)))

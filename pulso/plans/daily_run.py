@@ -1,4 +1,4 @@
-"""The daily jobs as library functions.
+"""The daily jobs as library functions (P4, P6, P7; P8 is ``replies.harvest_with_replies``).
 
 Each takes frames and returns frames; reading and writing the stored tables is the
 caller's (``read_table`` / ``write_table``).
@@ -12,7 +12,6 @@ from ..operators import daily as D
 from ..operators import forecast as FC
 from ..operators import kpi as K
 from ..operators import metrics as M
-from ..operators import replies as RP
 from ..operators import topics as TP
 from ..session import reliable_checkpoint
 from .features import daily_features
