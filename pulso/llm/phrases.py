@@ -27,8 +27,6 @@ out. Words are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
