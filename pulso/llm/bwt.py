@@ -3,6 +3,8 @@
 Every byte covered by a ``LENGTH``-byte string that also starts in a document with a
 smaller ``doc_id`` is removed. Strings are judged on the input and never cross documents.
 
+0. *Copies.* A text that a smaller id has as well is covered as a whole, and left out of
+   the rest: the first copy has all its strings.
 1. *Dealing.* The smallest ``GRAM``-byte hash in a window (``LENGTH`` bytes) depends on the
    window's bytes only, so equal windows get equal keys. Runs of windows with one key make
    a segment. Keys that stand in one document only are dropped; a key seen in several
@@ -13,26 +15,26 @@ smaller ``doc_id`` is removed. Strings are judged on the input and never cross d
 3. *Index.* Segments with one key meet in a bin. Bins are indexed by a run-length
    Burrows-Wheeler transform with suffix samples at the run ends, sorted to ``DEPTH`` bytes
    (backward search is exact up to that depth). All segments stream through it from their
-   ends in lockstep: one backward step per byte, the match kept at ``LENGTH`` bytes by
-   widening the interval to its class. Each class holds the smallest document, so every
+   last windows in lockstep: one backward step per byte, the match kept at ``LENGTH`` bytes
+   by widening the interval to its class. Each class holds the smallest document, so every
    window learns where it first occurs. A bin over ``BIN_BYTES`` would not fit a task: its
    windows are grouped by their bytes instead, in Spark, which is exact as well.
 4. *Marks.* An occurrence in a document after its segment's first one is covered as a
    whole; in the first one, its windows that occur in an earlier segment are. The marks
    go back to the texts, and what is left is hashed.
 
-Steps are written as tables, so a lost executor costs no earlier step.
+Steps are written as tables, so a lost executor costs no earlier step; tables and shuffle
+files that no later step reads are dropped.
 
 Defined cases: null and empty texts, and texts under ``LENGTH`` bytes, lose nothing. Rows
 that share a ``doc_id`` don't count as earlier than each other. A null ``doc_id`` is never
 earlier and loses nothing. Byte 0xFF, which valid UTF-8 never has, ends segments in an index. Extra
-columns are ignored. Keys and segment names are 64 and 128 bit hashes.
+columns are ignored. Keys are 48 bits, segments are named by key and another 64.
 """
 
 from __future__ import annotations
 
-import gc
-import hashlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +42,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import small_batches, table, written
+from .common import discard, small_batches, table, written
 
 LENGTH = 50
 GRAM = 18
 RUN = 64                   # windows in a segment at most
 DEPTH = 64
 BIN_BYTES = 8 << 20
-INDEX_BYTES = 1 << 20      # bins are indexed together up to this size
+INDEX_BYTES = 1 << 18      # bins are indexed together up to this size
 
 _END = 0xFF
 _RANGES = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
@@ -90,7 +92,7 @@ def window_runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram:
     which = np.repeat(np.arange(len(at)), pieces)
     k = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = at[which] + k * RUN
-    return least[at[which]], own[which], start - offs[own[which]], np.minimum(RUN, stop[which] - start)
+    return least[at[which]] >> np.uint64(16), own[which], start - offs[own[which]], np.minimum(RUN, stop[which] - start)
 
 
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -119,7 +121,7 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             np.minimum.at(low, group, ids)
             np.maximum.at(high, group, ids)
             shared = low < high
-            spread = (W.mix(packed.view(np.uint64) ^ ids.view(np.uint64)) >> np.uint64(34)).astype(np.int32) + 1
+            spread = (W.mix(packed.view(np.uint64) ^ ids.view(np.uint64)) >> np.uint64(50)).astype(np.int32) + 1
             known = np.where(shared[group], spread, 0) if len(key) else spread
             # two rows speak for a shared key, so that it is found repeated elsewhere too
             key = np.concatenate([key, key[new][shared], key[new][shared]])
@@ -145,7 +147,11 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
 # ---------------------------------------------------------------- index
 
 class RunLengthIndex:
-    """Run-length BWT of segments, each ended by 0xFF, with suffix samples at run ends."""
+    """Run-length BWT of segments, each ended by 0xFF, with suffix samples at run ends.
+
+    Suffixes are sorted by their first ``DEPTH`` bytes: by 8 bytes, then thrice as far with
+    three ranks in one key (two in a larger index). Backward search is exact for strings up to that depth.
+    """
 
     def __init__(self, text: np.ndarray, ends: np.ndarray, docs: np.ndarray, length: int = LENGTH):
         """``text``: all segments with their end bytes; ``ends``: where each segment's end byte
@@ -155,24 +161,26 @@ class RunLengthIndex:
         padded = np.concatenate([text, np.full(DEPTH + 8, _END, np.uint8)])
         view = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n + DEPTH]
         key = np.ascontiguousarray(view).view(">u8").ravel().astype(np.uint64)
-        ranks = {}
-        depth = 8
+        parts = 3 if len(key) < 1 << 21 else 2
+        ranks, depth = {}, 8
         while True:
-            order = np.argsort(key, kind="quicksort")
+            order = np.argsort(key)
             s = key[order]
             rank = np.empty(len(key), np.int64)
             rank[order] = np.cumsum(np.append(False, s[1:] != s[:-1]))
             ranks[depth] = rank
             if depth >= DEPTH:
                 break
-            key = rank << 32
-            key[:-depth] |= rank[depth:]
-            depth *= 2
+            key = rank << (42 if parts == 3 else 32)
+            key[:-depth] |= rank[depth:] << (21 if parts == 3 else 0)
+            if parts == 3 and len(key) > 2 * depth:
+                key[:-2 * depth] |= rank[2 * depth:]
+            depth *= parts
         order = order[order < n]                                   # suffixes by their first DEPTH bytes
         # classes: rows that agree in ``length`` bytes
         same = np.ones(max(0, n - 1), bool)
         at, left = 0, length
-        for d in (32, 16, 8):
+        for d in sorted(ranks, reverse=True):
             while left >= d:
                 r = ranks[d]
                 same &= r[order[1:] + at] == r[order[:-1] + at]
@@ -182,25 +190,22 @@ class RunLengthIndex:
         starts = np.append(True, ~same)[:n]
         self.class_of = np.cumsum(starts) - 1
         self.class_start = np.flatnonzero(starts)
+        self.row_of = np.empty(n, np.int64)
+        self.row_of[order] = np.arange(n)
         segment = np.searchsorted(ends, order, side="left")
         self.first_doc = (np.minimum.reduceat(docs[segment], self.class_start) if n else docs[:0])
         # the transform, run by run
-        last = padded[order - 1] if n else text
-        last = np.where(order == 0, _END, last)
+        last = np.where(order == 0, _END, padded[order - 1])
         head = np.flatnonzero(np.append(True, last[1:] != last[:-1])[:n])
         self.run_start, self.run_char = head, last[head].astype(np.int64)
         size = np.diff(np.append(head, n))
         self.samples = order[head], order[head + size - 1]          # suffixes at the run ends
-        by_char = np.lexsort((np.arange(len(head)), self.run_char))
+        by_char = np.argsort(self.run_char, kind="stable")
         self.run_key = self.run_char[by_char] * (len(head) + 1) + by_char
-        before = np.cumsum(size[by_char]) - size[by_char]
+        self.before = np.append(np.cumsum(size[by_char]) - size[by_char], n)
         count = np.bincount(text, minlength=256)
         self.smaller = np.cumsum(count) - count                      # suffixes with a smaller first byte
-        # rows of a byte in the transform, counted within the byte
-        base = np.zeros(257, np.int64)
-        base[1:] = np.cumsum(np.bincount(last, minlength=256)) if n else 0
-        self.before = np.append(before, n)
-        self.base = base
+        self.base = np.cumsum(np.bincount(last, minlength=256)) - np.bincount(last, minlength=256)
 
     @property
     def runs(self) -> int:
@@ -216,19 +221,23 @@ class RunLengthIndex:
         rank = self.before[k] - self.base[c] + np.where(here, inside, 0)
         return self.smaller[c] + rank
 
+    def find(self, pattern: bytes) -> int:
+        """First row of the interval of ``pattern`` (``DEPTH`` bytes at most), which must
+        occur, by backward search."""
+        row = np.zeros(1, np.int64)
+        for byte in reversed(pattern):
+            row = self.step(row, np.array([byte], np.uint8))
+        return int(row[0])
+
     def stream(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Smallest document of each window. ``start``: where segments begin in the text;
-        ``count``: their windows. All segments move one byte to the left at a time."""
+        ``count``: their windows. Each segment enters at the row of its last window, and all
+        move one byte to the left at a time."""
         out = np.empty(int(count.sum()), np.int64)
         to = np.cumsum(count) - count
         order = np.argsort(-count, kind="stable")
         start, count, to = start[order], count[order], to[order]
-        end = start + count + self.length - 2                        # last byte of each
-        row = np.zeros(len(start), np.int64)
-        for j in range(self.length):                                 # the last window, backwards
-            row = self.step(row, self.text[end - j])
-        row = self.class_start[self.class_of[row]]
-        alive = len(start)
+        row = self.class_start[self.class_of[self.row_of[start + count - 1]]]
         for j in range(int(count.max(initial=0))):
             alive = int(np.searchsorted(-count, -j, side="left"))    # segments with more than j windows
             row = row[:alive]
@@ -242,7 +251,7 @@ class RunLengthIndex:
 
 def _earlier(length: int):
     """Per segment of a bin, the runs of windows that an earlier document has."""
-    def index(key, name, doc, segs):
+    def index(key, name, doc, segs, twice):
         offs = np.cumsum([0] + [len(s) + 1 for s in segs])
         text = np.frombuffer(b"\xff".join(segs) + b"\xff", np.uint8)
         start, count = offs[:-1], np.diff(offs) - length
@@ -259,17 +268,17 @@ def _earlier(length: int):
                 at = int(cut[s])
                 ranges[s].append({"first": a - at, "stop": b - at + length - 1})
         return pa.RecordBatch.from_arrays(
-            [pa.array(key, pa.int64()), pa.array(name, pa.int64()), pa.array(doc), pa.array(ranges, _RANGES)],
-            names=["key", "name", "first_doc", "ranges"])
+            [pa.array(key, pa.int64()), pa.array(name, pa.int64()), pa.array(doc), pa.array(ranges, _RANGES),
+             pa.array(twice, pa.bool_())], names=["key", "name", "first_doc", "ranges", "twice"])
 
     def run(batches):
-        held: tuple[list, ...] = ([], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [], [])
         size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if size >= INDEX_BYTES and row[0] != held[0][-1]:     # never cut a bin
                     yield index(*held)
-                    held, size = ([], [], [], []), 0
+                    held, size = ([], [], [], [], []), 0
                 for x, v in zip(held, row):
                     x.append(v)
                 size += len(row[3])
@@ -278,7 +287,7 @@ def _earlier(length: int):
     return run
 
 
-_FOUND = "key long, name long, first_doc long, ranges array<struct<first:long,stop:long>>"
+_FOUND = "key long, name long, first_doc long, ranges array<struct<first:long,stop:long>>, twice boolean"
 
 
 def _earlier_in_large(segments: DataFrame, length: int) -> DataFrame:
@@ -297,6 +306,15 @@ def _earlier_in_large(segments: DataFrame, length: int) -> DataFrame:
 
 # ---------------------------------------------------------------- the whole job
 
+def copies_of(docs: DataFrame) -> DataFrame:
+    """Rows whose whole text stands in a document with a smaller id: ``doc_id, mark, size``."""
+    rows = docs.where(F.col("doc_id").isNotNull()).select(
+        "doc_id", "mark", F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("digest"))
+    first = written(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+                    .where("first < last").select("digest", "first"), "first-copies")
+    return written(rows.join(first, "digest").where("doc_id > first").select("doc_id", "mark", "size").distinct(), "copies")
+
+
 def _cut(length: int):
     """Segments ``key, segment, doc_id, mark, at`` from texts and their runs."""
     def run(batches):
@@ -323,61 +341,76 @@ def _cut(length: int):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are written and done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Have Spark remove each statement's shuffle files when the statement ends; every step
+    here is written, so none is read again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Byte ranges to remove: ``doc_id, mark, ranges`` (unsorted, may overlap)."""
-    spark = docs.sparkSession
+    """Byte ranges to remove: ``doc_id, mark, ranges`` (unsorted, may overlap). Copies of whole
+    texts are covered at once; the others are searched without them, since the first copy,
+    with a smaller id, has all their strings."""
+    copies = copies_of(docs)
+    docs = docs.where(F.col("doc_id").isNotNull()).join(copies, ["doc_id", "mark"], "left_anti")
+    docs = docs.select("doc_id", "mark", "text")
     found = written(repeated_runs(docs, length, gram), "runs")
-    _release(spark)
     by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("key", "run")).alias("runs"))
-    cut = (docs.select("doc_id", "mark", "text").join(by_doc, "doc_id").select("doc_id", "mark", "text", "runs")
+    cut = (docs.join(by_doc, "doc_id").select("doc_id", "mark", "text", "runs")
            .mapInArrow(_cut(length), "key long, segment binary, doc_id long, mark int, at long"))
     name = F.xxhash64("segment").alias("name")
     seen = written(cut, "segments")
-    _release(spark)
+    discard(found)
     once = written(seen.groupBy("key", "segment").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
                    .select("key", name, "first_doc", "last_doc", "segment"), "distinct-segments")
-    _release(spark)
     large = written(once.groupBy("key").agg(F.sum(F.length("segment")).alias("n")).where(F.col("n") > BIN_BYTES).select("key"),
                     "large-keys")
-    fits = once.join(large, "key", "left_anti").select("key", "name", "first_doc", "segment")
+    fits = once.join(large, "key", "left_anti").select("key", "name", "first_doc", "segment", (F.col("first_doc") < F.col("last_doc")).alias("twice"))
     result = fits.repartition("key").sortWithinPartitions("key").mapInArrow(_earlier(length), _FOUND)
-    result = result.unionByName(_earlier_in_large(once.join(large, "key", "left_semi"), length))
-    result = written(result, "earlier")
-    _release(spark)
+    rest = once.join(large, "key", "left_semi")
+    result = result.unionByName(_earlier_in_large(rest, length).join(
+        rest.select("key", "name", (F.col("first_doc") < F.col("last_doc")).alias("twice")), ["key", "name"]))
     # segments of one document that no earlier segment touches mark nothing
-    twice = once.where("first_doc < last_doc").select("key", "name")
-    useful = result.join(twice.withColumn("twice", F.lit(True)), ["key", "name"], "left").where(
-        "twice OR size(ranges) > 0").select("key", "name", "first_doc", "ranges")
-    useful = written(useful, "useful")
+    useful = written(result.where("twice OR size(ranges) > 0").drop("twice"), "earlier")
+    discard(once)
     own = seen.select("key", name, F.length("segment").cast("long").alias("size"), "doc_id", "mark", "at")
     whole = F.array(F.struct(F.col("at").alias("first"), (F.col("at") + F.col("size")).alias("stop")))
     parts = F.transform("ranges", lambda r: F.struct((F.col("at") + r["first"]).alias("first"), (F.col("at") + r["stop"]).alias("stop")))
     marks = (own.join(useful, ["key", "name"])
              .select("doc_id", "mark", F.when(F.col("doc_id") > F.col("first_doc"), whole).otherwise(parts).alias("ranges"))
              .where("size(ranges) > 0"))
-    return written(marks.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "marks")
+    marks = marks.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    all_of = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("stop")))
+    gone = copies.where(F.col("size") >= length).select("doc_id", "mark", all_of.alias("ranges"))
+    marks = written(marks.unionByName(gone), "marks")
+    discard(seen)
+    return marks
 
 
 def with_mark(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, text``; ``mark`` tells rows apart that share an id (24 hash bits of the text)."""
+    """``doc_id, mark, text``. Where ids repeat, ``mark`` (24 hash bits of the text) tells
+    their rows apart; else it is 0."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.shiftrightunsigned(F.xxhash64(text), 40).cast("int").alias("mark"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    again = docs.where(doc_id.isNotNull()).groupBy(doc_id.alias("id")).count().where("count > 1")
+    mark = F.lit(0) if again.isEmpty() else F.shiftrightunsigned(F.xxhash64(text), 40).cast("int")
+    return docs.select(doc_id.alias("doc_id"), mark.alias("mark"), text.alias("text"))
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) for every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = with_mark(docs)
-    marks = covered(docs.where(F.col("doc_id").isNotNull()), length, gram)
-    _release(spark)
+    with _shuffles_dropped(spark):
+        docs = with_mark(docs)
+        marks = covered(docs, length, gram)
 
     def run(batches):
         for batch in batches:

@@ -87,6 +87,8 @@ def test_index_equals_counting():
             got = index.stream(offs[:-1], np.diff(offs) - length)
             assert got.tolist() == [first[s[i:i + length]] for s in segs for i in range(len(s) - length + 1)]
             assert index.runs < offs[-1]                      # repeats make runs
+            row = index.find(segs[0][:length])                # backward search finds the class
+            assert row == index.class_start[index.class_of[index.row_of[0]]]
             head, tail = index.samples                        # suffixes at the ends of each run
             assert len(head) == len(tail) == index.runs
 
