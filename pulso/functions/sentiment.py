@@ -82,11 +82,12 @@ def lexicon_sentiment(df, lexicon, text: str = "text"):
     from .text import tokens
 
     def score(words):
-        rows = F.count_if(F.col("_pos") == 0)                # posts with this very text
-        logits = F.array(*[F.round(F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) / rows, 9)
-                           for c in ("neg", "neu", "pos")])
         known = lexicon.groupBy("word").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in ("neg", "neu", "pos")])
-        return words.join(known, "word", "left").groupBy(TEXT_KEY).agg(logits.alias("_logits"))
+        # equal texts have equal words at equal places: each place counts once
+        hits = (words.join(known, "word").groupBy(TEXT_KEY, "_pos")
+                .agg(*[F.first(c).alias(c) for c in ("neg", "neu", "pos")]))
+        logits = F.array(*[F.round(F.sum(c), 9) for c in ("neg", "neu", "pos")])
+        return hits.groupBy(TEXT_KEY).agg(logits.alias("_logits"))
 
     j = score_texts(df, text, tokens(F.lower(F.col(text))), "word", score)
     zero = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))

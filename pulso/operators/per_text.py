@@ -20,12 +20,14 @@ TEXT_KEY = "_text_key"
 
 def units_of(df: DataFrame, text: str, units: Column, name: str) -> DataFrame:
     """``(TEXT_KEY, _pos, name)``: the exploded ``units`` (an array of the text's tokens,
-    n-grams, ...) of every row's text; null texts have none. A text's units lie in one
+    n-grams, ...) of every row's text; null texts have none, empty arrays a null unit
+    (an outer explode: for a plain one the optimizer adds a filter on the array's size,
+    which would compute the units twice). A text's units lie in one
     task, so an aggregate by ``TEXT_KEY`` combines them before the shuffle. Equal texts
-    add up: scores divide by their number (rows at position 0) or don't depend on it."""
+    add up: scores take each ``_pos`` once or don't depend on their number."""
     key = F.md5(F.col(text))
     return (df.where(F.col(text).isNotNull()).select(key.alias(TEXT_KEY), units.alias("_units"))
-            .select(TEXT_KEY, F.posexplode("_units").alias("_pos", name)))
+            .select(TEXT_KEY, F.posexplode_outer("_units").alias("_pos", name)))
 
 
 def attach(df: DataFrame, text: str, scores: DataFrame) -> DataFrame:
