@@ -13,20 +13,24 @@ their sets is at least ``THRESHOLD``; linked documents form classes.
    share a bucket; each member is paired with the bucket's smallest id, a pair per
    member and not per two members.
 4. Pairs whose sketches differ in more than ``MAX_ODD`` bits are dropped; that bound lies
-   far beyond what pairs at the threshold differ by (see below). The others are
-   confirmed on the full sets, made again from both texts.
+   far beyond what pairs at the threshold differ by (see below). Pairs whose smaller set
+   has fewer than ``SMALL`` hashes are compared by the sets themselves, which go along with
+   the signature, and not by sketches. What is left is confirmed on the full sets, made
+   again from both texts.
 5. Confirmed links give components. Buckets whose members are still in several
    components are searched exhaustively, without a cap: members are cut into blocks,
-   and block meets block, where sketches are compared in bulk and only pairs in
-   different components that pass the bound come out, to be confirmed like the others.
+   and block meets block, where sketches (or small sets) are compared in bulk and only pairs
+   in different components that pass step 4 come out, to be confirmed like the others.
    So no link between documents that share a band is lost, and a group of copies
    that hangs together costs a pair per member.
 
 With 24 bands of 5 rows a pair at similarity 0.85 shares no band with probability
 8e-7. Each of the 120 hash functions gives ``PARTS`` samples, its smallest value in each
 quarter of the hash range (their least is the band's MinHash), 480 in all. At 0.85 these
-differ in 72 (deviation 7.8), which toggle 134 of 2048 bits (deviation 14.3, collisions
-included); ``MAX_ODD`` = 206 bits lie 5 deviations above, where the similarity is about 0.76.
+differ in 72 (deviation 7.8), which toggle 134 of 2048 bits (deviation 14.2, collisions
+included); ``MAX_ODD`` lies 6 deviations above. That holds for large sets: the samples of a
+quarter of the hash range change together where it holds few hashes, so the deviation
+grows as sets get smaller. At ``SMALL`` hashes it is about 17, still 5 below the bound.
 
 Defined cases: null and empty texts have an empty set, size 0, and are linked with
 nothing. Rows that share a doc_id are one document for linking (any of their texts links
@@ -50,11 +54,24 @@ THRESHOLD = (85, 100)       # links: 100 * common >= 85 * union
 BANDS, ROWS = 24, 5
 PARTS = 4                   # samples of each hash function: the smallest in each part of the hashes
 SKETCH_BITS = 2048
-MAX_ODD = 206
+SMALL = 64                  # smaller sets are compared themselves, not by sketches
 BLOCK = 256                 # members of a bucket in one block of the exhaustive search
 
 _MULTIPLY = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIGNED = "doc_id long, n_shingles long, digest string, bands array<long>, sketch binary"
+_SIGNED = "doc_id long, n_shingles long, digest string, bands array<long>, sketch binary, hashes binary"
+
+
+def max_odd(threshold=THRESHOLD, deviations: float = 6) -> int:
+    """Odd bits that large sets at the threshold don't exceed by so many deviations."""
+    n, bits, t = BANDS * ROWS * PARTS, SKETCH_BITS, threshold[0] / threshold[1]
+    toggles = 2 * n * (1 - t)
+    even = np.exp(-2 * toggles / bits)
+    spread = (2 * even) ** 2 * n * t * (1 - t)                     # of the differing samples
+    folded = bits / 4 * (1 - even * even) - toggles * even * even  # of the bits that they meet in
+    return int(bits / 2 * (1 - even) + deviations * np.sqrt(spread + folded))
+
+
+MAX_ODD = max_odd()
 
 
 def shingles(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -130,9 +147,12 @@ def estimate(odd: float, samples: int = BANDS * ROWS * PARTS, bits: int = SKETCH
     return float(1 + bits / (4 * samples) * np.log(max(1e-9, 1 - 2 * odd / bits)))
 
 
-def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, digest, bands, sketch``; the last two null for empty sets."""
+def signatures(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """``doc_id, n_shingles, digest, bands, sketch, hashes``; the last three null for empty
+    sets. ``hashes`` is the whole set where it can be linked with one below ``SMALL``; below
+    that there is no sketch."""
     small_batches(docs.sparkSession)
+    part_of, whole = threshold
 
     def run(batches):
         for batch in batches:
@@ -153,23 +173,56 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(n), pa.array(digest),
                     pa.array([bands[r] if h else None for h, r in zip(has, row)], pa.list_(pa.int64())),
-                    pa.array([sketches[r].tobytes() if h else None for h, r in zip(has, row)], pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+                    pa.array([sketches[r].tobytes() if k >= SMALL else None for k, r in zip(n, row)], pa.binary()),
+                    pa.array([values[a:b].tobytes() if 0 < b - a and part_of * (b - a) < whole * SMALL else None
+                              for a, b in zip(starts, starts[1:])], pa.binary())],
+                    names=["doc_id", "n_shingles", "digest", "bands", "sketch", "hashes"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
             .mapInArrow(run, _SIGNED))
 
 
+def _sketches(column: list) -> np.ndarray:
+    """Sketches as rows of 64-bit words, zeros for missing ones."""
+    none = bytes(SKETCH_BITS // 8)
+    return np.frombuffer(b"".join(x or none for x in column), np.uint64).reshape(len(column), -1)
+
+
+def _hashes(column: list) -> list[np.ndarray]:
+    """Sets that went along; empty for missing ones."""
+    return [np.frombuffer(x or b"", np.uint64) for x in column]
+
+
+def common_hashes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of each left with each right set."""
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (left, right)]
+    both = np.intersect1d(sides[0][0], sides[1][0])
+    marks = []
+    for (values, row), x in zip(sides, (left, right)):
+        mark = np.zeros((len(x), len(both)), np.float32)
+        has = np.isin(values, both)
+        mark[row[has], np.searchsorted(both, values[has])] = 1
+        marks.append(mark)
+    return (marks[0] @ marks[1].T).astype(np.int64)
+
+
 def _near(threshold):
-    """Keep pairs whose sizes and sketches allow the threshold: ``a, b, na, nb, sa, sb``."""
+    """Keep pairs whose sizes and sketches, or small sets, allow the threshold: ``a, b, na,
+    nb, sa, sb, ha, hb``."""
     part, whole = threshold
+    most = max_odd(threshold)
 
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(k).to_numpy() for k in (2, 3))
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                           for k in (4, 5))
-            ok = (np.minimum(na, nb) * whole >= np.maximum(na, nb) * part) & (odd_bits(left, right) <= MAX_ODD)
+            left, right = (_sketches(batch.column(k).to_pylist()) for k in (4, 5))
+            ok = (np.minimum(na, nb) * whole >= np.maximum(na, nb) * part)
+            small = np.minimum(na, nb) < SMALL
+            ok &= small | (odd_bits(left, right) <= most)
+            at = np.flatnonzero(ok & small)
+            for k, x, y in zip(at, *(_hashes(batch.column(c).take(pa.array(at)).to_pylist()) for c in (6, 7))):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[k] = whole * both >= part * (na[k] + nb[k] - both)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
     return run
 
@@ -205,9 +258,10 @@ def confirm(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int =
 
 def _cross_blocks(threshold):
     """Pairs of two blocks of a bucket that are in different components and whose sizes
-    and sketches allow the threshold. A pair that shares several buckets comes out of the
+    and sketches, or small sets, allow the threshold. A pair that shares several buckets comes out of the
     first of its bands only (all its buckets are mixed, so that one is searched too)."""
     part, whole = threshold
+    most = max_odd(threshold)
 
     def run(batches):
         for batch in batches:
@@ -217,15 +271,18 @@ def _cross_blocks(threshold):
                 for side in ("left", "right"):
                     ids, comp, n, bands = (np.array([m[k] for m in r[side]], np.int64)
                                            for k in ("doc_id", "component", "n_shingles", "bands"))
-                    sides.append((ids, comp, n, bands, np.frombuffer(
-                        b"".join(m["sketch"] for m in r[side]), np.uint64).reshape(len(ids), -1)))
-                (ia, ca, na, ba, sa), (ib, cb, nb, bb, sb) = sides
+                    sides.append((ids, comp, n, bands, _sketches([m["sketch"] for m in r[side]]),
+                                  _hashes([m["hashes"] for m in r[side]])))
+                (ia, ca, na, ba, sa, ha), (ib, cb, nb, bb, sb, hb) = sides
+                common = common_hashes(ha, hb)
                 band = int(np.flatnonzero(ba[0] == r["bucket"])[0])
                 one = np.array_equal(ia, ib)                 # a block with itself: each pair once
                 for k in range(len(ia)):
                     ok = np.flatnonzero((cb != ca[k]) & (np.minimum(nb, na[k]) * whole >= np.maximum(nb, na[k]) * part)
                                         & ~(bb[:, :band] == ba[k, :band]).any(axis=1) & ((ib > ia[k]) | (not one)))
-                    ok = ok[odd_bits(sb[ok], sa[k]) <= MAX_ODD]
+                    both = common[k, ok]
+                    ok = ok[np.where(np.minimum(nb[ok], na[k]) < SMALL, both * whole >= (na[k] + nb[ok] - both) * part,
+                                     odd_bits(sb[ok], sa[k]) <= most)]
                     out_a.append(np.minimum(ia[k], ib[ok]))
                     out_b.append(np.maximum(ia[k], ib[ok]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))],
@@ -236,7 +293,7 @@ def _cross_blocks(threshold):
 def link(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """A row per document row: ``doc_id, n_shingles, component_id``."""
     spark = docs.sparkSession
-    signed = written(signatures(docs, size), "signatures")
+    signed = written(signatures(docs, threshold, size), "signatures")
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
 
     # documents with equal sets: one member each
@@ -245,7 +302,7 @@ def link(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame
     same = (known.join(by_digest.where("n > 1").drop("n"), ["digest", "n_shingles"])
             .where("doc_id <> member").select(F.col("member").alias("a"), F.col("doc_id").alias("b")))
     members = known.join(by_digest, ["digest", "n_shingles"]).where("doc_id = member")
-    members = written(members.select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id", "n_shingles"]),
+    members = written(members.select("doc_id", "n_shingles", "bands", "sketch", "hashes").dropDuplicates(["doc_id", "n_shingles"]),
                       "members")
 
     # bands: buckets with several members, and a pair for each with its smallest
@@ -254,11 +311,10 @@ def link(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "buckets")
     in_bucket = written(rows.join(buckets, "bucket"), "bucket-rows")
     pairs = in_bucket.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sketch = members.select("doc_id", "sketch", "n_shingles")
     for c in ("a", "b"):
-        pairs = pairs.join(sketch.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"),
-                                         F.col("n_shingles").alias(f"n{c}")), c)
-    near = pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(threshold), "a long, b long")
+        pairs = pairs.join(members.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"),
+                                          F.col("hashes").alias(f"h{c}"), F.col("n_shingles").alias(f"n{c}")), c)
+    near = pairs.select("a", "b", "na", "nb", "sa", "sb", "ha", "hb").mapInArrow(_near(threshold), "a long, b long")
     pairs = written(near, "pairs")
     links = written(confirm(pairs, docs, threshold, size).unionByName(same), "links")
     found = written(components(links), "components")
@@ -270,10 +326,10 @@ def link(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame
     mixed = written(placed.groupBy("bucket").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
         .where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    open_rows = (placed.join(mixed, "bucket").join(members.select("doc_id", "sketch", "n_shingles", "bands"), "doc_id")
+    open_rows = (placed.join(mixed, "bucket").join(members.select("doc_id", "sketch", "hashes", "n_shingles", "bands"), "doc_id")
                  .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
     blocks = written(open_rows.groupBy("bucket", "block", "blocks").agg(
-        F.collect_list(F.struct("doc_id", "component", "n_shingles", "bands", "sketch")).alias("rows")), "blocks")
+        F.collect_list(F.struct("doc_id", "component", "n_shingles", "bands", "sketch", "hashes")).alias("rows")), "blocks")
     left = blocks.select("bucket", F.col("block").alias("i"), F.col("rows").alias("left"),
                          F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = blocks.select("bucket", F.col("block").alias("j"), F.col("rows").alias("right"))

@@ -72,6 +72,36 @@ def test_large_buckets_are_searched_whole(spark, monkeypatch):
     assert sorted(map(tuple, M.link(documents(spark, texts)).collect())) == brute(texts)
 
 
+def small_pairs(rnd, part, whole, n=400):
+    """Texts of 6 to 40 words, each with one that has one to three words changed, added or
+    left out and is still similar enough."""
+    texts = []
+    while len(texts) < 2 * n:
+        a = [f"v{rnd.randrange(10**6)}" for _ in range(rnd.randrange(6, 41))]
+        b = list(a)
+        for _ in range(rnd.randrange(1, 4)):
+            k, word = rnd.choice([0, len(b) - 1, len(b) - 1, rnd.randrange(len(b))]), f"v{rnd.randrange(10**6)}"
+            b[k:k + 1] = rnd.choice([[word], [word, b[k]], [b[k], word], []])
+        x, y = (shingle_set(" ".join(t)) for t in (a, b))
+        if x != y and whole * len(x & y) >= part * len(x | y):
+            texts += [" ".join(a), " ".join(b)]
+    return texts
+
+
+def test_links_of_short_texts_equal_brute_force(spark):
+    texts = small_pairs(random.Random(12), *M.THRESHOLD)
+    assert sorted(map(tuple, M.link(documents(spark, texts)).collect())) == brute(texts)
+
+
+def test_short_texts_in_large_buckets(spark, monkeypatch):
+    """Sets on both sides of ``SMALL``, in blocks that meet each other."""
+    monkeypatch.setattr(M, "BLOCK", 8)
+    rnd = random.Random(13)
+    base = [prose(rnd, n, 9000) for n in (12, 40, M.SMALL + 6)]
+    texts = [near(rnd, b, rnd.randrange(0, 3)) + rnd.choice(["", " end", " the end"]) for b in base for _ in range(50)]
+    assert sorted(map(tuple, M.link(documents(spark, texts)).collect())) == brute(texts)
+
+
 def test_repeated_and_missing_ids(spark):
     same = "one two three four five six seven"
     docs = documents(spark, [same, same, "other words that stand here alone", same, None, same],
