@@ -5,7 +5,8 @@ result is written as Parquet below the session's shared folder and read again as
 one's ``docs``. All but the last return the columns of ``documents``.
 
 1. toxicity: rejected documents go.
-2. near-duplicates: of each class the document with the smallest id stays.
+2. near-duplicates: documents are linked at a similarity of ``NEAR`` (0.8) or more; of each
+   class the document with the smallest id stays.
 3. benchmark decontamination: documents with a benchmark passage go.
 4. secrets: found spans are replaced in the texts; no document goes.
 5. packing: pieces of documents in bins of 2048 words.
@@ -19,13 +20,15 @@ from __future__ import annotations
 from pulso.llm import minhash, packing, phrases, secrets_cnn, toxicity
 from pulso.llm.common import table, written
 
+NEAR = (80, 100)            # near-duplicates: 100 * common >= 80 * union of five-word shingles
+
 
 def drop_toxic(spark, docs, sf_dir):
     return toxicity.without_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, threshold=NEAR)
 
 
 def drop_contaminated(spark, docs, sf_dir):

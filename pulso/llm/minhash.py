@@ -9,7 +9,7 @@ their sets is at least ``THRESHOLD``; linked documents form classes.
    toggling one bit. The exclusive-or of two sketches holds the samples in which they
    differ, so its population count tells high similarities precisely.
 2. Documents with the same digest are one class member; its smallest id goes on.
-3. Signatures are cut into ``BANDS`` bands of ``ROWS``. Documents that agree in a band
+3. Signatures are cut into bands of rows (``band_rows``: 5 at ``THRESHOLD``). Documents that agree in a band
    share a bucket; each member is paired with the bucket's smallest id, a pair per
    member and not per two members.
 4. Pairs whose sketches differ in more than ``MAX_ODD`` bits are dropped; that bound lies
@@ -25,10 +25,12 @@ their sets is at least ``THRESHOLD``; linked documents form classes.
    that hangs together costs a pair per member.
 
 With 24 bands of 5 rows a pair at similarity 0.85 shares no band with probability
-8e-7. Each of the 120 hash functions gives ``PARTS`` samples, its smallest value in each
+8e-7; other thresholds get the longest rows that lose no more than ``MISSED`` (0.8: 30
+bands of 4, 1.4e-7). Each of the 120 hash functions gives ``PARTS`` samples, its smallest value in each
 quarter of the hash range (their least is the band's MinHash), 480 in all. At 0.85 these
 differ in 72 (deviation 7.8), which toggle 134 of 2048 bits (deviation 14.2, collisions
-included); ``MAX_ODD`` lies 6 deviations above. That holds for large sets: the samples of a
+included); ``MAX_ODD`` lies 6 deviations above, and ``max_odd`` gives the same for other
+thresholds. That holds for large sets: the samples of a
 quarter of the hash range change together where it holds few hashes, so the deviation
 grows as sets get smaller. At ``SMALL`` hashes it is about 17, still 5 below the bound.
 
@@ -51,19 +53,20 @@ from .components import components
 
 SHINGLE = 5
 THRESHOLD = (85, 100)       # links: 100 * common >= 85 * union
-BANDS, ROWS = 24, 5
+FUNCTIONS = 120
+MISSED = 1e-6               # a pair at the threshold shares no band with this probability at most
 PARTS = 4                   # samples of each hash function: the smallest in each part of the hashes
 SKETCH_BITS = 2048
 SMALL = 64                  # smaller sets are compared themselves, not by sketches
 BLOCK = 256                 # members of a bucket in one block of the exhaustive search
 
-_MULTIPLY = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLY = np.random.default_rng(7).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SIGNED = "doc_id long, n_shingles long, digest string, bands array<long>, sketch binary, hashes binary"
 
 
 def max_odd(threshold=THRESHOLD, deviations: float = 6) -> int:
     """Odd bits that large sets at the threshold don't exceed by so many deviations."""
-    n, bits, t = BANDS * ROWS * PARTS, SKETCH_BITS, threshold[0] / threshold[1]
+    n, bits, t = FUNCTIONS * PARTS, SKETCH_BITS, threshold[0] / threshold[1]
     toggles = 2 * n * (1 - t)
     even = np.exp(-2 * toggles / bits)
     spread = (2 * even) ** 2 * n * t * (1 - t)                     # of the differing samples
@@ -71,6 +74,13 @@ def max_odd(threshold=THRESHOLD, deviations: float = 6) -> int:
     return int(bits / 2 * (1 - even) + deviations * np.sqrt(spread + folded))
 
 
+def band_rows(threshold=THRESHOLD) -> int:
+    """Rows of a band: as many as lose no more than ``MISSED`` at the threshold."""
+    t = threshold[0] / threshold[1]
+    return max((r for r in range(1, FUNCTIONS + 1)
+                if FUNCTIONS % r == 0 and (1 - t ** r) ** (FUNCTIONS // r) <= MISSED), default=1)
+
+
 MAX_ODD = max_odd()
 
 
@@ -142,7 +152,7 @@ def odd_bits(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
 
 
-def estimate(odd: float, samples: int = BANDS * ROWS * PARTS, bits: int = SKETCH_BITS) -> float:
+def estimate(odd: float, samples: int = FUNCTIONS * PARTS, bits: int = SKETCH_BITS) -> float:
     """Similarity that ``odd`` differing bits stand for."""
     return float(1 + bits / (4 * samples) * np.log(max(1e-9, 1 - 2 * odd / bits)))
 
@@ -153,6 +163,8 @@ def signatures(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> Dat
     that there is no sketch."""
     small_batches(docs.sparkSession)
     part_of, whole = threshold
+    n_rows = band_rows(threshold)
+    n_bands = FUNCTIONS // n_rows
 
     def run(batches):
         for batch in batches:
@@ -160,9 +172,9 @@ def signatures(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> Dat
                 values, starts = shingles(part.column(1), size)
                 n = np.diff(starts)
                 samples = min_hashes(values, starts)
-                power = np.array([pow(W._MUL, j + 1, 1 << 64) for j in range(ROWS)], np.uint64)
-                bands = (samples.min(axis=2).reshape(-1, BANDS, ROWS) * power).sum(axis=2, dtype=np.uint64)
-                bands = W.mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(W._MUL)).view(np.int64)
+                power = np.array([pow(W._MUL, j + 1, 1 << 64) for j in range(n_rows)], np.uint64)
+                bands = (samples.min(axis=2).reshape(-1, n_bands, n_rows) * power).sum(axis=2, dtype=np.uint64)
+                bands = W.mix(bands + np.arange(n_bands, dtype=np.uint64) * np.uint64(W._MUL)).view(np.int64)
                 sketches = odd_sketch(samples)
                 one = np.concatenate([[0], np.cumsum(W.mix(values ^ np.uint64(0x5DEECE66D)), dtype=np.uint64)])
                 two = np.concatenate([[0], np.cumsum(W.mix(values + np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])

@@ -8,7 +8,7 @@ from pulso.llm import phrases, secrets_cnn, toxicity
 
 from .helpers import documents, prose
 from .test_minhash import brute as classes_of
-from .test_minhash import near
+from .test_minhash import classes, near, shingle_set, small_pairs
 from .test_phrases import brute as phrases_of
 from .test_toxicity import label_rows, texts_of
 
@@ -58,6 +58,22 @@ def test_pipeline_equals_brute_force(spark, tables):
     assert max(fill.values()) <= 2048
 
 
+def test_near_duplicate_stage_equals_brute_force_at_080(spark, tables):
+    """Copies at and around 0.8: short, and as long as sketches are compared."""
+    rnd = random.Random(21)
+    texts = small_pairs(rnd, 80, 100, 150)
+    for _ in range(60):
+        base = prose(rnd, 200, 9000)
+        texts += [base, near(rnd, base, rnd.randrange(3, 6))]
+    sets = [shingle_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i)
+             if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert sum(100 * len(sets[i] & sets[j]) < 85 * len(sets[i] | sets[j]) for i, j in links) >= 20
+    kept = sorted(i for i, c in classes(range(len(sets)), links).items() if i == c)
+    out = corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), tables[0])
+    assert sorted(r.doc_id for r in out.collect()) == kept
+
+
 def test_stages_keep_the_columns_and_stand_empty_tables(spark, tables):
     path, *_ = tables
     docs = spark.read.parquet(f"{path}/documents.parquet").where("false")
