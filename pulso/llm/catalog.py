@@ -22,7 +22,6 @@ def queries():
 
 def oracle_sql():
     return {
-        "op9_url_rules": urls.query,
         "op1_arc_to_warc": warc.ORACLE,
         "op2_threshold_topk": topk.ORACLE,
         "op3_minhash_odd_sketch": minhash.ORACLE,

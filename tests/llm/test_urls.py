@@ -56,3 +56,9 @@ def test_mined_verdicts(spark):
 
 def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_every_oracle_is_sql():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
