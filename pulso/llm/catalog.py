@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bwt, licenses, minhash, packing, phrases, secrets_cnn, topk, toxicity, urls, warc
+from . import (bwt, licenses, minhash, packing, phrases, quality, secrets_cnn, topk,
+               toxicity, urls, warc, whitening)
 
 
 def queries():
@@ -17,6 +18,8 @@ def queries():
         "op8_run_length_bwt": bwt.query,
         "op9_url_rules": urls.query,
         "op10_benchmark_phrases": phrases.query,
+        "op11_quality_cascade": quality.query,
+        "op13_feast_whitening": whitening.query,
     }
 
 
@@ -27,4 +30,5 @@ def oracle_sql():
         "op3_minhash_odd_sketch": minhash.ORACLE,
         "op8_run_length_bwt": bwt.ORACLE,
         "op10_benchmark_phrases": phrases.ORACLE,
+        "op11_quality_cascade": quality.ORACLE,
     }
