@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (bwt, licenses, minhash, packing, phrases, quality, secrets_cnn, topk,
+from . import (bwt, collocations, licenses, minhash, packing, phrases, quality, secrets_cnn, topk,
                toxicity, urls, warc, whitening)
 
 
@@ -19,6 +19,7 @@ def queries():
         "op9_url_rules": urls.query,
         "op10_benchmark_phrases": phrases.query,
         "op11_quality_cascade": quality.query,
+        "op12_collocation_stripes": collocations.query,
         "op13_feast_whitening": whitening.query,
     }
 
@@ -31,4 +32,5 @@ def oracle_sql():
         "op8_run_length_bwt": bwt.ORACLE,
         "op10_benchmark_phrases": phrases.ORACLE,
         "op11_quality_cascade": quality.ORACLE,
+        "op12_collocation_stripes": collocations.ORACLE,
     }
