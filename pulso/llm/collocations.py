@@ -50,20 +50,19 @@ SEGMENT = 10_000            # occurrences of a segment at least
 ROOT_SEGMENTS = 1024        # segments of the empty prefix
 FLUSH = 2_000_000           # tokens counted before a task sends its stripes
 
-#: Fixed values of the query's contract: what ends a piece, and what separates words.
-ENDS, GAPS = ".,;:!?\n\x0b\x0c\r", " \t"
-_FOLD = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {
-    ord("\t"): " "} | {ord(c): " \n " for c in ENDS}
+#: Fixed values of the query's contract: what ends a piece (words are split at blanks and tabs).
+ENDS = b".,;:!?\n\x0b\x0c\r"
+END = b"\xff"               # stands for them: no byte of UTF-8
+_FOLD = bytes.maketrans(ENDS + bytes(range(65, 91)), END * len(ENDS) + bytes(range(97, 123)))
+STRIPES = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("segment", pa.int32()),
+                     ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
 STRIPE = "lang string, prefix string, segment int, words array<string>, counts array<long>"
+MIX = 1_000_003             # hash of a pair: hash of the first word * MIX + hash of the second
 
 
-def tokens(text: str) -> list[str]:
-    """The words of a text in order, with ``\\n`` at the ends of pieces."""
-    return [w for w in text.translate(_FOLD).split(" ") if w]
-
-
-def _hash(lang: str, phrase: str) -> int:
-    return zlib.crc32(f"{lang} {phrase}".encode("utf-8", "surrogatepass"))
+def tokens(text: bytes) -> list[bytes]:
+    """The words of a text in order, with ``END`` at the ends of pieces."""
+    return text.translate(_FOLD).replace(END, b" " + END + b" ").split()
 
 
 # -- stripes of one task -----------------------------------------------------------------
@@ -74,91 +73,90 @@ class Counter:
     def __init__(self, lang, level, bitmap, wide):
         self.lang, self.level, self.bitmap, self.wide = lang, level, bitmap, wide
         self.ids = defaultdict(lambda: len(self.ids))
-        self.ids["\n"]                                  # id 0 ends a piece
+        self.ids[END]                                   # id 0 ends a piece
         self.chunks, self.size = [], 0
 
     def add(self, text):
         words = tokens(text)
-        ids = self.ids
-        self.chunks.append(np.fromiter((ids[w] for w in words), np.int64, len(words)))
+        self.chunks.append(np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words)))
         self.chunks.append(np.zeros(1, np.int64))
         self.size += len(words) + 1
 
-    def _kept(self, phrases):
-        """Which of the phrases hit the bitmap."""
-        at = np.fromiter((_hash(self.lang, p) for p in phrases), np.int64, len(phrases)) & (8 * len(self.bitmap) - 1)
+    def _hit(self, at):
+        at = at & (8 * len(self.bitmap) - 1)
         return (self.bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-    def _stripes(self, prefixes, prefix, word, count):
-        """A batch of stripes from cells sorted by prefix (an index into ``prefixes``)."""
-        if not len(word):
-            return pa.RecordBatch.from_pylist([], pa.schema([
-                ("lang", pa.string()), ("prefix", pa.string()), ("segment", pa.int32()),
-                ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]))
-        words = np.array(list(self.ids), dtype=object)
-        segment = np.zeros(len(word), np.int64)
-        names = [prefixes[i] for i in np.unique(prefix)]
-        spread = {p: self.wide.get((self.lang, p), 1) for p in names}
-        if self.level == 0 or any(s > 1 for s in spread.values()):
-            index = np.cumsum(np.r_[0, prefix[1:] != prefix[:-1]])
-            size = np.array([ROOT_SEGMENTS if self.level == 0 else spread[p] for p in names])[index]
-            cut = size > 1
-            crc = {w: zlib.crc32(words[w].encode("utf-8", "surrogatepass")) for w in np.unique(word[cut])}
-            segment[cut] = np.array([crc[w] for w in word[cut]]) % size[cut]
-            order = np.lexsort((word, segment, prefix))
-            prefix, segment, word, count = prefix[order], segment[order], word[order], count[order]
-        start = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (segment[1:] != segment[:-1])])
-        offsets = pa.array(np.r_[start, len(word)], pa.int32())
-        texts = pa.array(words[word], pa.string())
-        return pa.RecordBatch.from_pydict({
-            "lang": pa.array([self.lang] * len(start), pa.string()),
-            "prefix": pa.array([prefixes[i] for i in prefix[start]], pa.string()),
-            "segment": pa.array(segment[start], pa.int32()),
-            "words": pa.ListArray.from_arrays(offsets, texts),
-            "counts": pa.ListArray.from_arrays(offsets, pa.array(count, pa.int64()))})
+    def _hashes(self, names, start=0):
+        return np.fromiter((zlib.crc32(w, start) for w in names), np.int64, len(names))
+
+    def _segments(self, code, n):
+        """Segments of each prefix; ``code``: a prefix's word id, or first id * n + second."""
+        out = np.full(len(code), ROOT_SEGMENTS if self.level == 0 else 1)
+        for prefix, size in self.wide.get(self.lang, ()):
+            ids = [self.ids.get(w, -1) for w in prefix.encode().split(b" ")]
+            if min(ids) >= 0:
+                key = ids[0] if len(ids) == 1 else ids[0] * n + ids[1]
+                at = int(np.searchsorted(code, key))
+                if at < len(code) and code[at] == key:
+                    out[at] = size
+        return out
 
     def stripes(self):
-        t = np.concatenate(self.chunks)
-        n = len(self.ids)
+        t, names, n = np.concatenate(self.chunks), list(self.ids), len(self.ids)
         if self.level == 0:
-            word, count = np.unique(t[t > 0], return_counts=True)
-            return self._stripes([""], np.zeros(len(word), np.int64), word, count)
-        names = list(self.ids)
-        if self.level == 1:
-            kept = self._kept(names)
+            count = np.bincount(t, minlength=n)[1:]
+            word, prefix = np.arange(1, n), np.zeros(n - 1, np.int64)
+        elif self.level == 1:
+            kept = self._hit(self._hashes(names, zlib.crc32(f"{self.lang} ".encode())))
             kept[0] = False
             a, b = t[:-1], t[1:]
             code, count = np.unique((a * n + b)[kept[a] & kept[b]], return_counts=True)
-            return self._stripes(names, code // n, code % n, count)
-        a, b = t[:-1], t[1:]
-        whole = (a > 0) & (b > 0)
-        code, index = np.unique(np.where(whole, a * n + b, 0), return_inverse=True)
-        pairs = [f"{names[c // n]} {names[c % n]}" for c in code.tolist()]
-        kept = self._kept(pairs) & (code > 0)
-        first, second, last = index[:-1], index[1:], t[2:]
-        code, count = np.unique((first * n + last)[kept[first] & kept[second]], return_counts=True)
-        return self._stripes(pairs, code // n, code % n, count)
+            prefix, word = code // n, code % n
+        else:
+            first = self._hashes(names, zlib.crc32(f"{self.lang} ".encode())) * MIX
+            second = self._hashes(names)
+            hit = self._hit(first[t[:-1]] + second[t[1:]]) & (t[:-1] > 0) & (t[1:] > 0)
+            at = np.flatnonzero(hit[:-1] & hit[1:])
+            pair, index = np.unique(t[at] * n + t[at + 1], return_inverse=True)
+            code, count = np.unique(index * n + t[at + 2], return_counts=True)
+            prefix, word = pair[code // n], code % n
+        if not len(word):
+            return []
+        new = np.r_[True, prefix[1:] != prefix[:-1]]
+        size = self._segments(prefix[new], n)[np.cumsum(new) - 1]
+        segment = self._hashes(names)[word] % size
+        if (size > 1).any():
+            order = np.lexsort((word, segment, prefix))
+            prefix, segment, word, count = prefix[order], segment[order], word[order], count[order]
+        start = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (segment[1:] != segment[:-1])])
+        offsets = pa.array(np.r_[start, len(word)], pa.int32())
+        texts = pa.array([b"", *names[1:]], pa.binary()).cast(pa.string())
+        if self.level == 2:
+            prefixes = pc.binary_join_element_wise(
+                texts.take(pa.array(prefix[start] // n)), texts.take(pa.array(prefix[start] % n)), " ")
+        else:
+            prefixes = texts.take(pa.array(prefix[start]))
+        return pa.Table.from_arrays([
+            pa.array([self.lang] * len(start), pa.string()), prefixes, pa.array(segment[start], pa.int32()),
+            pa.ListArray.from_arrays(offsets, texts.take(pa.array(word))),
+            pa.ListArray.from_arrays(offsets, pa.array(count, pa.int64()))],
+            schema=STRIPES).to_batches(max_chunksize=5000)
 
 
 def _count(level, bitmap, wide, flush):
     def task(batches):
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
         of, large = {}, wide.value if wide else {}
-
-        def sent(counter):
-            out = counter.stripes()
-            yield from (out.slice(i, 5000) for i in range(0, out.num_rows, 5000))
-
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
                 counter = of.get(lang) or of.setdefault(lang, Counter(lang, level, bits, large))
                 counter.add(text)
                 if sum(c.size for c in of.values()) >= flush:
                     for c in of.values():
-                        yield from sent(c)
+                        yield from c.stripes()
                     of = {}
         for c in of.values():
-            yield from sent(c)
+            yield from c.stripes()
     return task
 
 
@@ -233,8 +231,11 @@ def level(docs: DataFrame, number: int, least: int, bitmap=None, wide=None) -> D
 
 def _bitmap(spark, cells: DataFrame):
     """The hashes of the phrases kept on a level as a broadcast bitmap of ``BITS`` bits."""
-    phrase = F.when(F.col("prefix") == "", F.col("word")).otherwise(F.concat_ws(" ", "prefix", "word"))
-    at = F.crc32(F.concat_ws(" ", "lang", phrase).cast("binary")).bitwiseAND(BITS - 1)
+    def crc(*text):
+        return F.crc32(F.concat_ws(" ", *text).cast("binary"))
+
+    at = F.when(F.col("prefix") == "", crc("lang", "word")).otherwise(
+        crc("lang", "prefix") * MIX + crc("word")).bitwiseAND(F.lit(BITS - 1))
     words = (cells.where("word is not null").select(at.alias("at"))
              .groupBy(F.shiftright("at", 6).alias("i"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")))
@@ -245,11 +246,14 @@ def _bitmap(spark, cells: DataFrame):
 
 
 def _wide(spark, phrases: DataFrame, total: int):
-    """(lang, prefix) -> segments, for the prefixes above 1/``SHARES`` of all words."""
+    """By language (prefix, segments), for the prefixes above 1/``SHARES`` of all words."""
     size = max(total / SHARES, SEGMENT)
     large = phrases.where(F.col("n") > size).select(
         "lang", "phrase", F.ceil(F.col("n") / F.lit(size)).cast("int").alias("s"))
-    return spark.sparkContext.broadcast({(r.lang, r.phrase): r.s for r in large.collect()})
+    out = defaultdict(list)
+    for r in large.collect():
+        out[r.lang].append((r.phrase, r.s))
+    return spark.sparkContext.broadcast(dict(out))
 
 
 # -- candidates --------------------------------------------------------------------------
