@@ -127,17 +127,22 @@ def measures(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
 
 # -- rules -------------------------------------------------------------------------------
 
-def default_rules(text="text") -> dict[str, Column]:
+def default_rules(text="text", known: dict[str, Column] | None = None) -> dict[str, Column]:
     """Name -> rejecting expression over the raw text, each complete in itself, so that a
-    skipped rule costs nothing. The first two are the base rules."""
-    t = whole(text)
+    skipped rule costs nothing. The first two are the base rules. ``known``: columns that
+    already hold some of the measures (where a caller wants them for every row anyway)."""
+    t, known = whole(text), known or {}
+    n = known.get("n_words", n_words(t))
+    chars = known.get("word_chars", n_without(t, SPACES))
+    repeated = (100 * known["n_repeat_words"] > 30 * n if "n_repeat_words" in known else
+                let(words(t), lambda w: 100 * n_repeat_words(w) > 30 * F.size(w)))
     return {
-        "few_words": n_words(t) < 20,
-        "repeated_words": let(words(t), lambda w: 100 * n_repeat_words(w) > 30 * F.size(w)),
-        "many_symbols": 40 * n_symbols(t) > F.char_length(t),
-        "odd_word_length": let(F.struct(n_without(t, SPACES).alias("c"), n_words(t).alias("n")),
+        "few_words": n < 20,
+        "repeated_words": repeated,
+        "many_symbols": 40 * known.get("n_symbols", n_symbols(t)) > F.char_length(t),
+        "odd_word_length": let(F.struct(chars.alias("c"), n.alias("n")),
                                lambda x: ~x.c.between(2 * x.n, 12 * x.n)),
-        "few_letters": 10 * n_without(t, "\\P{L}+") < 6 * n_without(t, SPACES),
+        "few_letters": 10 * n_without(t, "\\P{L}+") < 6 * chars,
         "equal_lines": let(lines(t), lambda x: let(n_equal_lines(x), lambda n: (
             (n >= 3) & (100 * n > 30 * F.size(x))))),
         "word_runs": let(words(t), lambda w: 100 * F.size(F.filter(
@@ -212,12 +217,14 @@ def passing(docs: DataFrame, rules: dict[str, Column] | None = None, columns=("t
 
 
 def query(spark, sf_dir):
-    docs = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = measures(docs, "doc_id", "rejected_by")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = in_order(*estimate(docs, default_rules()))
+    out = measures(docs, "doc_id", "text")      # wanted for every row, so the cascade reads them
+    known = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")}
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", *known, "n_dup_lines",
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
-        F.col("rejected_by").isNull().alias("kept"))
+        cascade(default_rules(known=known), order).isNull().alias("kept"))
 
 
 ORACLE = r"""

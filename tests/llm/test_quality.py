@@ -95,3 +95,12 @@ def test_empty_table_and_python_free_plan(spark):
     estimates, sets = Q.estimate(docs, Q.default_rules())
     assert [e.rejected for e in estimates][0] == 1 and sum(n for _, n in sets) == 1
     assert all(e.cost >= Q.LEAST_COST for e in estimates)
+
+
+def test_rules_over_known_measures_give_the_same_verdicts(spark):
+    out = Q.measures(documents(spark, texts()), "doc_id", "text")
+    known = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words")}
+    order = list(Q.default_rules())
+    got = out.select(Q.cascade(Q.default_rules(), order).alias("a"),
+                     Q.cascade(Q.default_rules(known=known), order).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
