@@ -20,7 +20,8 @@ their sets is at least ``THRESHOLD``; linked documents form classes.
 5. Confirmed links give components. Buckets whose members are still in several
    components are searched exhaustively, without a cap: members are cut into blocks,
    and block meets block, where sketches (or small sets) are compared in bulk and only pairs
-   in different components that pass step 4 come out, to be confirmed like the others.
+   in different components that pass step 4 come out: sketch pairs to be confirmed like the
+   others, links of small sets reduced to a spanning forest of the components they join.
    So no link between documents that share a band is lost, and a group of copies
    that hangs together costs a pair per member.
 
@@ -32,7 +33,7 @@ differ in 72 (deviation 7.8), which toggle 134 of 2048 bits (deviation 14.2, col
 included); ``MAX_ODD`` lies 6 deviations above, and ``max_odd`` gives the same for other
 thresholds. That holds for large sets: the samples of a
 quarter of the hash range change together where it holds few hashes, so the deviation
-grows as sets get smaller. At ``SMALL`` hashes it is about 17, still 5 below the bound.
+grows as sets get smaller. Below ``SMALL`` hashes the sets themselves are compared.
 
 Defined cases: null and empty texts have an empty set, size 0, and are linked with
 nothing. Rows that share a doc_id are one document for linking (any of their texts links
@@ -48,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import small_batches, table, written
+from .common import BATCH_ROWS, batches_of, table, written
 from .components import components
 
 SHINGLE = 5
@@ -57,11 +58,12 @@ FUNCTIONS = 120
 MISSED = 1e-6               # a pair at the threshold shares no band with this probability at most
 PARTS = 4                   # samples of each hash function: the smallest in each part of the hashes
 SKETCH_BITS = 2048
-SMALL = 64                  # smaller sets are compared themselves, not by sketches
+SMALL = 256                 # smaller sets are compared themselves, not by sketches
 BLOCK = 256                 # members of a bucket in one block of the exhaustive search
 
 _MULTIPLY = np.random.default_rng(7).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIGNED = "doc_id long, n_shingles long, digest string, bands array<long>, sketch binary, hashes binary"
+_SIGNED = ("doc_id long, n_shingles long, digest string, bands array<long>, sketch binary, hashes binary, "
+           "text_hash long")
 
 
 def max_odd(threshold=THRESHOLD, deviations: float = 6) -> int:
@@ -161,7 +163,6 @@ def signatures(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> Dat
     """``doc_id, n_shingles, digest, bands, sketch, hashes``; the last three null for empty
     sets. ``hashes`` is the whole set where it can be linked with one below ``SMALL``; below
     that there is no sketch."""
-    small_batches(docs.sparkSession)
     part_of, whole = threshold
     n_rows = band_rows(threshold)
     n_bands = FUNCTIONS // n_rows
@@ -187,11 +188,16 @@ def signatures(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> Dat
                     pa.array([bands[r] if h else None for h, r in zip(has, row)], pa.list_(pa.int64())),
                     pa.array([sketches[r].tobytes() if k >= SMALL else None for k, r in zip(n, row)], pa.binary()),
                     pa.array([values[a:b].tobytes() if 0 < b - a and part_of * (b - a) < whole * SMALL else None
-                              for a, b in zip(starts, starts[1:])], pa.binary())],
-                    names=["doc_id", "n_shingles", "digest", "bands", "sketch", "hashes"])
+                              for a, b in zip(starts, starts[1:])], pa.binary()),
+                    part.column(2)],
+                    names=["doc_id", "n_shingles", "digest", "bands", "sketch", "hashes", "text_hash"])
 
-    return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, _SIGNED))
+    return _texts(docs).mapInArrow(run, _SIGNED)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
+                       F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
 
 
 def _sketches(column: list) -> np.ndarray:
@@ -218,34 +224,44 @@ def common_hashes(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return (marks[0] @ marks[1].T).astype(np.int64)
 
 
+_PAIR = "a long, b long, ka long, kb long, sure boolean"
+
+
 def _near(threshold):
-    """Keep pairs whose sizes and sketches, or small sets, allow the threshold: ``a, b, na,
-    nb, sa, sb, ha, hb``."""
+    """Keep pairs whose sizes and sketches allow the threshold, and of small sets the links
+    (``sure``)."""
     part, whole = threshold
     most = max_odd(threshold)
 
     def run(batches):
         for batch in batches:
-            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
-            left, right = (_sketches(batch.column(k).to_pylist()) for k in (4, 5))
+            of = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            na, nb = (of[k].to_numpy() for k in ("na", "nb"))
+            left, right = (_sketches(of[k].to_pylist()) for k in ("sa", "sb"))
             ok = (np.minimum(na, nb) * whole >= np.maximum(na, nb) * part)
             small = np.minimum(na, nb) < SMALL
             ok &= small | (odd_bits(left, right) <= most)
             at = np.flatnonzero(ok & small)
-            for k, x, y in zip(at, *(_hashes(batch.column(c).take(pa.array(at)).to_pylist()) for c in (6, 7))):
+            for k, x, y in zip(at, *(_hashes(of[c].take(pa.array(at)).to_pylist()) for c in ("ha", "hb"))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok[k] = whole * both >= part * (na[k] + nb[k] - both)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays(
+                [*(of[k] for k in ("a", "b", "ka", "kb")), pa.array(small)],
+                names=["a", "b", "ka", "kb", "sure"]).filter(pa.array(ok))
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough."""
-    small_batches(docs.sparkSession, 64)
-    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    two = (pairs.join(text.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-           .join(text.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-           .select("a", "b", "text_a", "text_b"))
+def confirm(pairs: DataFrame, members: DataFrame, docs: DataFrame, threshold=THRESHOLD,
+            size: int = SHINGLE) -> DataFrame:
+    """The links ``(a, b)`` among pairs: those that are sure, and those whose full sets, made
+    again from the texts of the two members, are similar enough."""
+    open_pairs = pairs.where("NOT sure").select("a", "b", "ka", "kb")
+    keys = open_pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
+    needed = members.join(keys, "key").select("key", "doc_id", "text_hash")
+    text = _texts(docs).join(needed, ["doc_id", "text_hash"]).groupBy("key").agg(F.first("text").alias("text"))
+    two = (open_pairs.join(text.select(F.col("key").alias("kb"), F.col("text").alias("text_b")), "kb")
+           .join(text.select(F.col("key").alias("ka"), F.col("text").alias("text_a")), "ka")
+           .select("a", "b", "ka", "text_a", "text_b"))
     part, whole = threshold
 
     def sets(texts):
@@ -254,103 +270,137 @@ def confirm(pairs: DataFrame, docs: DataFrame, threshold=THRESHOLD, size: int =
 
     def run(batches):
         for batch in batches:
-            own = batch.column(0).to_pylist()
+            own = batch.column(2).to_pylist()
             place = {}
             for k, a in enumerate(own):
                 place.setdefault(a, k)
-            left = dict(zip(place, sets(batch.column(2).take(pa.array(list(place.values()), pa.int64())))))
+            left = dict(zip(place, sets(batch.column(3).take(pa.array(list(place.values()), pa.int64())))))
             keep = []
-            for a, y in zip(own, sets(batch.column(3))):
+            for a, y in zip(own, sets(batch.column(4))):
                 both = len(np.intersect1d(left[a], y, assume_unique=True))
                 keep.append(both > 0 and whole * both >= part * (len(left[a]) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return two.mapInArrow(run, "a long, b long")
+    return two.mapInArrow(run, "a long, b long").unionByName(pairs.where("sure").select("a", "b"))
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the links ``a[i], b[i]`` join what the earlier ones leave apart."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep[i] = True
+    return keep
 
 
 def _cross_blocks(threshold):
-    """Pairs of two blocks of a bucket that are in different components and whose sizes
-    and sketches, or small sets, allow the threshold. A pair that shares several buckets comes out of the
-    first of its bands only (all its buckets are mixed, so that one is searched too)."""
+    """Pairs of two blocks of a bucket that are in different components and whose sizes and
+    sketches allow the threshold. Small sets are compared themselves: of their links only those
+    that join components which no other link of the two blocks joins come out (``sure``). A
+    pair that shares several buckets comes out of the first of its bands only (all its buckets
+    are mixed, so that one is searched too)."""
     part, whole = threshold
     most = max_odd(threshold)
 
     def run(batches):
         for batch in batches:
-            out_a, out_b = [], []
+            found = []
             for r in batch.to_pylist():
                 sides = []
                 for side in ("left", "right"):
-                    ids, comp, n, bands = (np.array([m[k] for m in r[side]], np.int64)
-                                           for k in ("doc_id", "component", "n_shingles", "bands"))
-                    sides.append((ids, comp, n, bands, _sketches([m["sketch"] for m in r[side]]),
+                    keys, ids, comp, n, bands = (np.array([m[k] for m in r[side]], np.int64)
+                                                 for k in ("key", "doc_id", "component", "n_shingles", "bands"))
+                    sides.append((keys, ids, comp, n, bands, _sketches([m["sketch"] for m in r[side]]),
                                   _hashes([m["hashes"] for m in r[side]])))
-                (ia, ca, na, ba, sa, ha), (ib, cb, nb, bb, sb, hb) = sides
+                (ka, ia, ca, na, ba, sa, ha), (kb, ib, cb, nb, bb, sb, hb) = sides
                 common = common_hashes(ha, hb)
                 band = int(np.flatnonzero(ba[0] == r["bucket"])[0])
-                one = np.array_equal(ia, ib)                 # a block with itself: each pair once
-                for k in range(len(ia)):
+                one = np.array_equal(ka, kb)                 # a block with itself: each pair once
+                at = []
+                for k in range(len(ka)):
                     ok = np.flatnonzero((cb != ca[k]) & (np.minimum(nb, na[k]) * whole >= np.maximum(nb, na[k]) * part)
-                                        & ~(bb[:, :band] == ba[k, :band]).any(axis=1) & ((ib > ia[k]) | (not one)))
+                                        & ~(bb[:, :band] == ba[k, :band]).any(axis=1) & ((kb > ka[k]) | (not one)))
                     both = common[k, ok]
                     ok = ok[np.where(np.minimum(nb[ok], na[k]) < SMALL, both * whole >= (na[k] + nb[ok] - both) * part,
                                      odd_bits(sb[ok], sa[k]) <= most)]
-                    out_a.append(np.minimum(ia[k], ib[ok]))
-                    out_b.append(np.maximum(ia[k], ib[ok]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))],
-                                             names=["a", "b"])
+                    at.append(np.stack([np.full(len(ok), k), ok], axis=1))
+                x, y = np.concatenate(at).T
+                sure = np.minimum(na[x], nb[y]) < SMALL
+                keep = ~sure
+                keep[sure] = _forest(ca[x[sure]], cb[y[sure]])
+                x, y, sure = x[keep], y[keep], sure[keep]
+                found.append((ia[x], ib[y], ka[x], kb[y], sure))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)],
+                                                 names=["a", "b", "ka", "kb", "sure"])
     return run
 
 
 def link(docs: DataFrame, threshold=THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """A row per document row: ``doc_id, n_shingles, component_id``."""
     spark = docs.sparkSession
-    signed = written(signatures(docs, threshold, size), "signatures")
+    with batches_of(spark, BATCH_ROWS):
+        signed = written(signatures(docs, threshold, size), "signatures")
     known = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
 
-    # documents with equal sets: one member each
+    # documents with equal sets: one member each; the texts of an id are members of their own
     by_digest = written(known.groupBy("digest", "n_shingles").agg(
         F.min("doc_id").alias("member"), F.count("*").alias("n")), "set-members")
     same = (known.join(by_digest.where("n > 1").drop("n"), ["digest", "n_shingles"])
             .where("doc_id <> member").select(F.col("member").alias("a"), F.col("doc_id").alias("b")))
-    members = known.join(by_digest, ["digest", "n_shingles"]).where("doc_id = member")
-    members = written(members.select("doc_id", "n_shingles", "bands", "sketch", "hashes").dropDuplicates(["doc_id", "n_shingles"]),
-                      "members")
+    members = known.join(by_digest, ["digest", "n_shingles"]).where("doc_id = member").dropDuplicates(["doc_id", "digest"])
+    members = written(members.select(F.xxhash64("doc_id", "digest").alias("key"), "doc_id", "text_hash", "n_shingles",
+                                     "bands", "sketch", "hashes"), "members")
 
     # bands: buckets with several members, and a pair for each with its smallest
-    rows = members.select("doc_id", F.explode("bands").alias("bucket"))
+    rows = members.select("key", "doc_id", F.explode("bands").alias("bucket"))
     buckets = written(rows.groupBy("bucket").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "buckets")
+        F.min(F.struct("doc_id", "key")).alias("least"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        .where("lo < hi").select("bucket", "least"), "buckets")
     in_bucket = written(rows.join(buckets, "bucket"), "bucket-rows")
-    pairs = in_bucket.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = in_bucket.where("key <> least.key").select(F.col("least.key").alias("ka"), F.col("key").alias("kb")).distinct()
     for c in ("a", "b"):
-        pairs = pairs.join(members.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"),
-                                          F.col("hashes").alias(f"h{c}"), F.col("n_shingles").alias(f"n{c}")), c)
-    near = pairs.select("a", "b", "na", "nb", "sa", "sb", "ha", "hb").mapInArrow(_near(threshold), "a long, b long")
-    pairs = written(near, "pairs")
-    links = written(confirm(pairs, docs, threshold, size).unionByName(same), "links")
+        pairs = pairs.join(members.select(
+            F.col("key").alias(f"k{c}"), F.col("doc_id").alias(c), F.col("sketch").alias(f"s{c}"),
+            F.col("hashes").alias(f"h{c}"), F.col("n_shingles").alias(f"n{c}")), f"k{c}")
+    pairs = pairs.select("a", "b", "ka", "kb", "na", "nb", "sa", "sb", "ha", "hb")
+    with batches_of(spark, BATCH_ROWS):
+        pairs = written(pairs.mapInArrow(_near(threshold), _PAIR), "pairs")
+    with batches_of(spark, 64):
+        links = written(confirm(pairs, members, docs, threshold, size).unionByName(same), "links")
     found = written(components(links), "components")
 
     # buckets in several components: every pair across them, block by block
     own = F.coalesce("component", "doc_id").alias("component")
-    placed = in_bucket.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", own)
+    placed = in_bucket.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "key", own)
     placed = written(placed, "placed")
     mixed = written(placed.groupBy("bucket").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
         .where("lo < hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    open_rows = (placed.join(mixed, "bucket").join(members.select("doc_id", "sketch", "hashes", "n_shingles", "bands"), "doc_id")
-                 .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
-    blocks = written(open_rows.groupBy("bucket", "block", "blocks").agg(
-        F.collect_list(F.struct("doc_id", "component", "n_shingles", "bands", "sketch", "hashes")).alias("rows")), "blocks")
+    open_rows = (placed.join(mixed, "bucket").join(members.drop("text_hash"), "key")
+                 .withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")))
+    blocks = written(open_rows.groupBy("bucket", "block", "blocks").agg(F.collect_list(F.struct(
+        "key", "doc_id", "component", "n_shingles", "bands", "sketch", "hashes")).alias("rows")), "blocks")
     left = blocks.select("bucket", F.col("block").alias("i"), F.col("rows").alias("left"),
                          F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = blocks.select("bucket", F.col("block").alias("j"), F.col("rows").alias("right"))
-    small_batches(spark, 64)
     more = (left.join(right, ["bucket", "j"]).select("bucket", "left", "right")
-            .mapInArrow(_cross_blocks(threshold), "a long, b long").distinct())
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+            .mapInArrow(_cross_blocks(threshold), _PAIR).dropDuplicates(["ka", "kb"]))
+    with batches_of(spark, 16):
+        more = written(more.join(pairs, ["ka", "kb"], "left_anti").select("a", "b", "ka", "kb", "sure"), "more-pairs")
     if not more.isEmpty():
-        extra = written(confirm(more, docs, threshold, size), "more-links")
+        with batches_of(spark, 64):
+            extra = written(confirm(more, members, docs, threshold, size), "more-links")
         if not extra.isEmpty():
             found = written(components(links.unionByName(extra)), "components")
     return signed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(

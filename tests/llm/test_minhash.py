@@ -148,3 +148,38 @@ def test_components_equal_brute_force(spark):
     ids = sorted({x for p in true for x in p})
     assert {r.node: r.component for r in components(df).collect()} == classes(ids, true)
     assert components(df.where("false")).collect() == []
+
+
+def test_texts_of_a_repeated_id_all_link(spark):
+    rnd = random.Random(21)
+    a, b = prose(rnd, 80, 9000), prose(rnd, 80, 9000)
+    docs = documents(spark, [a, a + " x", b + " x", b], ids=[1, 5, 5, 7])
+    assert sorted({(r.doc_id, r.component_id) for r in M.link(docs).collect()}) == [(1, 1), (5, 1), (7, 1)]
+    long_a, long_b = prose(rnd, 600, 90000), prose(rnd, 600, 90000)
+    docs = documents(spark, [long_a, long_a + " x", long_b + " x", long_b], ids=[1, 5, 5, 7])
+    assert sorted({(r.doc_id, r.component_id) for r in M.link(docs).collect()}) == [(1, 1), (5, 1), (7, 1)]
+
+
+def test_copies_just_below_the_threshold(spark, monkeypatch):
+    """Texts that share a base and differ so much that few of the many pairs are links: what goes
+    on to be confirmed stays in proportion to the texts."""
+    monkeypatch.setattr(M, "BLOCK", 16)
+    rows = []
+    confirm = M.confirm
+    monkeypatch.setattr(M, "confirm", lambda pairs, *a: (rows.append(pairs.count()), confirm(pairs, *a))[1])
+    counts = {}
+    for n in (60, 120):
+        rnd = random.Random(22)
+        base = prose(rnd, 150, 9000)
+        texts = [near(rnd, base, rnd.randrange(4, 9)) for _ in range(n)]
+        rows.clear()
+        assert sorted(map(tuple, M.link(documents(spark, texts)).collect())) == brute(texts)
+        counts[n] = sum(rows)
+    assert counts[120] <= 3 * counts[60] + 60
+
+
+def test_the_session_keeps_its_batch_size(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    M.link(documents(spark, ["a b c d e f", "a b c d e f g"])).collect()
+    assert spark.conf.get(key) == before
