@@ -86,14 +86,53 @@ def weighted_sentiment(df: DataFrame, keys=(), stats: RobustStats | None = None,
         *weighted_aggs(stats, scores, weights))
 
 
+def daily_sums(df: DataFrame, keys=(), scores=SCORES, counts=ENGAGEMENT) -> DataFrame:
+    """What A1 and A3 need of the posts of a (keys, day), as sums that add up over batches
+    (``add_sums``): of each value, each weight, each product, and of each value where the
+    weight is known, with the numbers of values and weights."""
+    aggs = []
+    for c in (*scores, *counts):
+        x = F.col(c).cast("double")
+        aggs += [F.coalesce(F.sum(x), F.lit(0.0)).alias(f"sum_{c}"), F.count(x).alias(f"n_{c}")]
+    for w in counts:
+        wd = F.col(w).cast("double")
+        for v in scores:
+            vd = F.col(v).cast("double")
+            aggs += [F.coalesce(F.sum(vd * wd), F.lit(0.0)).alias(f"sum_{v}_{w}"),
+                     F.coalesce(F.sum(F.when(wd.isNotNull(), vd)), F.lit(0.0)).alias(f"sum_{v}_at_{w}")]
+    return _dated(df, [*keys, *scores, *counts]).groupBy(*keys, "date").agg(*aggs)
+
+
+def add_sums(sums: DataFrame, keys=()) -> DataFrame:
+    """The ``daily_sums`` of all rows behind several tables of them, put together."""
+    return sums.groupBy(*keys, "date").agg(*[
+        F.sum(c).alias(c) for c in sums.columns if c not in (*keys, "date")])
+
+
+def daily_of_sums(sums: DataFrame, stats: RobustStats, scores=SCORES,
+                  counts=ENGAGEMENT) -> DataFrame:
+    """A1 and A3 from ``daily_sums`` and the scaler (see ``weighted_aggs`` for the rules)."""
+    def mean(c):
+        return F.when(F.col(f"n_{c}") > 0, F.col(f"sum_{c}") / F.col(f"n_{c}"))
+
+    keep = [c for c in sums.columns if not c.startswith(("sum_", "n_"))]
+    cols = [mean(v).alias(v) for v in scores]
+    cols += [((mean(w) - F.lit(stats.center(w))) / F.lit(stats.scale(w))).alias(w) for w in counts]
+    for w in counts:
+        med = F.lit(stats.center(w))
+        den = F.col(f"sum_{w}") - med * F.col(f"n_{w}")
+        for v in scores:
+            num = F.col(f"sum_{v}_{w}") - med * F.col(f"sum_{v}_at_{w}")
+            cols.append(F.when(den != 0, num / den).otherwise(mean(v))
+                        .alias(f"weighted_{SCORE_SHORT.get(v, v)}_{w}"))
+    return sums.select(*keep, *cols)
+
+
 def daily_aggregate(df: DataFrame, keys=(), stats: RobustStats | None = None,
                     scores=SCORES, counts=ENGAGEMENT) -> DataFrame:
     """A1 and A3 together in one hash aggregate (one shuffle for both)."""
     stats = stats or fit_robust(df, counts)
-    agg = _dated(df, [*keys, *scores, *counts]).groupBy(*keys, "date").agg(
-        *mean_aggs(scores, counts), *weighted_aggs(stats, scores, counts))
-    return agg.withColumns({
-        c: (F.col(c) - F.lit(stats.center(c))) / F.lit(stats.scale(c)) for c in counts})
+    return daily_of_sums(daily_sums(df, keys, scores, counts), stats, scores, counts)
 
 
 # ----------------------------------------------------------------- windows

@@ -11,9 +11,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..session import reliable_checkpoint
 from ..sources.tables import require_columns
 
+QUARTILES = (0.25, 0.5, 0.75)
+
 
 @dataclass(frozen=True)
 class RobustStats:
@@ -28,47 +32,72 @@ class RobustStats:
         return self.iqr[c]
 
 
-# Buckets that an interval is cut into in each pass of ``order_statistics``.
+# Buckets that an interval is cut into in each pass of ``quantiles``.
 BUCKETS = 1024
 
 
-def order_statistics(df: DataFrame, cols, probs) -> dict:
-    """Exact linear-interpolated quantiles per column, whatever the number of
-    rows or distinct values (nulls and NaN skipped): ``{column: [value, ...]}``,
-    null without values.
-
-    Every wanted rank starts with the interval [min, max]; a pass counts the
-    values of its interval in ``BUCKETS`` buckets, with each bucket's own least
-    and largest value, and the interval shrinks to the bucket that holds the
-    rank, until it is one value. Integer counts take two or three passes. What
-    reaches the driver is at most ``BUCKETS`` rows per open rank.
+def values(df: DataFrame, cols, by=()) -> DataFrame:
+    """``(by..., column, value, n)``: every non-null, non-NaN value of ``cols`` as a row
+    of weight 1."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.nanvl(
+        F.col(c).cast("double"), F.lit(None).cast("double")).alias("value")) for c in cols])
+    return (df.select(*by, F.explode(each).alias("_p")).where("_p.value IS NOT NULL")
+            .select(*by, "_p.column", "_p.value", F.lit(1).cast("long").alias("n")))
+
+
+def value_counts(df: DataFrame, cols, by=()) -> DataFrame:
+    """How often each value of each column occurs, ``(by..., column, value, n)``: one pass,
+    combined map-side. The counts of two sets of rows add up to those of their union
+    (``merge_value_counts``), so they are a state from which quantiles stay exact."""
+    return values(df, cols, by).groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def merge_value_counts(*tables: DataFrame, by=()) -> DataFrame:
+    """The counts of all rows that the tables stand for. ``by=()`` merges over days too."""
+    key = [*by, "column", "value"]
+    both = None
+    for t in tables:
+        t = t.select(*key, "n")
+        both = t if both is None else both.unionByName(t)
+    return both.groupBy(*key).agg(F.sum("n").alias("n"))
+
+
+def quantiles(weighted: DataFrame, cols, probs) -> dict:
+    """Exact linear-interpolated quantiles per column of ``(column, value, n)`` rows:
+    ``{column: [value, ...]}``, null without values. A value may have several rows.
+
+    Every wanted rank starts with the interval [min, max]; a pass sums the weights of its
+    interval in ``BUCKETS`` buckets, with each bucket's own least and largest value, and the
+    interval shrinks to the bucket that holds the rank, until it is one value. Integer counts
+    take two or three passes. What reaches the driver is at most ``BUCKETS`` rows per open rank.
     """
     cols = list(cols)
-    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols}
-    row = df.agg(*[x for i, c in enumerate(cols) for x in (
-        F.min(value[c]).alias(f"lo{i}"), F.max(value[c]).alias(f"hi{i}"),
-        F.count(value[c]).alias(f"n{i}"))]).first()
+    ends = {x.column: x for x in weighted.groupBy("column").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("n")).collect()}
     wanted, found, goal = {}, {}, {}
-    for i, c in enumerate(cols):
-        lo, hi, n = row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"]
-        goal[c] = [p * (n - 1) for p in probs] if n else None
-        for rank in {r for g in goal[c] or () for r in (int(g), min(int(g) + 1, n - 1))}:
-            wanted[c, rank] = (lo, hi, 0)            # interval, values before it
+    for c in cols:
+        if c not in ends:
+            goal[c] = ()
+            continue
+        e = ends[c]
+        goal[c] = [p * (e.n - 1) for p in probs]
+        for rank in {r for g in goal[c] for r in (int(g), min(int(g) + 1, e.n - 1))}:
+            wanted[c, rank] = (e.lo, e.hi, 0)            # interval, weight before it
     while True:
         found |= {k: v[0] for k, v in wanted.items() if v[0] == v[1]}
         wanted = {k: v for k, v in wanted.items() if v[0] != v[1]}
         if not wanted:
             break
-        spans = sorted({(c, *v) for (c, _), v in wanted.items()})
-        place = []
+        spans = sorted({(c, *v) for (c, _), v in wanted.items()})    # apart, within a column
+        place = F.lit(None).cast("struct<i:int,b:bigint>")
         for i, (c, lo, hi, _) in enumerate(spans):
-            x = value[c]
-            bucket = F.least(F.floor((x - F.lit(lo)) * F.lit(BUCKETS) / F.lit(hi - lo)), F.lit(BUCKETS - 1))
-            place.append(F.when(x.between(F.lit(lo), F.lit(hi)), F.struct(
-                F.lit(i).alias("i"), bucket.alias("b"), x.alias("x"))))
-        each = df.select(F.explode(F.array(*place)).alias("p")).where("p IS NOT NULL")
-        got = each.groupBy("p.i", "p.b").agg(F.count(F.lit(1)).alias("n"), F.min("p.x").alias("lo"),
-                                             F.max("p.x").alias("hi")).collect()
+            bucket = F.least(F.floor((F.col("value") - F.lit(lo)) * F.lit(BUCKETS) / F.lit(hi - lo)),
+                             F.lit(BUCKETS - 1))
+            place = F.when((F.col("column") == c) & F.col("value").between(F.lit(lo), F.lit(hi)),
+                           F.struct(F.lit(i).alias("i"), bucket.cast("long").alias("b"))).otherwise(place)
+        got = (weighted.select(place.alias("p"), "value", "n").where("p IS NOT NULL")
+               .groupBy("p.i", "p.b").agg(F.sum("n").alias("n"), F.min("value").alias("lo"),
+                                          F.max("value").alias("hi")).collect())
         for (c, rank), v in list(wanted.items()):
             before = v[2]
             for g in sorted((g for g in got if g.i == spans.index((c, *v))), key=lambda g: g.b):
@@ -79,12 +108,41 @@ def order_statistics(df: DataFrame, cols, probs) -> dict:
     out = {}
     for c in cols:
         out[c] = [None] * len(probs)
-        for k, g in enumerate(goal[c] or ()):
+        for k, g in enumerate(goal[c]):
             a, b = found[c, int(g)], found.get((c, int(g) + 1), found[c, int(g)])
             out[c][k] = a + (b - a) * (g - int(g))
     return out
 
 
+def order_statistics(df: DataFrame, cols, probs) -> dict:
+    """``quantiles`` of the columns of ``df``, whatever the number of rows or distinct
+    values. Integer columns are counted by value in one pass over ``df`` and ranked on the
+    counts, which are written; others take a pass over ``df`` for each step."""
+    whole = [f.name for f in df.schema.fields if f.name in set(cols) and isinstance(f.dataType, IntegralType)]
+    rest = [c for c in cols if c not in whole]
+    out = quantiles(reliable_checkpoint(value_counts(df, whole)), whole, probs) if whole else {}
+    return out | (quantiles(values(df, rest), rest, probs) if rest else {})
+
+
+def robust_of_quartiles(quartiles: dict) -> RobustStats:
+    """Median and inter-quartile range (0 as 1; a column without values: 0 and 1)."""
+    med, iqr = {}, {}
+    for c, q in quartiles.items():
+        if q[1] is None:
+            med[c], iqr[c] = 0.0, 1.0
+            continue
+        med[c] = float(q[1])
+        spread = float(q[2]) - float(q[0])
+        iqr[c] = spread if spread != 0 else 1.0
+    return RobustStats(med, iqr)
+
+
+def fit_robust_counts(counts: DataFrame, cols) -> RobustStats:
+    """X13 fit from stored ``value_counts`` (of any number of days or batches): exact
+    quartiles without a pass over the rows behind them."""
+    return robust_of_quartiles(quantiles(counts, cols, QUARTILES))
+
+
 def fit_robust(df: DataFrame, cols, approx: bool = False, accuracy: int = 100000) -> RobustStats:
     """X13 fit: linear-interpolated quartiles per column (nulls and NaN skipped).
 
@@ -93,25 +151,13 @@ def fit_robust(df: DataFrame, cols, approx: bool = False, accuracy: int = 100000
     """
     cols = list(cols)
     require_columns(df, cols)
-    probs = [0.25, 0.5, 0.75]
     if not cols:
         return RobustStats({}, {})
     if approx:
         row = df.agg(*[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")),
-                                           probs, accuracy).alias(c) for c in cols]).first()
-        quartiles = {c: row[c] or [None] * 3 for c in cols}
-    else:
-        quartiles = order_statistics(df, cols, probs)
-    med, iqr = {}, {}
-    for c in cols:
-        q = quartiles[c]
-        if q[1] is None:
-            med[c], iqr[c] = 0.0, 1.0
-            continue
-        med[c] = float(q[1])
-        spread = float(q[2]) - float(q[0])
-        iqr[c] = spread if spread != 0 else 1.0
-    return RobustStats(med, iqr)
+                                           list(QUARTILES), accuracy).alias(c) for c in cols]).first()
+        return robust_of_quartiles({c: row[c] or [None] * 3 for c in cols})
+    return robust_of_quartiles(order_statistics(df, cols, QUARTILES))
 
 
 def robust_scale(df: DataFrame, stats: RobustStats, cols=None) -> DataFrame:

@@ -9,9 +9,11 @@ from ..operators import daily as D
 from ..operators.polls import poll_calendar, week_start_join, with_polls
 from ..operators.scaling import fit_robust, robust_scale
 from ..operators.vectors import daily_embedding_mean
+from ..session import scratch_path
 from ..sources import fixtures as fx
+from .feature_store import FeatureStore
 from .features import daily_features
-from .registry import NUDGE, r, register, rounded, with_ctes
+from .registry import r, r_col, register, rounded, with_ctes
 
 SC = D.SCORES
 EN = D.ENGAGEMENT
@@ -135,7 +137,7 @@ def _posts_with_vectors(spark, d):
 
 
 def _rounded_vector(out):
-    return out.withColumn("embedding", F.transform("embedding", lambda x: F.round(x * F.lit(NUDGE), 5)))
+    return out.withColumn("embedding", F.transform("embedding", lambda x: r_col(x, 5)))
 
 
 @register("daily_features", "SELECT f.*, e.embedding FROM (" + sql_features() + ") f LEFT JOIN ("
@@ -146,6 +148,38 @@ def q_daily_features(spark, d):
     return _rounded_vector(rounded(out.select(*FEATURE_ORDER, "embedding")))
 
 
+def _store_of_three_runs(spark, d):
+    """A store fed by three runs (posts by id, so that the second and third bring late posts
+    for every day), one of them replayed, with a wrong day that a last run replaces."""
+    p = fx.posts(spark, d)
+    step = F.col("id").cast("long") % 3
+    bad = F.dayofmonth("date") == 10
+    store = FeatureStore(spark, scratch_path(spark, "features"))
+    store.append(p.where(step == 0), 1)
+    store.append(p.where((step == 1) & ~bad), 2)
+    store.append(p.where((step == 1) & ~bad), 2)            # replayed: no effect
+    store.append(p.where(step == 2), 3)
+    store.append(p.where(bad), 4, replace_days=True)
+    return store, p
+
+
+@register("daily_features_incremental", sql_features)
+def q_daily_features_incremental(spark, d):
+    store, p = _store_of_three_runs(spark, d)
+    return rounded(store.features(fx.polls(spark, d, p))).select(*FEATURE_ORDER)
+
+
+@register("robust_quartiles_stored", with_ctes(
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {r(f'm_{c}')} AS median, {r(f'i_{c}')} AS iqr FROM stats"
+        for c in EN) + ") x", posts="SELECT * FROM (" + fx.SQL_POSTS + ") p WHERE date IS NOT NULL",
+    stats=sql_stats()))
+def q_robust_quartiles_stored(spark, d):
+    stats = _store_of_three_runs(spark, d)[0].stats()
+    return rounded(spark.createDataFrame([(c, stats.median[c], stats.iqr[c]) for c in EN],
+                                         "column_name string, median double, iqr double"))
+
+
 @register("daily_embedding_mean", with_ctes(SQL_DAILY_EMBEDDING, posts=fx.SQL_POSTS))
 def q_daily_embedding_mean(spark, d):
     return _rounded_vector(daily_embedding_mean(_posts_with_vectors(spark, d)))

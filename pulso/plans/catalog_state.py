@@ -10,6 +10,7 @@ from ..operators import replies as RP
 from ..operators import state as ST
 from ..sources import fixtures as fx
 from ..sources import tables as TB
+from ..sources.versioned import read_current, replace_table, write_data
 from ..session import scratch_path
 from .catalog_daily import SQL_CALENDAR, sql_daily, sql_stats
 from .registry import r, register, rounded, with_ctes
@@ -178,6 +179,28 @@ def q_csv_roundtrip(spark, d):
     return TB.read_table(spark, path, TB.schema_of(p), fmt="csv", date_cols=("date",))
 
 
+@register("replace_while_read", with_ctes(
+    "SELECT CAST(1 AS BIGINT) AS version, author, count(*) AS n, count(*) FILTER (WHERE processed) AS n_processed "
+    "FROM posts GROUP BY author UNION ALL "
+    "SELECT 2, author, count(*), count(*) FILTER (WHERE processed OR likeCount > 50) FROM posts "
+    "WHERE author <> 'error' GROUP BY author", posts=fx.SQL_POSTS))
+def q_replace_while_read(spark, d):
+    """A table replaced by what is computed from it, beside a reader of the old version and
+    a writer that died before its commit."""
+    path = scratch_path(spark, "replaced")
+    replace_table(fx.posts(spark, d).select("id", "author", "likeCount", "processed"), path)
+    old = read_current(spark, path)
+    write_data(old.limit(1), path)
+    flag = F.coalesce(F.col("processed"), F.lit(False)) | F.coalesce(F.col("likeCount") > 50, F.lit(False))
+    replace_table(old.where("author <> 'error'").withColumn("processed", flag), path)
+
+    def counts(df, version):
+        return df.groupBy(F.lit(version).cast("long").alias("version"), "author").agg(
+            F.count("*").alias("n"), F.count_if("processed").alias("n_processed"))
+
+    return counts(old, 1).unionByName(counts(read_current(spark, path), 2))
+
+
 # ------------------------------------------------------------------ harvests / replies
 
 HARVEST = dict(start="1995-01-15", end="2001-08-02", n=30)
@@ -239,7 +262,7 @@ def q_reply_enrichment(spark, d):
     out = RP.reply_enrichment(c.where(F.col("turn") > 0), c.where(F.col("turn") == 0))
     return out.select("id", "conv_id", "turn", "parent_tweet_id", "parent_text", "parent_createdAt")
 
-THREADS = dict(start="2024-01-01", end="2024-03-20", n=40)
+THREADS_N = 40
 
 
 @register("author_harvest", with_ctes(
@@ -249,15 +272,16 @@ THREADS = dict(start="2024-01-01", end="2024-03-20", n=40)
     "LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id "
     "ORDER BY createdAt, id) AS prn FROM h) y WHERE prn = 1) p ON p.conv_id = r.conv_id WHERE r.rn <= 3",
     cp=fx.SQL_CONVERSATION_POSTS,
-    w="SELECT CAST(ws AS DATE) AS window_start, CAST(least(ws + INTERVAL 1 MONTH, "
-      f"DATE '{THREADS['end']}') AS DATE) AS window_end FROM (SELECT unnest(generate_series("
-      f"DATE '{THREADS['start']}', DATE '{THREADS['end']}', INTERVAL 1 MONTH)) AS ws) g "
-      f"WHERE ws < DATE '{THREADS['end']}'",
+    b="SELECT min(CAST(createdAt AS DATE)) AS s, CAST(max(CAST(createdAt AS DATE)) + 1 AS DATE) AS e FROM cp",
+    w="SELECT CAST(ws AS DATE) AS window_start, CAST(least(ws + INTERVAL 1 MONTH, e) AS DATE) AS window_end "
+      "FROM (SELECT unnest(generate_series(s, e, INTERVAL 1 MONTH)) AS ws, e FROM b) g WHERE ws < e",
     h="SELECT * FROM (SELECT cp.*, row_number() OVER (PARTITION BY cp.role, w.window_start "
       "ORDER BY cp.createdAt DESC, cp.id DESC) AS rn FROM cp JOIN w ON CAST(cp.createdAt AS DATE) >= w.window_start "
-      f"AND CAST(cp.createdAt AS DATE) < w.window_end WHERE cp.turn = 0) x WHERE rn <= {THREADS['n']}"))
+      f"AND CAST(cp.createdAt AS DATE) < w.window_end WHERE cp.turn = 0) x WHERE rn <= {THREADS_N}"))
 def q_author_harvest(spark, d):
     c = fx.conversation_posts(spark, d)
+    # the months of the posts' own first to last day: the calendar grows with the table
+    span = c.agg(F.to_date(F.min("createdAt")).alias("s"), F.date_add(F.to_date(F.max("createdAt")), 1).alias("e")).first()
     out = RP.harvest_with_replies(c.where(F.col("turn") == 0), c.where(F.col("turn") > 0),
-                                  author="role", n_replies=3, **THREADS)
+                                  author="role", n_replies=3, start=span.s, end=span.e, n=THREADS_N)
     return out.select("id", "conv_id", "turn", "parent_tweet_id", "parent_text", "parent_createdAt")

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import terms as TM
 from ..sources import fixtures as fx
 from . import sql_text as S
-from .registry import r, register, with_ctes
+from .registry import r, r_col, register, with_ctes
 
 
 @register("clean_posts", lambda: with_ctes(
@@ -68,14 +68,14 @@ def _sql_terms(kind: str, pending: bool = False) -> str:
 def q_daily_top_terms(spark, d):
     cp = TM.clean_posts(fx.text_posts(spark, d))
     out = TM.daily_top_terms(cp, phrases=FIXTURE_PHRASES, words=FIXTURE_WORDS)
-    return out.withColumn("weight", F.round(F.col("weight") * F.lit(1.000000000001), 6))
+    return out.withColumn("weight", r_col(F.col("weight"), 6))
 
 
 @register("daily_top_bigrams", lambda: _sql_terms("bigram"))
 def q_daily_top_bigrams(spark, d):
     cp = TM.clean_posts(fx.text_posts(spark, d))
     out = TM.daily_top_bigrams(cp, phrases=FIXTURE_PHRASES, words=FIXTURE_WORDS, min_count=2)
-    return out.withColumn("weight", F.round(F.col("weight") * F.lit(1.000000000001), 6))
+    return out.withColumn("weight", r_col(F.col("weight"), 6))
 
 
 SQL_DONE_DAYS = ("SELECT DISTINCT CAST(createdAt AS DATE) AS date FROM tp "
@@ -93,4 +93,4 @@ def q_pending_top_terms(spark, d):
             .where(F.dayofmonth("date") % 3 == 0))
     cp = TM.clean_posts(tp)
     out = TM.pending_top_terms(cp, done, phrases=FIXTURE_PHRASES, words=FIXTURE_WORDS)
-    return out.withColumn("weight", F.round(F.col("weight") * F.lit(1.000000000001), 6))
+    return out.withColumn("weight", r_col(F.col("weight"), 6))

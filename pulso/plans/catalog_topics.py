@@ -14,13 +14,13 @@ from ..session import reliable_checkpoint, scratch_path
 from ..sources import fixtures as fx
 from . import daily_run as DR
 from . import sql_text as S
-from .registry import NUDGE, r, register, rounded, with_ctes
+from .registry import r, r_col, register, rounded, with_ctes
 
 EMB_DIM = 64
 
 
 def _round_array(c, digits=5):
-    return F.transform(F.col(c), lambda x: F.round(x.cast("double") * F.lit(NUDGE), digits))
+    return F.transform(F.col(c), lambda x: r_col(x, digits))
 
 
 # ------------------------------------------------------------------ vectors
@@ -58,7 +58,7 @@ def q_mean_vector_long(spark, d):
     e = fx.table(spark, d, "embeddings")
     out = V.mean_vector_long(e, ["label"])
     return out.select("label", F.col("pos").cast("bigint").alias("pos"),
-                      F.round(F.col("value") * F.lit(NUDGE), 5).alias("value"))
+                      r_col(F.col("value"), 5).alias("value"))
 
 
 @register("mean_vector", with_ctes(

@@ -40,15 +40,8 @@ def feature_columns(keys=(), score_lag_n: int = 7) -> dict:
     return cols
 
 
-def daily_features(posts: DataFrame, polls: DataFrame, keys=(), existing: DataFrame | None = None,
-                   stats: RobustStats | None = None, embedding: str | None = None) -> DataFrame:
-    """The feature table, one row per (keys, day). ``embedding`` names a vector
-    column of ``posts``: its mean per day is added under that name (an array, null on
-    a day without vectors), joined as one row per day."""
-    stats = stats or fit_robust(posts, ENGAGEMENT)
-    daily = daily_aggregate(posts, keys, stats)
-    if embedding:
-        daily = daily.join(daily_embedding_mean(posts, keys, embedding), [*keys, "date"], "left")
+def features_of_daily(daily: DataFrame, polls: DataFrame, keys=()) -> DataFrame:
+    """Polls and window features beside one row per (keys, day) of scores and engagement."""
     feat = with_polls(daily, poll_calendar(polls))
     feat = feat.withColumns(feature_columns(keys))
     feat = forward_fill(feat, [f"{nm}_rolling_7d" for _, nm in POLL_NAMES], keys)
@@ -60,6 +53,19 @@ def daily_features(posts: DataFrame, polls: DataFrame, keys=(), existing: DataFr
         "sentiment_net_rolling14": full_window_mean("sentiment_net", 14, w),
         "sentiment_net_change": F.col("sentiment_net") - F.lag("sentiment_net", 1).over(w),
     })
+    return feat
+
+
+def daily_features(posts: DataFrame, polls: DataFrame, keys=(), existing: DataFrame | None = None,
+                   stats: RobustStats | None = None, embedding: str | None = None) -> DataFrame:
+    """The feature table, one row per (keys, day). ``embedding`` names a vector
+    column of ``posts``: its mean per day is added under that name (an array, null on
+    a day without vectors), joined as one row per day."""
+    stats = stats or fit_robust(posts, ENGAGEMENT)
+    daily = daily_aggregate(posts, keys, stats)
+    if embedding:
+        daily = daily.join(daily_embedding_mean(posts, keys, embedding), [*keys, "date"], "left")
+    feat = features_of_daily(daily, polls, keys)
     if existing is not None:
         feat = replace_days(existing, feat, keys=keys)
     return feat

@@ -40,12 +40,18 @@ def register(name: str, sql: str | Callable[[], str] | None = None, headline: bo
     return deco
 
 
+def r_col(c, digits: int = DIGITS):
+    """``c`` rounded (nudged, see NUDGE); adding 0.0 makes a negative zero positive, which
+    the engines' ``round`` don't agree on."""
+    return F.round(c.cast("double") * F.lit(NUDGE), digits) + F.lit(0.0)
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Round double/float columns (nudged, see NUDGE) and widen ints to bigint."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double") * F.lit(NUDGE), digits).alias(f.name))
+            cols.append(r_col(F.col(f.name), digits).alias(f.name))
         elif isinstance(f.dataType, IntegerType):
             cols.append(F.col(f.name).cast("bigint").alias(f.name))
         else:
@@ -62,4 +68,4 @@ def with_ctes(body: str, **ctes: str) -> str:
 
 
 def r(expr: str, digits: int = DIGITS) -> str:
-    return f"round(CAST({expr} AS DOUBLE) * CAST({NUDGE!r} AS DOUBLE), {digits})"
+    return f"(round(CAST({expr} AS DOUBLE) * CAST({NUDGE!r} AS DOUBLE), {digits}) + CAST(0.0 AS DOUBLE))"

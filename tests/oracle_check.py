@@ -42,7 +42,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9)
+        return repr(round(v, 9))          # by representation: -0.0 is not 0.0
     if isinstance(v, decimal.Decimal):
         return round(float(v), 9)
     if isinstance(v, dt.datetime):
