@@ -89,18 +89,39 @@ def bounded_join(arr: Column, lo: int, hi: int, drop=()) -> Column:
     return let(arr, body)
 
 
+def post_words(c: ColumnOrName, stop=None) -> Column:
+    """X6 up to the lemmas: lower, drop URLs, mentions and non-word characters (``#`` goes, the
+    hashtag word stays), words without stop words."""
+    stop = post_stopwords() if stop is None else stop
+    t = F.lower(_c(c))
+    t = F.regexp_replace(t, URL, "")
+    t = F.regexp_replace(t, MENTION, "")
+    t = F.regexp_replace(t, f"[^{WORD}{SPACE}áéíóúñü]", "")
+    return drop_words(split_words(t), stop)
+
+
 def clean_post_text(c: ColumnOrName, stop=None, lemmas: dict | None = None,
                     lo: int = 3, hi: int = 50) -> Column:
-    """Lower, drop URLs, mentions and non-word characters (``#`` goes, the
-    hashtag word stays), collapse spaces, drop stop words, optional lemmas,
-    keep 3..50 words (inclusive) else null. Null in -> null out (X18)."""
-    stop = post_stopwords() if stop is None else stop
+    """``post_words``, optional lemmas, keep 3..50 words (inclusive) else null.
+    Null in -> null out (X18)."""
+    return bounded_join(apply_lemmas(post_words(c, stop), lemmas), lo, hi)
+
+
+def topic_words(c: ColumnOrName) -> Column:
+    """X7 up to the lemmas: as X6 but whole hashtags go and no stop word does."""
     t = F.lower(_c(c))
     t = F.regexp_replace(t, URL, "")
     t = F.regexp_replace(t, MENTION, "")
+    t = F.regexp_replace(t, HASHTAG, "")
     t = F.regexp_replace(t, f"[^{WORD}{SPACE}áéíóúñü]", "")
-    words = apply_lemmas(drop_words(split_words(t), stop), lemmas)
-    return bounded_join(words, lo, hi)
+    return split_words(t)
+
+
+def topic_text_of(words: Column, stop=None, lo: int = 3, hi: int = 50, articles=()) -> Column:
+    """X7 from the lemmas on: stop words and all-digit tokens go, then the bounds."""
+    stop = topic_stopwords() if stop is None else stop
+    words = F.filter(drop_words(words, stop), lambda x: ~x.rlike(r"^\p{Nd}+$"))
+    return bounded_join(words, lo, hi, drop=articles)
 
 
 def clean_topic_text(c: ColumnOrName, stop=None, lemmas: dict | None = None,
@@ -110,16 +131,7 @@ def clean_topic_text(c: ColumnOrName, stop=None, lemmas: dict | None = None,
     selectors and joiners are not word characters, so the non-word pass
     removes them. ``articles`` are then removed as whole lower-case words
     after the bounds (X8 on cleaned text, see ``strip_articles``)."""
-    stop = topic_stopwords() if stop is None else stop
-    t = F.lower(_c(c))
-    t = F.regexp_replace(t, URL, "")
-    t = F.regexp_replace(t, MENTION, "")
-    t = F.regexp_replace(t, HASHTAG, "")
-    t = F.regexp_replace(t, f"[^{WORD}{SPACE}áéíóúñü]", "")
-    words = apply_lemmas(split_words(t), lemmas)
-    words = drop_words(words, stop)
-    words = F.filter(words, lambda x: ~x.rlike(r"^\p{Nd}+$"))
-    return bounded_join(words, lo, hi, drop=articles)
+    return topic_text_of(apply_lemmas(topic_words(c), lemmas), stop, lo, hi, articles)
 
 
 # The articles removed before topic modelling.

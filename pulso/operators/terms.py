@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import require_columns
+from .lemmas import apply_lemma_table
 
 # Phrases and words the reference removes before its daily term
 # counts (already lower case).
@@ -43,23 +44,31 @@ def with_non_null(df: DataFrame, value, out: str) -> DataFrame:
 
 
 def clean_posts(df: DataFrame, col: str = "text", out: str | None = None, stop=None,
-                lemmas: dict | None = None, lo: int = 3, hi: int = 50) -> DataFrame:
+                lemmas: dict | DataFrame | None = None, lo: int = 3, hi: int = 50) -> DataFrame:
     """X6 + X18 as a table step: clean ``col`` and drop rows whose cleaned
-    text is null (too short, too long, or null input)."""
+    text is null (too short, too long, or null input). ``lemmas`` is a (token, lemma)
+    table of any size, or a literal map for a handful."""
     out = out or col
+    if isinstance(lemmas, DataFrame):
+        words = with_non_null(df, T.post_words(col, stop), "_words")
+        words = apply_lemma_table(words, "_words", lemmas)
+        return with_non_null(words, T.bounded_join(F.col("_words"), lo, hi), out).drop("_words")
     return with_non_null(df, T.clean_post_text(col, stop=stop, lemmas=lemmas, lo=lo, hi=hi), out)
 
 
 def clean_topic_posts(df: DataFrame, col: str = "text", out: str = "clean_text", stop=None,
-                      lemmas: dict | None = None, lo: int = 3, hi: int = 50,
+                      lemmas: dict | DataFrame | None = None, lo: int = 3, hi: int = 50,
                       strip: bool = True) -> DataFrame:
     """X7 then X8: topic cleaning, article removal, rows without text dropped.
 
     Cleaned text is lower-case words separated by single spaces, so X8's
     whole-word removal is a token filter inside the cleaning (no second
-    regex pass over the text)."""
-    c = T.clean_topic_text(col, stop=stop, lemmas=lemmas, lo=lo, hi=hi,
-                           articles=T.ARTICLES if strip else ())
+    regex pass over the text). ``lemmas`` as in ``clean_posts``."""
+    articles = T.ARTICLES if strip else ()
+    if isinstance(lemmas, DataFrame):
+        words = apply_lemma_table(with_non_null(df, T.topic_words(col), "_words"), "_words", lemmas)
+        return with_non_null(words, T.topic_text_of(F.col("_words"), stop, lo, hi, articles), out).drop("_words")
+    c = T.clean_topic_text(col, stop=stop, lemmas=lemmas, lo=lo, hi=hi, articles=articles)
     return with_non_null(df, c, out)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import terms as TM
 from ..sources import fixtures as fx
+from ..sources.stopwords import topic_stopwords
 from . import sql_text as S
 from .registry import r, r_col, register, with_ctes
 
@@ -26,6 +27,21 @@ def q_clean_topic_text(spark, d):
     return out.select("id", "clean_text")
 
 
+@register("clean_posts_lemmas", lambda: with_ctes(
+    S.lemmatised(S.post_words("text"), "tp"), tp=fx.SQL_TEXT_POSTS, lemmas=fx.SQL_LEMMAS))
+def q_clean_posts_lemmas(spark, d):
+    return TM.clean_posts(fx.text_posts(spark, d), lemmas=fx.lemmas(spark, d)).select("id", "text")
+
+
+@register("clean_topic_lemmas", lambda: with_ctes(
+    S.lemmatised(S.topic_words("text"), "tp",
+                 f"NOT list_contains({S.str_list(topic_stopwords())}, w) AND NOT regexp_full_match(w, '\\p{{Nd}}+')"
+                 ).replace("AS text", "AS clean_text"), tp=fx.SQL_TEXT_POSTS, lemmas=fx.SQL_LEMMAS))
+def q_clean_topic_lemmas(spark, d):
+    out = TM.clean_topic_posts(fx.text_posts(spark, d), lemmas=fx.lemmas(spark, d), strip=False)
+    return out.select("id", "clean_text")
+
+
 @register("strip_articles", lambda: with_ctes(
     "SELECT id, " + S.strip_articles("text") + " AS text FROM tp",
     tp=fx.SQL_TEXT_POSTS))

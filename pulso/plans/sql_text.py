@@ -38,6 +38,32 @@ def bounded_join(arr: str, lo: int, hi: int) -> str:
     return f"(CASE WHEN len({arr}) BETWEEN {lo} AND {hi} THEN array_to_string({arr}, ' ') END)"
 
 
+def post_words(expr: str, stop=None) -> str:
+    """The words of ``clean_post_text`` before the lemmas."""
+    stop = post_stopwords() if stop is None else stop
+    t = rx(rx(f"lower({expr})", T.URL), T.MENTION)
+    t = rx(t, f"[^{T.WORD}{T.SPACE}áéíóúñü]")
+    return drop_words(words_of(normalise_space(t)), stop)
+
+
+def topic_words(expr: str) -> str:
+    """The words of ``clean_topic_text`` before the lemmas."""
+    t = f"lower({expr})"
+    for pat in (T.URL, T.MENTION, T.HASHTAG, f"[^{T.WORD}{T.SPACE}áéíóúñü]"):
+        t = rx(t, pat)
+    return words_of(normalise_space(t))
+
+
+def lemmatised(words: str, src: str, keep: str = "true", lo: int = 3, hi: int = 50) -> str:
+    """(id, text): the words of ``src`` with the lemmas of the CTE ``lemmas``, those that
+    ``keep`` (over ``w``) holds for, joined again in order."""
+    return (f"SELECT id, array_to_string(list(w ORDER BY pos), ' ') AS text FROM ("
+            f"SELECT o.id, o.pos, coalesce(l.lemma, o.token) AS w FROM ("
+            f"SELECT id, unnest(ws) AS token, unnest(range(0, len(ws))) AS pos FROM ("
+            f"SELECT id, {words} AS ws FROM {src}) a) o LEFT JOIN lemmas l USING (token)) b "
+            f"WHERE {keep} GROUP BY id HAVING count(*) BETWEEN {lo} AND {hi}")
+
+
 def clean_post_text(expr: str, stop=None, lo: int = 3, hi: int = 50) -> str:
     stop = post_stopwords() if stop is None else stop
     t = f"lower({expr})"

@@ -160,6 +160,25 @@ LEFT JOIN pages p
 """
 
 
+# ---------------------------------------------------------------- lemmas
+def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lemma table that grows with the texts: every word of five letters or more in
+    ``documents``, without an ending (token, lemma)."""
+    words = table(spark, sf_dir, "documents").select(
+        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), 0)).alias("token")).distinct()
+    return words.where(F.char_length("token") >= 5).select(
+        "token", F.regexp_replace("token", LEMMA_ENDINGS, "").alias("lemma"))
+
+
+LEMMA_ENDINGS = "(en|er|es|ing|s|e)$"
+
+SQL_LEMMAS = f"""
+SELECT token, regexp_replace(token, '{LEMMA_ENDINGS}', '') AS lemma FROM (
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM documents) t
+WHERE length(token) >= 5
+"""
+
+
 # ---------------------------------------------------------------- replies
 def conversation_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as posts; turn 0 is the parent, later turns reply."""
