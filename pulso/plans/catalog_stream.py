@@ -14,6 +14,7 @@ from ..operators.daily import SCORES
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..streaming import posts as ST
+from ..streaming.id_index import IdIndex
 from . import sql_text as S
 from .registry import r, register, rounded, with_ctes
 
@@ -32,7 +33,8 @@ def _doubled_events_stream(spark, d):
 def q_stream_dedup(spark, d):
     base = scratch_path(spark, "stream_dedup")
     q = _doubled_events_stream(spark, d).select("id", "createdAt")
-    ST.run_available_now(q, f"{base}/ckpt", foreach_batch=ST.dedup_sink(f"{base}/out"))
+    index = IdIndex(spark, f"{base}/ids", buckets=16)
+    ST.run_available_now(q, f"{base}/ckpt", foreach_batch=ST.indexed_dedup_sink(f"{base}/out", index))
     out = spark.read.parquet(f"{base}/out")
     return out.select("id", F.col("createdAt").cast("timestamp_ntz").alias("createdAt"))
 
@@ -71,6 +73,7 @@ def q_stream_upsert_days(spark, d):
     cols = ["id", "createdAt", *SCORES]
     q = _doubled_events_stream(spark, d).select(*cols)
     ST.run_available_now(q, f"{base}/ckpt",
-                         foreach_batch=ST.upsert_days_sink(f"{base}/raw", f"{base}/out"))
+                         foreach_batch=ST.indexed_upsert_days_sink(
+                             f"{base}/raw", f"{base}/out", IdIndex(spark, f"{base}/ids", buckets=16)))
     out = spark.read.parquet(f"{base}/out")
     return rounded(out.select("date", *SCORES, "n_posts"))

@@ -7,13 +7,15 @@ Posts may arrive any time late; nothing is dropped by a watermark.
 
 * R1 ``dedup_sink``: each micro-batch is deduplicated by id against the stored
   posts and appended (first arrival wins);
+  ``indexed_dedup_sink`` does it with an id index (``IdIndex``) and reads no stored post;
 * R2 ``stream_clean``: stateless cleaning of new posts only;
 * R3 ``stream_daily_means``: tumbling one-day windows in update mode; the state
   is one row per day, so all days stay open; each micro-batch's updated windows
   are appended and the newest value per day is read;
 * R4 ``upsert_days_sink``: appends new posts to the raw table (anti-join on id),
   recomputes the days of the incoming batch from it and replaces exactly those
-  day partitions (dynamic partition overwrite).
+  day partitions (dynamic partition overwrite); ``indexed_upsert_days_sink`` likewise with
+  an id index.
 
 Every sink may be handed the same batch again after a crash at any point: appended
 posts are found stored, and the days are taken from the whole incoming batch, so
@@ -31,6 +33,7 @@ from ..operators.daily import SCORES
 from ..operators.state import dedup_first
 from ..session import reliable_checkpoint
 from ..sources.tables import nan_to_null, path_exists
+from .id_index import IdIndex, batch_name, overwrite_partitions
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
@@ -55,6 +58,44 @@ def dedup_sink(path: str, key: str = "id", order=("createdAt",)):
     return sink
 
 
+def daily_aggregate_of(raw: DataFrame, scores=SCORES) -> DataFrame:
+    """The per-day table R4 maintains (means of the scores and the count)."""
+    return (raw.where(F.col("date").isNotNull()).groupBy("date")
+            .agg(*[F.avg(c).alias(c) for c in scores], F.count(F.lit(1)).alias("n_posts")))
+
+
+def indexed_dedup_sink(path: str, index: IdIndex, order=("createdAt",)):
+    """R1 with an id index: as ``dedup_sink``, but a batch reads the index buckets of its own
+    ids and no stored post. Posts lie in a partition per batch (``_batch``), which a replayed
+    batch replaces."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        name = batch_name(batch.sparkSession, batch_id)
+        fresh = reliable_checkpoint(index.unseen(dedup_first(batch, index.key, order=order), name))
+        index.add(fresh, name)
+        overwrite_partitions(fresh.withColumn("_batch", F.lit(name)), path, "_batch")
+    return sink
+
+
+def indexed_upsert_days_sink(raw_path: str, out_path: str, index: IdIndex, aggregate=daily_aggregate_of):
+    """R4 with an id index: as ``upsert_days_sink``; besides the index buckets of its ids a batch
+    reads the day partitions it touches, which are recomputed. Stored posts lie in partitions by
+    day and batch."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        name = batch_name(spark, batch_id)
+        dated = nan_to_null(batch).withColumn("date", F.to_date("createdAt"))
+        days = [r[0] for r in dated.select("date").distinct().collect() if r[0] is not None]
+        new = reliable_checkpoint(index.unseen(dedup_first(dated, index.key, order=("createdAt",)), name))
+        index.add(new, name)
+        overwrite_partitions(new.withColumn("_batch", F.lit(name)), raw_path, "date", "_batch")
+        if not days:
+            return
+        spark.catalog.refreshByPath(raw_path)
+        raw = spark.read.parquet(raw_path)
+        overwrite_partitions(aggregate(raw.where(F.col("date").isin(days))), out_path, "date")
+    return sink
+
+
 def stream_clean(sdf: DataFrame, text: str = "text", **kw) -> DataFrame:
     """R2: clean the text of arriving posts; rows that clean to nothing drop."""
     from ..operators.terms import with_non_null
@@ -101,12 +142,6 @@ def latest_windows(spark: SparkSession, path: str, key: str = "date") -> DataFra
     return best.select(key, *[F.col("_r")[c].alias(c) for c in cols])
 
 
-def daily_aggregate_of(raw: DataFrame, scores=SCORES) -> DataFrame:
-    """The per-day table R4 maintains (means of the scores and the count)."""
-    return (raw.where(F.col("date").isNotNull()).groupBy("date")
-            .agg(*[F.avg(c).alias(c) for c in scores], F.count(F.lit(1)).alias("n_posts")))
-
-
 def upsert_days_sink(raw_path: str, out_path: str, key: str = "id", aggregate=daily_aggregate_of):
     """``foreachBatch`` function keeping ``raw_path`` (posts, deduplicated
     by id, existing rows win) and ``out_path`` (one row per day, partitioned
