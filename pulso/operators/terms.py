@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import reliable_checkpoint
 from ..sources.tables import require_columns
 from .lemmas import apply_lemma_table
 
@@ -119,6 +120,78 @@ def daily_top_bigrams(df: DataFrame, text: str = "text", ts: str = "createdAt",
     return _top_per_day(counts, "bigram", n, keys)
 
 
+# Fixed value: the log-likelihood ratio from which an adjacent pair counts as a phrase.
+COLLOCATION = 30.0
+
+
+def log_likelihood_ratio(pair, first, second, total):
+    """Dunning's statistic for an adjacent pair: how much better two rates of the second word
+    (after the first word, and elsewhere) explain the counts than one. 0 where one word is
+    all there is. Rates are kept 1e-10 away from 0 and 1."""
+    c12, c1, c2, n = (F.col(c).cast("double") for c in (pair, first, second, total))
+
+    def log_of(k, m, rate):
+        least = F.lit(1e-10)
+        return F.log(F.greatest(rate, least)) * k + F.log(F.greatest(1 - rate, least)) * (m - k)
+
+    one, after, other = c2 / n, c12 / c1, (c2 - c12) / (n - c1)
+    value = -2 * (log_of(c12, c1, one) + log_of(c2 - c12, n - c1, one)
+                  - log_of(c12, c1, after) - log_of(c2 - c12, n - c1, other))
+    return F.when((n <= c1) | (n <= c2), F.lit(0.0)).otherwise(value)
+
+
+def _fold_plurals(counts: DataFrame, word: str, same) -> DataFrame:
+    """``counts`` with ``_std``: ``word`` without its last letter where it ends in one s and the
+    shorter word is counted under the same ``same`` columns too, else ``word``."""
+    singular = F.when(F.col(word).endswith("s") & ~F.col(word).endswith("ss"),
+                      F.expr(f"left(`{word}`, char_length(`{word}`) - 1)"))
+    known = counts.select(*same, F.col(word).alias("_singular"), F.lit(True).alias("_known"))
+    return (counts.withColumn("_singular", singular).join(known, [*same, "_singular"], "left")
+            .withColumn("_std", F.when(F.col("_known"), F.col("_singular")).otherwise(F.col(word)))
+            .drop("_singular", "_known"))
+
+
+def daily_term_cloud(df: DataFrame, text: str = "text", ts: str = "createdAt", n: int = 200,
+                     phrases=EXCLUDED_PHRASES, words=EXCLUDED_WORDS, stop=(), keys=(),
+                     threshold: float = COLLOCATION) -> DataFrame:
+    """A13 with A14 as the reference's word cloud counts them: per day, words with plurals
+    folded into a singular of that day, and adjacent pairs (within a post, folded by their
+    second word) whose log-likelihood ratio passes ``threshold`` as terms of their own. The
+    occurrences of such pairs are taken off their words; words left with nothing go. The ``n``
+    most frequent terms with their weight (count / the day's top count); ties by term.
+
+    Everything after the two counts works on one row per (day, word) or (day, pair)."""
+    require_columns(df, [text, ts, *keys])
+    day = [*keys, "date"]
+    # the posts are cleaned once for both counts
+    posts = reliable_checkpoint(df.where(F.col(ts).isNotNull() & F.col(text).isNotNull()).select(
+        *keys, F.to_date(F.col(ts)).alias("date"), term_tokens(text, phrases, words, stop).alias("_tokens")))
+    counts = (posts.select(*day, F.explode("_tokens").alias("word")).groupBy(*day, "word")
+              .agg(F.count(F.lit(1)).alias("count")))
+    folded = _fold_plurals(reliable_checkpoint(counts), "word", day)
+    std = folded.select(*day, "word", "_std")
+    singles = folded.groupBy(*day, F.col("_std").alias("term")).agg(F.sum("count").alias("count"))
+    totals = counts.groupBy(*day).agg(F.sum("count").alias("_total"))
+
+    pairs = posts.select(*day, F.explode(F.arrays_zip(
+        F.slice("_tokens", 1, F.greatest(F.size("_tokens") - 1, F.lit(0))).alias("w1"),
+        F.slice("_tokens", 2, F.greatest(F.size("_tokens") - 1, F.lit(0))).alias("w2"))).alias("_p"))
+    pairs = pairs.groupBy(*day, "_p.w1", "_p.w2").agg(F.count(F.lit(1)).alias("count"))
+    pairs = _fold_plurals(reliable_checkpoint(pairs), "w2", [*day, "w1"])
+    pairs = pairs.groupBy(*day, "w1", F.col("_std").alias("w2")).agg(F.sum("count").alias("count"))
+    for w in ("w1", "w2"):
+        of = std.select(*day, F.col("word").alias(w), F.col("_std").alias(f"{w}_std"))
+        pairs = pairs.join(of, [*day, w]).join(
+            singles.select(*day, F.col("term").alias(f"{w}_std"), F.col("count").alias(f"{w}_n")), [*day, f"{w}_std"])
+    found = pairs.join(totals, day).where(log_likelihood_ratio("count", "w1_n", "w2_n", "_total") > threshold)
+    found = reliable_checkpoint(found.select(*day, F.concat_ws(" ", "w1", "w2").alias("term"), "count", "w1_std", "w2_std"))
+    taken = (found.select(*day, F.explode(F.array("w1_std", "w2_std")).alias("term"), "count")
+             .groupBy(*day, "term").agg(F.sum("count").alias("_taken")))
+    left = (singles.join(taken, [*day, "term"], "left")
+            .withColumn("count", F.col("count") - F.coalesce("_taken", F.lit(0))).where("count > 0").drop("_taken"))
+    return _top_per_day(left.unionByName(found.select(*day, "term", "count")), "term", n, keys)
+
+
 def pending_top_terms(df: DataFrame, done_days: DataFrame, start=None, text: str = "text",
                       ts: str = "createdAt", **kw) -> DataFrame:
     """P5: daily terms only for days not yet produced (S7 then A13). The

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sentiment import lexicon_sentiment, softmax_label
 from ..functions.text import TOKEN
+from ..operators import clustering as CL
 from ..operators import terms as TM
 from ..operators import topics as TP
 from ..operators import vectors as V
@@ -102,6 +103,50 @@ def q_cluster_topics(spark, d):
     return TP.cluster_topics(e, k=10).select("vec_id", "label", "cluster")
 
 
+# ------------------------------------------------------------------ anchors and free topics
+
+ANCHORED = 4            # labels that are anchors; the other rows are left to the free topics
+FREE, ROUNDS, FREE_MIN = 2, 2, 20
+
+
+def _sql_anchored() -> str:
+    """Unit vectors ``u``, centres ``c0`` .. in long form: farthest rows one by one, then rounds."""
+    sim = ("SELECT u.vec_id, c.topic_id, sum(u.x * c.x) AS s FROM u JOIN {c} c USING (pos) "
+           "GROUP BY u.vec_id, c.topic_id")
+    ctes = dict(
+        e="SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS val, unnest(range(0, len(embedding))) AS pos FROM embeddings",
+        u="SELECT vec_id, pos, val / sqrt(sum(val * val) OVER (PARTITION BY vec_id)) AS x FROM e",
+        m=f"SELECT label AS topic_id, pos, avg(val) AS val FROM e WHERE label < {ANCHORED} GROUP BY label, pos",
+        a="SELECT topic_id, pos, val / sqrt(sum(val * val) OVER (PARTITION BY topic_id)) AS x FROM m",
+        c0="SELECT * FROM a")
+    for k in range(FREE):
+        ctes[f"f{k}"] = (f"SELECT vec_id FROM (SELECT vec_id, max(s) AS s FROM ({sim.format(c=f'c{k}')}) q "
+                         "GROUP BY vec_id) z ORDER BY s, vec_id LIMIT 1")
+        ctes[f"c{k + 1}"] = (f"SELECT * FROM c{k} UNION ALL SELECT {ANCHORED + k}, pos, x FROM u "
+                             f"WHERE vec_id IN (SELECT vec_id FROM f{k})")
+    for k in range(FREE, FREE + ROUNDS):
+        ctes[f"n{k}"] = (f"SELECT vec_id, topic_id FROM ({sim.format(c=f'c{k}')}) q QUALIFY row_number() OVER "
+                         "(PARTITION BY vec_id ORDER BY s DESC, topic_id) = 1")
+        ctes[f"t{k}"] = (f"SELECT n.topic_id, u.pos, sum(u.x) AS v FROM n{k} n JOIN u USING (vec_id) "
+                         f"WHERE n.topic_id >= {ANCHORED} GROUP BY n.topic_id, u.pos")
+        ctes[f"c{k + 1}"] = (f"SELECT c.topic_id, c.pos, coalesce(t.v / t.l, c.x) AS x FROM c{k} c LEFT JOIN ("
+                             f"SELECT *, sqrt(sum(v * v) OVER (PARTITION BY topic_id)) AS l FROM t{k}) t "
+                             "ON t.topic_id = c.topic_id AND t.pos = c.pos")
+    ctes["best"] = (f"SELECT vec_id, topic_id, s FROM ({sim.format(c=f'c{FREE + ROUNDS}')}) q QUALIFY row_number() OVER "
+                    "(PARTITION BY vec_id ORDER BY s DESC, topic_id) = 1")
+    ctes["sized"] = "SELECT *, count(*) OVER (PARTITION BY topic_id) AS n FROM best"
+    return with_ctes(f"SELECT vec_id, CAST(CASE WHEN s < 0.1 OR (topic_id >= {ANCHORED} AND n < {FREE_MIN}) THEN -1 "
+                     f"ELSE topic_id END AS BIGINT) AS topic, {r('s')} AS similarity FROM sized", **ctes)
+
+
+@register("anchored_topics", _sql_anchored)
+def q_anchored_topics(spark, d):
+    e = fx.table(spark, d, "embeddings")
+    anchors = TP.fit_centroids(e.where(F.col("label") < ANCHORED))
+    out = CL.anchored_topics(e, anchors, FREE, ROUNDS, threshold=0.1, min_size=FREE_MIN, key="vec_id")
+    return rounded(out.select("vec_id", "topic", "similarity"))
+
+
 # ------------------------------------------------------------------ seeded topics
 
 MIN_TOPIC_SIZE = 100
@@ -158,6 +203,26 @@ def q_seed_topics(spark, d):
     return _assigned(spark, d).select("id", "candidate", "topic")
 
 
+TOPIC_WORDS = 15
+
+
+@register("topic_words", lambda: with_ctes(
+    "SELECT topic, rank, word, count, " + r("score") + " AS score FROM (SELECT *, row_number() OVER ("
+    f"PARTITION BY topic ORDER BY round(score, 9) DESC, word) AS rank FROM scored) z WHERE rank <= {TOPIC_WORDS}",
+    **_seed_sql_ctes(),
+    tw="SELECT CAST(topic AS BIGINT) AS topic, unnest(string_split(clean_text, ' ')) AS word FROM assigned JOIN docs USING (id)",
+    cnt="SELECT topic, word, count(*) AS count FROM tw GROUP BY topic, word",
+    tot="SELECT topic, sum(count) AS n FROM cnt GROUP BY topic",
+    ov="SELECT word, sum(count) AS f FROM cnt GROUP BY word",
+    scored="SELECT c.topic, c.word, c.count, CAST(c.count AS DOUBLE) / t.n * ln(1 + (SELECT avg(n) FROM tot) / o.f) AS score "
+           "FROM cnt c JOIN tot t USING (topic) JOIN ov o USING (word)"))
+def q_topic_words(spark, d):
+    docs = _topic_docs(spark, d)
+    seeds = TP.clean_seeds(fx.seeds(spark))
+    assigned = TP.seed_topics(docs, seeds, min_size=MIN_TOPIC_SIZE, keep=("clean_text",))
+    return rounded(CL.topic_words(assigned, F.split("clean_text", " "), TOPIC_WORDS))
+
+
 @register("topic_share", with_ctes(
     f"SELECT candidate, label, n, {r('share')} AS share FROM share", **_seed_sql_ctes()))
 def q_topic_share(spark, d):
