@@ -135,11 +135,12 @@ def _sql_quality(stage: str, src: str) -> str:
                         _sql_quality("text", "(SELECT CAST(createdAt AS DATE) AS date FROM tp) t")]),
     posts=fx.SQL_POSTS, tp=fx.SQL_TEXT_POSTS))
 def q_stage_quality(spark, d):
+    # measured while the stages are written, without a pass of their own
     p = fx.posts(spark, d)
-    tp = fx.text_posts(spark, d).withColumn("date", F.to_date("createdAt"))
-    return (ST.stage_quality(p, "raw")
-            .unionByName(ST.stage_quality(ST.unprocessed(p), "unprocessed"))
-            .unionByName(ST.stage_quality(tp, "text")))
+    base = scratch_path(spark, "stages")
+    text = fx.text_posts(spark, d).select("id", F.to_date("createdAt").alias("date"))
+    return TB.quality_table(spark, [TB.write_observed(df, f"{base}/{name}", name) for name, df in (
+        ("raw", p), ("unprocessed", ST.unprocessed(p)), ("text", text))])
 
 
 # ------------------------------------------------------------------ tables

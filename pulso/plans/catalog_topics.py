@@ -13,6 +13,7 @@ from ..operators import topics as TP
 from ..operators import vectors as V
 from ..session import reliable_checkpoint, scratch_path
 from ..sources import fixtures as fx
+from ..sources.tables import quality_table
 from . import daily_run as DR
 from . import sql_text as S
 from .registry import r, r_col, register, rounded, with_ctes
@@ -324,7 +325,7 @@ SQL_PREPROCESS = with_ctes(
         "FROM embeddings) p ON p.vec_id = tv.vec_id GROUP BY o.id, p.pos) x GROUP BY id")
 
 
-def _preprocessed(spark, d):
+def _preprocessed(spark, d, more=(), day=None):
     """Posts of one id twice and a stored table are part of the case: rows of
     ``doc_id % 3 = 0`` are flagged already, a third of the others is stored already."""
     from .preprocess import hashed_embedder, lexicon_scorer, preprocess
@@ -332,9 +333,9 @@ def _preprocessed(spark, d):
     raw = fx.text_posts(spark, d).withColumn("processed", F.col("doc_id") % 3 == 0)
     stored = (raw.where((F.col("doc_id") % 3 == 1) & (F.col("line_no") % 3 == 0))
               .select("id", F.lit("stored").alias("text")))
-    return preprocess(raw.select("id", "text", "processed"), lexicon_scorer(fx.lexicon(spark)),
+    return preprocess(raw.select("id", "text", "processed", *more), lexicon_scorer(fx.lexicon(spark)),
                       hashed_embedder(fx.table(spark, d, "embeddings"), EMB_DIM), stored=stored,
-                      out=scratch_path(spark, "preprocess"))
+                      out=scratch_path(spark, "preprocess"), day=day)
 
 
 @register("preprocess_pipeline", SQL_PREPROCESS)
@@ -363,6 +364,28 @@ def q_preprocess_flags(spark, d):
     return _preprocessed(spark, d).raw.select("id", "processed")
 
 
+def _sql_preprocess_quality() -> str:
+    def one(stage, src):
+        return (f"SELECT '{stage}' AS stage, count(*) AS n_rows, count(DISTINCT date) AS n_days, "
+                f"count(*) FILTER (WHERE date IS NULL) AS n_null_days FROM {src}")
+
+    return with_ctes(
+        " UNION ALL ".join([one("cleaned", "cp"), one("scored", "cp"), one("embedded", "cp"),
+                            one("processed", "pr"), one("raw", "raw")]),
+        tp=fx.SQL_TEXT_POSTS, stored=SQL_STORED,
+        raw="SELECT id, CAST(createdAt AS DATE) AS date FROM tp",
+        cp="SELECT id, date FROM (SELECT id, CAST(createdAt AS DATE) AS date, " + S.clean_post_text("text")
+           + " AS clean FROM tp WHERE NOT (doc_id % 3 = 0)) x WHERE clean IS NOT NULL",
+        pr="SELECT id, CAST(NULL AS DATE) AS date FROM stored UNION ALL "
+           "SELECT id, date FROM cp WHERE id NOT IN (SELECT id FROM stored)")
+
+
+@register("preprocess_quality", _sql_preprocess_quality)
+def q_preprocess_quality(spark, d):
+    done = _preprocessed(spark, d, more=("createdAt",), day=F.to_date("createdAt"))
+    return quality_table(spark, done.quality)
+
+
 @register("score_sentiment_plugin", ORACLE_LEXICON)
 def q_score_sentiment_plugin(spark, d):
     from ..operators.plugin import external_sentiment, lexicon_model

@@ -14,7 +14,7 @@ written, so no stage is computed twice and a lost executor costs one stage.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -22,7 +22,7 @@ from ..functions.sentiment import lexicon_sentiment
 from ..operators.state import append_dedup, mark_processed, unprocessed
 from ..operators.terms import clean_posts
 from ..operators.vectors import embed_posts_hashed
-from ..sources.tables import write_table
+from ..sources.tables import write_observed, write_table
 
 #: Stages that ``preprocess`` writes, in order.
 STAGES = ("cleaned", "scored", "embedded", "processed", "raw")
@@ -35,6 +35,7 @@ class Preprocessed:
     new_rows: DataFrame      # cleaned, scored, embedded new posts
     processed: DataFrame     # stored processed table with the new rows appended
     raw: DataFrame           # raw table with the processed flag updated
+    quality: list = field(default_factory=list)     # S15 per written stage (``day`` given)
 
 
 def lexicon_scorer(lexicon: DataFrame, text: str = "text") -> Step:
@@ -49,13 +50,20 @@ def hashed_embedder(vectors: DataFrame, dim: int, text: str = "text") -> Step:
 
 def preprocess(raw: DataFrame, scorer: Step, embedder: Step, stored: DataFrame | None = None,
                key: str = "id", text: str = "text", out: str | None = None,
-               mark_dropped: bool = False) -> Preprocessed:
+               mark_dropped: bool = False, day=None) -> Preprocessed:
     """``scorer`` adds the five sentiment columns (``lexicon_scorer``, ``ml_sentiment``,
-    ``external_sentiment``, ...), ``embedder`` the vector column."""
+    ``external_sentiment``, ...), ``embedder`` the vector column. With ``out`` and ``day`` (a
+    column or expression) rows, days and null days of every stage are measured as it is
+    written (S15), without a pass of their own."""
+    quality: list = []
+
     def stage(name: str, df: DataFrame) -> DataFrame:
         if out is None:
             return df
-        write_table(df, f"{out}/{name}")
+        if day is None:
+            write_table(df, f"{out}/{name}")
+        else:
+            quality.append(write_observed(df, f"{out}/{name}", name, day))
         return df.sparkSession.read.schema(df.schema).parquet(f"{out}/{name}")
 
     cleaned = stage("cleaned", clean_posts(unprocessed(raw), col=text))
@@ -63,4 +71,5 @@ def preprocess(raw: DataFrame, scorer: Step, embedder: Step, stored: DataFrame |
     embedded = stage("embedded", embedder(scored))
     return Preprocessed(
         embedded, stage("processed", append_dedup(stored, embedded, key=key)),
-        stage("raw", mark_processed(raw, cleaned.select(key), key=key, mark_dropped=mark_dropped)))
+        stage("raw", mark_processed(raw, cleaned.select(key), key=key, mark_dropped=mark_dropped)),
+        quality)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -109,6 +109,24 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     return path
 
 
+def write_observed(df: DataFrame, path: str, stage: str, day="date", **kw) -> dict:
+    """S2 and S15 in one pass: write ``df`` (``write_table`` options in ``kw``) and return
+    ``{stage, n_rows, n_days, n_null_days}``, measured on the rows as they are written. ``day`` is
+    a column or an expression; the days are gathered as a set, one entry per day."""
+    d = F.col(day) if isinstance(day, str) else day
+    seen = Observation(f"quality-{stage}")
+    write_table(df.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.size(F.collect_set(d)).alias("n_days"),
+                           F.count_if(d.isNull()).alias("n_null_days")), path, **kw)
+    return {"stage": stage, **seen.get}
+
+
+def quality_table(spark: SparkSession, measured: list) -> DataFrame:
+    """What ``write_observed`` measured, a row per stage."""
+    return spark.createDataFrame(
+        [(m["stage"], m["n_rows"], m["n_days"], m["n_null_days"]) for m in measured],
+        "stage string, n_rows long, n_days long, n_null_days long")
+
+
 def complete_rows(df: DataFrame, cols) -> DataFrame:
     """drop rows with a null in any of ``cols``."""
     return df.na.drop(how="any", subset=list(cols))

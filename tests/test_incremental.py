@@ -140,3 +140,14 @@ def test_two_writers_cannot_both_commit(spark, tmp_path):
     V.replace_table(spark.range(4), path)
     assert len(V.vacuum(spark, path, keep=1)) == 2
     assert V.read_current(spark, path).count() == 4 and V.current_version(spark, path) == 3
+
+
+def test_quality_is_measured_while_a_stage_is_written(spark, tmp_path):
+    from pulso.operators.state import stage_quality
+    from pulso.sources.tables import quality_table, write_observed
+    df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-01"), (3, None), (4, "2024-01-02")], "id long, d string")
+    df = df.select("id", F.to_date("d").alias("date"))
+    got = [write_observed(x, str(tmp_path / name), name) for name, x in (("all", df), ("none", df.where("false")))]
+    want = stage_quality(df, "all").unionByName(stage_quality(df.where("false"), "none"))
+    assert sorted(quality_table(spark, got).collect()) == sorted(want.collect())
+    assert spark.read.parquet(str(tmp_path / "all")).count() == 4
