@@ -60,8 +60,9 @@ def seed_topics(docs: DataFrame, seeds: DataFrame, text: str = "clean_text", key
     grams = ngrams_upto(F.split(F.col(text), " "), max_n)
 
     def score(units):
-        hits = (units.join(sd, "keyword").groupBy(TEXT_KEY, "seed_id")
-                .agg(F.count(F.lit(1)).alias("score")))
+        # equal texts have equal n-grams at equal places: each place counts once
+        hits = (units.join(sd, "keyword").select(TEXT_KEY, "seed_id", "_pos").distinct()
+                .groupBy(TEXT_KEY, "seed_id").agg(F.count(F.lit(1)).alias("score")))
         code = F.col("score") * F.lit(SCORE_BASE) - (F.col("seed_id").cast("long") + 1)
         top = hits.groupBy(TEXT_KEY).agg(F.max(code).alias("_c"))
         n = F.ceil(F.col("_c") / F.lit(SCORE_BASE))

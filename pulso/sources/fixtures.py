@@ -247,17 +247,23 @@ FIXTURE_LEXICON = (
 )
 
 
+def _inline(spark: SparkSession, rows, types: str) -> DataFrame:
+    """A literal table whose size the optimizer knows (rows handed over from Python have none)."""
+    fields = [t.strip().split(" ") for t in types.split(",")]
+    cols = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in fields)
+    return spark.sql(f"SELECT {cols} FROM {sql_values(rows, [n for n, _ in fields])}")
+
+
 def seeds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FIXTURE_SEEDS), "seed_id int, keyword string")
+    return _inline(spark, FIXTURE_SEEDS, "seed_id int, keyword string")
 
 
 def topic_labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FIXTURE_TOPIC_LABELS), "topic_id int, label string")
+    return _inline(spark, FIXTURE_TOPIC_LABELS, "topic_id int, label string")
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FIXTURE_LEXICON),
-                                 "word string, neg double, neu double, pos double")
+    return _inline(spark, FIXTURE_LEXICON, "word string, neg double, neu double, pos double")
 
 
 def sql_values(rows, names) -> str:

@@ -43,3 +43,13 @@ def test_a_common_text_meets_the_lemmas_once(spark):
                                "id long, text string")
     got = {r.id: r.text for r in TM.clean_posts(df, stop=(), lemmas=table(spark)).collect()}
     assert got == {i: "gato perro casa" if i % 3 else f"gato perro w{i}" for i in range(300)}
+
+
+def test_copies_of_a_text_do_not_add_up(spark):
+    """Scores that depend on a text alone are the same however many posts have the text."""
+    from pulso.operators import topics as TP
+    seeds = spark.createDataFrame([(0, "gato"), (1, "perro"), (1, "casa")], "seed_id int, keyword string")
+    docs = spark.createDataFrame([(i, "gato gato perro casa casa" if i < 50 else "perro gato gato") for i in range(60)],
+                                 "id long, clean_text string")
+    got = {r.id: r.topic for r in TP.seed_topics(docs, seeds, min_size=1).collect()}
+    assert got == {i: 1 if i < 50 else 0 for i in range(60)}
