@@ -11,15 +11,16 @@ Each bin carries bitmaps: one bit per duplicate cluster (two members of a
 cluster never share a bin) and, in ``max_per_source`` planes, one bit per source
 (plane j is set once the bin holds j + 1 documents of the source).
 
-Shards are slices of documents by hash of the id, as many as the counted words
-ask for, so a hot source or cluster is spread evenly and no task grows with the
-corpus.
+Shards are slices of documents by hash of the id, the cluster and a row number, as many as
+the counted words ask for, so a hot source, cluster or id (null ones too) is spread evenly
+and no task grows with the corpus. The row number is written with the items: a shard that is
+done again has the same rows.
 
 Defined cases: null and empty texts have no words; they are returned with
 ``bin_id`` null. A null source is a source of its own. Pieces of one document are
 not in conflict over their source or cluster with each other only as full pieces
 (those fill a bin); the rest follows the rules like any item. Rows with the same
-``doc_id`` are separate items. Ties: equal lengths by ``doc_id``, then piece; equal
+``doc_id`` are separate items. Ties: equal lengths by ``doc_id``, then row number; equal
 residuals by the older bin. Extra columns are ignored.
 """
 
@@ -101,8 +102,8 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, max_per_source: i
 
 def _shard(capacity: int, max_per_source: int):
     def run(t: pa.Table) -> pa.Table:
-        rows = t.select(["shard", "doc_id", "source", "n_words", "cluster"]).to_pylist()
-        rows.sort(key=lambda r: (-(r["n_words"] % capacity), r["doc_id"] is None, r["doc_id"] or 0))
+        rows = t.select(["shard", "doc_id", "source", "n_words", "cluster", "row"]).to_pylist()
+        rows.sort(key=lambda r: (-(r["n_words"] % capacity), r["doc_id"] is None, r["doc_id"] or 0, r["row"]))
         bit_of: dict = {}
         seen: dict = {}
         for r in rows:
@@ -139,14 +140,23 @@ def _shard(capacity: int, max_per_source: int):
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE,
-         shard_words: int = SHARD_WORDS) -> DataFrame:
+         shard_words: int = SHARD_WORDS, classes: DataFrame | None = None) -> DataFrame:
     """One row per piece: ``doc_id, piece, start_word, n_words, bin_id, bin_offset,
-    bin_words``. Documents without words come once, with ``bin_id`` null."""
-    items = written(measure(docs), "packing-items")
+    bin_words``. Documents without words come once, with ``bin_id`` null.
+
+    ``classes`` (doc_id, component_id; a row per id counts once), such as ``minhash.link``
+    gives, makes near copies one duplicate cluster; without it, and for ids that it lacks,
+    copies with the same word sequence are one."""
+    items = measure(docs)
+    if classes is not None:
+        of = classes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component"))
+        items = items.join(of, "doc_id", "left").withColumn("cluster", F.when(
+            F.col("component").isNull(), F.col("cluster")).otherwise(F.xxhash64(F.lit("class"), "component"))).drop("component")
+    items = written(items.withColumn("row", F.monotonically_increasing_id()), "packing-items")
     total = items.agg(F.sum("n_words")).first()[0] or 0
     shards = max(1, -(-total // shard_words))
     packed = (items.where("n_words > 0")
-              .withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(shards)))
+              .withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "cluster", "row"), F.lit(shards)))
               .groupBy("shard").applyInArrow(_shard(capacity, max_per_source), _OUT))
     none = items.where("n_words = 0").selectExpr(
         "doc_id", "0 AS piece", "0L AS start_word", "0L AS n_words",

@@ -77,6 +77,10 @@ class SortedLists:
         new[1:] = (matrix[1:] != matrix[:-1]).any(axis=1)
         at = np.flatnonzero(new)
         self.ids = [np.unique(x)[:k + 1].tolist() for x in np.split(ids, at[1:])]
+        self.only: dict[int, list[int]] = {}        # points that one id alone has
+        for r, own in enumerate(self.ids):
+            if len(own) == 1:
+                self.only.setdefault(own[0], []).append(r)
         self.points = matrix[at]
         self.top = int(np.abs(self.points).max(initial=0))
         self.floats = self.points.astype(np.float64)
@@ -101,8 +105,9 @@ class SortedLists:
         weight = np.concatenate([query[up], query[down]]).astype(np.float64)
         unseen = np.ones(n, bool)
         best: list[tuple[int, int]] = []
+        unseen[self.only.get(query_id, [])] = False    # the query's own points take no part
         depth, step, scored = 0, _FIRST, 0
-        while scored < n:
+        while depth < n:
             stop = min(n, depth + step) if len(weight) else n
             seen = np.zeros(n, bool)
             if len(weight):
@@ -118,8 +123,8 @@ class SortedLists:
             if len(best) == k:
                 keep = s >= best[-1][0]
                 rows, s = rows[keep], s[keep]
-            if len(s) > k + 1:                         # one point may be the query itself
-                keep = s >= np.partition(s, len(s) - k - 1)[len(s) - k - 1]
+            if len(s) > k:                             # each point left has another id to offer
+                keep = s >= np.partition(s, len(s) - k)[len(s) - k]
                 rows, s = rows[keep], s[keep]
             new = [(int(v), i) for r, v in zip(rows.tolist(), s.tolist())
                    for i in self.ids[r] if i != query_id]
@@ -149,11 +154,12 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, query_step: int =
           candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` highest inner products."""
     small_batches(vectors.sparkSession, 4096)
-    rows = written(points(vectors, scale), "points")
+    # a row that repeats id and vector says nothing new: once, so that copies don't fill a block
+    rows = written(points(vectors, scale).distinct(), "points")
     wanted = F.col("vec_id") % query_step == 0
     n, m = rows.agg(F.count("*"), F.count_if(wanted)).first()
     blocks, asked = max(1, -(-n // candidates)), max(1, -(-m // queries))
-    spread = F.xxhash64("vec_id", F.lit("block"))
+    spread = F.xxhash64("vec_id", "point", F.lit("block"))
     left = (rows.where(wanted).withColumn("b", F.pmod(spread, F.lit(asked)))
             .withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
     # rows that share an id and all its copies must not meet in one block only: deal by id and point

@@ -64,3 +64,36 @@ def test_pack_of_nothing(spark):
     assert P.pack(documents(spark, []).where("doc_id < 0")).collect() == []
     rows = P.pack(documents(spark, ["a b", "a b"], ids=[None, None])).collect()
     assert len(rows) == 2 and rows[0].bin_id != rows[1].bin_id
+
+
+def test_rows_without_id_spread_over_the_shards(spark):
+    rnd = random.Random(5)
+    texts = [prose(rnd, 20) for _ in range(600)]
+    docs = documents(spark, texts, ids=[None if i % 3 else i for i in range(600)])
+    rows = P.pack(docs, capacity=64, shard_words=600).collect()
+    shards = {}
+    for r in rows:
+        shards[r.bin_id >> 32] = shards.get(r.bin_id >> 32, 0) + 1
+    assert len(rows) == 600 and len(shards) > 12 and max(shards.values()) < 4 * 600 / len(shards)
+
+
+def test_near_copies_of_a_class_never_share_a_bin(spark):
+    docs = documents(spark, ["a b c", "a b d", "a b e", "x y z"], ids=[1, 2, 3, 4])
+    classes = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (3, 1), (None, 9)], "doc_id long, component_id long")
+    alone = {r.doc_id: r.bin_id for r in P.pack(docs, capacity=64).collect()}
+    assert len(set(alone.values())) == 1
+    apart = {r.doc_id: r.bin_id for r in P.pack(docs, capacity=64, classes=classes).collect()}
+    assert len({apart[1], apart[2], apart[3]}) == 3 and apart[4] in (apart[1], apart[2], apart[3])
+
+
+def test_a_shard_equals_brute_force(spark):
+    rnd = random.Random(6)
+    texts = [prose(rnd, rnd.randrange(1, 50)) for _ in range(120)] + ["k l m"] * 6
+    rnd.shuffle(texts)
+    sources = [f"s{rnd.randrange(4)}" for _ in texts]
+    rows = P.pack(documents(spark, texts, sources=sources), capacity=64, max_per_source=2).collect()
+    order = sorted(range(len(texts)), key=lambda i: (-len(texts[i].split()), i))
+    copies = {t: k for k, t in enumerate({t for t in texts if texts.count(t) > 1})}
+    items = [(len(texts[i].split()), sources[i], copies[texts[i]] + 1 if texts[i] in copies else 0) for i in order]
+    want = {i: placed for i, placed in zip(order, brute(items, 64, 2))}
+    assert {r.doc_id: (r.bin_id, r.bin_offset) for r in rows} == want

@@ -55,3 +55,23 @@ def test_few_and_no_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0], 0), (7, [1.0, 1.0], 0)], SCHEMA)
     assert [tuple(r) for r in T.top_k(df).collect()] == [(0, 1, 7, 256 * 256 + 512 * 256)]
     assert T.top_k(df.where("false")).collect() == []
+
+
+def test_a_query_id_with_many_high_points(spark):
+    """The query's own points are left out before the best are cut to k."""
+    own = [(0, [float(9 - j), float(j)], 0) for j in range(8)]
+    others = [(i, [1.0 / i, 0.5], 0) for i in range(1, 8)]
+    both = [(9, [9.0, 0.0], 0)]                          # the point of another id as well
+    rows = own + others + both + own[:3] * 2
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = {}
+    for i, v, _ in rows:
+        if i == 0:
+            for j, w, _ in rows:
+                if j:
+                    want.setdefault((sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, w)), j), 0)
+    best = sorted(want, key=lambda x: (-x[0], x[1]))[:5]
+    for size in (10000, 4):
+        got = sorted((r["rank"], r.vec_id, r.score) for r in T.top_k(df, query_step=50, candidates=size, queries=size)
+                     .where("query_id = 0").collect())
+        assert got == [(k + 1, j, s) for k, (s, j) in enumerate(best)]
