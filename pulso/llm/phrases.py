@@ -13,16 +13,18 @@ first, are intersected at their own offsets. With ``slop`` > 0 each term may sta
 ``slop`` words from its place as told from the rarest term (proximity match); 0 asks for
 the exact phrase.
 
-Test items are handled in blocks of bounded size (``BLOCK_BYTES`` of item text):
-only one block's windows are collected and sent to the tasks at a time, besides the
-sorted hashes of the items' distinct words. Nothing of the training side is
-collected or shuffled but term counts.
+The items' windows are made and joined with term counts in Spark. Which terms the index
+keeps is told by a bitmap of ``FILTER_BITS`` bits, the same size for any set of items; a
+term that hits it by chance is stored and never asked for. Windows are handled in blocks of
+``BLOCK_WINDOWS``: only one block's windows, with the counts of its own terms, are collected
+and sent to the tasks, and what it finds is written before the next one. Nothing of the
+training side is collected; only term counts are shuffled.
 
 Words: A-Z lower-cased, maximal runs of letters a-z, digits and characters
 outside ASCII. Null and empty texts have no words. Items without words match
 nothing; items with equal windows are all reported. Rows with the same id count
-as separate documents, items with the same id are one; items without an id are left
-out. Words are compared by 64-bit hashes.
+as separate documents, items with the same id are one; what an item without an id says is
+found like the rest, but the item has no name to report. Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ from . import words as W
 from .common import small_batches, table, written
 
 WIDTH = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_WINDOWS = 200_000    # windows sent to the tasks at a time
+FILTER_BITS = 1 << 24      # bits of the bitmap that tells which terms are indexed (2 MB)
 _CANDIDATES = 1 << 20      # candidate starts handled at a time
 
 _INDEX = ("doc_ids array<long>, n_words binary, bases binary, terms binary, ends binary, "
@@ -53,52 +56,62 @@ def _words_of(texts) -> tuple[np.ndarray, np.ndarray]:
     return W.hash_words(low, s, e), first
 
 
-def windows_of(items: list[tuple[str, str]], vocabulary: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """Distinct windows of the test items: terms ``(n, width)`` as places in the
-    sorted ``vocabulary``, padded with -1, lengths, and the items of each window."""
-    h, first = _words_of(pa.array([t for _, t in items], pa.string()))
-    term = np.searchsorted(vocabulary, h).astype(np.int32)
-    owners: dict[bytes, set[str]] = {}
-    for k, (item, _) in enumerate(items):
-        own = term[first[k]:first[k + 1]]
-        size = min(width, len(own))
-        for i in range(len(own) - size + 1 if size else 0):
-            owners.setdefault(own[i:i + size].tobytes(), set()).add(item)
-    terms = np.full((len(owners), width), -1, np.int32)
-    length = np.zeros(len(owners), np.int64)
-    for k, key in enumerate(owners):
-        w = np.frombuffer(key, np.int32)
-        terms[k, :len(w)], length[k] = w, len(w)
-    return terms, length, [sorted(x) for x in owners.values()]
-
-
-def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
-    """Positional postings of the vocabulary's terms, a row per shard of texts."""
+def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Distinct windows of the test items: ``terms array<long>`` (64-bit word hashes) and the
+    ``items`` that have it (sorted; an item without an id has windows but no name)."""
+    def run(batches):
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                h, first = _words_of(part.column(1))
+                names, keys = [], []
+                for k, item in enumerate(part.column(0).to_pylist()):
+                    own = h[first[k]:first[k + 1]].view(np.int64)
+                    size = min(width, len(own))
+                    keys += [own[i:i + size] for i in range(len(own) - size + 1 if size else 0)]
+                    names += [item] * (len(keys) - len(names))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.list_(pa.int64())), pa.array(names, pa.string())], names=["terms", "item"])
+
+    cols = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    small_batches(benchmark.sparkSession)
+    return (cols.mapInArrow(run, "terms array<long>, item string").groupBy("terms")
+            .agg(F.array_sort(F.collect_set("item")).alias("items")))
+
+
+def filter_of(found: DataFrame, bits: int = FILTER_BITS) -> bytes:
+    """A bitmap of fixed size with the low bits of every term of the windows."""
+    at = found.select(F.explode("terms").alias("t")).select(F.col("t").bitwiseAND(F.lit(bits - 1)).alias("at"))
+    got = at.groupBy(F.shiftright("at", 3).alias("place")).agg(
+        F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 8, np.uint8)
+    out[got.column("place").to_numpy()] = got.column("bits").to_numpy()
+    return out.tobytes()
+
+
+def build_index(docs: DataFrame, bitmap: bytes, gap: int) -> DataFrame:
+    """Positional postings of the terms that hit the bitmap, a row per shard of texts. A term
+    that hits it by chance is stored and never asked for."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = spark.sparkContext.broadcast(vocabulary)
+    known = spark.sparkContext.broadcast(bitmap)
 
     def run(batches):
-        vocab = known.value
-        maybe = np.zeros(1 << 16, bool)
-        maybe[(vocab & np.uint64(0xFFFF)).astype(np.int64)] = True
+        bits = np.frombuffer(known.value, np.uint8)
+        low = np.uint64(8 * len(bits) - 1)
         for batch in batches:
             for part in W.slices(batch, "text"):
                 h, first = _words_of(part.column(1))
                 n = np.diff(first)
                 base = np.concatenate([[0], np.cumsum(n + gap)[:-1]]).astype(np.int64)
-                at = np.flatnonzero(maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
-                found = np.searchsorted(vocab, h[at])
-                found[found == len(vocab)] = 0
-                ok = vocab[found] == h[at] if len(vocab) else np.zeros(0, bool)
-                at, found = at[ok], found[ok]
+                own = bits[((h & low) >> np.uint64(3)).astype(np.int64)]
+                at = np.flatnonzero(own >> (h & np.uint64(7)).astype(np.uint8) & 1)
+                found = h[at]
                 owner = np.searchsorted(first, at, side="right") - 1
                 place = at - first[owner] + base[owner]
                 order = np.argsort(found, kind="stable")
                 found, place = found[order], place[order]
                 last = np.flatnonzero(np.append(found[1:] != found[:-1], len(found) > 0))
-                blobs = (n.astype(np.int64), base, found[last].astype(np.int32), last + 1,
-                         place.astype(np.uint32))
+                blobs = (n.astype(np.int64), base, found[last], last + 1, place.astype(np.uint32))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())),
                      *(pa.array([b.tobytes()], pa.binary()) for b in blobs)],
@@ -108,28 +121,46 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray, gap: int) -> DataFrame:
             .mapInArrow(run, _INDEX).withColumn("shard", F.monotonically_increasing_id()))
 
 
-def _postings(row: dict) -> tuple[np.ndarray, ...]:
+def _postings(row: dict, vocabulary: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The shard's postings of the terms in the (sorted) vocabulary, terms as places in it."""
+    terms, ends = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["ends"], np.int64)
+    places = np.frombuffer(row["places"], np.uint32).astype(np.int64)
+    at = np.searchsorted(vocabulary, terms)
+    at[at == len(vocabulary)] = 0
+    keep = vocabulary[at] == terms if len(vocabulary) else np.zeros(len(terms), bool)
+    size = np.diff(ends, prepend=0)
     return (np.frombuffer(row["n_words"], np.int64), np.frombuffer(row["bases"], np.int64),
-            np.frombuffer(row["terms"], np.int32), np.frombuffer(row["ends"], np.int64),
-            np.frombuffer(row["places"], np.uint32).astype(np.int64))
+            at[keep].astype(np.int32), np.cumsum(size[keep]), places[np.repeat(keep, size)])
 
 
-def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Occurrences of each term over the whole corpus; as long as the vocabulary."""
+def term_counts(index: DataFrame) -> DataFrame:
+    """``(term, n)``: occurrences of each stored term over the whole corpus."""
     def run(batches):
-        total = np.zeros(n_terms, np.int64)
         for batch in batches:
             for row in batch.to_pylist():
-                terms, ends = np.frombuffer(row["terms"], np.int32), np.frombuffer(row["ends"], np.int64)
-                total[terms] += np.diff(ends, prepend=0)
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["term", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(row["terms"], np.uint64).view(np.int64)),
+                     pa.array(np.diff(np.frombuffer(row["ends"], np.int64), prepend=0))], names=["term", "n"])
 
-    out = np.zeros(n_terms, np.int64)
     counted = index.select("terms", "ends").mapInArrow(run, "term long, n long")
-    for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r.term] = r.n
-    return out
+    return counted.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _block(own: DataFrame, counts: DataFrame, width: int) -> tuple:
+    """The windows of one block in the driver: sorted vocabulary, counts of its terms, terms
+    ``(n, width)`` as places in the vocabulary (-1: padding), lengths, and each one's items."""
+    each = own.select(F.explode("terms").alias("term")).distinct()
+    rows = each.join(counts, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")).toArrow()
+    vocabulary = rows.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary, n = vocabulary[order], rows.column("n").to_numpy()[order].astype(np.int64)
+    got = own.select("terms", "items").toArrow()
+    keys, owners = got.column("terms").to_pylist(), got.column("items").to_pylist()
+    terms, length = np.full((len(keys), width), -1, np.int32), np.zeros(len(keys), np.int64)
+    for k, key in enumerate(keys):
+        terms[k, :len(key)] = np.searchsorted(vocabulary, np.array(key, np.int64).view(np.uint64))
+        length[k] = len(key)
+    return vocabulary, n, terms, length, owners
 
 
 def match_shard(postings, terms: np.ndarray, length: np.ndarray, rank: np.ndarray,
@@ -177,8 +208,8 @@ def match_shard(postings, terms: np.ndarray, length: np.ndarray, rank: np.ndarra
     return np.concatenate(found_w), np.concatenate(found_s)
 
 
-def matches(index: DataFrame, terms: np.ndarray, length: np.ndarray, owners: list[list[str]],
-            counts: np.ndarray, slop: int = 0) -> DataFrame:
+def matches(index: DataFrame, vocabulary: np.ndarray, counts: np.ndarray, terms: np.ndarray,
+            length: np.ndarray, owners: list[list[str]], slop: int = 0) -> DataFrame:
     """Per document: the runs of words that stand in a match, and the items found."""
     width = terms.shape[1]
     rarity = np.where(terms >= 0, np.append(counts, 0)[terms], np.iinfo(np.int64).max)
@@ -187,13 +218,13 @@ def matches(index: DataFrame, terms: np.ndarray, length: np.ndarray, owners: lis
     possible = (rarity > 0).all(axis=1)          # a term that stands nowhere: no match
     terms, length, rank = terms[possible], length[possible], rank[possible]
     owners = [o for o, p in zip(owners, possible) if p]
-    shared = index.sparkSession.sparkContext.broadcast((terms, length, rank, owners))
+    shared = index.sparkSession.sparkContext.broadcast((vocabulary, terms, length, rank, owners))
 
     def run(batches):
-        terms, length, rank, owners = shared.value
+        vocabulary, terms, length, rank, owners = shared.value
         for batch in batches:
             for row in batch.to_pylist():
-                post = _postings(row)
+                post = _postings(row, vocabulary)
                 n, base = post[0], post[1]
                 w, start = match_shard(post, terms, length, rank, slop)
                 start, stop = start.clip(0), start + length[w]
@@ -221,35 +252,24 @@ def matches(index: DataFrame, terms: np.ndarray, length: np.ndarray, owners: lis
     return index.mapInArrow(run, _MATCH)
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int):
-    """Test items in blocks of bounded size, by hash of the id."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"),
-                             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    items = items.where("item IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
-        yield [(r.item, r.text) for r in own.collect()]
-
-
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = 0,
-         block_bytes: int = BLOCK_BYTES) -> DataFrame:
+         block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """A row per document row: ``doc_id, n_words, spans`` (runs of words in a match,
     from 0, end exclusive), ``items`` (ids of the items found) and ``n_hit`` (words in
     a match)."""
-    vocabulary = np.zeros(0, np.uint64)
-    for items in _blocks(benchmark, block_bytes):
-        h, _ = _words_of(pa.array([t for _, t in items], pa.string()))
-        vocabulary = np.union1d(vocabulary, h)
-    index = written(build_index(docs, vocabulary, width + 2 * slop + 1), "postings")
-    counts = term_counts(index, len(vocabulary))
-    parts = [matches(index, *windows_of(items, vocabulary, width), counts, slop)
-             for items in _blocks(benchmark, block_bytes)]
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
+    asked = written(windows(benchmark, width), "windows")
+    index = written(build_index(docs, filter_of(asked), width + 2 * slop + 1), "postings")
+    counts = written(term_counts(index), "term-counts")
+    blocks = max(1, -(-asked.count() // block_windows))
+    of = F.pmod(F.xxhash64("terms"), F.lit(blocks))
+    out = None
+    for k in range(blocks):
+        part = matches(index, *_block(asked.where(of == k) if blocks > 1 else asked, counts, width), slop)
+        if blocks > 1:
+            # what this block found is written before the next one is sent
+            part = written(part.where(F.size("spans") > 0) if k else part, "block-matches")
+        out = part if out is None else out.unionByName(part)
+    if blocks > 1:
         out = out.groupBy("shard", "place").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
             F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -287,7 +307,7 @@ _WORDS = ("regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
 
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format('text')} AS w FROM benchmark),
 win AS (
   SELECT item, least(len(w), {WIDTH}) AS size,
          array_to_string(w[i:i + least(len(w), {WIDTH}) - 1], ' ') AS phrase
@@ -299,7 +319,7 @@ g AS (
 m AS (SELECT rid, i, g.size, item FROM g JOIN win ON g.phrase = win.phrase AND g.size = win.size),
 h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM m) GROUP BY rid),
 s AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-      FROM (SELECT DISTINCT rid, item FROM m) GROUP BY rid)
+      FROM (SELECT DISTINCT rid, item FROM m WHERE item IS NOT NULL) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated

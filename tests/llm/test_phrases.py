@@ -18,7 +18,7 @@ def brute(texts, items, width=10):
                 for j in range(len(words) - size + 1):
                     if words[j:j + size] == own[i:i + size]:
                         hit.update(range(j, j + size))
-                        found.add(str(item))
+                        found.update([str(item)] if item is not None else [])
         out.append((len(words), len(hit), sorted(found)))
     return out
 
@@ -37,11 +37,14 @@ def case(rnd):
 
 def test_find_equals_brute_force_also_in_blocks(spark):
     texts, items = case(random.Random(4))
+    texts.append(" ".join(f"u{i}" for i in range(12)))
+    items.append((None, texts[-1]))                      # found, but without a name
     docs = documents(spark, texts)
-    bench = spark.createDataFrame([*items, (None, texts[0])], "item_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(texts, items)
-    for size in (P.BLOCK_BYTES, 300):
-        rows = sorted(P.find(docs, bench, block_bytes=size).collect(), key=lambda r: r.doc_id)
+    assert any(hit and not found for _, hit, found in want)
+    for size in (P.BLOCK_WINDOWS, 40):
+        rows = sorted(P.find(docs, bench, block_windows=size).collect(), key=lambda r: r.doc_id)
         assert [(r.n_words, r.n_hit, r["items"]) for r in rows] == want
     clean = {r.doc_id for r in P.without_matches(docs, bench).collect()}
     assert clean == {i for i, w in enumerate(want) if not w[1]}
@@ -72,3 +75,11 @@ def test_empty_tables(spark):
     assert P.find(none, bench).collect() == []
     row = P.digest(P.find(documents(spark, ["a b"]), bench.where(F.lit(False)))).first()
     assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (2, 0, 0, False)
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    texts, items = case(random.Random(8))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(P, "filter_of", lambda found: b"\xff" * 8)
+    rows = sorted(P.find(documents(spark, texts), bench).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_words, r.n_hit, r["items"]) for r in rows] == brute(texts, items)
