@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine, block-max index.
 
 Terms are words and word beginnings (first 4, 5 and 6 bytes of longer words), so that
-inflected and compound forms meet. The vocabulary is chosen on the labelled examples:
-the ``VOCABULARY`` terms that go most clearly with label 1 (chi-squared). Examples and
-documents are vectors ``(1 + ln tf) * idf`` over it, of length 1.
+inflected and compound forms meet. The vocabulary is chosen on the labelled examples: all
+terms that stand in ``MIN_DOCS`` of them and go clearly with label 1 (chi-squared of
+``MIN_CHI2``), however many. Examples and documents are vectors ``(1 + ln tf) * idf`` over it, of
+length 1; idf comes from a count of every document of the corpus.
 
 The examples stand in an inverted index cut into blocks of ``BLOCK`` examples, each term
 with its largest weight per block. A query takes blocks in order of the bound those
@@ -14,8 +15,8 @@ without its own vote. The neighbours are returned as evidence.
 
 Examples are a bounded sample: ``EXAMPLES`` labelled documents by hash of the id, of
 those that may be learnt from (crc32 of the id, as text, modulo 3 is not 1). The
-index is bounded by ``EXAMPLES * VOCABULARY`` weights and broadcast. Every document is
-scored whole, in one narrow pass; the labels are never joined to all texts.
+index is bounded by the sample and broadcast. Every document is counted and scored whole, in
+one narrow pass each; the labels are never joined to all texts.
 
 Defined cases: a document without any chosen term (null and empty texts too) has no
 neighbours; its score is the smoothed share of label 1 among such examples. Null labels
@@ -36,7 +37,6 @@ from . import words as W
 from .common import platt, small_batches, table, written
 
 EXAMPLES = 8000
-VOCABULARY = 128
 MIN_DOCS = 4                 # a term must stand in as many examples
 MIN_CHI2 = 20.0
 NEIGHBOURS = 15
@@ -101,8 +101,8 @@ def examples(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> DataF
     return (rows.drop("toxic").join(one, ["digest", "doc_id"]).dropDuplicates(["digest"]).drop("digest"))
 
 
-def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> list[int]:
-    """Keys of the terms that go most clearly with label 1."""
+def vocabulary(rows: DataFrame) -> list[int]:
+    """Keys of all terms that go clearly with label 1 (of a bounded sample's terms)."""
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n1 or n1 == n:
         return []
@@ -111,27 +111,66 @@ def vocabulary(rows: DataFrame, size: int = VOCABULARY) -> list[int]:
     expected = F.col("n") * n1 / n
     gap = F.col("n1") - expected
     chi2 = gap * gap / expected + gap * gap / (F.col("n") - expected)
-    best = (each.where(gap > 0).withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2)
-            .orderBy(F.desc("chi2"), "key").limit(size))
-    return sorted(r.key for r in best.collect())
+    return sorted(r.key for r in each.where((gap > 0) & (chi2 >= MIN_CHI2)).select("key").collect())
 
 
-class BlockMax:
-    """Labelled examples in an inverted index of blocks with their largest weights."""
+class Terms:
+    """Sorted keys of the chosen terms, and their look-up in texts."""
 
-    def __init__(self, keys: list[int], rows: list[tuple[int, int, list[int], list[int]]]):
-        """``rows``: id, label, term keys, counts; any order."""
-        rows = sorted(rows, key=lambda r: r[0])
+    def __init__(self, keys: list[int]):
         self.keys = np.sort(np.array(keys, np.int64).view(np.uint64)) if keys else np.zeros(0, np.uint64)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def pairs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``text * number of terms + term`` of the terms in each text, ascending, and counts."""
+        k, found = len(self.keys), [np.zeros(0, np.int64)]
+        for key, doc in terms(texts) if k else ():
+            at = np.flatnonzero(self.maybe[(key & np.uint64(0xFFFF)).astype(np.int64)])
+            t = np.minimum(np.searchsorted(self.keys, key[at]), k - 1)
+            ok = self.keys[t] == key[at]
+            found.append(doc[at[ok]] * k + t[ok])
+        return np.unique(np.concatenate(found), return_counts=True)
+
+
+def document_counts(docs: DataFrame, keys: list[int]) -> tuple[int, np.ndarray]:
+    """Number of documents, and in how many of them each chosen term (in key order) stands."""
+    n, chosen = docs.count(), Terms(keys)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        total = np.zeros(len(chosen.keys), np.int64)
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                pair, _ = chosen.pairs(part.column(0))
+                total += np.bincount(pair % max(1, len(total)), minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["term", "n"])
+
+    out = np.zeros(len(keys), np.int64)
+    if keys:
+        counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term long, n long")
+        for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():
+            out[r.term] = r.n
+    return n, out
+
+
+class BlockMax:
+    """Labelled examples in an inverted index of blocks with their largest weights."""
+
+    def __init__(self, keys: list[int], rows: list[tuple[int, int, list[int], list[int]]],
+                 corpus: tuple[int, np.ndarray] | None = None):
+        """``rows``: id, label, term keys, counts; any order. ``corpus``: documents, and how many
+        have each term (default: counted on the rows)."""
+        rows = sorted(rows, key=lambda r: r[0])
+        self.terms = Terms(keys)
+        self.keys = self.terms.keys
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.toxic = np.array([r[1] for r in rows], np.int32)
         n, k = len(rows), len(self.keys)
         place = {int(x): i for i, x in enumerate(self.keys.view(np.int64))}
         own = [sorted((place[a], c) for a, c in zip(r[2], r[3]) if a in place) for r in rows]
-        df = np.bincount([t for o in own for t, _ in o], minlength=k) if k else np.zeros(0)
-        self.idf = np.log((n + 1) / (df + 1)) + 1
+        total, df = corpus or (n, np.bincount([t for o in own for t, _ in o], minlength=k) if k else np.zeros(0))
+        self.idf = np.log((total + 1) / (df + 1)) + 1
         self.n_blocks = -(-n // BLOCK)
         self.vectors = [self.vector(o) for o in own]
         self.most = np.zeros((k, self.n_blocks))
@@ -208,18 +247,10 @@ class BlockMax:
 
     def look_up(self, texts: pa.Array) -> list[list[tuple[int, int]]]:
         """``(term, count)`` of the chosen terms in each text."""
-        k = len(self.keys)
-        found = []
-        for key, doc in terms(texts) if k else ():
-            at = np.flatnonzero(self.maybe[(key & np.uint64(0xFFFF)).astype(np.int64)])
-            t = np.minimum(np.searchsorted(self.keys, key[at]), k - 1)
-            ok = self.keys[t] == key[at]
-            found.append(doc[at[ok]] * k + t[ok])
+        k = max(1, len(self.keys))
         out: list[list[tuple[int, int]]] = [[] for _ in range(len(texts))]
-        if found:
-            pair, count = np.unique(np.concatenate(found), return_counts=True)
-            for p, c in zip(pair.tolist(), count.tolist()):
-                out[p // k].append((p % k, c))
+        for p, c in zip(*(x.tolist() for x in self.terms.pairs(texts))):
+            out[p // k].append((p % k, c))
         return out
 
 
@@ -230,7 +261,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> BlockMax
     chosen = F.array(*[F.lit(k) for k in keys]) if keys else F.expr("CAST(array() AS array<long>)")
     kept = rows.select("doc_id", "toxic", F.filter(F.arrays_zip("keys", "counts"), lambda x: F.array_contains(
         chosen, x["keys"])).alias("kept")).collect()
-    return BlockMax(keys, [(r.doc_id, r.toxic, [x["keys"] for x in r.kept], [x["counts"] for x in r.kept]) for r in kept])
+    return BlockMax(keys, [(r.doc_id, r.toxic, [x["keys"] for x in r.kept], [x["counts"] for x in r.kept]) for r in kept],
+                    document_counts(docs, keys))
 
 
 def score(docs: DataFrame, model: BlockMax, threshold: float = THRESHOLD) -> DataFrame:

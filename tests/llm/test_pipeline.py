@@ -88,6 +88,6 @@ def test_stages_keep_the_columns_and_stand_empty_tables(spark, tables):
 
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()
     assert phrases.ORACLE in entry.oracle_sql().values()

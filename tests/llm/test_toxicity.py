@@ -93,3 +93,25 @@ def test_labels_that_cannot_be_learnt(spark):
         assert rows[0].score == (1.0 if labels and labels[0] == 1 else 0.0)
     none = docs.where("false")
     assert T.score(none, T.train(none, label_rows(spark, []))).collect() == []
+
+
+def test_document_counts_cover_the_corpus(spark):
+    texts, labels = texts_of(random.Random(14), 300)
+    docs = documents(spark, texts + [None, ""] + texts[:40])
+    model = T.train(docs, label_rows(spark, labels))
+    n, df = T.document_counts(docs, [int(k) for k in model.keys.view(np.int64)])
+    assert n == 342 and len(df) == len(model.keys) > 0
+    want = np.zeros(len(df), int)
+    for t in texts + texts[:40]:
+        for key in {int(k) for part, _ in T.terms(pa.array([t])) for k in part}:
+            want[model.keys == np.uint64(key)] += 1
+    assert df.tolist() == want.tolist()
+    assert np.allclose(model.idf, np.log((n + 1) / (want + 1)) + 1)
+
+
+def test_no_clear_term_is_left_out(spark):
+    bad = [f"bad{chr(97 + i)}{chr(97 + j)}x" for i in range(15) for j in range(10)]
+    rnd = random.Random(15)
+    texts = [prose(rnd, 20) + (" " + " ".join(bad) if i % 3 == 0 else "") for i in range(120)]
+    model = T.train(documents(spark, texts), label_rows(spark, [int(i % 3 == 0) for i in range(120)]))
+    assert len(model.keys) >= len(bad)
