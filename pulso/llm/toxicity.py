@@ -2,7 +2,8 @@
 
 Terms are words and word beginnings (first 4, 5 and 6 bytes of longer words), so that
 inflected and compound forms meet. The vocabulary is chosen on the labelled examples: all
-terms that stand in ``MIN_DOCS`` of them and go clearly with label 1 (chi-squared of
+terms that stand in ``MIN_DOCS`` of them and in ``MIN_SHARE`` of those with label 1 (so that a few
+near copies don't make their own words terms), and go clearly with label 1 (chi-squared of
 ``MIN_CHI2``), however many. Examples and documents are vectors ``(1 + ln tf) * idf`` over it, of
 length 1; idf comes from a count of every document of the corpus.
 
@@ -37,7 +38,8 @@ from . import words as W
 from .common import platt, small_batches, table, written
 
 EXAMPLES = 8000
-MIN_DOCS = 4                 # a term must stand in as many examples
+MIN_DOCS = 4                 # a term must stand in as many examples ...
+MIN_SHARE = 0.02             # ... and in this share of those with label 1
 MIN_CHI2 = 20.0
 NEIGHBOURS = 15
 BLOCK = 64
@@ -107,7 +109,7 @@ def vocabulary(rows: DataFrame) -> list[int]:
     if not n1 or n1 == n:
         return []
     each = (rows.select("toxic", F.explode("keys").alias("key")).groupBy("key")
-            .agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where(F.col("n") >= MIN_DOCS))
+            .agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where((F.col("n") >= MIN_DOCS) & (F.col("n1") >= MIN_SHARE * n1)))
     expected = F.col("n") * n1 / n
     gap = F.col("n1") - expected
     chi2 = gap * gap / expected + gap * gap / (F.col("n") - expected)
@@ -258,9 +260,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> BlockMax
     """The index of a bounded labelled sample; only chosen terms reach the driver."""
     rows = written(examples(docs, labels, limit), "labelled-terms")
     keys = vocabulary(rows)
-    chosen = F.array(*[F.lit(k) for k in keys]) if keys else F.expr("CAST(array() AS array<long>)")
-    kept = rows.select("doc_id", "toxic", F.filter(F.arrays_zip("keys", "counts"), lambda x: F.array_contains(
-        chosen, x["keys"])).alias("kept")).collect()
+    kept = rows.select("doc_id", "toxic", F.filter(F.arrays_zip("keys", "counts"), lambda x: (
+        x["keys"].isin(*keys) if keys else F.lit(False))).alias("kept")).collect()
     return BlockMax(keys, [(r.doc_id, r.toxic, [x["keys"] for x in r.kept], [x["counts"] for x in r.kept]) for r in kept],
                     document_counts(docs, keys))
 
