@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sentiment import LABELS
 from ..functions.text import TOKEN
+from ..session import scratch_path
 
 
 def fit_text_classifier(df: DataFrame, text: str = "text", label: str = "label",
@@ -35,7 +36,12 @@ def fit_text_classifier(df: DataFrame, text: str = "text", label: str = "label",
                            maxIter=max_iter, probabilityCol="_prob", predictionCol="_pred",
                            rawPredictionCol="_raw"),
     ]
-    return Pipeline(stages=stages).fit(df.where(F.col(text).isNotNull()))
+    model = Pipeline(stages=stages).fit(df.where(F.col(text).isNotNull()))
+    # a freshly fitted logistic model holds its training summary, and with it the session, which
+    # cannot be sent to tasks once the session has observed metrics; a stored model holds neither
+    path = scratch_path(df.sparkSession, "text-classifier")
+    model.write().save(path)
+    return PipelineModel.load(path)
 
 
 def score_text(df: DataFrame, model: PipelineModel, classes=None, text: str = "text") -> DataFrame:

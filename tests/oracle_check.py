@@ -114,7 +114,7 @@ def main(argv):
         try:
             r = compare(spark, con, sf_dir, name, fn, oracle.get(name))
         except Exception as exc:  # report and go on
-            r = {"name": name, "status": "ERROR", "problems": [repr(exc)[:400]]}
+            r = {"name": name, "status": "ERROR", "problems": [f"{type(exc).__name__}: {str(exc)[:1500]}"]}
         bad += r["status"] in ("FAIL", "ERROR")
         print(r, flush=True)
     print(f"{bad} failing of {len([n for n in qs if not only or n in only])}")

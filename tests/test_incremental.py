@@ -151,3 +151,15 @@ def test_quality_is_measured_while_a_stage_is_written(spark, tmp_path):
     want = stage_quality(df, "all").unionByName(stage_quality(df.where("false"), "none"))
     assert sorted(quality_table(spark, got).collect()) == sorted(want.collect())
     assert spark.read.parquet(str(tmp_path / "all")).count() == 4
+
+
+def test_models_can_be_applied_after_metrics_were_observed(spark, tmp_path):
+    from pulso.operators.scorer import fit_text_classifier, score_text
+    from pulso.operators.topics import cluster_topics
+    from pulso.sources.tables import write_observed
+    df = spark.createDataFrame([(i, "bueno lindo" if i % 2 else "malo feo", float(i % 2), [float(i % 3), 1.0])
+                                for i in range(30)], "id long, text string, label double, embedding array<double>")
+    write_observed(df.withColumn("date", F.lit(None).cast("date")), str(tmp_path / "seen"), "seen")
+    assert score_text(df, fit_text_classifier(df)).count() == 30
+    assert len(score_text(df, fit_text_classifier(df)).collect()) == 30
+    assert len(cluster_topics(df, k=2).collect()) == 30
