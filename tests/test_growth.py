@@ -33,3 +33,24 @@ def test_vectors_are_sent_once_for_a_chunk_of_posts(spark, monkeypatch):
     none = V.embed_posts_hashed(df, table.where("false"), 2).collect()
     assert len(none) == 208 and all(r.embedding == [0.0, 0.0] for r in none)
     assert len(V.embed_posts_hashed(df, table, 2).collect()) == 208
+
+
+def test_new_rows_are_sent_once_to_the_stored_keys(spark):
+    """Before, they were deduplicated and then sent again, to be joined."""
+    stored = spark.createDataFrame([("1", "old"), (None, "old")], "id string, text string")
+    new = spark.createDataFrame([("1", "a", 1), ("2", "b", 2), ("2", "a", 3), (None, "x", 4)], "id string, text string, n int")
+    out = state.append_dedup(stored, new)
+    assert "LeftAnti" not in optimized(out)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [("1", "old", None), (None, "old", None), ("2", "a", 3)], key=str)
+
+
+def test_only_marked_lines_meet_the_pages(spark):
+    docs = spark.createDataFrame([(1, "\n".join("abcdef"), "en", "s"), (3, None, "en", "s"), (None, "\n" * 5, "en", "s")],
+                                 "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([(1, "u1"), (1, "u2"), (0, None)], "page_id long, url string")
+    out = fx.text_posts_of(docs, pages, 2)
+    assert "Union" in optimized(out)
+    texts = [r.text for r in out.collect()]
+    assert sorted(t for t in texts if t in tuple("abcdf")) == list("abcdf") and len(texts) == 13
+    assert sorted(t for t in texts if len(t) > 1) == [" @user_1 #tema ", "e @user_1 #tema u1", "e @user_1 #tema u2"]
