@@ -54,3 +54,36 @@ def test_only_marked_lines_meet_the_pages(spark):
     texts = [r.text for r in out.collect()]
     assert sorted(t for t in texts if t in tuple("abcdf")) == list("abcdf") and len(texts) == 13
     assert sorted(t for t in texts if len(t) > 1) == [" @user_1 #tema ", "e @user_1 #tema u1", "e @user_1 #tema u2"]
+
+
+def test_posts_out_of_bounds_and_repeated_words_don_t_meet_the_lemmas(spark, sf001, monkeypatch):
+    met = []
+    monkeypatch.setattr(TM, "apply_lemma_table", lambda df, *a: (met.append(df.count()), apply_lemma_table(df, *a))[1])
+    lemmas = spark.createDataFrame([("gatos", "gato")], "token string, lemma string")
+    df = spark.createDataFrame([(1, "gatos perros casas"), (2, "gatos"), (3, "gatos " * 60)], "id long, text string")
+    assert [r.text for r in TM.clean_posts(df, lemmas=lemmas).collect()] == ["gato perros casas"]
+    assert met == [1]
+    # the words of the table are made distinct before their lemmas are compared
+    least = fx.lemmas(spark, sf001).groupBy("token").agg({"lemma": "min"})
+    assert optimized(least).count("Aggregate [") == 2
+
+
+@pytest.mark.parametrize("text", ["a b c d\x1ce", "ñandú áéíóúñü ３ x_y", "", "  ", "a​b 😀 c"])
+def test_clean_text_splits_as_raw_text_does(spark, text):
+    from pulso.functions import text as T
+    import pyspark.sql.functions as F
+    df = spark.createDataFrame([(text,)], "t string").select(
+        F.regexp_replace("t", f"[^{T.WORD}{T.SPACE}áéíóúñü]", "").alias("t"))
+    a, b = df.select(T.split_words("t"), T.split_clean("t")).first()
+    assert a == b
+
+
+def test_term_cloud_joins_pairs_to_each_word_once(spark, monkeypatch):
+    plans = []
+    keep = TM.reliable_checkpoint
+    monkeypatch.setattr(TM, "reliable_checkpoint", lambda df: (plans.append(optimized(df)), keep(df))[1])
+    df = spark.createDataFrame([(i, "red cats red cat buss bus as") for i in range(9)], "id long, text string").selectExpr(
+        "id", "text", "timestamp_ntz'2024-01-01 00:00:00' AS createdAt")
+    out = {r.term: r["count"] for r in TM.daily_term_cloud(df, threshold=1e9).collect()}
+    assert out == {"red": 18, "cat": 18, "buss": 9, "bus": 9, "as": 9}
+    assert sum(p.count("Join ") for p in plans) == 3
