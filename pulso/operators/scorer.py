@@ -11,7 +11,7 @@ the vocabulary grows.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -21,22 +21,24 @@ from pyspark.sql import functions as F
 from ..functions.sentiment import LABELS
 from ..functions.text import TOKEN
 from ..session import scratch_path
+from ..sources.tables import write_table
 
 
 def fit_text_classifier(df: DataFrame, text: str = "text", label: str = "label",
                         num_features: int = 1 << 18, reg: float = 0.01,
                         max_iter: int = 50) -> PipelineModel:
     """Fit tokens -> hashed counts -> IDF -> logistic regression."""
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN, gaps=False,
-                       toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol=label, regParam=reg,
-                           maxIter=max_iter, probabilityCol="_prob", predictionCol="_pred",
-                           rawPredictionCol="_raw"),
-    ]
-    model = Pipeline(stages=stages).fit(df.where(F.col(text).isNotNull()))
+    tokens = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN, gaps=False, toLowercase=True)
+    counts = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
+    # the texts are read and counted once, both fits read the counts
+    rows = counts.transform(tokens.transform(df.where(F.col(text).isNotNull()))).select(F.col(label), "_tf")
+    spark = df.sparkSession
+    rows = spark.read.schema(rows.schema).parquet(write_table(rows, scratch_path(spark, "text-counts")))
+    idf = IDF(inputCol="_tf", outputCol="_features").fit(rows)
+    fitted = LogisticRegression(featuresCol="_features", labelCol=label, regParam=reg,
+                                maxIter=max_iter, probabilityCol="_prob", predictionCol="_pred",
+                                rawPredictionCol="_raw").fit(idf.transform(rows))
+    model = PipelineModel([tokens, counts, idf, fitted])
     # a freshly fitted logistic model holds its training summary, and with it the session, which
     # cannot be sent to tasks once the session has observed metrics; a stored model holds neither
     path = scratch_path(df.sparkSession, "text-classifier")

@@ -87,3 +87,19 @@ def test_term_cloud_joins_pairs_to_each_word_once(spark, monkeypatch):
     out = {r.term: r["count"] for r in TM.daily_term_cloud(df, threshold=1e9).collect()}
     assert out == {"red": 18, "cat": 18, "buss": 9, "bus": 9, "as": 9}
     assert sum(p.count("Join ") for p in plans) == 3
+
+
+def test_training_reads_its_texts_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(f"good {i}" if i % 2 else f"bad {i}", float(i % 2)) for i in range(40)], "t string, label double")
+    see = F.udf(seen, "string").asNondeterministic()
+    model = scorer.fit_text_classifier(df.select(see("t").alias("text"), "label"), num_features=1 << 10, max_iter=5)
+    assert read.value == 40
+    got = scorer.score_text(spark.createDataFrame([("good x",), ("bad x",)], "text string"), model).collect()
+    assert [r.predicted for r in got] == ["1", "0"]
