@@ -159,6 +159,23 @@ def test_every_finding_trains_the_network(spark, monkeypatch):
     assert 0 < held[0] < held[1] and abs(held[1] / rows.count() - 0.25) < 0.05
 
 
+def test_every_round_is_run_at_every_size(spark, monkeypatch):
+    """Before, more than 24,576 rows were trained on in one round instead of ``EPOCHS``."""
+    rnd = random.Random(13)
+    hexes = lambda n: " ".join(f"{rnd.getrandbits(128):032x}" for _ in range(n))
+    words = lambda n: " ".join(f"Site{rnd.getrandbits(40):013d}" for _ in range(n))
+    rounds = []
+
+    def counted(rows, model, weights, number):
+        rounds.append((number, rows.count()))
+        return model.flat()
+
+    monkeypatch.setattr(S, "_round", counted)
+    assert S.train(documents(spark, [f(500) for _ in range(36) for f in (hexes, words)])) is not None
+    assert [n for n, _ in rounds] == list(range(S.EPOCHS))
+    assert all(k > 24576 for _, k in rounds)
+
+
 def test_a_finding_repeated_weighs_as_often():
     g = np.random.default_rng(3)
     z, y = g.normal(0, 2, 400), g.integers(0, 2, 400).astype(float)
