@@ -30,7 +30,8 @@ def q_clean_topic_text(spark, d):
 @register("clean_posts_lemmas", lambda: with_ctes(
     S.lemmatised(S.post_words("text"), "tp"), tp=fx.SQL_TEXT_POSTS, lemmas=fx.SQL_LEMMAS))
 def q_clean_posts_lemmas(spark, d):
-    return TM.clean_posts(fx.text_posts(spark, d), lemmas=fx.lemmas(spark, d)).select("id", "text")
+    posts = fx.text_posts(spark, d).select("id", "text")       # what the query asks for is all that is written
+    return TM.clean_posts(posts, lemmas=fx.lemmas(spark, d)).select("id", "text")
 
 
 @register("clean_topic_lemmas", lambda: with_ctes(
@@ -38,7 +39,8 @@ def q_clean_posts_lemmas(spark, d):
                  f"NOT list_contains({S.str_list(topic_stopwords())}, w) AND NOT regexp_full_match(w, '\\p{{Nd}}+')"
                  ).replace("AS text", "AS clean_text"), tp=fx.SQL_TEXT_POSTS, lemmas=fx.SQL_LEMMAS))
 def q_clean_topic_lemmas(spark, d):
-    out = TM.clean_topic_posts(fx.text_posts(spark, d), lemmas=fx.lemmas(spark, d), strip=False)
+    posts = fx.text_posts(spark, d).select("id", F.col("text").alias("clean_text"))
+    out = TM.clean_topic_posts(posts, col="clean_text", lemmas=fx.lemmas(spark, d), strip=False)
     return out.select("id", "clean_text")
 
 

@@ -1,7 +1,12 @@
 """Lemma tables: position-keeping token join."""
 
+import os
+import random
+
+from pulso.operators import lemmas as L
 from pulso.operators import terms as TM
 from pulso.operators.lemmas import apply_lemma_table
+from pulso.session import ensure_checkpoint_dir
 
 LEMMAS = [("gatos", "gato"), ("perros", "perro"), ("casas", "casa"), ("same", "same"), ("dos", "b"), ("dos", "a"),
           (None, "x"), ("y", None), ("los", "el")]
@@ -53,3 +58,49 @@ def test_copies_of_a_text_do_not_add_up(spark):
                                  "id long, clean_text string")
     got = {r.id: r.topic for r in TP.seed_topics(docs, seeds, min_size=1).collect()}
     assert got == {i: 1 if i < 50 else 0 for i in range(60)}
+
+
+def _random_posts(spark, seed, n=400):
+    """Posts of 1 to 130 words: with and without lemmas, stop words, digits, and words whose lemma is
+    a stop word or digits, or that are stop words with another lemma."""
+    rnd = random.Random(seed)
+    literal = {"gatos": "gato", "perros": "perro", "siendo": "ser", "uno": "1", "los": "lobo", "12": "doce", "eran": "ser"}
+    words = [*literal, "de", "la", "que", "7", "casa", "sol", "mar", "luz", "gato"]
+    texts = []
+    for i in range(n):
+        some = rnd.sample(words, rnd.randrange(1, 9))
+        texts.append(" ".join(rnd.choice(some) for _ in range(rnd.choice([1, 2, 3, 4, 20, 49, 50, 51, 52, 60, 90, 130]))))
+    df = spark.createDataFrame([(i // 2, t, "x") for i, t in enumerate(texts)], "id long, text string, more string")
+    return df, literal, spark.createDataFrame([*literal.items(), *LEMMAS[3:4]], "token string, lemma string")
+
+
+def test_bounds_told_before_the_lemmas_are_those_after(spark, monkeypatch):
+    df, literal, lemmas = _random_posts(spark, 1)
+    want = sorted(map(tuple, TM.clean_topic_posts(df, lemmas=literal).collect()))
+    assert 50 < len(want) < 350
+    assert sorted(map(tuple, TM.clean_topic_posts(df, lemmas=lemmas).collect())) == want
+    monkeypatch.setattr(TM, "DROPPED_TOKENS", 0)            # more tokens than are looked for
+    assert sorted(map(tuple, TM.clean_topic_posts(df, lemmas=lemmas).collect())) == want
+
+
+def test_chunks_blocks_and_buckets_of_any_size(spark, monkeypatch):
+    df, literal, lemmas = _random_posts(spark, 2)
+    for bits, block, buckets in ((0, 40, 1), (2, 300, 3)):
+        for name, value in (("CHUNK_BITS", bits), ("BLOCK_WORDS", block), ("BUCKETS", buckets)):
+            monkeypatch.setattr(L, name, value)
+        for step in (TM.clean_posts, TM.clean_topic_posts):
+            want = sorted(map(tuple, step(df, lemmas=literal).collect()))
+            assert sorted(map(tuple, step(df, lemmas=lemmas).collect())) == want
+
+
+def test_a_lemma_table_takes_less_disk_than_the_texts(spark):
+    """Before, texts and all their words were written uncompressed: 1.8 times the texts here, and
+    texts too long for the bounds too."""
+    rnd = random.Random(3)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.choice([30, 200]))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(base) for f in names)
+    before = size()
+    assert TM.clean_topic_posts(df, lemmas=table(spark)).count() == sum(len(t.split()) == 30 for t in texts)
+    assert 0 < size() - before < sum(map(len, texts)) / 4
