@@ -1,9 +1,13 @@
 """What the text operators send, write and read again: in proportion to their input."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from pulso.operators import scorer, state, terms as TM, vectors as V
 from pulso.operators.lemmas import apply_lemma_table
+from pulso.plans.preprocess import STAGES, hashed_embedder, lexicon_scorer, preprocess
 from pulso.sources import fixtures as fx
 
 
@@ -103,3 +107,45 @@ def test_training_reads_its_texts_once(spark):
     assert read.value == 40
     got = scorer.score_text(spark.createDataFrame([("good x",), ("bad x",)], "text string"), model).collect()
     assert [r.predicted for r in got] == ["1", "0"]
+
+
+def test_pieces_share_a_chunk_and_exact_sums_are_floats(spark, monkeypatch):
+    """Before, a chunk ended where a task's rows did, so that each task's chunks were sent their own
+    vectors, as doubles."""
+    vectors = spark.createDataFrame([("a", [0.5, 2.0]), ("b", [0.1, None]), ("c", [float("nan"), float("inf")])],
+                                    "token string, vector array<double>")
+    df = spark.createDataFrame([(i, "a b" if i % 2 else "a") for i in range(160)] + [(999, "c")], "id long, text string").repartition(16)
+    sent = []
+    table_type = type(df)
+    join = table_type.join
+    monkeypatch.setattr(table_type, "join", lambda self, other, on=None, how=None: (
+        sent.append(self.count()) if on == "_unit" else None, join(self, other, on, how))[1])
+    got = {r.id: r.embedding for r in V.embed_posts(df, vectors, 2).collect()}
+    assert sent == [3]                                  # three tokens in all the tasks' posts
+    assert got[0] == [0.5, 2.0] and got[1] == [0.3, 1.0]
+    assert got[999][0] != got[999][0] and got[999][1] == float("inf")
+    monkeypatch.setattr(V, "PIECE_BITS", 0)
+    monkeypatch.setattr(V, "CHUNK_BITS", 2)             # some forty chunks of single posts
+    again = {r.id: r.embedding for r in V.embed_posts(df, vectors, 2).collect()}
+    assert {k: v for k, v in again.items() if k != 999} == {k: v for k, v in got.items() if k != 999}
+
+
+def test_stages_that_are_not_kept_and_shuffles_go_as_the_run_goes_on(spark, tmp_path):
+    """Before, all five stages of ``preprocess_quality`` and all shuffle files stayed to the end."""
+    raw = spark.createDataFrame([(f"{i % 30}", f"uno perro gato casa{i} sol", i % 3 == 0) for i in range(60)],
+                                "id string, text string, processed boolean").repartition(4)
+    vecs = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "vec_id long, embedding array<double>")
+    lex = spark.createDataFrame([("perro", 1.0, 0.0, 0.0)], "word string, neg double, neu double, pos double")
+    stored = raw.limit(3).select("id", "text")
+
+    def run(name, **options):
+        return preprocess(raw, lexicon_scorer(lex), hashed_embedder(vecs, 2), stored=stored, out=f"{tmp_path}/{name}",
+                          day=F.lit(None).cast("date"), **options)
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    whole, bare = run("whole"), run("bare", keep=())
+    assert spark.conf.get(key, None) == before
+    assert whole.quality == bare.quality and [q["stage"] for q in whole.quality] == list(STAGES)
+    assert sorted(os.listdir(tmp_path / "whole")) == sorted(STAGES) and os.listdir(tmp_path / "bare") == []
+    assert whole.new_rows.count() == whole.quality[2]["n_rows"] > 0 and whole.raw.count() == 60
