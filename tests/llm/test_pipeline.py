@@ -91,3 +91,14 @@ def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries()
     assert phrases.ORACLE in entry.oracle_sql().values()
+
+
+def test_secrets_stage_trains_for_every_round_at_every_size(spark, tables, monkeypatch):
+    """Before, the stage trained for one round instead of all on more than 24,576 findings."""
+    rnd = random.Random(22)
+    texts = [" ".join(f"{rnd.getrandbits(128):032x} Site{rnd.getrandbits(40):013d}" for _ in range(500)) for _ in range(36)]
+    rounds = []
+    monkeypatch.setattr(secrets_cnn, "_round", lambda rows, model, weights, number: (rounds.append(rows.count()), model.flat())[1])
+    out = corpus_pipeline.redact_secrets(spark, documents(spark, texts), tables[0])
+    assert len(rounds) == secrets_cnn.EPOCHS == 6 and min(rounds) > 24576
+    assert out.where("text LIKE '%[SECRET]%'").count() == 36
